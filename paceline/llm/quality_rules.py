@@ -27,7 +27,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Metric -> least room above the upper quartile, in the metric's unit.
-ROOM = {"word_length": 20, "symbols": 100, "dup_lines": 300, "repeats": 150}
+ROOM = {"word_length": 20, "symbols": 100, "dup_lines": 500, "repeats": 350}
 #: Groups with fewer documents take the limits of all groups' merged sketches.
 MIN_GROUP = 50
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
