@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paceline.llm import bpe, license_scan, line_dedup, mixing, quality_cnn, quality_rules, token_counts
+from paceline.llm import bpe, jaccard_join, license_scan, line_dedup, mixing, quality_cnn, quality_rules, token_counts
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -12,10 +12,12 @@ QUERIES = {
     "op7_quality_cnn": quality_cnn.op7_quality_cnn,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
 }
