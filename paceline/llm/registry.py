@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from paceline.llm import bpe, jaccard_join, license_scan, line_dedup, mixing, quality_cnn, quality_rules, token_counts
+from paceline.llm import bpe, jaccard_join, license_scan, line_dedup, mixing, nearest, quality_cnn, quality_rules, token_counts
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_bpe": bpe.op3_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_nearest": nearest.op6_nearest,
     "op7_quality_cnn": quality_cnn.op7_quality_cnn,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mix_sources": mixing.op9_mix_sources,
