@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from paceline.llm import bpe, jaccard_join, license_scan, line_dedup, mixing, nearest, quality_cnn, quality_rules, token_counts
+from paceline.llm import bpe, jaccard_join, license_scan, line_dedup, mixing, nearest, quality_cnn, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_line_dedup": line_dedup.op5_line_dedup,
