@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from paceline.plans import keeping, live, pace, routes
+
+QUERIES = {**pace.QUERIES, **routes.QUERIES, **keeping.QUERIES, **live.QUERIES}
+ORACLE_SQL = {**pace.ORACLE_SQL, **routes.ORACLE_SQL, **keeping.ORACLE_SQL, **live.ORACLE_SQL}
