@@ -18,10 +18,12 @@ lossless steps leave out those that cannot matter:
     copied passages; only their suffixes are sorted, and previous and next
     smaller documents in suffix order tell which strings are later copies.
 
-Documents are dealt into cells, which are consecutive ranges of doc_id.  Cells
-send each bucket of anchor hashes one packed row with every different run once,
-so a run of thousands of copies is one entry a cell; a bucket answers with bits.
-Within a cell the same functions apply to its documents.
+Documents stay where they were read: each task packs its own into cells of a few
+megabytes, in order of doc_id, and only the packed cells are shuffled later.
+Cells send each bucket of anchor hashes one packed row with every different run
+once and its smallest doc_id, so a run of thousands of copies is one entry a
+cell; a bucket answers with bits.  Within a cell the same functions apply to its
+documents.
 
 Defined results: a null text counts as empty; texts under 50 bytes stay whole;
 rows of equal doc_id do not remove each other's bytes; rows with a null doc_id
@@ -46,8 +48,10 @@ from paceline.llm.shingles import mixed
 LENGTH = 50
 ANCHOR = 25
 SPAN = LENGTH - ANCHOR + 1
-#: Bytes of text of a cell, about.
-CELL_BYTES = 16 << 20
+#: Bytes of text of a cell, about (a longer text is a cell of its own), and for each bucket.
+CELL_BYTES = 6 << 20
+BUCKET_BYTES = 16 << 20
+ZSTD_LEVEL = 6
 #: Bytes hashed at once, so that the arrays stay in the processor's cache.
 BLOCK = 1 << 17
 _U = np.uint64
@@ -61,7 +65,7 @@ def earlier_copy(words: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Which suffixes have a longest previous factor of at least LENGTH.
 
     words: (n, 7) big-endian values of each suffix's first LENGTH bytes; place:
-    each suffix's cell or document.  In suffix order, suffixes that agree in
+    the doc_id or rank of each suffix's document.  In suffix order, suffixes that agree in
     LENGTH bytes are a run; a suffix has an earlier copy if the previous or the
     next smaller place lies in its run.
     """
@@ -210,26 +214,33 @@ CELL_TYPE = "cell bigint, ids binary, lens binary, data binary, size bigint"
 
 
 def cells_of(docs: DataFrame) -> tuple[DataFrame, int]:
-    """One packed row a range of doc_id, in order, and the number of buckets."""
+    """Packed rows of documents, and the number of buckets."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(partitions(docs.sparkSession), -(-size // CELL_BYTES))
+    buckets = max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lens, data = [], [], []
+        made, held, most = TaskContext.get().partitionId() << 24, 0, []
+
+        def cell() -> pa.RecordBatch:
+            most.sort(key=lambda x: x[0])
+            raw = b"".join(t for _, t in most)
+            ids, lens = np.array([i for i, _ in most]), np.array([len(t) for _, t in most])
+            cols = [ids.tobytes(), lens.tobytes(), pa.Codec("zstd", ZSTD_LEVEL).compress(raw, asbytes=True)]
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), *[pa.array([c], pa.binary()) for c in cols], pa.array([len(raw)], pa.int64())], ["cell", "ids", "lens", "data", "size"])
+
         for b in batches:
-            ids.append(b.column(0).to_numpy())
-            lens.append(np.array([len(x) for x in b.column(1).to_pylist()], np.int64))
-            data.extend(b.column(1).to_pylist())
-        if not data:
-            return
-        every, sizes = np.concatenate(ids), np.concatenate(lens)
-        order = np.argsort(every, kind="stable")
-        raw = b"".join(data[i] for i in order.tolist())
-        cols = [[TaskContext.get().partitionId()], [every[order].tobytes()], [sizes[order].tobytes()], [pa.compress(raw, "zstd", asbytes=True)], [len(raw)]]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:4]], pa.array(cols[4], pa.int64())], ["cell", "ids", "lens", "data", "size"])
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = t.as_py()
+                if most and held + len(text) > CELL_BYTES:
+                    yield cell()
+                    made, held, most = made + 1, 0, []
+                most.append((i, text))
+                held += len(text)
+        if most:
+            yield cell()
 
-    return checkpointed(rows.repartitionByRange(n, "doc_id").mapInArrow(pack, CELL_TYPE)), n
+    return checkpointed(rows.mapInArrow(pack, CELL_TYPE)), buckets
 
 
 def opened(row: dict, buckets: int) -> tuple[np.ndarray, Cell]:
@@ -252,27 +263,29 @@ def _unbits(x: bytes, n: int) -> np.ndarray:
 
 
 def run_answers(cells: DataFrame, buckets: int) -> DataFrame:
-    """cell, answers: for each bucket, which of the cell's classes an earlier cell
-    has, and which share their anchor with other classes of other cells."""
+    """cell, answers: for each bucket, which of the cell's classes an earlier
+    document of another cell has, and which share their anchor with other classes of other cells."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            c = opened(row, buckets)[1]
+            ids, c = opened(row, buckets)
             some = np.flatnonzero(np.diff(c.cut))
-            blobs = [c.key[c.cut[b] : c.cut[b + 1]].tobytes() for b in some.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), row["cell"])), pa.array(blobs, pa.binary())], ["bucket", "cell", "keys"])
+            place = ids[c.doc[c.head]]
+            keys, docs = ([x[c.cut[b] : c.cut[b + 1]].tobytes() for b in some.tolist()] for x in (c.key, place))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), row["cell"])), pa.array(keys, pa.binary()), pa.array(docs, pa.binary())], ["bucket", "cell", "keys", "docs"])
 
     def answer(key, batches):
         cell = batches.column("cell").to_numpy()
         keys = [np.frombuffer(x, np.uint64) for x in batches.column("keys").to_pylist()]
         sizes = np.array([len(x) for x in keys])
         k, of = np.concatenate(keys), np.repeat(cell, sizes)
-        order = np.lexsort((of, k))
-        ks, cs = k[order], of[order]
+        doc = np.frombuffer(b"".join(batches.column("docs").to_pylist()), np.int64)
+        order = np.lexsort((doc, k))
+        ks, ds, cs = k[order], doc[order], of[order]
         new_class = np.concatenate([[True], ks[1:] != ks[:-1]])
         new_anchor = np.concatenate([[True], (ks[1:] >> _U(32)) != (ks[:-1] >> _U(32))])
         in_class, in_anchor = np.cumsum(new_class) - 1, np.cumsum(new_anchor) - 1
-        copied = cs > cs[new_class][in_class]
+        copied = ds > ds[new_class][in_class]
         starts = np.flatnonzero(new_anchor)
         classes = np.add.reduceat(new_class, starts)
         apart = np.minimum.reduceat(cs, starts) != np.maximum.reduceat(cs, starts)
@@ -283,7 +296,7 @@ def run_answers(cells: DataFrame, buckets: int) -> DataFrame:
         pick = range(len(keys))
         return pa.table({"cell": cell, "bucket": np.full(len(keys), key[0].as_py()), "copied": [_bits(out[0, at[i] : at[i + 1]]) for i in pick], "edge": [_bits(out[1, at[i] : at[i + 1]]) for i in pick]})
 
-    sent = cells.mapInArrow(send, "bucket bigint, cell bigint, keys binary")
+    sent = cells.mapInArrow(send, "bucket bigint, cell bigint, keys binary, docs binary")
     got = sent.groupBy("bucket").applyInArrow(answer, "cell bigint, bucket bigint, copied binary, edge binary")
     return checkpointed(got.groupBy("cell").agg(F.collect_list(F.struct("bucket", "copied", "edge")).alias("answers")))
 
@@ -297,11 +310,11 @@ def _answered(c: Cell, answers: list[dict], field: str) -> np.ndarray:
 
 
 def string_answers(cells: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
-    """cell, strings: for each bucket, which strings of the edge classes an earlier cell has."""
+    """cell, strings: for each bucket, which strings of the edge classes an earlier document has."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            c = opened(row, buckets)[1]
+            ids, c = opened(row, buckets)
             edge = _answered(c, row["answers"], "edge")
             rows = []
             for b in range(buckets):
@@ -309,9 +322,10 @@ def string_answers(cells: DataFrame, answers: DataFrame, buckets: int) -> DataFr
                 if len(k):
                     heads = c.head[k]
                     count = c.count[heads]
-                    rows.append((b, row["cell"], count.astype(np.uint8).tobytes(), c.data[spread(c.first[heads], count + LENGTH - 1)].tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "cell", "counts", "bytes"])
+                    rows.append((b, row["cell"], count.astype(np.uint8).tobytes(), ids[c.doc[heads]].tobytes(), c.data[spread(c.first[heads], count + LENGTH - 1)].tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["bucket", "cell", "counts", "docs", "bytes"])
 
     def answer(key, batches):
         cell = batches.column("cell").to_numpy()
@@ -320,11 +334,12 @@ def string_answers(cells: DataFrame, answers: DataFrame, buckets: int) -> DataFr
         every = np.concatenate(counts)
         sizes = np.array([c.sum() for c in counts])
         begin = np.concatenate([[0], np.cumsum(every + LENGTH - 1)[:-1]])
-        found = earlier_copy(suffix_words(data, spread(begin, every)), np.repeat(cell, sizes))
+        doc = np.frombuffer(b"".join(batches.column("docs").to_pylist()), np.int64)
+        found = earlier_copy(suffix_words(data, spread(begin, every)), np.repeat(doc, every))
         at = np.concatenate([[0], np.cumsum(sizes)])
         return pa.table({"cell": cell, "bucket": np.full(len(cell), key[0].as_py()), "found": [_bits(found[at[i] : at[i + 1]]) for i in range(len(cell))]})
 
-    sent = cells.join(answers, "cell").mapInArrow(send, "bucket bigint, cell bigint, counts binary, bytes binary")
+    sent = cells.join(answers, "cell").mapInArrow(send, "bucket bigint, cell bigint, counts binary, docs binary, bytes binary")
     got = sent.groupBy("bucket").applyInArrow(answer, "cell bigint, bucket bigint, found binary")
     return checkpointed(got.groupBy("cell").agg(F.collect_list(F.struct("bucket", "found")).alias("strings")))
 
@@ -352,7 +367,7 @@ def removed(ids: np.ndarray, c: Cell, answers: list[dict], strings: list[dict])
     here = spread(c.first[part], c.count[part])[string[spread(at[k], size[k])]]
     change[here] += 1
     change[here + LENGTH] -= 1
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def deduped(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -365,17 +380,17 @@ def deduped(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         for row in _rows(batches):
             ids, c = opened(row, buckets)
             gone = removed(ids, c, row["answers"] or [], row["strings"] or [])
-            upto = np.concatenate([[0], np.cumsum(gone)])
+            upto = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)]).astype(np.int32)
             rise = gone.copy()
             rise[1:] &= ~gone[:-1]
             inside = c.starts[c.starts < c.ends]
             rise[inside] = gone[inside]
-            rises = np.concatenate([[0], np.cumsum(rise)])
+            rises = np.concatenate([[0], np.cumsum(rise, dtype=np.int32)]).astype(np.int32)
             kept = c.data[~gone].tobytes()
             s, e = c.starts, c.ends
             a, z = (s - upto[s]).tolist(), (e - upto[e]).tolist()
             texts = [kept[i:j] for i, j in zip(a, z, strict=True)]
-            cols = [pa.array(ids), pa.array(e - s), pa.array(upto[e] - upto[s]), pa.array(rises[e] - rises[s]), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+            cols = [pa.array(ids), pa.array(e - s), pa.array((upto[e] - upto[s]).astype(np.int64)), pa.array((rises[e] - rises[s]).astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(texts, pa.binary())] if keep_text else [])], [*names, *(["kept"] if keep_text else [])])
 
