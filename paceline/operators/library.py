@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import geo
 from paceline.functions.formats import source_key
+from paceline.sources.rides import checkpointed
 
 INDEX_PRECISION = 6
 FINE_PRECISION = 8
@@ -90,7 +91,7 @@ def enriched(recorded: DataFrame, scanned: DataFrame, max_span_m: float = 200.0)
     pairs = pairs.where((F.col("d1") > F.col("d0")) & (F.col("d1") - F.col("d0") <= max_span_m))
     spread = pairs.withColumn("b", F.explode(F.sequence(F.floor(F.col("d0") / 1000), F.floor(F.col("d1") / 1000))))
     gaps = recorded.where("ele_m IS NULL").withColumn("b", F.floor(F.col("distance_m") / 1000))
-    hit = gaps.select("track_id", "seq", "distance_m", "b").join(spread, ["track_id", "b"]).where("distance_m >= d0 AND distance_m <= d1")
+    hit = gaps.select("track_id", "seq", "distance_m", "b").join(spread, ["track_id", "b"]).where("distance_m > d0 AND distance_m <= d1")
     f = (F.col("distance_m") - F.col("d0")) / (F.col("d1") - F.col("d0"))
     value = hit.groupBy("track_id", "seq").agg(F.max_by(F.col("e0") + f * (F.col("e1") - F.col("e0")), "d0").alias("filled"))
     return recorded.join(value, ["track_id", "seq"], "left").select(*[F.coalesce("ele_m", "filled").alias("ele_m") if c == "ele_m" else recorded[c] for c in recorded.columns])
@@ -129,11 +130,12 @@ def groups(pairs: DataFrame) -> DataFrame:
     """track_id, group: connected components of pairs (a, b), by their smallest id.
 
     Labels spread along pairs and then along labels, so long chains shorten
-    twice as fast; each round is written to the checkpoint folder if one is set.
+    twice as fast; pairs and each round's labels go to the checkpoint folder.
     """
+    keep = checkpointed
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = keep(both)
     label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("g"))
-    keep = (lambda d: d.checkpoint()) if pairs.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d)
     before = None
     while True:
         near = both.join(label.select(F.col("a").alias("b"), F.col("g").alias("h")), "b").groupBy("a").agg(F.min("h").alias("h"))

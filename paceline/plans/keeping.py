@@ -1,4 +1,253 @@
-"""Queries."""
+"""Queries about the track library."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from paceline.functions import formats, geo
+from paceline.operators import library
+from paceline.plans import _sql
+from paceline.plans.pace import rounded
+from paceline.sources import rides
 
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def query(sql: str | None = None, *parts: str):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = _sql.query(sql, *parts)
+        return f
+
+    return put
+
+
+#: The library as several sources saw it: each ride, and every fifth once more by the device.
+COPIES = """
+copies AS (SELECT track_id, 'RECORDED' AS source, started_ms, length_mm / 1000.0::DOUBLE AS length_m FROM tracks
+           UNION ALL SELECT track_id + 1000000, 'FITFILES_SCAN', started_ms + 2000 * (track_id % 7), length_mm / 1000.0::DOUBLE + track_id % 3 FROM tracks WHERE track_id % 5 = 0),
+keys AS (SELECT *, (started_ms // 60000) || ':' || trunc(length_m / 10)::BIGINT AS source_key FROM copies)
+"""
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rides.tracks_of(rides.points(spark, sf_dir))
+    own = t.select("track_id", F.lit("RECORDED").alias("source"), "started_ms", (F.col("length_mm") / 1000.0).alias("length_m"))
+    again = t.where("track_id % 5 = 0").select(
+        F.expr("track_id + 1000000").alias("track_id"), F.lit("FITFILES_SCAN").alias("source"), F.expr("started_ms + 2000 * (track_id % 7)").alias("started_ms"), F.expr("length_mm / 1000.0D + track_id % 3").alias("length_m")
+    )
+    return own.unionByName(again)
+
+
+@query("SELECT track_id, source, source_key FROM keys", COPIES)
+def source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _copies(spark, sf_dir).select("track_id", "source", formats.source_key(F.col("started_ms"), F.col("length_m")).alias("source_key"))
+
+
+@query("SELECT track_id, source, source_key FROM keys WHERE source_key NOT IN (SELECT source_key FROM keys WHERE track_id % 9 = 4) QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY track_id) = 1", COPIES)
+def source_key_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks = _copies(spark, sf_dir)
+    known = tracks.where("track_id % 9 = 4").select(formats.source_key(F.col("started_ms"), F.col("length_m")).alias("source_key"))
+    return library.first_by_source_key(tracks, known).select("track_id", "source", "source_key")
+
+
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = rides.tracks_of(rides.points(spark, sf_dir))
+    files = t.select(F.concat("track_id", F.lit(".fit")).alias("path"), (F.col("n_points") * 40).alias("size"), F.col("started_ms").alias("mtime"))
+    ledger = t.where("track_id % 2 = 0").select(F.concat("track_id", F.lit(".fit")).alias("path"), F.expr("n_points * 40 + CAST(n_points % 3 = 0 AS INT)").alias("size"), F.col("started_ms").alias("mtime"))
+    return files, ledger
+
+
+@query("SELECT track_id || '.fit' AS path, n_points * 40 AS size, started_ms AS mtime FROM tracks WHERE track_id % 2 = 1 OR n_points % 3 = 0")
+def ledger_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, ledger = _files(spark, sf_dir)
+    return library.unprocessed(files, ledger).select("path", "size", "mtime")
+
+
+@query("SELECT track_id || '.fit' AS path, (n_points * 40)::BIGINT AS size, started_ms AS mtime FROM tracks")
+def ledger_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, ledger = _files(spark, sf_dir)
+    return library.marked(ledger, files)
+
+
+_CELLS = """
+g0 AS (SELECT track_id, seq, floor((lat + 90) / 180 * 32768)::BIGINT AS r, floor((lng + 180) / 360 * 32768)::BIGINT AS c FROM points),
+g1 AS (SELECT *, coalesce(lag(r) OVER w, r) AS pr, coalesce(lag(c) OVER w, c) AS pc FROM g0 WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+cells6 AS (SELECT DISTINCT track_id, row, col FROM g1, LATERAL (SELECT unnest(range(least(r, pr), greatest(r, pr) + 1)) AS row) x, LATERAL (SELECT unnest(range(least(c, pc), greatest(c, pc) + 1)) AS col) y)
+"""
+_BOX = (0.0, 0.002, 0.010, 0.034)
+_IN_BOX = "row BETWEEN floor((0.0 + 90) / 180 * 32768) AND floor((0.002 + 90) / 180 * 32768) AND col BETWEEN floor((0.010 + 180) / 360 * 32768) AND floor((0.034 + 180) / 360 * 32768)"
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.path_cells(rides.points(spark, sf_dir))
+
+
+def _geohash_sql(row: str, col: str, precision: int) -> str:
+    letters = []
+    n = 5 * precision
+    n_lat = n // 2
+    for letter in range(precision):
+        bits = []
+        for bit in range(5):
+            k = 5 * letter + bit
+            src, at = (col, n - n_lat - 1 - k // 2) if k % 2 == 0 else (row, n_lat - 1 - k // 2)
+            bits.append(f"(({src} >> {at}) & 1) * {1 << (4 - bit)}")
+        letters.append(f"substr('{geo.GEOHASH_ALPHABET}', ({' + '.join(bits)} + 1)::INT, 1)")
+    return " || ".join(letters)
+
+
+@query(f"SELECT track_id, {_geohash_sql('row', 'col', 6)} AS cell FROM cells6", _CELLS)
+def track_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).select("track_id", geo.geohash_of(F.col("row"), F.col("col"), 6).alias("cell"))
+
+
+@query(f"SELECT track_id, count(*) AS shared FROM cells6 WHERE {_IN_BOX} GROUP BY track_id ORDER BY shared DESC, track_id LIMIT 50", _CELLS)
+def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.ranked_candidates(_cells(spark, sf_dir), _BOX, 50)
+
+
+@query(f"SELECT DISTINCT track_id FROM cells6 WHERE {_IN_BOX}", _CELLS)
+def candidate_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.candidates(_cells(spark, sf_dir), _BOX)
+
+
+@query("SELECT track_id FROM tracks WHERE track_id % 10 = 7")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = rides.points(spark, sf_dir)
+    return library.orphans(rides.tracks_of(pts).select("track_id"), library.path_cells(pts.where("track_id % 10 <> 7")))
+
+
+@query(
+    "SELECT road, a AS n_seeded, b AS n_now, CASE WHEN gone + new = 0 THEN false WHEN a < 5 THEN true ELSE gone + new >= greatest(5, floor(a * 0.2)) END AS due FROM ("
+    "SELECT track_id % 6 AS road, count(*) FILTER (track_id % 7 <> 1) AS a, count(*) FILTER (track_id % 8 <> 2) AS b, count(*) FILTER (track_id % 7 <> 1 AND track_id % 8 = 2) AS gone, count(*) FILTER (track_id % 7 = 1 AND track_id % 8 <> 2) AS new FROM tracks GROUP BY 1)"
+)
+def reseed_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rides.tracks_of(rides.points(spark, sf_dir)).groupBy((F.col("track_id") % 6).alias("road"))
+    ids = t.agg(F.collect_list(F.when(F.expr("track_id % 7 <> 1"), F.col("track_id"))).alias("seeded"), F.collect_list(F.when(F.expr("track_id % 8 <> 2"), F.col("track_id"))).alias("now"))
+    return ids.select("road", F.size("seeded").cast("bigint").alias("n_seeded"), F.size("now").cast("bigint").alias("n_now"), library.should_reseed(F.col("seeded"), F.col("now")).alias("due"))
+
+
+_ENRICH = """
+scan AS (SELECT track_id, seq, distance_m + (seq % 3) AS distance_m, ele_m FROM points),
+have AS (SELECT track_id, distance_m AS d0, ele_m AS e0, lead(distance_m) OVER w AS d1, lead(ele_m) OVER w AS e1 FROM scan WHERE ele_m IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY distance_m)),
+rec AS (SELECT track_id, seq, distance_m, CASE WHEN seq % 4 = 0 THEN ele_m END AS ele_m FROM points),
+fit AS (SELECT r.track_id, r.seq, h.d0, h.e0 + (r.distance_m - d0) / (d1 - d0) * (e1 - e0) AS e, d1 FROM rec r ASOF JOIN have h ON r.track_id = h.track_id AND r.distance_m > h.d0
+        WHERE r.ele_m IS NULL AND d1 > d0 AND d1 - d0 <= 200 AND r.distance_m <= d1)
+"""
+
+
+@query("SELECT r.track_id, r.seq, round(coalesce(r.ele_m, fit.e), 3) AS ele_m FROM rec r LEFT JOIN fit USING (track_id, seq)", _ENRICH)
+def altitude_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides without most heights, filled from a device scan a few metres off."""
+    pts = rides.points(spark, sf_dir)
+    scan = pts.select("track_id", "seq", (F.col("distance_m") + F.col("seq") % 3).alias("distance_m"), "ele_m")
+    bare = pts.select("track_id", "seq", "distance_m", F.when(F.col("seq") % 4 == 0, F.col("ele_m")).alias("ele_m"))
+    return rounded(library.enriched(bare, scan).select("track_id", "seq", "ele_m"), ele_m=3)
+
+
+#: Twin rides: each ride, and a copy of every fourth, 2 m north and a little longer.
+TWINS = f"""
+tp AS (SELECT track_id, seq, lat, lng, distance_m FROM points UNION ALL SELECT track_id + 1000000, seq, lat + 2 / 111320.0::DOUBLE, lng, distance_m * 1.001::DOUBLE FROM points WHERE track_id % 4 = 0),
+h0 AS (SELECT track_id, seq, floor((lat + 90) / 180 * 1048576)::BIGINT AS r, floor((lng + 180) / 360 * 1048576)::BIGINT AS c FROM tp),
+h1 AS (SELECT *, coalesce(lag(r) OVER w, r) AS pr, coalesce(lag(c) OVER w, c) AS pc FROM h0 WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+fine AS (SELECT DISTINCT track_id, row, col FROM h1, LATERAL (SELECT unnest(range(least(r, pr), greatest(r, pr) + 1)) AS row) x, LATERAL (SELECT unnest(range(least(c, pc), greatest(c, pc) + 1)) AS col) y),
+wide AS (SELECT DISTINCT track_id, row + i AS row, col + j AS col FROM fine, (VALUES (-1), (0), (1)) AS a(i), (VALUES (-1), (0), (1)) AS b(j)),
+share AS (SELECT f.track_id AS a, w.track_id AS b FROM fine f JOIN wide w USING (row, col) JOIN (SELECT track_id, count(*) AS n FROM fine GROUP BY 1) n ON n.track_id = f.track_id
+          WHERE f.track_id <> w.track_id GROUP BY f.track_id, w.track_id, n.n HAVING count(*) >= 0.9 * n.n),
+tot AS (SELECT track_id, max(distance_m) AS len FROM tp GROUP BY 1),
+marks AS (SELECT tp.track_id, any_value(len) AS len, {', '.join(f'arg_min(lat, seq) FILTER (distance_m >= len * {q}) AS lat{k}, arg_min(lng, seq) FILTER (distance_m >= len * {q}) AS lng{k}' for k, q in ((1, '0.25::DOUBLE'), (2, '0.5::DOUBLE'), (3, '0.75::DOUBLE')))} FROM tp JOIN tot USING (track_id) GROUP BY 1),
+pairs AS (SELECT s.a, s.b FROM share s JOIN share t ON s.a = t.b AND s.b = t.a JOIN marks x ON x.track_id = s.a JOIN marks y ON y.track_id = s.b
+          WHERE s.a < s.b AND abs(x.len - y.len) <= 0.1 * greatest(x.len, y.len)
+          {' '.join(f'AND sqrt(((y.lng{k} - x.lng{k}) * cos(radians((x.lat{k} + y.lat{k}) / 2)) * 111320) ** 2 + ((y.lat{k} - x.lat{k}) * 111320) ** 2) <= 250' for k in (1, 2, 3))}),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) p ON r.b = p.a),
+grp AS (SELECT a AS track_id, least(a, min(b)) AS grp FROM reach GROUP BY a)
+"""
+
+
+def _twin_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = rides.points(spark, sf_dir).select("track_id", "seq", "lat", "lng", "distance_m")
+    copy = pts.where("track_id % 4 = 0").select(F.expr("track_id + 1000000").alias("track_id"), "seq", (F.col("lat") + 2 / 111_320.0).alias("lat"), "lng", (F.col("distance_m") * 1.001).alias("distance_m"))
+    return pts.unionByName(copy)
+
+
+@query("SELECT a, b FROM pairs", TWINS)
+def twin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.twins(_twin_points(spark, sf_dir))
+
+
+@query("SELECT track_id, grp FROM grp", TWINS)
+def twin_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.groups(library.twins(_twin_points(spark, sf_dir))).withColumnRenamed("group", "grp")
+
+
+_TIDY = """
+timed AS (SELECT g.track_id, grp, started_ms, len AS length_m, time_ms / 1000.0::DOUBLE AS time_s FROM grp g JOIN tot ON tot.track_id = g.track_id JOIN tracks t ON t.track_id = g.track_id % 1000000),
+ranked AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY grp ORDER BY started_ms DESC, track_id) AS newest, time_s > 0 AND length_m / time_s * 3.6 >= 0.5 AND length_m / time_s * 3.6 <= 80 AS fine,
+           row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN time_s > 0 AND length_m / time_s * 3.6 >= 0.5 AND length_m / time_s * 3.6 <= 80 THEN 0 ELSE 1 END, time_s, track_id) AS fastest FROM timed WINDOW w AS (PARTITION BY grp))
+"""
+
+
+@query("SELECT track_id, grp, n <= 3 OR newest <= 2 OR (fastest = 1 AND fine) AS keep FROM ranked", TWINS, _TIDY)
+def tidy_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = _twin_points(spark, sf_dir)
+    own = rides.tracks_of(rides.points(spark, sf_dir)).select(F.col("track_id").alias("own"), "started_ms", (F.col("time_ms") / 1000.0).alias("time_s"))
+    length = pts.groupBy("track_id").agg(F.max("distance_m").alias("length_m"))
+    members = library.groups(library.twins(pts)).join(length, "track_id").withColumn("own", F.expr("track_id % 1000000")).join(own, "own")
+    return library.kept_of_group(members).withColumnRenamed("group", "grp")
+
+
+_RIDES = "rides AS (SELECT track_id, started_ms AS start_ms, started_ms + time_ms AS end_ms, length_mm / 1000.0::DOUBLE AS metres FROM tracks)"
+_PAIRS = "op AS (SELECT a.track_id AS a, b.track_id AS b, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS overlap_ms, least(a.end_ms - a.start_ms, b.end_ms - b.start_ms) AS shorter FROM rides a JOIN rides b ON a.track_id < b.track_id AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms WHERE a.end_ms > a.start_ms AND b.end_ms > b.start_ms)"
+
+
+def _rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rides.tracks_of(rides.points(spark, sf_dir)).select("track_id", F.col("started_ms").alias("start_ms"), (F.col("started_ms") + F.col("time_ms")).alias("end_ms"), (F.col("length_mm") / 1000.0).alias("metres"))
+
+
+@query("SELECT a, b, overlap_ms FROM op WHERE overlap_ms > 0.5 * shorter", _RIDES, _PAIRS)
+def ride_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.overlap_pairs(_rides(spark, sf_dir))
+
+
+_GREEDY = """
+ordered AS (SELECT *, row_number() OVER (ORDER BY metres DESC, track_id) AS o FROM rides),
+pick(o, taken) AS (SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL SELECT p.o + 1, CASE WHEN EXISTS (SELECT 1 FROM op WHERE overlap_ms > 0.5 * shorter AND ((op.a = r.track_id AND list_contains(p.taken, op.b)) OR (op.b = r.track_id AND list_contains(p.taken, op.a)))) THEN p.taken ELSE list_append(p.taken, r.track_id) END
+  FROM pick p JOIN ordered r ON r.o = p.o + 1)
+"""
+
+
+@query("SELECT track_id, list_contains((SELECT taken FROM pick ORDER BY o DESC LIMIT 1), track_id) AS kept FROM rides", _RIDES, _PAIRS, _GREEDY)
+def ride_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.suppressed(_rides(spark, sf_dir))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o = 'imported') AS imported, count(*) FILTER (o = 'duplicate') AS duplicates, count(*) FILTER (o = 'failed') AS failed FROM (SELECT CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'duplicate' ELSE 'imported' END AS o FROM events)")
+def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "duplicate").otherwise("imported")
+    return library.import_summary(rides.table(spark, sf_dir, "events").select(kind.alias("outcome")))
+
+
+@query("SELECT track_id AS id, started_ms AS updated_ms FROM tracks WHERE started_ms >= (SELECT max(started_ms) FROM tracks) - 86400000 ORDER BY started_ms DESC, track_id LIMIT 20")
+def log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rides.tracks_of(rides.points(spark, sf_dir)).select(F.col("track_id").alias("id"), F.col("started_ms").alias("updated_ms"))
+    return library.retained(t, t.agg(F.max("updated_ms")).first()[0] or 0, 20, 86_400_000)
+
+
+@query("SELECT track_id, round(len, 3) AS length_m, round(lat1, 8) AS lat1, round(lng1, 8) AS lng1, round(lat2, 8) AS lat2, round(lng2, 8) AS lng2, round(lat3, 8) AS lat3, round(lng3, 8) AS lng3 FROM marks", TWINS)
+def track_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = library.summaries(_twin_points(spark, sf_dir))
+    return s.select("track_id", F.round("length_m", 3).alias("length_m"), *[F.round(f"p{k}.{c}", 8).alias(f"{c}{k}") for k in (1, 2, 3) for c in ("lat", "lng")])
+
+
+@query("SELECT source, source_key, count(*) AS n FROM keys GROUP BY ALL HAVING count(*) > 1", COPIES)
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count("*").over(Window.partitionBy("source", "source_key"))
+    keyed = source_keys(spark, sf_dir).withColumn("n", n).where("n > 1")
+    return keyed.select("source", "source_key", "n").distinct()

@@ -1,4 +1,145 @@
-"""Queries."""
+"""Queries about ticks, gaps and what is shown of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from paceline.functions import formats
+from paceline.plans import _sql
+from paceline.sources import rides
+from paceline.streaming import race
 
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def query(sql: str | None = None, *parts: str):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = _sql.query(sql, *parts)
+        return f
+
+    return put
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tick for each point; some odometers are frozen, some speeds missing."""
+    pts = rides.points(spark, sf_dir)
+    w = Window.partitionBy("track_id").orderBy("seq")
+    frozen = F.col("seq") % 11 == 5
+    raw = F.when(frozen, F.lag("distance_m").over(w)).otherwise(F.col("distance_m"))
+    speed = F.when(F.col("seq") % 13 == 3, F.lit(None)).otherwise(F.col("seq") % 9 + 1.0).cast("double")
+    return pts.select(
+        F.col("track_id").alias("ride_id"),
+        "seq",
+        F.col("time_s").alias("elapsed_s"),
+        raw.alias("raw_m"),
+        speed.alias("speed_ms"),
+        F.when(F.col("seq") % 3 != 0, 0.18).alias("history_tpm"),
+        F.when(F.col("seq") % 3 == 0, 0.2).alias("grade_tpm"),
+        F.lit("recording").alias("state"),
+    )
+
+
+@query()
+def coast_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return race.odometers(ticks(spark, sf_dir))
+
+
+@query()
+def race_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return race.race_batch(ticks(spark, sf_dir))
+
+
+@query()
+def gap_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return race.gap_stream(race.race_batch(ticks(spark, sf_dir)))
+
+
+@query()
+def lap_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laps = rides.points(spark, sf_dir).select(F.col("track_id").alias("lap_id"), F.col("distance_m").alias("route_dist_m"), "time_s")
+    return race.lap_folds(laps, 1500.0)
+
+
+_GAPS = "gaps AS (SELECT track_id, seq, CASE WHEN seq % 19 = 0 THEN NULL ELSE (t_ms - d_mm * 18 // 100) / 1000.0::DOUBLE END AS gap_s, (d_mm - t_ms * 5) / 1000.0::DOUBLE AS gap_m FROM points)"
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rides.points(spark, sf_dir).select(
+        "track_id", "seq", F.when(F.col("seq") % 19 != 0, F.expr("(t_ms - d_mm * 18 div 100) / 1000.0D")).alias("gap_s"), F.expr("(d_mm - t_ms * 5) / 1000.0D").alias("gap_m")
+    )
+
+
+_A = "trunc(abs(gap_s))::BIGINT"
+_SIGN = "CASE WHEN abs(gap_s) < 1 THEN '' WHEN gap_s < 0 THEN '+' ELSE '-' END"
+_V = "floor(gap_m + 0.5)::BIGINT"
+
+
+@query(
+    f"SELECT track_id, seq, CASE WHEN gap_s IS NULL THEN '---' ELSE {_SIGN} || CASE WHEN {_A} >= 3600 THEN printf('%d:%02d:%02d', {_A} // 3600, {_A} % 3600 // 60, {_A} % 60) ELSE printf('%d:%02d', {_A} // 60, {_A} % 60) END END AS time_label,"
+    f" CASE WHEN {_V} = 0 THEN '' WHEN {_V} > 0 THEN '+' ELSE '-' END || abs({_V}) || ' m' AS distance_label FROM gaps",
+    _GAPS,
+)
+def gap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gaps(spark, sf_dir).select("track_id", "seq", formats.gap_time(F.col("gap_s")).alias("time_label"), formats.gap_distance(F.col("gap_m")).alias("distance_label"))
+
+
+@query("SELECT status, count(*) AS n, round(sum(frac), 4) AS frac FROM (SELECT CASE WHEN abs(gap_s) < 1 THEN 'NEUTRAL' WHEN gap_s < 0 THEN 'AHEAD' ELSE 'BEHIND' END AS status, least(1, greatest(-1, -gap_m / 200)) AS frac FROM gaps WHERE gap_s IS NOT NULL) GROUP BY status", _GAPS)
+def gap_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _gaps(spark, sf_dir).where("gap_s IS NOT NULL").select(formats.gap_status(F.col("gap_s")).alias("status"), formats.window_fraction(F.col("gap_m"), F.col("gap_s"), 200.0).alias("frac"))
+    return got.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("frac"), 4).alias("frac"))
+
+
+@query("SELECT p_partkey, trim(substr(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), 1, 64), '-') || '_' || (floor(p_retailprice / 100 + 0.5) * 100)::BIGINT AS route_key FROM part")
+def route_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rides.table(spark, sf_dir, "part").select("p_partkey", formats.route_key(F.col("p_name"), F.col("p_retailprice")).alias("route_key"))
+
+
+_GAP_MS = "(date_diff('microsecond', lag(ts) OVER w, ts) // 1000)"
+
+
+@query(f"SELECT CASE WHEN g < 1000 THEN '<1 s' WHEN g < 60000 THEN '<1 min' WHEN g < 3600000 THEN '<1 h' ELSE '1 h+' END AS bucket, count(*) AS n, max(g) AS longest_ms FROM (SELECT {_GAP_MS} AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE g >= 0 GROUP BY 1")
+def cadence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between a user's events by fixed buckets; upper bounds are exclusive."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    us = lambda c: F.unix_micros(F.to_timestamp(c))
+    g = rides.table(spark, sf_dir, "events").select(F.floor((us(F.col("ts")) - us(F.lag("ts").over(w))) / 1000).alias("g")).where("g >= 0")
+    name = F.when(F.col("g") < 1000, "<1 s").when(F.col("g") < 60_000, "<1 min").when(F.col("g") < 3_600_000, "<1 h").otherwise("1 h+")
+    return g.groupBy(name.alias("bucket")).agg(F.count("*").alias("n"), F.max("g").alias("longest_ms"))
+
+
+@query("SELECT track_id, seq, d_mm, CASE WHEN inside THEN 'enter' ELSE 'exit' END AS edge FROM (SELECT *, d_mm % 600000 < 350000 AS inside, coalesce(lag(d_mm % 600000 < 350000) OVER (PARTITION BY track_id ORDER BY seq), false) AS was FROM points) WHERE inside <> was")
+def segment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where rides enter and leave stretches of 350 m every 600 m."""
+    w = Window.partitionBy("track_id").orderBy("seq")
+    inside = rides.points(spark, sf_dir).withColumn("inside", F.col("d_mm") % 600_000 < 350_000)
+    edges = inside.withColumn("was", F.coalesce(F.lag("inside").over(w), F.lit(False))).where("inside <> was")
+    return edges.select("track_id", "seq", "d_mm", F.when(F.col("inside"), "enter").otherwise("exit").alias("edge"))
+
+
+@query("SELECT event_type AS ride_id, date_trunc('second', ts) AS second, max(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, date_trunc('second', ts) ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY ALL")
+def tick_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each kind and second."""
+    ev = rides.table(spark, sf_dir, "events").select(F.col("event_type").alias("ride_id"), F.col("ts"), "event_id")
+    return race.latest_a_second(ev).select("ride_id", "second", "event_id")
+
+
+@query(
+    "SELECT track_id, seq, round(CASE WHEN pt IS NULL THEN d ELSE pd + least(1, greatest(0, 400.0::DOUBLE / 800)) * (d - pd) END, 4) AS shown_m FROM (SELECT track_id, seq, distance_m AS d, lag(distance_m) OVER w AS pd, lag(time_s) OVER w AS pt FROM points WINDOW w AS (PARTITION BY track_id ORDER BY seq))"
+)
+def marker_glide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a marker is drawn 400 ms after each tick, gliding for 800 ms."""
+    w = Window.partitionBy("track_id").orderBy("seq")
+    p = rides.points(spark, sf_dir).select("track_id", "seq", F.col("distance_m").alias("d"), F.lag("distance_m").over(w).alias("pd"))
+    return p.select("track_id", "seq", F.round(F.coalesce(F.col("pd") + 0.5 * (F.col("d") - F.col("pd")), F.col("d")), 4).alias("shown_m"))
+
+
+@query("SELECT user_id, event_id, event_type, ts, was FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS DISTINCT FROM event_type")
+def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose kind differs from the one before: distinct until changed."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = rides.table(spark, sf_dir, "events").withColumn("was", F.lag("event_type").over(w))
+    return e.where(~F.col("was").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", "event_type", "ts", "was")

@@ -1,4 +1,303 @@
-"""Queries."""
+"""Queries about routes: places on them, projections, node grids and curves."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paceline.operators import grade, joins, road_pace, route, samples
+from paceline.plans import _sql
+from paceline.plans.pace import rounded
+from paceline.sources import rides
 
 QUERIES = {}
 ORACLE_SQL = {}
+
+#: Six routes along the roads; odd ones come back beside the way out.
+_X = "CASE WHEN r % 2 = 1 AND i > 12 THEN 500 + (24 - i) * 150 ELSE 500 + i * 150 END"
+_LAT = "r * 30 + 4 + CASE WHEN r % 2 = 1 AND i > 12 THEN 3 ELSE 0 END"
+VERTICES = f"""
+vertices AS (SELECT r AS route_id, i, ({_LAT}) / 111320.0::DOUBLE AS lat, ({_X}) / 111320.0::DOUBLE AS lng FROM (SELECT unnest(range(0, 6)) AS r), (SELECT unnest(range(0, 25)) AS i)),
+v1 AS (SELECT route_id, i, lat AS a_lat, lng AS a_lng, lead(lat) OVER w AS b_lat, lead(lng) OVER w AS b_lng FROM vertices WINDOW w AS (PARTITION BY route_id ORDER BY i)),
+v2 AS (SELECT *, {_sql.hav('a_lat', 'a_lng', 'b_lat', 'b_lng')} AS long_m, {_sql.bearing('a_lat', 'a_lng', 'b_lat', 'b_lng')} AS seg_heading FROM v1 WHERE b_lat IS NOT NULL),
+v3 AS (SELECT *, sum(long_m) OVER (PARTITION BY route_id ORDER BY i) AS hi_m FROM v2),
+segs AS (SELECT *, hi_m - long_m AS lo_m FROM v3),
+totals AS (SELECT route_id, max(hi_m) AS total_m FROM segs GROUP BY route_id)
+"""
+_BX, _BY = "((b_lng - a_lng) * kx)", "((b_lat - a_lat) * 111320.0::DOUBLE)"
+_PX, _PY = "((p.lng - a_lng) * kx)", "((p.lat - a_lat) * 111320.0::DOUBLE)"
+FEET = f"""
+asked AS (SELECT track_id || ':' || seq AS id, track_id % 6 AS route_id, lat, lng, distance_m AS around_m, heading FROM steps WHERE seq % 3 = 0),
+f0 AS (SELECT p.id, p.heading, p.around_m, s.*, greatest(1.0::DOUBLE, 111320.0::DOUBLE * cos(radians(a_lat))) AS kx, p.lat, p.lng FROM asked p JOIN segs s USING (route_id)),
+f1 AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({_PX.replace('p.', '')} * {_BX} + {_PY.replace('p.', '')} * {_BY}) / ({_BX} ** 2 + {_BY} ** 2))) AS t FROM f0),
+feet AS (SELECT *, sqrt(({_PX.replace('p.', '')} - t * {_BX}) ** 2 + ({_PY.replace('p.', '')} - t * {_BY}) ** 2) AS perp_m, lo_m + t * long_m AS along_m FROM f1)
+"""
+_BEST = "SELECT id, round(perp_m, 3) AS perp_m, round(along_m, 2) AS along_m, i FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY perp_m, i) AS rn FROM feet WHERE {}) WHERE rn = 1"
+
+
+def query(sql: str | None = None, *parts: str):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = _sql.query(sql, *parts)
+        return f
+
+    return put
+
+
+def routes(spark: SparkSession) -> DataFrame:
+    base = spark.range(6).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("i"))
+    return base.select(F.col("r").alias("route_id"), "i", (F.expr(_LAT) / 111_320.0).alias("lat"), (F.expr(_X) / 111_320.0).alias("lng"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = samples.deltas(rides.points(spark, sf_dir)).where("seq % 3 = 0")
+    return steps.select(F.concat_ws(":", "track_id", "seq").alias("id"), (F.col("track_id") % 6).alias("route_id"), "lat", "lng", F.col("distance_m").alias("around_m"), "heading")
+
+
+def _plain(asked: DataFrame) -> DataFrame:
+    return asked.select("id", "route_id", "lat", "lng")
+
+
+@query("SELECT route_id, i, round(lo_m, 3) AS lo_m, round(hi_m, 3) AS hi_m, round(seg_heading, 3) AS heading FROM segs", VERTICES)
+def route_segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(joins.segments(routes(spark)).select("route_id", "i", "lo_m", "hi_m", "heading"), lo_m=3, hi_m=3, heading=3)
+
+
+_AT = """
+qs AS (SELECT route_id, d, least(total_m, greatest(0, d * 37.5::DOUBLE)) AS at_m FROM totals, (SELECT unnest(range(-1, 110)) AS d)),
+at0 AS (SELECT q.route_id, d, at_m, s.*, row_number() OVER (PARTITION BY q.route_id, d ORDER BY s.i) AS rn FROM qs q JOIN (SELECT * RENAME (route_id AS sr) FROM segs) s ON sr = q.route_id AND at_m >= lo_m AND at_m <= hi_m)
+"""
+
+
+@query(
+    "SELECT route_id || ':' || d AS id, round(a_lat + (at_m - lo_m) / (hi_m - lo_m) * (b_lat - a_lat), 8) AS lat, round(a_lng + (at_m - lo_m) / (hi_m - lo_m) * (b_lng - a_lng), 8) AS lng, round(seg_heading, 3) AS heading FROM at0 WHERE rn = 1",
+    VERTICES,
+    _AT,
+)
+def path_sample_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.range(6).select(F.col("id").alias("route_id"), F.explode(F.sequence(F.lit(-1), F.lit(109))).alias("d"))
+    asked = asked.select(F.concat_ws(":", "route_id", "d").alias("id"), "route_id", (F.col("d") * 37.5).alias("distance_m"))
+    return rounded(joins.sample_at(asked, joins.segments(routes(spark))), lat=8, lng=8, heading=3)
+
+
+@query(_BEST.format("true"), _sql.STEPS, VERTICES, FEET)
+def project_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = joins.project_nearest(_plain(_asked(spark, sf_dir)), joins.segments(routes(spark)))
+    return rounded(got.select("id", "perp_m", "along_m", "i"), perp_m=3, along_m=2)
+
+
+@query(_BEST.format("perp_m < 35"), _sql.STEPS, VERTICES, FEET)
+def project_near_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(joins.project_near_cells(_plain(_asked(spark, sf_dir)), joins.segments(routes(spark)), 35.0), perp_m=3, along_m=2)
+
+
+@query(_BEST.format("hi_m >= around_m - 120 AND lo_m <= around_m + 300"), _sql.STEPS, VERTICES, FEET)
+def project_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, sf_dir).drop("heading")
+    return rounded(joins.project_window(asked, joins.segments(routes(spark)), 120, 300), perp_m=3, along_m=2)
+
+
+@query(_BEST.format(f"hi_m >= around_m - 120 AND lo_m <= around_m + 300 AND {_sql.turn('seg_heading', 'heading')} <= 45 AND perp_m <= 40"), _sql.STEPS, VERTICES, FEET)
+def project_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(joins.project_window(_asked(spark, sf_dir), joins.segments(routes(spark)), 120, 300, 40, 45), perp_m=3, along_m=2)
+
+
+_CLUSTER = f"""
+gated AS (SELECT *, along_m - lag(along_m) OVER (PARTITION BY id ORDER BY along_m, i) AS gap FROM feet WHERE {_sql.turn('seg_heading', 'heading')} <= 45 AND perp_m <= 40),
+clusters AS (SELECT id, arg_min(perp_m, (perp_m, i)) AS perp_m, arg_min(along_m, (perp_m, i)) AS along_m, arg_min(i, (perp_m, i)) AS i, coalesce(sum((gap > 75)::INT), 0) AS wide,
+             coalesce(max(gap), 0) AS widest, min(along_m) + any_value(total_m) - max(along_m) AS wrap, any_value(total_m) AS total_m FROM gated JOIN totals USING (route_id) GROUP BY id)
+"""
+
+
+@query("SELECT id, round(perp_m, 3) AS perp_m, round(along_m, 2) AS along_m, i FROM clusters WHERE wide + (wrap > 75)::INT < 2 AND total_m - greatest(widest, wrap) <= 200", _sql.STEPS, VERTICES, FEET, _CLUSTER)
+def project_unambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = joins.project_unambiguous(_asked(spark, sf_dir).drop("around_m"), joins.segments(routes(spark)), 40, 45, 75, 200)
+    return rounded(got, perp_m=3, along_m=2)
+
+
+_ASOF = "asked AS (SELECT track_id, k, k * 113.7::DOUBLE AS d, k * 47.3::DOUBLE AS t FROM tracks, (SELECT unnest(range(0, 30)) AS k))"
+
+
+def _curves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pts = rides.points(spark, sf_dir)
+    asked = pts.select("track_id").distinct().select("track_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k"))
+    return asked.withColumn("id", F.concat_ws(":", "track_id", "k")), pts.select(F.col("track_id").alias("curve_id"), F.col("seq").alias("k"), "distance_m", "time_s")
+
+
+@query(
+    "SELECT a.track_id || ':' || k AS id, round(CASE WHEN n.seq IS NULL THEN m.time_s WHEN b.distance_m = a.d THEN b.time_s ELSE b.time_s + (a.d - b.distance_m) / (n.distance_m - b.distance_m) * (n.time_s - b.time_s) END, 4) AS time_s"
+    " FROM asked a ASOF JOIN points b ON a.track_id = b.track_id AND a.d >= b.distance_m LEFT JOIN points n ON n.track_id = b.track_id AND n.seq = b.seq + 1"
+    " JOIN (SELECT track_id, max(time_s) AS time_s FROM points GROUP BY track_id) m ON m.track_id = a.track_id",
+    _ASOF,
+)
+def curve_time_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, curve = _curves(spark, sf_dir)
+    return rounded(joins.time_at(asked.select("id", F.col("track_id").alias("curve_id"), (F.col("k") * 113.7).alias("distance_m")), curve), time_s=4)
+
+
+@query(
+    "SELECT a.track_id || ':' || k AS id, round(CASE WHEN n.seq IS NULL THEN m.distance_m ELSE b.distance_m + (a.t - b.time_s) / (n.time_s - b.time_s) * (n.distance_m - b.distance_m) END, 4) AS distance_m"
+    " FROM asked a ASOF JOIN points b ON a.track_id = b.track_id AND a.t >= b.time_s LEFT JOIN points n ON n.track_id = b.track_id AND n.seq = b.seq + 1"
+    " JOIN (SELECT track_id, max(distance_m) AS distance_m FROM points GROUP BY track_id) m ON m.track_id = a.track_id",
+    _ASOF,
+)
+def curve_distance_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, curve = _curves(spark, sf_dir)
+    return rounded(joins.distance_at(asked.select("id", F.col("track_id").alias("curve_id"), (F.col("k") * 47.3).alias("time_s")), curve), distance_m=4)
+
+
+#: The route grid: node k of each route at 25 k metres.
+GRID = """
+g0 AS (SELECT route_id, k, k * 25.0::DOUBLE AS distance_m FROM totals, LATERAL (SELECT unnest(range(0, floor(total_m / 25)::INT + 1)) AS k)),
+g1 AS (SELECT g.route_id, g.k, g.distance_m, s.*, row_number() OVER (PARTITION BY g.route_id, g.k ORDER BY s.i) AS rn
+       FROM g0 g JOIN (SELECT * RENAME (route_id AS sr) FROM segs) s ON sr = g.route_id AND distance_m >= lo_m AND distance_m <= hi_m),
+nodes AS (SELECT route_id, k, distance_m, a_lat + (distance_m - lo_m) / (hi_m - lo_m) * (b_lat - a_lat) AS lat, a_lng + (distance_m - lo_m) / (hi_m - lo_m) * (b_lng - a_lng) AS lng, seg_heading AS heading FROM g1 WHERE rn = 1)
+"""
+NODE_PACES = f"""
+n0 AS (SELECT n.route_id, n.k, s.track_id, s.seq, s.sub, s.tpm, round({_sql.hav('n.lat', 'n.lng', 's.lat', 's.lng')}, 6) AS dist
+       FROM nodes n JOIN samples s ON abs(n.lat - s.lat) < 0.0003 AND abs(n.lng - s.lng) < 0.0003 WHERE n.k > 0 AND {_sql.turn('s.heading', 'n.heading')} <= 45),
+n1 AS (SELECT route_id, k, track_id, tpm, started_ms FROM n0 JOIN tracks USING (track_id) WHERE dist <= 18 QUALIFY row_number() OVER (PARTITION BY route_id, k, track_id ORDER BY dist, seq, sub) = 1),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY route_id, k ORDER BY started_ms, track_id) AS o, count(*) OVER (PARTITION BY route_id, k) AS n FROM n1),
+n3 AS (SELECT route_id, k, o, n, tpm AS e FROM n2 WHERE o = 1
+       UNION ALL SELECT a.route_id, a.k, a.o, a.n, CASE WHEN b.o < 4 THEN (b.e * b.o + a.tpm) / (b.o + 1) ELSE 0.25::DOUBLE * a.tpm + 0.75::DOUBLE * b.e END FROM n3 b JOIN n2 a ON a.route_id = b.route_id AND a.k = b.k AND a.o = b.o + 1),
+node_paces AS (SELECT g.route_id, g.k, 25 * e AS dt_s, count, 25 * min AS min_dt_s, 25 * last AS last_dt_s
+               FROM (SELECT route_id, k, min(tpm) AS min, arg_max(tpm, o) AS last, count(*) AS count FROM n2 GROUP BY ALL) g JOIN n3 ON g.route_id = n3.route_id AND g.k = n3.k AND n3.o = n3.n)
+"""
+
+
+def _node_paces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pts = rides.points(spark, sf_dir)
+    segs = joins.segments(routes(spark))
+    grid = route.grid(segs)
+    return segs, grid, route.node_paces(grid, samples.pace_samples(pts), rides.tracks_of(pts))
+
+
+@query("SELECT route_id, k, round(lat, 8) AS lat, round(lng, 8) AS lng FROM nodes", VERTICES, GRID)
+def route_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(route.grid(joins.segments(routes(spark))).select("route_id", "k", "lat", "lng"), lat=8, lng=8)
+
+
+@query("SELECT route_id, k, round(dt_s, 4) AS dt_s, count, round(min_dt_s, 4) AS min_dt_s, round(last_dt_s, 4) AS last_dt_s FROM node_paces", _sql.STEPS, VERTICES, GRID, NODE_PACES)
+def route_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_node_paces(spark, sf_dir)[2], dt_s=4, min_dt_s=4, last_dt_s=4)
+
+
+RUNS = """
+thin AS (SELECT * FROM node_paces WHERE k % 61 <> 40),
+q0 AS (SELECT *, k - row_number() OVER (PARTITION BY route_id ORDER BY k) AS run FROM thin),
+q1 AS (SELECT route_id, (min(k) - 1) * 25.0::DOUBLE AS start_m, max(k) * 25.0::DOUBLE AS end_m, sum(CASE WHEN count >= 2 THEN dt_s ELSE last_dt_s END) AS time_s FROM q0 GROUP BY route_id, run),
+runs AS (SELECT * FROM q1 WHERE end_m - start_m >= 300 AND (end_m - start_m) / time_s <= 30)
+"""
+
+
+@query("SELECT route_id, start_m, end_m, round(time_s, 3) AS time_s FROM runs", _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS)
+def route_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the node grid; every 61st node is left out, so that there are several."""
+    nodes = _node_paces(spark, sf_dir)[2].where("k % 61 <> 40")
+    return rounded(route.segments_of_nodes(nodes).select("route_id", "start_m", "end_m", "time_s"), time_s=3)
+
+
+@query(
+    "SELECT route_id, round(total_m, 3) AS length_m, round(coalesce(s.t, 0) + (total_m - coalesce(s.d, 0)) / 5.0::DOUBLE, 3) AS time_s FROM totals LEFT JOIN (SELECT route_id, sum(end_m - start_m) AS d, sum(time_s) AS t FROM runs GROUP BY route_id) s USING (route_id)",
+    _sql.STEPS,
+    VERTICES,
+    GRID,
+    NODE_PACES,
+    RUNS,
+)
+def route_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and time of each route's stitched curve, gaps ridden at 5 m/s."""
+    segs, _, nodes = _node_paces(spark, sf_dir)
+    total = segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m"))
+    curve = route.stitched_curve(route.segments_of_nodes(nodes.where("k % 61 <> 40")), total, 5.0)
+    return rounded(curve.groupBy("route_id").agg(F.max("distance_m").alias("length_m"), F.max("time_s").alias("time_s")), length_m=3, time_s=3)
+
+
+HITS = f"""
+hits AS (SELECT n.*, EXISTS (SELECT 1 FROM (SELECT DISTINCT ci, cj, bin FROM cells WHERE track_id % 3 = 0) c WHERE c.ci = floor(n.lat / (18.0::DOUBLE / 111320.0::DOUBLE))
+         AND c.cj = floor(n.lng / (18.0::DOUBLE / 111320.0::DOUBLE)) AND c.bin = least(7, floor({_sql.pmod('n.heading')} / 45.0))) AND k % 37 < 30 AS hit FROM nodes n),
+cover AS (SELECT route_id, sum(CASE WHEN hit THEN least(25, greatest(0, total_m - distance_m)) ELSE 0 END) / any_value(total_m) AS coverage FROM hits JOIN totals USING (route_id) GROUP BY route_id)
+"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes on a cell of every third ride; some are left out, so that there are gaps."""
+    pts = rides.points(spark, sf_dir)
+    segs = joins.segments(routes(spark))
+    road = road_pace.model(samples.pace_samples(pts.where("track_id % 3 = 0")), rides.tracks_of(pts)).select("ci", "cj", "bin", F.lit(True).alias("known"))
+    keyed = route.grid(segs).select("*", road_pace.geo.cell_lat(F.col("lat")).alias("ci"), road_pace.geo.cell_lng(F.col("lng")).alias("cj"), road_pace.geo.heading_bin(F.col("heading")).alias("bin"))
+    hit = keyed.join(road, ["ci", "cj", "bin"], "left").withColumn("hit", F.coalesce("known", F.lit(False)) & (F.col("k") % 37 < 30))
+    return segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m")), hit.select("route_id", "k", "distance_m", "hit")
+
+
+@query("SELECT route_id, round(coverage, 6) AS coverage FROM cover", _sql.STEPS, VERTICES, GRID, HITS)
+def route_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total, hit = _hits(spark, sf_dir)
+    return rounded(route.coverage(hit, total), coverage=6)
+
+
+@query(
+    "SELECT route_id, CASE WHEN NOT (SELECT coalesce(bool_or(metres >= 400 AND bin > 3), false) FROM grades) AND coverage < 0.1 THEN 'TARGET' ELSE 'HISTORY' END AS comparator FROM cover",
+    _sql.STEPS,
+    VERTICES,
+    GRID,
+    HITS,
+    _sql.GRADED,
+    _sql.FOOT,
+    _sql.GATES,
+    _sql.FOLDS,
+)
+def race_comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = rides.points(spark, sf_dir)
+    usable = grade.model(grade.folds(pts), rides.tracks_of(pts)).agg(F.coalesce(F.bool_or((F.col("metres") >= 400) & (F.col("bin") > 3)), F.lit(False)).alias("usable"))
+    total, hit = _hits(spark, sf_dir)
+    share = route.coverage(hit, total).crossJoin(F.broadcast(usable))  # one row
+    return share.select("route_id", route.comparator(F.col("coverage"), F.col("usable")).alias("comparator"))
+
+
+_MERGED = """
+c0 AS (SELECT route_id, distance_m, k - row_number() OVER (PARTITION BY route_id ORDER BY k) AS run FROM hits WHERE hit),
+c1 AS (SELECT route_id, run, min(distance_m) AS a, max(distance_m) AS z FROM c0 GROUP BY ALL),
+c2 AS (SELECT *, CASE WHEN a - lag(z) OVER w < 80 THEN 0 ELSE 1 END AS fresh FROM c1 WINDOW w AS (PARTITION BY route_id ORDER BY a)),
+c3 AS (SELECT *, sum(fresh) OVER (PARTITION BY route_id ORDER BY a) AS g FROM c2),
+covered AS (SELECT route_id, min(a) AS start_m, max(z) AS end_m FROM c3 GROUP BY route_id, g HAVING max(z) - min(a) >= 300)
+"""
+
+
+@query("SELECT route_id, start_m, end_m FROM covered", _sql.STEPS, VERTICES, GRID, HITS, _MERGED)
+def covered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.covered_runs(_hits(spark, sf_dir)[1])
+
+
+#: Intervals on the routes, from the rides: where each ride's first and last point lie.
+_SPANS = "spans AS (SELECT track_id % 6 AS route_id, track_id, (track_id * 7919 % 3000)::DOUBLE AS start_m, (track_id * 7919 % 3000 + 200 + track_id * 31 % 700)::DOUBLE AS end_m FROM tracks)"
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("track_id") * 7919 % 3000
+    return rides.tracks_of(rides.points(spark, sf_dir)).select((F.col("track_id") % 6).alias("route_id"), "track_id", start.cast("double").alias("start_m"), (start + 200 + F.col("track_id") * 31 % 700).cast("double").alias("end_m"))
+
+
+@query(
+    "SELECT route_id, g::BIGINT AS grp, count(*) AS n, min(start_m) AS start_m, max(end_m) AS end_m FROM (SELECT *, sum(fresh) OVER (PARTITION BY route_id ORDER BY start_m, end_m) AS g FROM ("
+    "SELECT *, CASE WHEN start_m <= max(end_m) OVER (PARTITION BY route_id ORDER BY start_m, end_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans WHERE track_id % 4 = 1)) GROUP BY ALL",
+    _SPANS,
+)
+def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = route.overlap_groups(_spans(spark, sf_dir).where("track_id % 4 = 1"), "route_id", "start_m", "end_m")
+    return got.groupBy("route_id", F.col("group").alias("grp")).agg(F.count("*").alias("n"), F.min("start_m").alias("start_m"), F.max("end_m").alias("end_m"))
+
+
+@query(
+    "SELECT s.route_id, s.start_m, s.end_m, a AS piece_start_m, z AS piece_end_m FROM sec s, LATERAL ("
+    "SELECT a, min(z) AS z FROM (SELECT s.start_m AS a UNION SELECT end_m FROM pri p WHERE p.route_id = s.route_id AND p.end_m > s.start_m AND p.end_m < s.end_m) x,"
+    " (SELECT s.end_m AS z UNION SELECT start_m FROM pri p WHERE p.route_id = s.route_id AND p.start_m > s.start_m AND p.start_m < s.end_m) y WHERE z >= a"
+    " AND NOT EXISTS (SELECT 1 FROM pri p WHERE p.route_id = s.route_id AND p.start_m <= a AND p.end_m > a) GROUP BY a) WHERE z - a >= 200",
+    _SPANS,
+    "pri AS (SELECT * FROM spans WHERE track_id % 11 = 3)",
+    "sec AS (SELECT DISTINCT route_id, start_m, end_m FROM spans WHERE track_id % 5 = 2)",
+)
+def overlay_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _spans(spark, sf_dir)
+    return route.uncovered(spans.where("track_id % 5 = 2").select("route_id", "start_m", "end_m").distinct(), spans.where("track_id % 11 = 3"))

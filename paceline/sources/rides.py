@@ -6,6 +6,9 @@ numbers only, so that any engine gets the same ones.
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the session's checkpoint folder; a temporary one only where none is set."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return df.checkpoint()
+
+
 def points_from_events(events: DataFrame) -> DataFrame:
     """track_id, seq, d_mm, t_ms, x_mm, lat, lng, distance_m, time_s, ele_m."""
     ride = Window.partitionBy("user_id").orderBy("ts", "event_id")
