@@ -164,9 +164,9 @@ def _grades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _GRADE_PARTS = (_sql.STEPS, _sql.GRADED, _sql.FOOT, _sql.GATES, _sql.FOLDS)
 
 
-@query("SELECT bin, round(mean, 6) AS mean, round(min, 6) AS min, round(last, 6) AS last, round(metres, 2) AS metres, count FROM grades", *_GRADE_PARTS)
+@query("SELECT bin, round(mean, 6) AS mean, round(min, 6) AS min, round(last, 6) AS last, round(metres, 3) AS metres, count FROM grades", *_GRADE_PARTS)
 def grade_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_grades(spark, sf_dir)[1], mean=6, min=6, last=6, metres=2)
+    return rounded(_grades(spark, sf_dir)[1], mean=6, min=6, last=6, metres=3)
 
 
 @query(
@@ -179,9 +179,9 @@ def grade_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grade.lookup(grade.graded_steps(pts), model).select("track_id", "seq", "grade_tpm"), grade_tpm=6)
 
 
-@query("SELECT round(coalesce(sum(metres), 0), 2) AS covered_m, coalesce(bool_or(metres >= 400), false) AS usable FROM grades", *_GRADE_PARTS)
+@query("SELECT round(coalesce(sum(metres), 0), 3) AS covered_m, coalesce(bool_or(metres >= 400), false) AS usable FROM grades", *_GRADE_PARTS)
 def grade_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grades(spark, sf_dir)[1].agg(F.round(F.coalesce(F.sum("metres"), F.lit(0.0)), 2).alias("covered_m"), F.coalesce(F.bool_or(F.col("metres") >= 400), F.lit(False)).alias("usable"))
+    return _grades(spark, sf_dir)[1].agg(F.round(F.coalesce(F.sum("metres"), F.lit(0.0)), 3).alias("covered_m"), F.coalesce(F.bool_or(F.col("metres") >= 400), F.lit(False)).alias("usable"))
 
 
 @query("SELECT track_id, n_pairs, round(turn_rate, 6) AS turn_rate, round(footprint_m, 3) AS footprint_m, drift FROM drift", *_GRADE_PARTS[:4])

@@ -22,7 +22,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     A file counts only with two points or more and a time on each; points
     without sane coordinates are left out; a DOCTYPE makes a file invalid.
     """
-    text = spark.read.format("binaryFile").option("pathGlobFilter", "*.gpx").load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("xml"))
+    text = spark.read.format("binaryFile").option("pathGlobFilter", "*.gpx").load(path).select("path", F.decode("content", "UTF-8").alias("xml"))
     safe = text.where(~F.upper("xml").contains("<!DOCTYPE"))
     body = F.regexp_replace("xml", r"(?s)^.*?(<gpx[\s>])", "$1")
     doc = safe.select("path", F.from_xml(body, SCHEMA, {"rowTag": "gpx", "mode": "PERMISSIVE"}).alias("g"))
