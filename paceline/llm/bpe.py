@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import table
+from paceline.llm.common import small, table
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 SHORT = 256
@@ -186,7 +186,7 @@ def encode_documents(docs: DataFrame, file: str = DEFAULT_FILE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
-        for batch in batches:
+        for batch in small(batches):
             ids = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -198,7 +198,7 @@ def decode_documents(encoded: DataFrame, file: str = DEFAULT_FILE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
-        for batch in batches:
+        for batch in small(batches):
             texts = [bpe.decode(x.as_py() or []) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -214,7 +214,7 @@ def digests(docs: DataFrame, file: str = DEFAULT_FILE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in small(batches):
             n, a, b = [], [], []
             for t in batch.column(1):
                 ids = bpe.encode(t.as_py() or "")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import table
+from paceline.llm.common import small, table
 
 #: Bound of the training sample: labelled documents of each class.
 TRAIN_PER_CLASS = 1500
@@ -38,7 +38,7 @@ WINDOWS = (CHUNK - WIDTH) // STRIDE + 1
 PAD = 256
 EPOCHS, BATCH, RATE, DECAY = 14, 256, 0.01, 1e-4
 #: Bytes scored at once in a task.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def fold(doc_id: Column) -> Column:
@@ -179,7 +179,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, score for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
             got = net.scores(texts) if net else [0.5] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
@@ -193,7 +193,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [(t.as_py() or "").encode() for t in batch.column(at)]
             if net:
                 batch = batch.filter(pa.array(np.array(net.scores(texts)) >= least, pa.bool_()))

@@ -9,7 +9,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text worked on at once; a longer text is a block of its own.
-BLOCK = 1 << 22
+BLOCK = 1 << 18
 SEPARATOR = 32
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -33,7 +33,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and inverse powers, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        m = max(n, BLOCK + (1 << 20))
+        m = max(n, 2 * BLOCK)
         both = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(m, base, np.uint64)

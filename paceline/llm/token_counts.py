@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.bpe import DEFAULT_FILE, chunk_text, chunks, load
-from paceline.llm.common import table
+from paceline.llm.common import small, table
 
 LIMIT = 1024
 #: Pre-tokens whose piece numbers a worker remembers before it starts anew.
@@ -72,7 +72,7 @@ def count_tokens(docs: DataFrame, file: str = DEFAULT_FILE, limit: int = LIMIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, chunked, plain = load(file), counts_of(file), counts_of(file, False)
-        for batch in batches:
+        for batch in small(batches):
             sizes, tokens = [], []
             for t in batch.column(1):
                 text, n = t.as_py() or "", 0
