@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import WORD, checkpointed, table
+from paceline.llm.common import WORD, checkpointed, light, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -76,7 +76,7 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
         nearer = F.when(F.col("x.upto") - F.col("x.left") < F.col("x.left") - below, 1).otherwise(0)
         state = checkpointed(over.select("source", (F.col("x.left") - below).alias("left"), (prefix + nearer if last else prefix).alias("prefix"), F.col("x.b").alias("edge")))
         if not last:
-            edge = state.select(F.col("source").alias("e_source"), "edge")
+            edge = light(state.select(F.col("source").alias("e_source"), "edge"))
             rows = rows.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (_bucket(level) == F.col("edge"))).select("doc_id", "source", "size", "h")
     return state.select("source", F.col("prefix").alias("threshold"))
 
@@ -95,6 +95,7 @@ def _mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rule = plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select(
         F.col("source").alias("r_source"), "source_size", "target", "passes", F.coalesce("threshold", F.lit(0)).alias("threshold")
     )
+    rule = light(checkpointed(rule))
     epochs = (F.col("passes") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)).cast("bigint")
     return sized, sized.join(rule, F.col("source").eqNullSafe(F.col("r_source"))).select("doc_id", "size", "source_size", "target", epochs.alias("epochs"), "threshold", "passes", "source")
 
@@ -103,7 +104,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as its source's plan takes it."""
     _, out = _mixed(docs)
     rule = out.groupBy("source").agg(F.first("passes").alias("__passes"), F.first("threshold").alias("__threshold")).withColumnRenamed("source", "__source")
-    rule = checkpointed(rule)
+    rule = light(checkpointed(rule))
     times = (F.col("__passes") + F.when(_hash() < F.col("__threshold"), 1).otherwise(0)).cast("int")
     joined = docs.join(rule, docs["source"].eqNullSafe(F.col("__source")))
     return joined.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
