@@ -95,12 +95,8 @@ def comparator(share: Column, grade_usable: Column) -> Column:
 
 
 def race_pace(kind: Column, verdict: Column, target_ms: Column, road: Column, grade: Column) -> Column:
-    """The tier that answers: target, else road, else gradient, else none."""
-    return F.when(kind == "TARGET", 1 / target_ms).when(verdict, F.coalesce(road, grade))
-
-
-def publication(active: Column, coasting_s: Column, reliable: Column, give_up_s: float = 180.0) -> Column:
-    return F.when(~active | (coasting_s >= give_up_s), "INACTIVE").when(~reliable, "HOLD").otherwise("PUBLISH")
+    """The tier that answers a trusted tick: target, else road, else gradient, else none."""
+    return F.when(verdict, F.when(kind == "TARGET", 1 / target_ms).otherwise(F.coalesce(road, grade)))
 
 
 def stitched_curve(segs: DataFrame, totals: DataFrame, fill_ms: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import formats
+from paceline.operators import rules
 from paceline.plans import _sql
 from paceline.sources import rides
 from paceline.streaming import race
@@ -143,3 +144,84 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = rides.table(spark, sf_dir, "events").withColumn("was", F.lag("event_type").over(w))
     return e.where(~F.col("was").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", "event_type", "ts", "was")
+
+
+@query()
+def recorded_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides as the recorder keeps them; some samples have no position."""
+    pts = rides.points(spark, sf_dir)
+    lost = F.col("seq") % 7 == 4
+    return race.recorded_tracks(pts.select(F.col("track_id").alias("ride_id"), "seq", F.when(~lost, F.col("lat")).alias("lat"), F.when(~lost, F.col("lng")).alias("lng"), "distance_m", "time_s"))
+
+
+_SITUATIONS = "sit AS (SELECT event_id, event_id % 2 = 0 AS a, event_id % 3 = 0 AS b, event_id % 5 = 0 AS c, event_id % 7 = 0 AS d, CASE WHEN event_id % 4 = 0 THEN 'TARGET' ELSE 'HISTORY' END AS kind FROM events)"
+
+
+@query(
+    "SELECT event_id, CASE WHEN kind = 'HISTORY' AND NOT a THEN 'INACTIVE' WHEN b AND c THEN 'HOLD' ELSE 'PUBLISH' END AS publication,"
+    " CASE WHEN NOT a THEN 'VP' WHEN NOT b THEN 'END_RACE_THEN_VP' WHEN NOT c THEN 'POST_STEP' WHEN d THEN 'POST_WAIT_REPUBLISH' ELSE 'POST_REANCHOR_THEN_STEP' END AS action,"
+    " NOT a AND b AS snapshot, b AND d AS refresh_checkpoint FROM sit",
+    _SITUATIONS,
+)
+def race_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, c, d = (F.col("event_id") % k == 0 for k in (2, 3, 5, 7))
+    kind = F.when(F.col("event_id") % 4 == 0, "TARGET").otherwise("HISTORY")
+    duties = rules.inactive_duties(a, b, c, d)
+    return rides.table(spark, sf_dir, "events").select("event_id", rules.publication(kind, a, b, c).alias("publication"), rules.without_route(a, b, c, d).alias("action"), duties["snapshot"].alias("snapshot"), duties["refresh_checkpoint"].alias("refresh_checkpoint"))
+
+
+_SAVED = """
+sv AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN event_id // 3 END AS se, (event_id * 37 % 900)::DOUBLE AS sm, (event_id * 53 % 300)::DOUBLE AS ss, event_id * 7001 % 50000000 AS age,
+       event_id % 5 * event_id // 3 AS epoch, (event_id * 41 % 1000)::DOUBLE AS nm, (event_id * 59 % 300)::DOUBLE AS ns, event_id * 17 % 120000 AS deferred FROM events),
+sx AS (SELECT *, sm > 300 AND nm > 300 AND abs(nm - sm) <= 300 AS carries FROM sv)
+"""
+
+
+@query(
+    "SELECT event_id, CASE WHEN se IS NULL OR age > 21600000 THEN 'FRESH' WHEN se = epoch OR (carries AND ns >= ss - 30) THEN 'ADOPT' WHEN carries AND ns < ss - 30 AND deferred < 60000 THEN 'DEFER' ELSE 'FRESH' END AS decision, nm <= ns * 30 + 300 AS coherent FROM sx",
+    _SAVED,
+)
+def origin_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = lambda x: F.expr(x)
+    decision = rules.origin_decision(
+        e("CASE WHEN event_id % 9 <> 0 THEN event_id div 3 END"), e("CAST(event_id * 37 % 900 AS DOUBLE)"), e("CAST(event_id * 53 % 300 AS DOUBLE)"), e("event_id * 7001 % 50000000"),
+        e("event_id % 5 * event_id div 3"), e("CAST(event_id * 41 % 1000 AS DOUBLE)"), e("CAST(event_id * 59 % 300 AS DOUBLE)"), e("event_id * 17 % 120000"), 21_600_000,
+    )
+    fine = rules.coherent(e("CAST(event_id * 41 % 1000 AS DOUBLE)"), e("CAST(event_id * 59 % 300 AS DOUBLE)"))
+    return rides.table(spark, sf_dir, "events").select("event_id", decision.alias("decision"), fine.alias("coherent"))
+
+
+_PROFILES = "pr AS (SELECT 'p' || c_custkey AS profile_id, c_name AS profile_name, c_custkey % 3 = 0 AS use_global, c_acctbal / 100 AS target_speed_ms, c_custkey % 2 = 0 AS enabled, c_custkey % 5 = 0 AS race_enabled, CASE WHEN c_custkey % 4 = 0 THEN 'BEST' ELSE 'LAST' END AS ghost_pick FROM customer WHERE c_custkey % 7 <> 0)"
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return rides.table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(
+        F.concat(F.lit("p"), k).alias("profile_id"), F.col("c_name").alias("profile_name"), (k % 3 == 0).alias("use_global"), (F.col("c_acctbal") / 100).alias("target_speed_ms"), (k % 2 == 0).alias("enabled"), (k % 5 == 0).alias("race_enabled"), F.when(k % 4 == 0, "BEST").otherwise("LAST").alias("ghost_pick")
+    )
+
+
+@query(
+    "SELECT o_orderkey, pid AS profile_id, CASE WHEN g THEN true ELSE enabled END AS active, round(CASE WHEN g THEN 6.0 WHEN target_speed_ms > 0 AND target_speed_ms <= 30 THEN target_speed_ms ELSE 20 / 3.6::DOUBLE END, 6) AS target_speed_ms, coalesce(profile_name, '') AS profile_name,"
+    " CASE WHEN g THEN true ELSE race_enabled END AS race_enabled, CASE WHEN g THEN 'AVERAGE' ELSE ghost_pick END AS ghost_pick FROM ("
+    "SELECT o_orderkey, 'p' || o_custkey AS pid, pr.*, pr.profile_id IS NULL OR use_global AS g FROM orders LEFT JOIN pr ON pr.profile_id = 'p' || o_custkey)",
+    _PROFILES,
+)
+def profile_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = rides.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("p"), F.col("o_custkey")).alias("profile_id"))
+    got = rules.resolved(asked, _profiles(spark, sf_dir), {"master": True, "target_speed_ms": 6.0, "race_enabled": True, "ghost_pick": "AVERAGE"})
+    return got.withColumn("target_speed_ms", F.round("target_speed_ms", 6))
+
+
+@query(
+    "SELECT profile_id, profile_name FROM (SELECT profile_id, CASE WHEN substr(profile_id, 2)::INT % 10 = 1 THEN 'new ' || profile_id ELSE profile_name END AS profile_name FROM pr WHERE substr(profile_id, 2)::INT % 10 <> 2)"
+    " UNION ALL SELECT 'q' || substr(profile_id, 2), profile_name FROM pr WHERE substr(profile_id, 2)::INT % 10 = 2",
+    _PROFILES,
+)
+def profile_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth profile renamed, every other tenth replaced by a new id of its name."""
+    settings = _profiles(spark, sf_dir)
+    k = F.substring("profile_id", 2, 20).cast("int")
+    renamed = settings.where(k % 10 == 1).select("profile_id", F.concat(F.lit("new "), F.col("profile_id")).alias("profile_name"))
+    replaced = settings.where(k % 10 == 2).select(F.concat(F.lit("q"), k).alias("profile_id"), "profile_name")
+    return rules.learned(settings, renamed.unionByName(replaced)).select("profile_id", "profile_name")

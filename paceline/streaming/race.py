@@ -90,6 +90,21 @@ def odometers(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("ride_id").applyInPandas(run, "ride_id bigint, seq int, distance_m double, quality string, frozen_s double")
 
 
+def recorded_tracks(samples: DataFrame) -> DataFrame:
+    """ride_id, seq, lat, lng, distance_m, time_s, tail_m of each ride's samples."""
+
+    def run(key, pdf):
+        from paceline.streaming.ticks import Recorder, record, recorded
+
+        r = Recorder()
+        for t in pdf.sort_values("seq").itertuples():
+            r = record(r, _none(t.lat), _none(t.lng), float(t.distance_m), float(t.time_s))
+        rows = [(int(key[0]), k, *p, r.tail_m) for k, p in enumerate(recorded(r) or [])]
+        return pd.DataFrame(rows, columns=["ride_id", "seq", "lat", "lng", "distance_m", "time_s", "tail_m"])
+
+    return samples.groupBy("ride_id").applyInPandas(run, "ride_id bigint, seq int, lat double, lng double, distance_m double, time_s double, tail_m double")
+
+
 def lap_folds(laps: DataFrame, route_len_m: float) -> DataFrame:
     """lap_id, k, dt_s of laps (lap_id, route_dist_m, time_s)."""
 

@@ -100,6 +100,25 @@ def test_behind_metres():
     assert behind_metres(10.0, 0.2) == pytest.approx(-50.0) and behind_metres(10.0, None) is None and behind_metres(1.0, 0.0) is None
 
 
+def test_a_target_needs_trust_too():
+    from paceline.streaming.ticks import Race, race_step
+
+    r = Race()
+    assert race_step(r, 0.0, 6.0, 0.0, 0.3, None, target=5.0)[1] == "TGT"
+    assert race_step(r, 10.0, 6.0, 2.0, 0.3, None, target=5.0, fix_fresh=False)[1] == "GP"
+    assert race_step(r, 20.0, 6.0, 4.0, None, 0.2)[1] == "GRADE" and race_step(r, 30.0, 6.0, 6.0, 0.3, 0.2)[1] == "SEG"
+
+
+def test_recorder_keeps_spacing_and_the_end():
+    from paceline.streaming.ticks import Recorder, record, recorded
+
+    r = Recorder()
+    for k, d in enumerate((0.0, 5.0, 19.0, 25.0, 30.0)):
+        record(r, None if k == 0 else 41.0, None if k == 0 else 2.0, d, float(k))
+    assert [p[2] for p in recorded(r)] == [5.0, 25.0, 30.0] and r.tail_m == 25.0
+    assert recorded(record(Recorder(), 1.0, 2.0, 0.0, 0.0)) is None
+
+
 def test_state_survives_json():
     import json
 
