@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +161,38 @@ def kept_of_group(members: DataFrame) -> DataFrame:
     return ranked.select("track_id", "group", ((F.col("size") <= 3) | (F.col("newest") <= 2) | ((F.col("fastest") == 1) & F.col("fine"))).alias("keep"))
 
 
+def same_ride_losers(points: DataFrame, facts: DataFrame, pairs: DataFrame, window_ms: int = 600_000) -> DataFrame:
+    """track_id of device scans that a live recording of the same ride replaces.
+
+    facts: track_id, source, started_ms, length_m; pairs (a, b): twins.  Each
+    recording, in order of id, claims its nearest unclaimed scan in start and
+    length, and replaces it if the scan's fine cells lie in its own widened ones.
+    Claims interact only within a group of twins, so each group is one task's.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    comp = groups(pairs)
+    one = facts.where("source = 'RECORDED'").select(F.col("track_id").alias("a"), F.col("started_ms").alias("a_ms"), F.col("length_m").alias("a_m"))
+    two = facts.where("source = 'FITFILES_SCAN'").select(F.col("track_id").alias("b"), F.col("started_ms").alias("b_ms"), F.col("length_m").alias("b_m"))
+    apart, longer = F.abs(F.col("a_ms") - F.col("b_ms")), F.greatest("a_m", "b_m")
+    match = both.join(one, "a").join(two, "b").where((apart <= window_ms) & (longer > 0)).where(F.abs(F.col("a_m") - F.col("b_m")) <= F.greatest(F.lit(100.0), longer * 0.01))
+    fine = path_cells(points, FINE_PRECISION)
+    n = fine.groupBy(F.col("track_id").alias("b")).agg(F.count("*").alias("n"))
+    inside = fine.select(F.col("track_id").alias("b"), "row", "col").join(match.select("a", "b"), "b").join(dilated(fine).withColumnRenamed("track_id", "a"), ["a", "row", "col"], "left_semi")
+    held = inside.groupBy("a", "b").agg(F.count("*").alias("c"))
+    asked = match.withColumn("apart", apart).join(held, ["a", "b"], "left").join(n, "b").withColumn("covered", F.coalesce("c", F.lit(0)) == F.col("n"))
+    asked = asked.join(comp.select(F.col("track_id").alias("a"), "group"), "a").select("group", "a", "b", "apart", "covered")
+
+    def claim(pdf):
+        taken: set[int] = set()
+        for _, mine in pdf.sort_values(["a", "apart", "b"]).groupby("a", sort=True):
+            free = mine[~mine["b"].isin(taken)]
+            if len(free) and free.iloc[0]["covered"]:
+                taken.add(int(free.iloc[0]["b"]))
+        return pd.DataFrame({"track_id": sorted(taken)}, dtype="int64")
+
+    return asked.groupBy("group").applyInPandas(claim, "track_id bigint")
+
+
 def overlap_pairs(rides: DataFrame, share: float = 0.5, day_ms: int = 86_400_000) -> DataFrame:
     """Pairs a < b whose intervals overlap by more than half of the shorter.
 

@@ -229,6 +229,16 @@ def test_twins_and_tidy(spark):
     assert kept == {1, 4, 5}
 
 
+def test_recording_replaces_its_device_scan(spark):
+    pts = rides(spark, *[east(k, 5.0, n=41, step_m=125.0) for k in (1, 2, 11, 12, 13)])
+    facts = spark.createDataFrame(
+        [(1, "RECORDED", 0, 5000.0), (2, "RECORDED", 90_000, 5000.0), (11, "FITFILES_SCAN", 20_000, 5004.0), (12, "FITFILES_SCAN", 30_000, 5004.0), (13, "FITFILES_SCAN", 900_000, 5000.0)],
+        "track_id long, source string, started_ms long, length_m double",
+    )
+    got = library.same_ride_losers(pts, facts, library.twins(pts))
+    assert sorted(r["track_id"] for r in got.collect()) == [11, 12]
+
+
 def test_no_pair_of_all_points_is_planned(spark):
     pts = rides(spark, east(1, 5.0), east(2, 6.0))
     plans = [
