@@ -9,12 +9,14 @@ in one component.  The steps:
     that link share a hash of their prefixes.  Hashes frequent in a sample are
     last in that order, which keeps passages of many documents out of prefixes.
     The sample changes the order only: any order finds every link.
-3.  Prefix hashes of one set only are dropped.  Each node is compared with the
-    leader (smallest node) it shares most prefix hashes with, and the links so
-    found are contracted to components.
+3.  Prefix hashes of one set only are dropped.  Each node is compared with one
+    leader (the smallest node of a hash), the one it shares most hashes with,
+    and the links so found are contracted to components.
 4.  Tiles, by prefix hash and band of sizes, then give the remaining pairs:
-    nodes of different components, of sizes within a ratio of 0.8.  A group of
-    near copies is one component by then and has no pairs left.
+    nodes of different components, of sizes within a ratio of 0.8.  Of a group
+    of near copies only the few that no leader met have pairs left.  A prefix
+    hash with many pairs is cut into tiles of bounded blocks, compared by
+    hashed bitmaps: the bits two share bound the intersection from above.
 5.  A pair is decided in the same way in both steps: the bits that two hashed
     bitmaps share bound the intersection from above; where that bound suffices,
     the sorted arrays are intersected.
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import checkpointed, table
+from paceline.llm.common import checkpointed, light, small, table
 from paceline.llm.components import components
 from paceline.llm.shingles import set_id, shingle_hashes
 
@@ -45,6 +47,11 @@ SAMPLE_DOCS = 4000
 FREQUENT = 4
 #: Ratio of sizes within a band; 100 / PERCENT, so that links lie in one band or two adjacent.
 BAND = 100 / PERCENT
+#: Pairs of one prefix hash that are joined as rows; above, tiles of so many rows a side.
+ROW_PAIRS = 100_000
+TILE_ROWS = 1024
+#: Bits of the bitmap that spares the second scan most documents (2 MB).
+BITMAP_BITS = 1 << 24
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -60,7 +67,7 @@ def frequent_hashes(docs: DataFrame) -> np.ndarray:
     n = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = _sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], ["h"])
 
@@ -73,7 +80,7 @@ def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, node (the set's name, null when empty) and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, nodes, prefixes = [], [], []
             for s in _sets(batch.column(1)):
                 n = len(s)
@@ -93,7 +100,7 @@ def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(bits, bool)
     out[(s >> np.uint64(40)) % np.uint64(bits)] = True
-    return np.packbits(out)
+    return np.packbits(out)  # a place is a hash modulo bits
 
 
 def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -128,16 +135,38 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, hashes for the nodes (node, doc_id of one document that has the set)."""
+    """node, hashes for the nodes (node, doc_id of one document that has the set).
+
+    A bitmap of hashed doc_ids, of one size whatever the corpus, lets the scan
+    pass over most other documents; a join drops those it let through.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
+    held = nodes.select(place("doc_id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    size = 4096  # bytes of Spark's bitmaps; buckets count from 1
+    bits = np.zeros((BITMAP_BITS // (8 * size) + 2, size), np.uint8)
+    for row in held.collect():  # BITMAP_BITS at most
+        bits[row["k"]] = np.frombuffer(row["bits"], np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
+            k, at = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            batch = batch.filter(pa.array((bits[k, at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             sets = _sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
-    texts = _texts(docs)
-    wanted = texts.join(nodes.select(F.col("doc_id").alias("__id")).distinct(), texts["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    return wanted.mapInArrow(run, "node bigint, hashes binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    placed = _texts(docs).select("*", F.bitmap_bucket_number(place("doc_id")).alias("k"), F.bitmap_bit_position(place("doc_id")).alias("at"))
+    return placed.mapInArrow(run, "node bigint, hashes binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def may_link(count: Column, n: Column, m: Column) -> Column:
+    """Whether sets of sizes n and m with ``count`` common prefix hashes may link.
+
+    All common hashes up to the earlier end of the two prefixes are among those
+    counted, so the intersection is at most their number and the rest of a set.
+    """
+    rest = lambda x: F.ceil(x * PERCENT / 100) - 1
+    need = F.ceil(F.lit(PERCENT) * (n + m) / (100 + PERCENT))
+    return (count + F.greatest(rest(n), rest(m)) >= need) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
 def _band(n: Column) -> Column:
@@ -149,24 +178,106 @@ def node_links(docs: DataFrame, feats: DataFrame) -> DataFrame:
     nodes = feats.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     entries = feats.where("node IS NOT NULL").select("node", F.explode("prefix").alias("key"))
     leaders = entries.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("key", "leader")
-    shared = checkpointed(entries.join(leaders, "key").select("key", "node", "leader"))
-    star = shared.where("node <> leader").groupBy("node", "leader").count().groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
-    wanted = checkpointed(shared.select("node").distinct().join(nodes, "node"))
-    sets = checkpointed(node_sets(docs, wanted))
-    first = checkpointed(verified(star.select(F.col("node").alias("a"), F.col("leader").alias("b")), sets))
-    comp = components(first)
-    placed = wanted.join(comp, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
-    members = shared.select("key", "node").distinct().join(placed, "node")
+    shared = checkpointed(entries.join(leaders, "key").select("key", "node", "leader").distinct())  # exact copies repeat entries
+    size = nodes.select("node", "n")
+    star = shared.where("node <> leader").groupBy("node", "leader").count().join(size, "node").join(size.toDF("leader", "m"), "leader")
+    star = star.where(may_link(F.col("count"), F.col("n"), F.col("m"))).groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    found = _decided(docs, nodes, star.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    placed = nodes.join(components(found), "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
+    members = shared.select("key", "node").join(placed, "node")
+    rest = checkpointed(members.join(_split_keys(members), "key").select("key", "node", "n", "comp", "major", "blocks", _band(F.col("n")).alias("band")))
+    tiled = rest.where("blocks > 0")
+    more = light(checkpointed(tiled.groupBy("node").agg(F.count("*").alias("more"))))
+    rows = rest.where("blocks = 0").join(more, "node", "left")
+    pairs = _row_pairs(rows).unionByName(_tile_pairs(docs, nodes, tiled)).distinct()
+    return found.unionByName(_decided(docs, nodes, pairs))
+
+
+def _split_keys(members: DataFrame) -> DataFrame:
+    """key, major, blocks for keys of several components: the component with most
+    nodes, and for keys of many pairs the blocks of a tile's side (else 0)."""
     held = members.groupBy("key", "comp").count()
-    split = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max_by("comp", F.struct("count", "comp")).alias("major")).where("x <> y").select("key", "major")
-    rest = checkpointed(members.join(split, "key").select("key", "node", "n", "comp", "major", _band(F.col("n")).alias("band")))
-    right = rest.select("key", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("node").alias("r_node"), F.col("n").alias("r_n"), F.col("comp").alias("r_comp"), "major")
-    left = rest.where("comp <> major").select("key", "band", "node", "n", "comp")
-    tile = left.join(right, ["key", "band"]).where(
-        "comp <> r_comp AND (node < r_node OR r_comp = major)" f" AND 100 * least(n, r_n) >= {PERCENT} * greatest(n, r_n)"
-    )
-    pairs = tile.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()
-    return first.unionByName(verified(pairs, sets))
+    split = held.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("rows"), F.max("count").alias("most")).where("comps > 1")
+    many = F.col("rows") * (F.col("rows") - F.col("most")) > ROW_PAIRS
+    return split.select("key", "major", F.when(many, F.ceil(F.col("rows") / TILE_ROWS)).otherwise(0).cast("int").alias("blocks"))
+
+
+def _row_pairs(rest: DataFrame) -> DataFrame:
+    """Candidates (a, b) of the keys with few pairs, as rows of a join by key and band.
+
+    more: in how many tiled keys a node is besides, which may be common as well.
+    """
+    bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
+    right = rest.select("key", bands, F.col("node").alias("r_node"), F.col("n").alias("r_n"), F.col("comp").alias("r_comp"), "major", F.col("more").alias("r_more"))
+    left = rest.where("comp <> major").select("key", "band", "node", "n", "comp", "more")
+    both = left.join(right, ["key", "band"]).where("comp <> r_comp AND (node < r_node OR r_comp = major)")
+    more = F.least(F.coalesce("more", F.lit(0)), F.coalesce("r_more", F.lit(0)))
+    met = both.groupBy(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).agg((F.count("*") + F.first(more)).alias("count"), F.first("n").alias("n"), F.first("r_n").alias("m"))
+    return met.where(may_link(F.col("count"), F.col("n"), F.col("m"))).select("a", "b")
+
+
+def _tile_pairs(docs: DataFrame, nodes: DataFrame, rest: DataFrame) -> DataFrame:
+    """Candidates (a, b) of the keys with many pairs, from tiles of bitmaps.
+
+    A tile is a key, a band of sizes and a block of each side, TILE_ROWS rows or
+    so either way; only pairs whose bitmaps leave the similarity possible come out.
+    """
+    wanted = checkpointed(rest.select("node").distinct().join(nodes, "node").select("node", "doc_id"))
+    marked = rest.join(_bitmaps(node_sets(docs, wanted)), "node")
+    block = lambda c, k: F.pmod(F.xxhash64(c, F.lit(k)), "blocks").cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = marked.where("comp <> major").select("key", "band", block("node", 1).alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "node", "n", "comp", "major", "bits")
+    bands = left.select("key", "band").distinct()
+    right = marked.select("key", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.explode(every).alias("i"), block("node", 2).alias("j"), F.lit(1).alias("side"), "node", "n", "comp", "major", "bits")
+
+    def tile(batches):
+        side = batches.column("side").to_numpy()
+        node, n, comp, major = (batches.column(c).to_numpy() for c in ("node", "n", "comp", "major"))
+        raw = batches.column("bits").to_pylist()
+        size = min(map(len, raw))
+        bits = np.stack([_folded(np.frombuffer(x, np.uint64), size // 8) for x in raw])
+        lost = n - np.array([int(np.bitwise_count(np.frombuffer(x, np.uint64)).sum()) for x in raw])
+        lost = np.maximum(lost, n - np.bitwise_count(bits).sum(axis=1))
+        a, b = [], []
+        r = np.flatnonzero(side == 1)
+        for k in np.flatnonzero(side == 0):
+            fine = (comp[r] != comp[k]) & ((node[r] > node[k]) | (comp[r] == major[k])) & (100 * np.minimum(n[r], n[k]) >= PERCENT * np.maximum(n[r], n[k]))
+            c = r[fine]
+            need = -(-PERCENT * (n[c] + n[k]) // (100 + PERCENT))
+            most = np.bitwise_count(bits[c] & bits[k]).sum(axis=1) + np.minimum(lost[c], lost[k])
+            c = c[most >= need]
+            a.append(np.minimum(node[c], node[k]))
+            b.append(np.maximum(node[c], node[k]))
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    return left.unionByName(right.join(bands, ["key", "band"])).groupBy("key", "band", "i", "j").applyInArrow(tile, "a bigint, b bigint")
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """node, bits: a bitmap of each set, four to eight bits a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(s, 1 << max(6, (4 * len(s)).bit_length())).tobytes() for s in sets_], pa.binary())], ["node", "bits"])
+
+    return sets.mapInArrow(run, "node bigint, bits binary")
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The same set's bitmap of fewer bits: places are hashes modulo a power of two."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def _decided(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the candidate pairs (a, b) that link."""
+    pairs = checkpointed(pairs)
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = node_sets(docs, checkpointed(ends.join(nodes, "node").select("node", "doc_id")))
+    return checkpointed(verified(pairs, sets))
 
 
 def similar(docs: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def test_mix_repeats_rows_as_planned(docs_of):
 
 def test_jaccard_tiles_equal_rows(spark, monkeypatch):
     want = None
-    for rows, tile in ((2000, 1024), (0, 16), (20, 8)):
+    for rows, tile in ((100_000, 1024), (0, 16), (20, 8)):
         monkeypatch.setattr(jaccard_join, "ROW_PAIRS", rows)
         monkeypatch.setattr(jaccard_join, "TILE_ROWS", tile)
         got = sorted(map(tuple, jaccard_join.similar(spark.read.parquet(f"{SF}/documents.parquet")).collect()))
