@@ -42,9 +42,11 @@ from paceline.llm.components import components
 from paceline.llm.shingles import set_id, shingle_hashes
 
 PERCENT = 80
-#: Documents in the sample that orders hashes, about; and how many of them make a hash frequent.
-SAMPLE_DOCS = 4000
+#: One document in so many is in the sample that orders hashes, and so many of the sample make a hash frequent.
+SAMPLE_RATE = 12
 FREQUENT = 4
+#: Bits of the bitmap of frequent hashes (8 MB, whatever the corpus); places that coincide only change the order.
+FREQUENT_BITS = 1 << 26
 #: Ratio of sizes within a band; 100 / PERCENT, so that links lie in one band or two adjacent.
 BAND = 100 / PERCENT
 #: Pairs of one prefix hash that are joined as rows; above, tiles of so many rows a side.
@@ -52,6 +54,8 @@ ROW_PAIRS = 100_000
 TILE_ROWS = 1024
 #: Bits of the bitmap that spares the second scan most documents (2 MB).
 BITMAP_BITS = 1 << 24
+#: Bytes of one of Spark's bitmaps.
+BUCKET_BYTES = 4096
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -62,18 +66,35 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(h) for h in shingle_hashes([(t.as_py() or "").encode() for t in column])]
 
 
+def _bitmap_of(places: DataFrame, bits: int) -> np.ndarray:
+    """The bytes of a bitmap of so many bits, with the places (column at) set."""
+    one = F.col("at") + 1  # Spark's buckets count from 1, so do their values
+    held = places.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
+    out = np.zeros((bits // (8 * BUCKET_BYTES), BUCKET_BYTES), np.uint8)
+    for row in held.collect():  # these bits at most
+        out[row["k"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def _set_at(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def frequent_hashes(docs: DataFrame) -> np.ndarray:
-    """Hashes in FREQUENT or more of about SAMPLE_DOCS documents (bounded by the sample)."""
-    n = docs.count()
+    """A bitmap of the hashes in FREQUENT or more documents of the sample.
+
+    The sample is a fixed share of the corpus, so that a passage counts as
+    frequent from the same number of documents on, however large the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             sets = _sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], ["h"])
 
-    chosen = _texts(docs).where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(max(1, n // SAMPLE_DOCS))) == 0)
-    hot = chosen.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toArrow()
-    return np.sort(hot.column("h").to_numpy().view(np.uint64))
+    chosen = _texts(docs).where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(SAMPLE_RATE)) == 0)
+    hot = chosen.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= FREQUENT)
+    return _bitmap_of(hot.select(F.pmod("h", F.lit(FREQUENT_BITS)).alias("at")), FREQUENT_BITS)
 
 
 def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -86,9 +107,8 @@ def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 n = len(s)
                 sizes.append(n)
                 nodes.append(set_id(s) if n else None)
-                if len(hot):
-                    common = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                    s = np.concatenate([s[~common], s[common]])
+                common = _set_at(hot, (s % np.uint64(FREQUENT_BITS)).view(np.int64))
+                s = np.concatenate([s[~common], s[common]])
                 prefixes.append(s[: n - (n * PERCENT + 99) // 100 + 1 if n else 0].view(np.int64))
             at = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
@@ -140,21 +160,16 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     A bitmap of hashed doc_ids, of one size whatever the corpus, lets the scan
     pass over most other documents; a join drops those it let through.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
-    held = nodes.select(place("doc_id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    size = 4096  # bytes of Spark's bitmaps; buckets count from 1
-    bits = np.zeros((BITMAP_BITS // (8 * size) + 2, size), np.uint8)
-    for row in held.collect():  # BITMAP_BITS at most
-        bits[row["k"]] = np.frombuffer(row["bits"], np.uint8)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("at")
+    bits = _bitmap_of(nodes.select(place), BITMAP_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            k, at = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            batch = batch.filter(pa.array((bits[k, at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            batch = batch.filter(pa.array(_set_at(bits, batch.column(2).to_numpy())))
             sets = _sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
-    placed = _texts(docs).select("*", F.bitmap_bucket_number(place("doc_id")).alias("k"), F.bitmap_bit_position(place("doc_id")).alias("at"))
+    placed = _texts(docs).select("*", place)
     return placed.mapInArrow(run, "node bigint, hashes binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
