@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import checkpointed, light, small, table
+from paceline.llm.common import checkpointed, small, table
 from paceline.llm.components import components
 from paceline.llm.shingles import set_id, shingle_hashes
 
@@ -201,10 +201,7 @@ def node_links(docs: DataFrame, feats: DataFrame) -> DataFrame:
     placed = nodes.join(components(found), "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
     members = shared.select("key", "node").join(placed, "node")
     rest = checkpointed(members.join(_split_keys(members), "key").select("key", "node", "n", "comp", "major", "blocks", _band(F.col("n")).alias("band")))
-    tiled = rest.where("blocks > 0")
-    more = light(checkpointed(tiled.groupBy("node").agg(F.count("*").alias("more"))))
-    rows = rest.where("blocks = 0").join(more, "node", "left")
-    pairs = _row_pairs(rows).unionByName(_tile_pairs(docs, nodes, tiled)).distinct()
+    pairs = _row_pairs(rest.where("blocks = 0")).unionByName(_tile_pairs(docs, nodes, rest.where("blocks > 0"))).distinct()
     return found.unionByName(_decided(docs, nodes, pairs))
 
 
@@ -220,14 +217,14 @@ def _split_keys(members: DataFrame) -> DataFrame:
 def _row_pairs(rest: DataFrame) -> DataFrame:
     """Candidates (a, b) of the keys with few pairs, as rows of a join by key and band.
 
-    more: in how many tiled keys a node is besides, which may be common as well.
+    A pair that shares a tiled key too is compared in its tile, whatever comes
+    out here; for any other pair the keys counted are all that it shares.
     """
     bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
-    right = rest.select("key", bands, F.col("node").alias("r_node"), F.col("n").alias("r_n"), F.col("comp").alias("r_comp"), "major", F.col("more").alias("r_more"))
-    left = rest.where("comp <> major").select("key", "band", "node", "n", "comp", "more")
+    right = rest.select("key", bands, F.col("node").alias("r_node"), F.col("n").alias("r_n"), F.col("comp").alias("r_comp"), "major")
+    left = rest.where("comp <> major").select("key", "band", "node", "n", "comp")
     both = left.join(right, ["key", "band"]).where("comp <> r_comp AND (node < r_node OR r_comp = major)")
-    more = F.least(F.coalesce("more", F.lit(0)), F.coalesce("r_more", F.lit(0)))
-    met = both.groupBy(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).agg((F.count("*") + F.first(more)).alias("count"), F.first("n").alias("n"), F.first("r_n").alias("m"))
+    met = both.groupBy(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("r_n").alias("m"))
     return met.where(may_link(F.col("count"), F.col("n"), F.col("m"))).select("a", "b")
 
 
