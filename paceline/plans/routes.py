@@ -32,6 +32,8 @@ f0 AS (SELECT p.id, p.heading, p.around_m, s.*, greatest(1.0::DOUBLE, 111320.0::
 f1 AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({_PX.replace('p.', '')} * {_BX} + {_PY.replace('p.', '')} * {_BY}) / ({_BX} ** 2 + {_BY} ** 2))) AS t FROM f0),
 feet AS (SELECT *, sqrt(({_PX.replace('p.', '')} - t * {_BX}) ** 2 + ({_PY.replace('p.', '')} - t * {_BY}) ** 2) AS perp_m, lo_m + t * long_m AS along_m FROM f1)
 """
+#: The same for every step of every ride; FEET takes each third one.
+FEET_ALL = FEET.replace(" WHERE seq % 3 = 0", "")
 _BEST = "SELECT id, round(perp_m, 3) AS perp_m, round(along_m, 2) AS along_m, i FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY perp_m, i) AS rn FROM feet WHERE {}) WHERE rn = 1"
 
 
@@ -50,8 +52,8 @@ def routes(spark: SparkSession) -> DataFrame:
     return base.select(F.col("r").alias("route_id"), "i", (F.expr(_LAT) / 111_320.0).alias("lat"), (F.expr(_X) / 111_320.0).alias("lng"))
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = samples.deltas(rides.points(spark, sf_dir)).where("seq % 3 = 0")
+def _asked(spark: SparkSession, sf_dir: str, which: str = "seq % 3 = 0") -> DataFrame:
+    steps = samples.deltas(rides.points(spark, sf_dir)).where(which)
     return steps.select(F.concat_ws(":", "track_id", "seq").alias("id"), (F.col("track_id") % 6).alias("route_id"), "lat", "lng", F.col("distance_m").alias("around_m"), "heading")
 
 
@@ -83,24 +85,62 @@ def path_sample_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BEST.format("true"), _sql.STEPS, VERTICES, FEET)
 def project_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = joins.project_nearest(_plain(_asked(spark, sf_dir)), joins.segments(routes(spark)))
+    return _nearest(spark, _asked(spark, sf_dir))
+
+
+@query(_BEST.format("true"), _sql.STEPS, VERTICES, FEET_ALL)
+def project_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, _asked(spark, sf_dir, "true"))
+
+
+def _nearest(spark: SparkSession, asked: DataFrame) -> DataFrame:
+    got = joins.project_nearest(_plain(asked), joins.segments(routes(spark)))
     return rounded(got.select("id", "perp_m", "along_m", "i"), perp_m=3, along_m=2)
 
 
 @query(_BEST.format("perp_m < 35"), _sql.STEPS, VERTICES, FEET)
 def project_near_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(joins.project_near_cells(_plain(_asked(spark, sf_dir)), joins.segments(routes(spark)), 35.0), perp_m=3, along_m=2)
+    return _near_cells(spark, _asked(spark, sf_dir))
+
+
+@query(_BEST.format("perp_m < 35"), _sql.STEPS, VERTICES, FEET_ALL)
+def project_near_cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_cells(spark, _asked(spark, sf_dir, "true"))
 
 
-@query(_BEST.format("hi_m >= around_m - 120 AND lo_m <= around_m + 300"), _sql.STEPS, VERTICES, FEET)
+def _near_cells(spark: SparkSession, asked: DataFrame) -> DataFrame:
+    return rounded(joins.project_near_cells(_plain(asked), joins.segments(routes(spark)), 35.0), perp_m=3, along_m=2)
+
+
+_IN_WINDOW = "hi_m >= around_m - 120 AND lo_m <= around_m + 300"
+
+
+@query(_BEST.format(_IN_WINDOW), _sql.STEPS, VERTICES, FEET)
 def project_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _asked(spark, sf_dir).drop("heading")
-    return rounded(joins.project_window(asked, joins.segments(routes(spark)), 120, 300), perp_m=3, along_m=2)
+    return _window(spark, _asked(spark, sf_dir))
+
+
+@query(_BEST.format(_IN_WINDOW), _sql.STEPS, VERTICES, FEET_ALL)
+def project_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _window(spark, _asked(spark, sf_dir, "true"))
 
 
-@query(_BEST.format(f"hi_m >= around_m - 120 AND lo_m <= around_m + 300 AND {_sql.turn('seg_heading', 'heading')} <= 45 AND perp_m <= 40"), _sql.STEPS, VERTICES, FEET)
+def _window(spark: SparkSession, asked: DataFrame) -> DataFrame:
+    return rounded(joins.project_window(asked.drop("heading"), joins.segments(routes(spark)), 120, 300), perp_m=3, along_m=2)
+
+
+@query(_BEST.format(f"{_IN_WINDOW} AND {_sql.turn('seg_heading', 'heading')} <= 45 AND perp_m <= 40"), _sql.STEPS, VERTICES, FEET)
 def project_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(joins.project_window(_asked(spark, sf_dir), joins.segments(routes(spark)), 120, 300, 40, 45), perp_m=3, along_m=2)
+    return _heading(spark, _asked(spark, sf_dir))
+
+
+@query(_BEST.format(f"{_IN_WINDOW} AND {_sql.turn('seg_heading', 'heading')} <= 45 AND perp_m <= 40"), _sql.STEPS, VERTICES, FEET_ALL)
+def project_heading_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _heading(spark, _asked(spark, sf_dir, "true"))
+
+
+def _heading(spark: SparkSession, asked: DataFrame) -> DataFrame:
+    return rounded(joins.project_window(asked, joins.segments(routes(spark)), 120, 300, 40, 45), perp_m=3, along_m=2)
 
 
 _CLUSTER = f"""
@@ -110,9 +150,21 @@ clusters AS (SELECT id, arg_min(perp_m, (perp_m, i)) AS perp_m, arg_min(along_m,
 """
 
 
-@query("SELECT id, round(perp_m, 3) AS perp_m, round(along_m, 2) AS along_m, i FROM clusters WHERE wide + (wrap > 75)::INT < 2 AND total_m - greatest(widest, wrap) <= 200", _sql.STEPS, VERTICES, FEET, _CLUSTER)
+_ONE_PLACE = "SELECT id, round(perp_m, 3) AS perp_m, round(along_m, 2) AS along_m, i FROM clusters WHERE wide + (wrap > 75)::INT < 2 AND total_m - greatest(widest, wrap) <= 200"
+
+
+@query(_ONE_PLACE, _sql.STEPS, VERTICES, FEET, _CLUSTER)
 def project_unambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = joins.project_unambiguous(_asked(spark, sf_dir).drop("around_m"), joins.segments(routes(spark)), 40, 45, 75, 200)
+    return _unambiguous(spark, _asked(spark, sf_dir))
+
+
+@query(_ONE_PLACE, _sql.STEPS, VERTICES, FEET_ALL, _CLUSTER)
+def project_unambiguous_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unambiguous(spark, _asked(spark, sf_dir, "true"))
+
+
+def _unambiguous(spark: SparkSession, asked: DataFrame) -> DataFrame:
+    got = joins.project_unambiguous(asked.drop("around_m"), joins.segments(routes(spark)), 40, 45, 75, 200)
     return rounded(got, perp_m=3, along_m=2)
 
 
