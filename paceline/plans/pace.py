@@ -206,22 +206,31 @@ tiers AS (SELECT l.track_id, l.seq, l.dd_m, l.dt_s, l.hist, CASE WHEN metres >=
 """
 
 
-@query(
+_TIERED = (
     "SELECT track_id, round(sum(CASE WHEN dd_m > 0 THEN coalesce(hist * dd_m, grade_tpm * dd_m, dt_s) ELSE 0 END) - sum(dt_s), 3) AS lead_s,"
     " count(*) FILTER (hist IS NOT NULL) AS n_road, count(*) FILTER (hist IS NULL AND grade_tpm IS NOT NULL) AS n_grade, count(*) FILTER (hist IS NULL AND grade_tpm IS NULL) AS n_own"
-    " FROM tiers GROUP BY track_id",
-    *_GRADE_PARTS,
-    _sql.ROAD,
-    _PLACED.replace("rp AS (SELECT *,", "rp AS (SELECT *,").replace("FROM road)", "FROM road WHERE cj % 3 <> 0)"),
-    _TIERS,
+    " FROM tiers GROUP BY track_id"
 )
+
+
+@query(_TIERED, *_GRADE_PARTS, _sql.ROAD, _PLACED.replace("rp AS (SELECT *,", "rp AS (SELECT *,").replace("FROM road)", "FROM road WHERE cj % 3 <> 0)"), _TIERS)
 def ride_gap_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lead by tiers: road, else gradient, else the rider's own pace.
 
     A third of the road's cells is left out, so that all tiers answer.
     """
+    return _tiered(spark, sf_dir, "cj % 3 <> 0")
+
+
+@query(_TIERED, *_GRADE_PARTS, _sql.ROAD, _PLACED, _TIERS)
+def ride_gap_tiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lead by tiers over the whole road."""
+    return _tiered(spark, sf_dir, "true")
+
+
+def _tiered(spark: SparkSession, sf_dir: str, cells: str) -> DataFrame:
     pts, tracks, road = _road(spark, sf_dir)
-    got = road_pace.lookup(_places(pts), road.where("cj % 3 <> 0"))
+    got = road_pace.lookup(_places(pts), road.where(cells))
     model = grade.model(grade.folds(pts), tracks)
     sloped = grade.lookup(grade.graded_steps(pts), model).select("track_id", "seq", "grade_tpm")
     tiers = got.select("track_id", "seq", "dd_m", "dt_s", "hist").join(sloped, ["track_id", "seq"], "left")

@@ -241,28 +241,49 @@ q0 AS (SELECT *, k - row_number() OVER (PARTITION BY route_id ORDER BY k) AS run
 q1 AS (SELECT route_id, (min(k) - 1) * 25.0::DOUBLE AS start_m, max(k) * 25.0::DOUBLE AS end_m, sum(CASE WHEN count >= 2 THEN dt_s ELSE last_dt_s END) AS time_s FROM q0 GROUP BY route_id, run),
 runs AS (SELECT * FROM q1 WHERE end_m - start_m >= 300 AND (end_m - start_m) / time_s <= 30)
 """
+#: The same over every node.
+RUNS_ALL = RUNS.replace(" WHERE k % 61 <> 40", "")
 
 
-@query("SELECT route_id, start_m, end_m, round(time_s, 3) AS time_s FROM runs", _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS)
+_RUN_ROWS = "SELECT route_id, start_m, end_m, round(time_s, 3) AS time_s FROM runs"
+
+
+@query(_RUN_ROWS, _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS)
 def route_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the node grid; every 61st node is left out, so that there are several."""
-    nodes = _node_paces(spark, sf_dir)[2].where("k % 61 <> 40")
+    return _segments(_node_paces(spark, sf_dir)[2].where("k % 61 <> 40"))
+
+
+@query(_RUN_ROWS, _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS_ALL)
+def route_segments_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(_node_paces(spark, sf_dir)[2])
+
+
+def _segments(nodes: DataFrame) -> DataFrame:
     return rounded(route.segments_of_nodes(nodes).select("route_id", "start_m", "end_m", "time_s"), time_s=3)
 
 
-@query(
-    "SELECT route_id, round(total_m, 3) AS length_m, round(coalesce(s.t, 0) + (total_m - coalesce(s.d, 0)) / 5.0::DOUBLE, 3) AS time_s FROM totals LEFT JOIN (SELECT route_id, sum(end_m - start_m) AS d, sum(time_s) AS t FROM runs GROUP BY route_id) s USING (route_id)",
-    _sql.STEPS,
-    VERTICES,
-    GRID,
-    NODE_PACES,
-    RUNS,
+_CURVE_ENDS = (
+    "SELECT route_id, round(total_m, 3) AS length_m, round(coalesce(s.t, 0) + (total_m - coalesce(s.d, 0)) / 5.0::DOUBLE, 3) AS time_s FROM totals LEFT JOIN (SELECT route_id, sum(end_m - start_m) AS d, sum(time_s) AS t FROM runs GROUP BY route_id) s USING (route_id)"
 )
+
+
+@query(_CURVE_ENDS, _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS)
 def route_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and time of each route's stitched curve, gaps ridden at 5 m/s."""
     segs, _, nodes = _node_paces(spark, sf_dir)
+    return _curve_ends(segs, nodes.where("k % 61 <> 40"))
+
+
+@query(_CURVE_ENDS, _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS_ALL)
+def route_curve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs, _, nodes = _node_paces(spark, sf_dir)
+    return _curve_ends(segs, nodes)
+
+
+def _curve_ends(segs: DataFrame, nodes: DataFrame) -> DataFrame:
     total = segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m"))
-    curve = route.stitched_curve(route.segments_of_nodes(nodes.where("k % 61 <> 40")), total, 5.0)
+    curve = route.stitched_curve(route.segments_of_nodes(nodes), total, 5.0)
     return rounded(curve.groupBy("route_id").agg(F.max("distance_m").alias("length_m"), F.max("time_s").alias("time_s")), length_m=3, time_s=3)
 
 
@@ -271,39 +292,54 @@ hits AS (SELECT n.*, EXISTS (SELECT 1 FROM (SELECT DISTINCT ci, cj, bin FROM cel
          AND c.cj = floor(n.lng / (18.0::DOUBLE / 111320.0::DOUBLE)) AND c.bin = least(7, floor({_sql.pmod('n.heading')} / 45.0))) AND k % 37 < 30 AS hit FROM nodes n),
 cover AS (SELECT route_id, sum(CASE WHEN hit THEN least(25, greatest(0, total_m - distance_m)) ELSE 0 END) / any_value(total_m) AS coverage FROM hits JOIN totals USING (route_id) GROUP BY route_id)
 """
+#: The same with the cells of all rides and every node.
+HITS_ALL = HITS.replace(" WHERE track_id % 3 = 0", "").replace(" AND k % 37 < 30", "")
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _hits(spark: SparkSession, sf_dir: str, which: str = "track_id % 3 = 0", nodes: str = "k % 37 < 30") -> tuple[DataFrame, DataFrame]:
     """Nodes on a cell of every third ride; some are left out, so that there are gaps."""
     pts = rides.points(spark, sf_dir)
     segs = joins.segments(routes(spark))
-    road = road_pace.model(samples.pace_samples(pts.where("track_id % 3 = 0")), rides.tracks_of(pts)).select("ci", "cj", "bin", F.lit(True).alias("known"))
+    road = road_pace.model(samples.pace_samples(pts.where(which)), rides.tracks_of(pts)).select("ci", "cj", "bin", F.lit(True).alias("known"))
     keyed = route.grid(segs).select("*", road_pace.geo.cell_lat(F.col("lat")).alias("ci"), road_pace.geo.cell_lng(F.col("lng")).alias("cj"), road_pace.geo.heading_bin(F.col("heading")).alias("bin"))
-    hit = keyed.join(road, ["ci", "cj", "bin"], "left").withColumn("hit", F.coalesce("known", F.lit(False)) & (F.col("k") % 37 < 30))
+    hit = keyed.join(road, ["ci", "cj", "bin"], "left").withColumn("hit", F.coalesce("known", F.lit(False)) & F.expr(nodes))
     return segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m")), hit.select("route_id", "k", "distance_m", "hit")
 
 
+def _all_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes on a cell of any ride."""
+    return _hits(spark, sf_dir, "true", "true")
+
+
 @query("SELECT route_id, round(coverage, 6) AS coverage FROM cover", _sql.STEPS, VERTICES, GRID, HITS)
 def route_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     total, hit = _hits(spark, sf_dir)
     return rounded(route.coverage(hit, total), coverage=6)
 
 
-@query(
-    "SELECT route_id, CASE WHEN NOT (SELECT coalesce(bool_or(metres >= 400 AND bin > 3), false) FROM grades) AND coverage < 0.1 THEN 'TARGET' ELSE 'HISTORY' END AS comparator FROM cover",
-    _sql.STEPS,
-    VERTICES,
-    GRID,
-    HITS,
-    _sql.GRADED,
-    _sql.FOOT,
-    _sql.GATES,
-    _sql.FOLDS,
-)
+@query("SELECT route_id, round(coverage, 6) AS coverage FROM cover", _sql.STEPS, VERTICES, GRID, HITS_ALL)
+def route_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total, hit = _all_hits(spark, sf_dir)
+    return rounded(route.coverage(hit, total), coverage=6)
+
+
+_COMPARED = "SELECT route_id, CASE WHEN NOT (SELECT coalesce(bool_or(metres >= 400 AND bin > 3), false) FROM grades) AND coverage < 0.1 THEN 'TARGET' ELSE 'HISTORY' END AS comparator FROM cover"
+_GRADE_PARTS = (_sql.GRADED, _sql.FOOT, _sql.GATES, _sql.FOLDS)
+
+
+@query(_COMPARED, _sql.STEPS, VERTICES, GRID, HITS, *_GRADE_PARTS)
 def race_comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark, sf_dir, *_hits(spark, sf_dir))
+
+
+@query(_COMPARED, _sql.STEPS, VERTICES, GRID, HITS_ALL, *_GRADE_PARTS)
+def race_comparator_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark, sf_dir, *_all_hits(spark, sf_dir))
+
+
+def _compared(spark: SparkSession, sf_dir: str, total: DataFrame, hit: DataFrame) -> DataFrame:
     pts = rides.points(spark, sf_dir)
     usable = grade.model(grade.folds(pts), rides.tracks_of(pts)).agg(F.coalesce(F.bool_or((F.col("metres") >= 400) & (F.col("bin") > 3)), F.lit(False)).alias("usable"))
-    total, hit = _hits(spark, sf_dir)
     share = route.coverage(hit, total).crossJoin(F.broadcast(usable))  # one row
     return share.select("route_id", route.comparator(F.col("coverage"), F.col("usable")).alias("comparator"))
 
@@ -322,6 +358,11 @@ def covered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.covered_runs(_hits(spark, sf_dir)[1])
 
 
+@query("SELECT route_id, start_m, end_m FROM covered", _sql.STEPS, VERTICES, GRID, HITS_ALL, _MERGED)
+def covered_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.covered_runs(_all_hits(spark, sf_dir)[1])
+
+
 #: Intervals on the routes, from the rides: where each ride's first and last point lie.
 _SPANS = "spans AS (SELECT track_id % 6 AS route_id, track_id, (track_id * 7919 % 3000)::DOUBLE AS start_m, (track_id * 7919 % 3000 + 200 + track_id * 31 % 700)::DOUBLE AS end_m FROM tracks)"
 
@@ -331,21 +372,37 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rides.tracks_of(rides.points(spark, sf_dir)).select((F.col("track_id") % 6).alias("route_id"), "track_id", start.cast("double").alias("start_m"), (start + 200 + F.col("track_id") * 31 % 700).cast("double").alias("end_m"))
 
 
-@query(
+_GROUPED = (
     "SELECT route_id, g::BIGINT AS grp, count(*) AS n, min(start_m) AS start_m, max(end_m) AS end_m FROM (SELECT *, sum(fresh) OVER (PARTITION BY route_id ORDER BY start_m, end_m) AS g FROM ("
-    "SELECT *, CASE WHEN start_m <= max(end_m) OVER (PARTITION BY route_id ORDER BY start_m, end_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans WHERE track_id % 4 = 1)) GROUP BY ALL",
-    _SPANS,
+    "SELECT *, CASE WHEN start_m <= max(end_m) OVER (PARTITION BY route_id ORDER BY start_m, end_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans WHERE track_id % 4 = 1)) GROUP BY ALL"
 )
+
+
+@query(_GROUPED, _SPANS)
 def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = route.overlap_groups(_spans(spark, sf_dir).where("track_id % 4 = 1"), "route_id", "start_m", "end_m")
+    return _grouped(_spans(spark, sf_dir).where("track_id % 4 = 1"))
+
+
+@query(_GROUPED.replace(" WHERE track_id % 4 = 1", ""), _SPANS)
+def overlap_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(_spans(spark, sf_dir))
+
+
+def _grouped(spans: DataFrame) -> DataFrame:
+    got = route.overlap_groups(spans, "route_id", "start_m", "end_m")
     return got.groupBy("route_id", F.col("group").alias("grp")).agg(F.count("*").alias("n"), F.min("start_m").alias("start_m"), F.max("end_m").alias("end_m"))
 
 
-@query(
+_PIECES = (
     "SELECT s.route_id, s.start_m, s.end_m, a AS piece_start_m, z AS piece_end_m FROM sec s, LATERAL ("
     "SELECT a, min(z) AS z FROM (SELECT s.start_m AS a UNION SELECT end_m FROM pri p WHERE p.route_id = s.route_id AND p.end_m > s.start_m AND p.end_m < s.end_m) x,"
     " (SELECT s.end_m AS z UNION SELECT start_m FROM pri p WHERE p.route_id = s.route_id AND p.start_m > s.start_m AND p.start_m < s.end_m) y WHERE z >= a"
-    " AND NOT EXISTS (SELECT 1 FROM pri p WHERE p.route_id = s.route_id AND p.start_m <= a AND p.end_m > a) GROUP BY a) WHERE z - a >= 200",
+    " AND NOT EXISTS (SELECT 1 FROM pri p WHERE p.route_id = s.route_id AND p.start_m <= a AND p.end_m > a) GROUP BY a) WHERE z - a >= 200"
+)
+
+
+@query(
+    _PIECES,
     _SPANS,
     "pri AS (SELECT * FROM spans WHERE track_id % 11 = 3)",
     "sec AS (SELECT DISTINCT route_id, start_m, end_m FROM spans WHERE track_id % 5 = 2)",
@@ -353,3 +410,14 @@ def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlay_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _spans(spark, sf_dir)
     return route.uncovered(spans.where("track_id % 5 = 2").select("route_id", "start_m", "end_m").distinct(), spans.where("track_id % 11 = 3"))
+
+
+#: Rides are dealt to routes by track_id % 6, so odd and even ones never meet on a route.
+_PRIMARY = "track_id {div} 6 % 2 = 0"
+
+
+@query(_PIECES, _SPANS, f"pri AS (SELECT * FROM spans WHERE {_PRIMARY.format(div='//')})", f"sec AS (SELECT DISTINCT route_id, start_m, end_m FROM spans WHERE NOT ({_PRIMARY.format(div='//')}))")
+def overlay_pieces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the primary half of the rides leaves of the other half; together they hold all."""
+    spans, primary = _spans(spark, sf_dir), _PRIMARY.format(div="div")
+    return route.uncovered(spans.where(f"NOT ({primary})").select("route_id", "start_m", "end_m").distinct(), spans.where(primary))
