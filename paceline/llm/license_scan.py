@@ -105,6 +105,19 @@ CRITICAL = "licen[cs]e|copyright|rights reserved|warrant|permission|redistribut|
 OPENERS = "licensed under|released under|this work is|this project is|this program is|this source code|this is free|permission is hereby|permission to use|redistribution and use|all rights reserved|copyright|the mit license|mit license"
 BLANK = r"[ \t\n\x0B\f\r]"
 CUT = "\x01"
+#: Comment leaders and bullets; a line may have several.
+LEADERS = r"//+|/\*+|\*+/?|#+|;+|--+|-(?=[ \t])|[•·]|\(?[0-9]{1,2}\)(?=[ \t])"
+#: Words after ``copyright`` that go on with a sentence; years, (c) and names begin a notice.
+GOES_ON = "notices?|holders?|owners?|laws?|licenses?|permissions?|statements?|protection|information|interests?|claims?|infringement|treat(y|ies)|and|or|in|of|is|to|as"
+#: OPENERS as lines begin with them, but for ``copyright`` in the middle of a sentence.
+LINE_OPENERS = OPENERS.replace("copyright", rf"copyright(?!s?{BLANK}+({GOES_ON})\b)")
+#: Sentences that name their holder -> identifier.  A cut at ``Inc. `` leaves the part from ``nor``.
+_ENDORSE = "to endorse or promote products derived from this software without (specific )?prior written permission"
+PATTERNS = {
+    f"^(neither the names? of .+ )?nor the names? of .+ may be used {_ENDORSE}$": "BSDEndorse",
+    f"^the names? of .+ may not be used {_ENDORSE}$": "BSDEndorse",
+    '^this software is provided by .+ "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed$': "BSDAsIs",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -112,10 +125,12 @@ def normalised(text: Column) -> Column:
     t = F.lower(text)
     t = F.regexp_replace(t, r"licence", "license")
     t = F.regexp_replace(t, "[“”‘’`]", '"')
-    t = F.regexp_replace(t, r"(^|\n)[ \t]*(//+|/\*+|\*+/?|#+|;+|--+)[ \t]*", "$1")
+    t = F.regexp_replace(t, "[\"']{2,}", '"')
+    t = F.regexp_replace(t, rf"(^|\n)[ \t]*(?:(?:{LEADERS})[ \t]*)+", "$1")
+    t = F.regexp_replace(t, rf"\bat{BLANK}+(https?://)", "at $1")
     t = F.regexp_replace(t, rf"[.!?;:]({BLANK}+|\z)", CUT)
     t = F.regexp_replace(t, rf"\n{BLANK}*\n", CUT)
-    t = F.regexp_replace(t, rf"\n[ \t]*({OPENERS})", CUT + "$1")
+    t = F.regexp_replace(t, rf"\n[ \t]*({LINE_OPENERS})", CUT + "$1")
     return F.regexp_replace(t, rf"{BLANK}+", " ")
 
 
@@ -138,7 +153,8 @@ def scan(docs: DataFrame) -> DataFrame:
     known = F.create_map(*[F.lit(x) for kv in _pieces().items() for x in kv])
     critical = F.filter(F.transform(F.split(normalised(text), CUT), lambda s: F.btrim(s)), lambda s: s.rlike(CRITICAL))
     notice = lambda s: s.rlike(r"^copyright ")
-    ids = F.transform(F.filter(critical, lambda s: ~notice(s)), lambda s: F.coalesce(F.element_at(known, s), F.lit("?")))
+    held = lambda s: [F.when(s.rlike(p), F.lit(name)) for p, name in PATTERNS.items()]
+    ids = F.transform(F.filter(critical, lambda s: ~notice(s)), lambda s: F.coalesce(F.element_at(known, s), *held(s), F.lit("?")))
     ids = F.filter(ids, lambda x: x != "")
     named = docs.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     chain = F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|"))
@@ -159,6 +175,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The scan by fixed sentences and single leaders; whole headers are beyond it."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({q(k)}, {q(v)})" for k, v in _pieces().items())
     chain = "'|' || array_to_string(ids, '||') || '|'"
