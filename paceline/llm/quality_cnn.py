@@ -146,29 +146,45 @@ class Network:
         return (1 / (1 + np.exp(-out / np.maximum(counts, 1)))).tolist()
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> tuple[list[bytes], np.ndarray, dict[int, int]]:
-    """Texts and labels of at most per_class documents of each class, none held out, and how many there are of each."""
+def training_chunks(data: bytes) -> list[bytes]:
+    """The bytes of at most TRAIN_CHUNKS chunks, spread evenly over data."""
+    n = max(1, -(-max(0, len(data) - CHUNK) // STEP) + 1)
+    return [data[k * STEP : k * STEP + CHUNK] for k in np.unique(np.linspace(0, n - 1, TRAIN_CHUNKS).astype(int)).tolist()]
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> tuple[list[list[bytes]], np.ndarray, dict[int, int]]:
+    """Chunks and labels of at most per_class documents of each class, none held out, and how many there are of each.
+
+    Chunks are cut in the tasks, and a repeated doc_id gives one row, so the
+    sample is bounded in bytes: 2 * per_class * TRAIN_CHUNKS * CHUNK.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", "quality")
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = [usable.where(F.col("quality") == q).orderBy(*first).limit(per_class) for q in (0, 1)]
+    picked = [usable.where(F.col("quality") == q).distinct().orderBy(*first).limit(per_class) for q in (0, 1)]
     chosen = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(2 * per_class).collect()  # 2 * per_class rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            cut = [training_chunks((t.as_py() or "").encode()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
+
+    mine = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("text").cast("string").alias("text"))
+    cut = mine.mapInArrow(run, "doc_id bigint, quality int, chunks array<binary>")
+    rows = cut.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("chunks").alias("chunks")).orderBy("doc_id").collect()  # 2 * per_class rows at most
     there = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}  # 2 rows
-    return [(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows], np.float32), there
+    return [[bytes(c) for c in r["chunks"]] for r in rows], np.array([r["quality"] for r in rows], np.float32), there
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Network | None:
-    texts, target, there = training_sample(docs, labels, per_class)
+    chunks, target, there = training_sample(docs, labels, per_class)
     if len(set(target.tolist())) < 2:
         return None
     codes, y, w = [], [], []
     share = {q: there[int(q)] / (target == q).sum() for q in (0.0, 1.0)}  # the classes as frequent as among the labels
-    for t, q in zip(texts, target.tolist(), strict=True):
-        rows = chunked(t)
-        pick = np.unique(np.linspace(0, len(rows) - 1, TRAIN_CHUNKS).astype(int))
-        codes.append(rows[pick])
-        y.append(np.full(len(pick), q, np.float32))
-        w.append(np.full(len(pick), share[q] / len(pick) ** 0.5, np.float32))
+    for cut, q in zip(chunks, target.tolist(), strict=True):
+        codes.extend(chunked(c) for c in cut)
+        y.append(np.full(len(cut), q, np.float32))
+        w.append(np.full(len(cut), share[q] / len(cut) ** 0.5, np.float32))
     net = Network()
     weight = np.concatenate(w)
     net.fit(np.concatenate(codes), np.concatenate(y), weight / weight.mean())
