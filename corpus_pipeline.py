@@ -4,7 +4,7 @@ Five stages, each over all that the one before kept: the classifier drops what
 it rejects; boilerplate lines go; of documents that share most of their
 five-word shingles the one with the smallest doc_id stays; sources are mixed to
 their target weights (a document may be taken several times, or not at all);
-what was taken is encoded.  All stages but the last return the columns of
+what was taken is encoded and decoded again.  All stages but the last return the columns of
 ``documents``; n_chars is that of the text as it stands.
 """
 
@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token ids of each row of the mix."""
-    return bpe.encode_documents(docs).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    """doc_id, n_tokens, token ids and a digest of the decoded ids of each row of the mix."""
+    return bpe.round_trips(docs)
 
 
 STAGES = [
@@ -50,7 +50,7 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
     ("BPE encoding", encode),
 ]
-#: A trained network and a tokenizer are beyond SQL; see tests/llm/test_pipeline.py.
+#: A trained network and a tokenizer are beyond SQL; see tests/llm/test_models.py.
 ORACLE_SQL = None
 
 

@@ -205,6 +205,22 @@ def decode_documents(encoded: DataFrame, file: str = DEFAULT_FILE) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
+def round_trips(docs: DataFrame, file: str = DEFAULT_FILE) -> DataFrame:
+    """doc_id, n_tokens, ids and a digest of their decoding for each row, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(file)
+        for batch in small(batches):
+            ids = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
+            n = pa.array([len(x) for x in ids], pa.int64())
+            decoded = pa.array([hashlib.sha256(bpe.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, pa.list_(pa.int32())), decoded], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string"
+    )
+
+
 def digests(docs: DataFrame, file: str = DEFAULT_FILE) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of their decoding.
 
