@@ -28,11 +28,14 @@ def words(text: Column) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder takes its place.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset,
+    a temporary folder takes its place on one machine (tests); a cluster has no
+    folder that all its machines share then, which is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
 
@@ -46,6 +49,25 @@ def light(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows of a partition of a small table.
+TASK_ROWS = 4096
+
+
+def compact(df: DataFrame) -> tuple[DataFrame, int]:
+    """df checkpointed, in no more partitions than its rows are worth, and their number."""
+    df = checkpointed(df)
+    rows = df.count()
+    return df.coalesce(max(1, -(-rows // TASK_ROWS))), rows
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

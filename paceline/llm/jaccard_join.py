@@ -12,14 +12,21 @@ in one component.  The steps:
 3.  Prefix hashes of one set only are dropped.  Each node is compared with one
     leader (the smallest node of a hash), the one it shares most hashes with,
     and the links so found are contracted to components.
-4.  Tiles, by prefix hash and band of sizes, then give the remaining pairs:
-    nodes of different components, of sizes within a ratio of 0.8.  Of a group
-    of near copies only the few that no leader met have pairs left.  A prefix
-    hash with many pairs is cut into tiles of bounded blocks, compared by
-    hashed bitmaps: the bits two share bound the intersection from above.
-5.  A pair is decided in the same way in both steps: the bits that two hashed
-    bitmaps share bound the intersection from above; where that bound suffices,
-    the sorted arrays are intersected.
+4.  Hashes with many pairs of different components go through rounds: every
+    component still open asks one other through one pair, the links are
+    contracted, and hashes left with one component drop out.  A group of near
+    copies shrinks to a few components so, by work in proportion to its size.
+    Rounds end when one finds no link.
+5.  Tiles decide what those hashes still hold.  A tile is the nodes that share
+    a hash with one leader, of one band of sizes, cut into blocks of bounded
+    bytes; only nodes outside the leader's largest component ask.  The bits two
+    hashed bitmaps share bound the intersection from above; where that bound
+    suffices, the sorted arrays are intersected.  Pairs that a tile's earlier
+    links connect are passed over, so a tile gives fewer links than it has
+    components.
+6.  Hashes with few pairs give theirs as rows of a join by hash and band, kept
+    where the number of hashes in common allows a link, and decided in the same
+    way.
 
 Defined results: a null text or one without words has an empty set, links with
 nothing and is its own component; rows with equal doc_id share a component_id
@@ -37,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import checkpointed, small, table
+from paceline.llm.common import BROADCAST_ROWS, checkpointed, compact, fresh_name, light, small, table
 from paceline.llm.components import components
 from paceline.llm.shingles import set_id, shingle_hashes
 
@@ -49,11 +56,12 @@ FREQUENT = 4
 FREQUENT_BITS = 1 << 26
 #: Ratio of sizes within a band; 100 / PERCENT, so that links lie in one band or two adjacent.
 BAND = 100 / PERCENT
-#: Pairs of one prefix hash that are joined as rows; above, tiles of so many rows a side.
-ROW_PAIRS = 100_000
-TILE_ROWS = 1024
-#: Bits of the bitmap that spares the second scan most documents (2 MB).
-BITMAP_BITS = 1 << 24
+#: Pairs of one prefix hash that are joined as rows; above, rounds and tiles of about so many bytes of hashes a side.
+ROW_PAIRS = 4096
+TILE_BYTES = 8 << 20
+#: Bits a wanted document of the bitmap that spares a scan most other documents, and the most bits (128 MB).
+BITS_A_DOCUMENT = 16
+BITMAP_BITS = 1 << 30
 #: Bytes of one of Spark's bitmaps.
 BUCKET_BYTES = 4096
 
@@ -70,7 +78,7 @@ def _bitmap_of(places: DataFrame, bits: int) -> np.ndarray:
     """The bytes of a bitmap of so many bits, with the places (column at) set."""
     one = F.col("at") + 1  # Spark's buckets count from 1, so do their values
     held = places.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
-    out = np.zeros((bits // (8 * BUCKET_BYTES), BUCKET_BYTES), np.uint8)
+    out = np.zeros((-(-bits // (8 * BUCKET_BYTES)), BUCKET_BYTES), np.uint8)
     for row in held.collect():  # these bits at most
         out[row["k"] - 1] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
@@ -98,23 +106,23 @@ def frequent_hashes(docs: DataFrame) -> np.ndarray:
 
 
 def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, node (the set's name, null when empty) and its prefix."""
+    """doc_id, n_shingles, digest (the set's name, null when empty) and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sizes, nodes, prefixes = [], [], []
+            sizes, names, prefixes = [], [], []
             for s in _sets(batch.column(1)):
                 n = len(s)
                 sizes.append(n)
-                nodes.append(set_id(s) if n else None)
+                names.append(set_id(s) if n else None)
                 common = _set_at(hot, (s % np.uint64(FREQUENT_BITS)).view(np.int64))
                 s = np.concatenate([s[~common], s[common]])
                 prefixes.append(s[: n - (n * PERCENT + 99) // 100 + 1 if n else 0].view(np.int64))
             at = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "n_shingles", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, prefix array<bigint>")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>")
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -135,6 +143,11 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     lost = most - int(np.bitwise_count(x if len(a) <= len(b) else y).sum())
     if int(np.bitwise_count(x & y).sum()) + lost < need:
         return False
+    return intersect(a, b, percent)
+
+
+def intersect(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """The same from the exact intersection."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -151,26 +164,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return left.join(pairs, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, hashes for the nodes (node, doc_id of one document that has the set).
+    """node, hashes for the nodes (node, digest, doc_id of one document that has the set).
 
-    A bitmap of hashed doc_ids, of one size whatever the corpus, lets the scan
+    A bitmap of hashed doc_ids, of some bits a wanted document, lets the scan
     pass over most other documents; a join drops those it let through.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("at")
-    bits = _bitmap_of(nodes.select(place), BITMAP_BITS)
+    nodes, wanted = compact(nodes)
+    bits = min(BITMAP_BITS, 1 << max(16, (BITS_A_DOCUMENT * wanted).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at")
+    held = _bitmap_of(nodes.select(place), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            batch = batch.filter(pa.array(_set_at(bits, batch.column(2).to_numpy())))
+            batch = batch.filter(pa.array(_set_at(held, batch.column(2).to_numpy())))
             sets = _sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "hashes"])
 
     placed = _texts(docs).select("*", place)
-    return placed.mapInArrow(run, "node bigint, hashes binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    names = nodes.select("digest", "node")
+    got = placed.mapInArrow(run, "digest binary, hashes binary").join(F.broadcast(names) if wanted <= BROADCAST_ROWS else names, "digest")
+    return got.select("node", "hashes").dropDuplicates(["node"])
 
 
 def may_link(count: Column, n: Column, m: Column) -> Column:
@@ -188,116 +205,149 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
 
 
-def node_links(docs: DataFrame, feats: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that give the components of all links."""
-    nodes = feats.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    entries = feats.where("node IS NOT NULL").select("node", F.explode("prefix").alias("key"))
+def node_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes (node, digest, doc_id, n, prefix) that give the components of all links."""
+    entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
     leaders = entries.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("key", "leader")
-    shared = checkpointed(entries.join(leaders, "key").select("key", "node", "leader").distinct())  # exact copies repeat entries
+    shared = checkpointed(entries.join(leaders, "key").select("key", "node", "n", "leader"))
     size = nodes.select("node", "n")
-    star = shared.where("node <> leader").groupBy("node", "leader").count().join(size, "node").join(size.toDF("leader", "m"), "leader")
+    star = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("count"), F.first("n").alias("n")).join(size.toDF("leader", "m"), "leader")
     star = star.where(may_link(F.col("count"), F.col("n"), F.col("m"))).groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
     found = _decided(docs, nodes, star.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    placed = nodes.join(components(found), "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
-    members = shared.select("key", "node").join(placed, "node")
-    rest = checkpointed(members.join(_split_keys(members), "key").select("key", "node", "n", "comp", "major", "blocks", _band(F.col("n")).alias("band")))
-    pairs = _row_pairs(rest.where("blocks = 0")).unionByName(_tile_pairs(docs, nodes, rest.where("blocks > 0"))).distinct()
-    return found.unionByName(_decided(docs, nodes, pairs))
+    members = shared.select("key", "node", "n").join(components(found), "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    rest = checkpointed(_open(members))
+    hot = light(checkpointed(_hot_keys(rest)))
+    busy, links = _rounds(docs, nodes, checkpointed(rest.join(hot, "key")))
+    links, _ = compact(links.unionByName(_tile_links(docs, nodes, busy)))
+    few = _open(_relabelled(rest.join(hot, "key", "left_anti"), components(links)))
+    pairs = _row_pairs(few.withColumn("band", _band(F.col("n"))))
+    return found.unionByName(links.select("a", "b")).unionByName(_decided(docs, nodes, pairs))
 
 
-def _split_keys(members: DataFrame) -> DataFrame:
-    """key, major, blocks for keys of several components: the component with most
-    nodes, and for keys of many pairs the blocks of a tile's side (else 0)."""
-    held = members.groupBy("key", "comp").count()
-    split = held.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("rows"), F.max("count").alias("most")).where("comps > 1")
-    many = F.col("rows") * (F.col("rows") - F.col("most")) > ROW_PAIRS
-    return split.select("key", "major", F.when(many, F.ceil(F.col("rows") / TILE_ROWS)).otherwise(0).cast("int").alias("blocks"))
+def _open(members: DataFrame) -> DataFrame:
+    """The rows (key, node, n, comp) of keys with nodes of several components."""
+    several = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return members.join(several, "key")
 
 
-def _row_pairs(rest: DataFrame) -> DataFrame:
-    """Candidates (a, b) of the keys with few pairs, as rows of a join by key and band.
+def _relabelled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """members with each component in place of those it absorbed (node, comp)."""
+    names = comps.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+    return members.join(names, "comp", "left").select("key", "node", "n", F.coalesce("now", "comp").alias("comp"))
 
-    A pair that shares a tiled key too is compared in its tile, whatever comes
-    out here; for any other pair the keys counted are all that it shares.
-    """
-    bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
-    right = rest.select("key", bands, F.col("node").alias("r_node"), F.col("n").alias("r_n"), F.col("comp").alias("r_comp"), "major")
-    left = rest.where("comp <> major").select("key", "band", "node", "n", "comp")
-    both = left.join(right, ["key", "band"]).where("comp <> r_comp AND (node < r_node OR r_comp = major)")
-    met = both.groupBy(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("r_n").alias("m"))
-    return met.where(may_link(F.col("count"), F.col("n"), F.col("m"))).select("a", "b")
+
+def _hot_keys(rest: DataFrame) -> DataFrame:
+    """Keys with more than ROW_PAIRS pairs of nodes that a largest component's nodes are not asked from."""
+    held = rest.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("rows"), F.max("count").alias("most"))
+    return held.where(F.col("rows") * (F.col("rows") - F.col("most")) > ROW_PAIRS).select("key")
 
 
-def _tile_pairs(docs: DataFrame, nodes: DataFrame, rest: DataFrame) -> DataFrame:
-    """Candidates (a, b) of the keys with many pairs, from tiles of bitmaps.
+def _rounds(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What of members stays open, with current components, and the links found.
 
-    A tile is a key, a band of sizes and a block of each side, TILE_ROWS rows or
-    so either way; only pairs whose bitmaps leave the similarity possible come out.
+    links: a, b, comps and nodes alike.  In each round a key offers two nodes
+    of different components, picked by a hash that changes with the round; each
+    component asks through the node that shares most keys with one on offer.
+    Rounds go on while half of those that ask find a link: whatever is left
+    then, tiles decide.
     """
-    wanted = checkpointed(rest.select("node").distinct().join(nodes, "node").select("node", "doc_id"))
-    marked = rest.join(_bitmaps(node_sets(docs, wanted)), "node")
-    block = lambda c, k: F.pmod(F.xxhash64(c, F.lit(k)), "blocks").cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = marked.where("comp <> major").select("key", "band", block("node", 1).alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "node", "n", "comp", "major", "bits")
-    bands = left.select("key", "band").distinct()
-    right = marked.select("key", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.explode(every).alias("i"), block("node", 2).alias("j"), F.lit(1).alias("side"), "node", "n", "comp", "major", "bits")
-
-    def tile(batches):
-        side = batches.column("side").to_numpy()
-        node, n, comp, major = (batches.column(c).to_numpy() for c in ("node", "n", "comp", "major"))
-        raw = batches.column("bits").to_pylist()
-        size = min(map(len, raw))
-        bits = np.stack([_folded(np.frombuffer(x, np.uint64), size // 8) for x in raw])
-        lost = n - np.array([int(np.bitwise_count(np.frombuffer(x, np.uint64)).sum()) for x in raw])
-        lost = np.maximum(lost, n - np.bitwise_count(bits).sum(axis=1))
-        a, b = [], []
-        r = np.flatnonzero(side == 1)
-        for k in np.flatnonzero(side == 0):
-            fine = (comp[r] != comp[k]) & ((node[r] > node[k]) | (comp[r] == major[k])) & (100 * np.minimum(n[r], n[k]) >= PERCENT * np.maximum(n[r], n[k]))
-            c = r[fine]
-            need = -(-PERCENT * (n[c] + n[k]) // (100 + PERCENT))
-            most = np.bitwise_count(bits[c] & bits[k]).sum(axis=1) + np.minimum(lost[c], lost[k])
-            c = c[most >= need]
-            a.append(np.minimum(node[c], node[k]))
-            b.append(np.maximum(node[c], node[k]))
-        none = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
-
-    return left.unionByName(right.join(bands, ["key", "band"])).groupBy("key", "band", "i", "j").applyInArrow(tile, "a bigint, b bigint")
-
-
-def _bitmaps(sets: DataFrame) -> DataFrame:
-    """node, bits: a bitmap of each set, four to eight bits a hash."""
+    links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    turn = 0
+    while True:
+        order = F.xxhash64("node", F.lit(turn))
+        offered = members.groupBy("key", "comp").agg(F.min(F.struct(order.alias("at"), "node", "n", "comp")).alias("x"))
+        offered = offered.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+        asked = members.join(offered, "key").select("node", "n", "comp", F.when(F.col("comp") == F.col("lo.comp"), F.col("hi")).otherwise(F.col("lo")).alias("to"))
+        met = asked.groupBy("node", F.col("to.node").alias("leader")).agg(F.count("*").alias("count"), *[F.first(c).alias(c) for c in ("n", "comp")], F.first("to.n").alias("m"), F.first("to.comp").alias("other"))
+        met = met.where(may_link(F.col("count"), F.col("n"), F.col("m")))
+        best = met.groupBy("comp").agg(F.max_by(F.struct("node", "leader", "other"), F.struct("count", "node", "leader")).alias("x"))
+        best, asked = compact(best.select("comp", F.col("x.other").alias("other"), F.least("x.node", "x.leader").alias("a"), F.greatest("x.node", "x.leader").alias("b")))
+        good = _decided(docs, nodes, best.select("a", "b").distinct())
+        met = best.join(good, ["a", "b"], "left_semi").select(F.col("comp").alias("a"), F.col("other").alias("b"))
+        links, _ = compact(links.unionByName(good).unionByName(met))
+        members = checkpointed(_open(_relabelled(members, components(links))))
+        if 2 * met.count() < asked or not asked:
+            return members, links
+        turn += 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(s, 1 << max(6, (4 * len(s)).bit_length())).tobytes() for s in sets_], pa.binary())], ["node", "bits"])
 
-    return sets.mapInArrow(run, "node bigint, bits binary")
+def _row_pairs(rest: DataFrame) -> DataFrame:
+    """Candidates (a, b) of the keys with few pairs, as rows of a join by key and band.
+
+    A pair that shares a hot key too is compared there, whatever comes out here;
+    for any other pair the keys counted are all that it shares.
+    """
+    bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
+    right = rest.select("key", bands, F.col("node").alias("r_node"), F.col("n").alias("r_n"), F.col("comp").alias("r_comp"))
+    both = rest.join(right, ["key", "band"]).where("comp <> r_comp AND node < r_node")
+    met = both.groupBy(F.col("node").alias("a"), F.col("r_node").alias("b")).agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("r_n").alias("m"))
+    return met.where(may_link(F.col("count"), F.col("n"), F.col("m"))).select("a", "b")
 
 
-def _folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """The same set's bitmap of fewer bits: places are hashes modulo a power of two."""
-    while len(bits) > words:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits
+def _tile_links(docs: DataFrame, nodes: DataFrame, busy: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes, and of their components, that connect what busy's keys hold."""
+    leaders = busy.groupBy("key").agg(F.min("node").alias("leader"))
+    met = checkpointed(busy.join(leaders, "key").select("leader", "node", "n", "comp").distinct())
+    held = met.groupBy("leader", "comp").agg(F.sum("n").alias("bytes"))
+    split = held.groupBy("leader").agg(F.max_by("comp", F.struct("bytes", "comp")).alias("major"), (8 * F.sum("bytes")).alias("all"), (8 * (F.sum("bytes") - F.max("bytes"))).alias("few"))
+    sides = F.ceil(F.col("few") / TILE_BYTES).cast("int").alias("lefts"), F.ceil(F.col("all") / TILE_BYTES).cast("int").alias("rights")
+    met = met.join(split.select("leader", "major", *sides), "leader").withColumn("band", _band(F.col("n")))
+    block = lambda k, blocks: F.pmod(F.xxhash64("node", F.lit(k)), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = met.where("comp <> major").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    used = left.select("leader", "band").distinct()
+    left = left.select("leader", "band", block(1, "lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"), "node", "n", "comp", "major")
+    right = met.join(used, ["leader", "band"]).select("leader", "band", every("lefts").alias("i"), block(2, "rights").alias("j"), F.lit(1).alias("side"), "node", "n", "comp", "major")
+    wanted = met.select("node").distinct().join(nodes.select("node", "digest", "doc_id"), "node")
+    tiles = left.unionByName(right).join(node_sets(docs, wanted), "node")
+    kind = "a bigint, b bigint, comp bigint, other bigint"
+    found, _ = compact(tiles.groupBy("leader", "band", "i", "j").applyInArrow(_tile, kind))
+    return found.select("a", "b").unionByName(found.select(F.col("comp").alias("a"), F.col("other").alias("b")))
+
+
+def _tile(rows: pa.Table) -> pa.Table:
+    """Links between nodes of one tile until no two of its components have one left."""
+    side, node, n, comp, major = (rows.column(c).to_numpy() for c in ("side", "node", "n", "comp", "major"))
+    raw = rows.column("hashes").combine_chunks()
+    sets = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in range(len(raw))]
+    width = 1 << max(6, (8 * int(n.max())).bit_length())
+    bits = np.stack([bitmap(s, width).view(np.uint64) for s in sets])
+    lost = n - np.bitwise_count(bits).sum(axis=1)
+    now = np.unique(comp, return_inverse=True)[1]  # each row's component as the tile knows it
+    r = np.flatnonzero(side == 1)
+    out: list[tuple[int, int, int, int]] = []
+    for k in np.flatnonzero(side == 0).tolist():
+        fine = (now[r] != now[k]) & ((node[r] > node[k]) | (comp[r] == major[k])) & (100 * np.minimum(n[r], n[k]) >= PERCENT * np.maximum(n[r], n[k]))
+        c = r[fine]
+        need = -(-PERCENT * (n[c] + n[k]) // (100 + PERCENT))
+        spare = np.bitwise_count(bits[c] & bits[k]).sum(axis=1) + np.minimum(lost[c], lost[k]) - need
+        c = c[spare >= 0][np.argsort(-spare[spare >= 0], kind="stable")]
+        for x in c.tolist():
+            if now[x] != now[k] and intersect(sets[k], sets[x]):
+                out.append((int(min(node[k], node[x])), int(max(node[k], node[x])), int(comp[k]), int(comp[x])))
+                now[now == now[x]] = now[k]
+    cols = zip(*out, strict=True) if out else [[]] * 4
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "comp", "other"])
 
 
 def _decided(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the candidate pairs (a, b) that link."""
-    pairs = checkpointed(pairs)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = node_sets(docs, checkpointed(ends.join(nodes, "node").select("node", "doc_id")))
-    return checkpointed(verified(pairs, sets))
+    pairs, n = compact(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = F.broadcast if 2 * n <= BROADCAST_ROWS else (lambda df: df)
+    sets = node_sets(docs, nodes.select("node", "digest", "doc_id").join(few(ends), "node"))
+    return compact(verified(few(pairs), sets))[0]
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
     feats = checkpointed(features(docs, frequent_hashes(docs)))
-    comp = components(node_links(docs, feats)).withColumnRenamed("node", "c_node")
-    placed = feats.select("doc_id", "n_shingles", "node").join(comp, F.col("node") == F.col("c_node"), "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    placed = checkpointed(placed)
+    # numbers are given before the checkpoint, which fixes them
+    nodes = feats.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    comp = nodes.select("digest", "node").join(components(node_links(docs, nodes)), "node", "left")
+    named = comp.select(F.col("digest").alias("c_digest"), F.coalesce("comp", "node").alias("comp"))
+    placed = checkpointed(feats.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("c_digest"), "left").select("doc_id", "n_shingles", "comp"))
     least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "comp", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -305,8 +355,9 @@ def similar(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without those whose component has a smaller doc_id."""
-    found = similar(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__id"), "left_anti")
+    found = similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = fresh_name(docs, "gone")
+    return docs.join(found.withColumnRenamed("doc_id", gone), docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

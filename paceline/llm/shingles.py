@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
 WIDTH = 5
-#: Bytes of text worked on at once; a longer text is a block of its own.
+#: Bytes of text worked on at once; a longer text is cut between words.
 BLOCK = 1 << 18
+#: Bytes from which a word is held by a digest, so that no word fills memory.
+LONG_WORD = 1 << 16
 SEPARATOR = 32
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -19,6 +22,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = []
+_LONG = re.compile(rb"[^\x20\x09-\x0D]{%d,}" % LONG_WORD)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -56,12 +61,33 @@ def blocks(texts: list[bytes], most: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     """Each text's shingles in order (repeats kept); with fewer words, the whole sequence."""
+    texts = [_LONG.sub(lambda m: b"\x00" + hashlib.blake2b(m[0].lower()).hexdigest().encode(), t) if len(t) >= LONG_WORD else t for t in texts]
     out: list[np.ndarray] = []
     for a, z in blocks(texts):
-        out.extend(_block(texts[a:z], width))
+        if z == a + 1 and len(texts[a]) > BLOCK:
+            out.append(np.concatenate([_block([piece], width)[0] for piece in _pieces(texts[a], width)]))
+        else:
+            out.extend(_block(texts[a:z], width))
     return out
 
 
+def _pieces(text: bytes, width: int) -> Iterator[bytes]:
+    """The text cut between words about every BLOCK bytes, each piece after the
+    first with the last width - 1 words of the one before, so that every shingle lies in one piece."""
+    held: list[bytes] = []
+    at, some = 0, False
+    while at < len(text):
+        gap = _GAP.search(text, at + BLOCK)
+        stop = gap.start() if gap else len(text)
+        held += text[at:stop].split()
+        at = stop
+        if len(held) >= width:
+            yield b" ".join(held)
+            held, some = held[1 - width :], True
+    if not some:
+        yield b" ".join(held)
+
+
 def _block(texts: list[bytes], width: int) -> list[np.ndarray]:
     raw = _LOWER[np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)]
     ends = np.cumsum([len(t) + 1 for t in texts])
@@ -99,6 +125,6 @@ def _block(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def set_id(sorted_set: np.ndarray) -> int:
-    """A 63-bit name of a set of hashes."""
-    return int.from_bytes(hashlib.blake2b(sorted_set.tobytes(), digest_size=8).digest(), "little") >> 1
+def set_id(sorted_set: np.ndarray) -> bytes:
+    """A 128-bit name of a set of hashes."""
+    return hashlib.blake2b(sorted_set.tobytes(), digest_size=16).digest()

@@ -124,25 +124,31 @@ def test_mix_repeats_rows_as_planned(docs_of):
 
 def test_jaccard_tiles_equal_rows(spark, monkeypatch):
     want = None
-    for rows, tile in ((100_000, 1024), (0, 16), (20, 8)):
+    for rows, tile in ((100_000, 1 << 20), (0, 20_000), (20, 5_000)):
         monkeypatch.setattr(jaccard_join, "ROW_PAIRS", rows)
-        monkeypatch.setattr(jaccard_join, "TILE_ROWS", tile)
+        monkeypatch.setattr(jaccard_join, "TILE_BYTES", tile)
         got = sorted(map(tuple, jaccard_join.similar(spark.read.parquet(f"{SF}/documents.parquet")).collect()))
         want = want or got
         assert got == want
 
 
-def test_jaccard_of_edited_copies_equals_brute_force(docs_of):
+def _edited(seed: int, n: int, edits: int, least: int = 60) -> list[str]:
     import random
 
-    r = random.Random(5)
+    r = random.Random(seed)
     base = [f"w{r.randrange(50)}" for _ in range(80)]
     texts = []
-    for _ in range(150):
+    for _ in range(n):
         w = list(base)
-        for _ in range(r.randrange(5)):
+        for _ in range(r.randrange(edits)):
             w[r.randrange(len(w))] = f"e{r.randrange(1000)}"
-        texts.append(" ".join(w[: r.randrange(60, 81)]))
+        texts.append(" ".join(w[: r.randrange(least, 81)]))
+    return texts
+
+
+def _components_by_brute_force(texts: list[str]) -> dict[int, int]:
+    import numpy as np
+
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
     comp = list(range(len(texts)))
 
@@ -151,13 +157,53 @@ def test_jaccard_of_edited_copies_equals_brute_force(docs_of):
             x = comp[x]
         return x
 
-    for i in range(len(texts)):
-        for j in range(i):
-            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                a, b = sorted((root(i), root(j)))
-                comp[b] = a
+    place = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(texts), len(place)), np.float32)
+    for k, x in enumerate(sets):
+        has[k, [place[y] for y in x]] = 1
+    both, n = has @ has.T, has.sum(1)
+    for i, j in np.argwhere(100 * both >= 80 * (n[:, None] + n - both)).tolist():
+        a, b = sorted((root(i), root(j)))
+        comp[b] = a
+    return {k: root(k) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("pairs", [4096, 20])
+def test_jaccard_of_edited_copies_equals_brute_force(docs_of, monkeypatch, pairs):
+    monkeypatch.setattr(jaccard_join, "ROW_PAIRS", pairs)
+    texts = _edited(5, 150, 5)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.similar(docs_of(texts)).collect()}
+    assert got == _components_by_brute_force(texts)
+
+
+def test_a_large_group_of_near_copies_takes_few_comparisons(docs_of, monkeypatch):
+    """3,000 near copies: pairs compared exactly stay below ten times the rows."""
+    seen, plain = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, sets: seen.append(pairs.count()) or plain(pairs, sets))
+    texts = _edited(6, 3000, 5, 70)
     got = {x["doc_id"]: x["component_id"] for x in jaccard_join.similar(docs_of(texts)).collect()}
-    assert got == {k: root(k) for k in range(len(texts))}
+    assert got == _components_by_brute_force(texts)
+    assert sum(seen) < 10 * len(texts)
+
+
+def test_shingles_of_long_texts_are_those_of_their_words(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from paceline.llm import shingles
+
+    r = random.Random(2)
+    texts = [b" ".join(b"w%d" % r.randrange(3000) for _ in range(n)) + b" \n" * 40 for n in (0, 3, 4, 5, 6, 40, 400)] + [b"Q" * 300, b"q" * 300]
+    want = shingles.shingle_hashes(texts)
+    monkeypatch.setattr(shingles, "BLOCK", 64)
+    got = shingles.shingle_hashes(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    assert got[-1] == got[-2]
+    monkeypatch.setattr(shingles, "_LONG", __import__("re").compile(rb"[^\x20\x09-\x0D]{100,}"))
+    monkeypatch.setattr(shingles, "LONG_WORD", 100)
+    a, b, c = shingles.shingle_hashes([b"Q" * 300, b"q" * 300, b"q" * 301])
+    assert len(a) == 1 and a == b and a != c
 
 
 def test_bitmaps_never_refuse_a_link():
