@@ -97,3 +97,8 @@ def min_per_km(ms: Column) -> Column:
 
 def min_per_mile(ms: Column) -> Column:
     return F.when(ms > 0, METRES_PER_MILE / (ms * 60.0)).otherwise(0.0)
+
+
+def behind_metres(deficit_s: Column, tpm: Column) -> Column:
+    """Metres behind for a deficit in seconds, at a pace; null without one."""
+    return F.when((tpm > 0) & (tpm < float("inf")), -deficit_s / tpm)

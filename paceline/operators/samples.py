@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,24 +57,36 @@ def pace_samples(points: DataFrame) -> DataFrame:
     )
 
 
+def spaced(distances: list[float], spacing_m: float) -> list[int]:
+    """Positions of the first distance and of each that is spacing_m or more beyond the last one taken.
+
+    The next one is searched among running maxima, so the work follows the
+    number taken, not the number of distances.
+    """
+    d = np.asarray(distances, float)
+    out = [0] if len(d) else []
+    top = np.maximum.accumulate(d) if len(d) else d
+    while out:
+        here = out[-1]
+        k = max(here + 1, int(np.searchsorted(top, d[here] + spacing_m)) - 1)
+        while k < len(d) and d[k] - d[here] < spacing_m:
+            k += 1
+        if k >= len(d):
+            break
+        out.append(k)
+    return out
+
+
 def decimated(points: DataFrame, spacing_m: float = 20.0) -> DataFrame:
     """Points at least spacing_m after the last one kept.
 
-    Which point is kept depends on the last kept one, so each ride's ordered
-    array is folded; a ride is a few thousand points.
+    Which point is kept depends on the last kept one, so a ride is one ordered
+    group of two numbers a point.
     """
-    ride = points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "distance_m"))).alias("p"))
-    state = "struct<last:double,kept:array<struct<seq:int,distance_m:double>>>"
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<seq:int,distance_m:double>>").alias("kept"))
-    folded = F.aggregate(
-        "p",
-        start,
-        lambda acc, x: F.when(
-            acc["last"].isNull() | (x["distance_m"] - acc["last"] >= spacing_m),
-            F.struct(x["distance_m"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept")),
-        )
-        .otherwise(acc)
-        .cast(state),
-        lambda acc: acc["kept"],
-    )
-    return ride.select("track_id", F.explode(folded).alias("k")).select("track_id", "k.seq", "k.distance_m")
+
+    def run(ride: pa.Table) -> pa.Table:
+        ride = ride.sort_by("seq")
+        return ride.take(pa.array(spaced(ride.column("distance_m").to_numpy(), spacing_m), pa.int64()))
+
+    kind = {f.name: f.dataType.simpleString() for f in points.select("track_id", "seq", "distance_m").schema}
+    return points.select("track_id", "seq", "distance_m").groupBy("track_id").applyInArrow(run, ", ".join(f"{n} {t}" for n, t in kind.items()))

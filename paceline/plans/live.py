@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import formats
-from paceline.operators import rules
+from paceline.operators import laps, rules
 from paceline.plans import _sql
 from paceline.sources import rides
-from paceline.streaming import race
+from paceline.streaming import alerts, race
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -44,9 +44,34 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+#: Ticks as above; a tick's event, then what it makes of the state before it.
+_TICKS = """
+tk AS (SELECT track_id AS ride_id, seq, time_s AS t, CASE WHEN seq % 11 = 5 THEN lag(distance_m) OVER w ELSE distance_m END AS raw, CASE WHEN seq % 13 <> 3 THEN (seq % 9 + 1)::DOUBLE END AS speed, greatest(0, time_s - lag(time_s) OVER w) AS dt FROM points WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+coast(ride_id, seq, raw, gained, due_m, due_s, spent, blind, frozen, cruise, forward, held) AS (
+  SELECT ride_id, seq, raw, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CASE WHEN speed BETWEEN 0.5 AND 30 THEN speed ELSE 0.0::DOUBLE END, false, false FROM tk WHERE seq = 1
+  UNION ALL
+  SELECT ride_id, seq, raw,
+         CASE ev WHEN 'read' THEN 0 WHEN 'lost' THEN 0 WHEN 'hold' THEN gained WHEN 'stand' THEN gained WHEN 'stall' THEN gained + due_m ELSE gained + due_m + rate * room END,
+         CASE ev WHEN 'hold' THEN due_m + least(speed, 30) * dt WHEN 'stand' THEN due_m ELSE 0 END,
+         CASE ev WHEN 'hold' THEN due_s + dt WHEN 'stand' THEN due_s ELSE 0 END,
+         CASE ev WHEN 'read' THEN 0 WHEN 'stall' THEN spent + due_s WHEN 'coast' THEN spent + due_s + room ELSE spent END,
+         CASE WHEN ev = 'read' THEN 0 WHEN ev = 'coast' AND speed IS NULL THEN blind + room ELSE blind END,
+         CASE ev WHEN 'read' THEN 0 WHEN 'lost' THEN 0 WHEN 'stand' THEN frozen ELSE frozen + dt END,
+         CASE WHEN ev = 'read' AND speed BETWEEN 0.5 AND 30 THEN speed ELSE cruise END,
+         CASE WHEN ev = 'read' THEN raw > was ELSE forward END,
+         ev = 'hold' OR (ev = 'stand' AND held)
+  FROM (SELECT *, CASE WHEN speed IS NULL THEN cruise ELSE least(speed, 30) END AS rate,
+               least(dt, greatest(0, 1800 - spent - due_s), CASE WHEN speed IS NULL THEN greatest(0, 30 - blind) ELSE dt END) AS room FROM (
+    SELECT k.ride_id, k.seq, k.raw, k.speed, k.dt, c.raw AS was, c.gained, c.due_m, c.due_s, c.spent, c.blind, c.frozen, c.cruise, c.forward, c.held,
+           CASE WHEN k.raw <> c.raw THEN 'read' WHEN k.speed IS NULL AND c.cruise <= 0 THEN CASE WHEN c.forward THEN 'stall' ELSE 'lost' END WHEN k.speed < 0.5 THEN 'stand'
+                WHEN k.speed IS NOT NULL AND c.spent = 0 AND c.frozen + k.dt > 0 AND c.frozen + k.dt <= 2 THEN 'hold' ELSE 'coast' END AS ev
+    FROM coast c JOIN tk k ON k.ride_id = c.ride_id AND k.seq = c.seq + 1)))
+"""
+
+
+@query("SELECT ride_id, seq, round(raw + gained, 6) AS distance_m, CASE WHEN held OR frozen <= 0 THEN 'LIVE' WHEN frozen <= 30 THEN 'COASTING' ELSE 'LONG_LOSS' END AS quality, round(frozen, 6) AS frozen_s FROM coast", _TICKS)
 def coast_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return race.odometers(ticks(spark, sf_dir))
+    return race.odometers(ticks(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("distance_m", "frozen_s")})
 
 
 @query()
@@ -59,10 +84,53 @@ def gap_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return race.gap_stream(race.race_batch(ticks(spark, sf_dir)))
 
 
-@query()
+#: Laps of a ride's own road, folded node by node from the last good one.
+_LAPS = """
+pairs AS (SELECT track_id AS lap_id, lag(distance_m) OVER w AS d0, distance_m AS d1, lag(time_s) OVER w AS t0, time_s AS t1 FROM points WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+ends AS (SELECT track_id AS lap_id, max(distance_m) AS hi, min(distance_m) AS lo FROM points GROUP BY track_id),
+node AS (SELECT lap_id, k::INT AS k, k * 25.0::DOUBLE AS d FROM ends, range(0, 61) AS r(k) WHERE k * 25 >= lo AND k * 25 <= hi AND lo < hi),
+passed AS (SELECT lap_id, k, d, min(CASE WHEN d1 > d0 THEN t0 + (d - d0) / (d1 - d0) * (t1 - t0) ELSE t0 END) AS t FROM node JOIN pairs USING (lap_id) WHERE d0 <= d AND d <= d1 GROUP BY ALL),
+good AS (SELECT lap_id, 0 AS k, 0.0::DOUBLE AS d, 0.0::DOUBLE AS t FROM ends WHERE lo < hi
+         UNION ALL
+         SELECT lap_id, k, d, t FROM (
+           SELECT p.lap_id, p.k, p.d, p.t, row_number() OVER (PARTITION BY p.lap_id ORDER BY p.k) AS rn
+           FROM good g JOIN passed p ON p.lap_id = g.lap_id AND p.k > g.k AND p.t > g.t AND p.d - g.d <= 30 * (p.t - g.t) + 1e-9) WHERE rn = 1),
+folds AS (SELECT b.lap_id, b.k, least(50, b.t - a.t) AS dt_s FROM good a JOIN good b ON a.lap_id = b.lap_id AND b.k = a.k + 1)
+"""
+
+
+def _laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laps.lap_folds(laps.route_laps(rides.points(spark, sf_dir)), 1500.0)
+
+
+@query("SELECT lap_id, k, round(dt_s, 6) AS dt_s FROM folds", _LAPS)
 def lap_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    laps = rides.points(spark, sf_dir).select(F.col("track_id").alias("lap_id"), F.col("distance_m").alias("route_dist_m"), "time_s")
-    return race.lap_folds(laps, 1500.0)
+    """Seconds from node to node of every ride's first 1,500 m."""
+    return _laps(spark, sf_dir).withColumn("dt_s", F.round("dt_s", 6))
+
+
+@query(
+    "SELECT k, round(sum(dt_s * CASE WHEN o <= 4 THEN 1.0::DOUBLE / least(n, 4) * 0.75::DOUBLE ** greatest(0, n - 4) ELSE 0.25::DOUBLE * 0.75::DOUBLE ** (n - o) END), 6) AS dt_s, round(min(dt_s), 6) AS min_dt_s, round(max(CASE WHEN o = n THEN dt_s END), 6) AS last_dt_s, count(*) AS count"
+    " FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY started_ms, lap_id) AS o, count(*) OVER (PARTITION BY k) AS n FROM folds JOIN tracks ON track_id = lap_id) GROUP BY k",
+    _LAPS,
+)
+def lap_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rides' laps folded by node, oldest first."""
+    order = F.struct(rides.started_ms("lap_id"), "lap_id")
+    got = laps.fold_of_laps(_laps(spark, sf_dir), order)
+    return got.select("k", *[F.round(c, 6).alias(c) for c in ("dt_s", "min_dt_s", "last_dt_s")], "count")
+
+
+@query(
+    "SELECT ride_id, seq, age_s FROM (SELECT *, row_number() OVER (PARTITION BY ride_id, loss ORDER BY seq) AS rn FROM ("
+    "SELECT *, sum(CASE WHEN age_s < 30 THEN 1 ELSE 0 END) OVER (PARTITION BY ride_id ORDER BY seq) AS loss FROM ("
+    "SELECT track_id AS ride_id, seq, time_s - coalesce(max(CASE WHEN seq % 60 < 25 THEN time_s END) OVER (PARTITION BY track_id ORDER BY seq), min(time_s) OVER (PARTITION BY track_id)) AS age_s FROM points QUALIFY seq % 7 <> 0)) WHERE age_s >= 60) WHERE rn = 1"
+)
+def position_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of rides that have a position in 25 of 60 ticks and pause every seventh."""
+    pts = rides.points(spark, sf_dir)
+    last = F.max(F.when(F.col("seq") % 60 < 25, F.col("time_s"))).over(Window.partitionBy("track_id").orderBy("seq"))
+    return alerts.position_alerts(pts.select(F.col("track_id").alias("ride_id"), "seq", F.col("time_s").alias("now_s"), last.alias("last_fix_s"), (F.col("seq") % 7 == 0).alias("paused")))
 
 
 _GAPS = "gaps AS (SELECT track_id, seq, CASE WHEN seq % 19 = 0 THEN NULL ELSE (t_ms - d_mm * 18 // 100) / 1000.0::DOUBLE END AS gap_s, (d_mm - t_ms * 5) / 1000.0::DOUBLE AS gap_m FROM points)"
@@ -146,12 +214,23 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(~F.col("was").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", "event_type", "ts", "was")
 
 
-@query()
+_RECORDED = """
+here AS (SELECT track_id, seq, seq % 7 <> 4 AS has, lat, lng, d_mm, time_s FROM points),
+kept(track_id, seq, d_mm) AS (SELECT track_id, seq, d_mm FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS rn FROM here WHERE has) WHERE rn = 1
+  UNION ALL SELECT track_id, seq, d_mm FROM (SELECT n.*, row_number() OVER (PARTITION BY n.track_id ORDER BY n.seq) AS rn FROM kept k JOIN here n ON n.track_id = k.track_id AND n.has AND n.seq > k.seq AND n.d_mm - k.d_mm >= 20000) WHERE rn = 1),
+tail(track_id, seq, d_mm) AS (SELECT track_id, min(seq), arg_min(d_mm, seq) FROM here WHERE has GROUP BY track_id
+  UNION ALL SELECT track_id, seq, d_mm FROM (SELECT n.*, row_number() OVER (PARTITION BY n.track_id ORDER BY n.seq) AS rn FROM tail k JOIN here n ON n.track_id = k.track_id AND n.seq > k.seq AND n.d_mm - k.d_mm >= 20000) WHERE rn = 1),
+every AS (SELECT track_id, seq FROM kept UNION SELECT track_id, max(seq) FROM here WHERE has GROUP BY track_id),
+rec AS (SELECT h.*, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY h.track_id) AS n, t.d_mm AS tail_mm FROM here h JOIN every USING (track_id, seq) JOIN (SELECT track_id, max(d_mm) AS d_mm FROM tail GROUP BY track_id) t ON t.track_id = h.track_id WINDOW w AS (PARTITION BY h.track_id ORDER BY h.seq))
+"""
+
+
+@query("SELECT track_id AS ride_id, k::INT AS seq, round(lat, 9) AS lat, round(lng, 9) AS lng, d_mm / 1000.0::DOUBLE AS distance_m, time_s, tail_mm / 1000.0::DOUBLE AS tail_m FROM rec WHERE n > 1", _RECORDED)
 def recorded_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rides as the recorder keeps them; some samples have no position."""
     pts = rides.points(spark, sf_dir)
     lost = F.col("seq") % 7 == 4
-    return race.recorded_tracks(pts.select(F.col("track_id").alias("ride_id"), "seq", F.when(~lost, F.col("lat")).alias("lat"), F.when(~lost, F.col("lng")).alias("lng"), "distance_m", "time_s"))
+    return race.recorded_tracks(pts.select(F.col("track_id").alias("ride_id"), "seq", F.when(~lost, F.col("lat")).alias("lat"), F.when(~lost, F.col("lng")).alias("lng"), "distance_m", "time_s")).withColumns({c: F.round(c, 9) for c in ("lat", "lng")})
 
 
 _SITUATIONS = "sit AS (SELECT event_id, event_id % 2 = 0 AS a, event_id % 3 = 0 AS b, event_id % 5 = 0 AS c, event_id % 7 = 0 AS d, CASE WHEN event_id % 4 = 0 THEN 'TARGET' ELSE 'HISTORY' END AS kind FROM events)"

@@ -1,66 +1,123 @@
-"""Races over ticks: the pure steps over stored ticks and over a stream."""
+"""Races over ticks: one step, over stored ticks and over a stream."""
 
 from __future__ import annotations
 
 import json
+import math
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from paceline.streaming.ticks import Race, advance, fold_lap, from_plain, race_step, to_plain
+from paceline.operators.samples import spaced
+from paceline.streaming.ghost import Ghost, followed
+from paceline.streaming.odometer import MOVING, Event, Odometer, advanced, finite
 
 GAPS = (
     "ride_id bigint, seq int, elapsed_s double, distance_m double, quality string, tag string, gap_time_s double,"
     " gap_distance_m double, matched_m double, filled_m double, ahead boolean, estimated boolean"
 )
 COLUMNS = [c.split()[0] for c in GAPS.split(", ")]
+TICK = ("seq", "elapsed_s", "raw_m", "speed_ms", "history_tpm", "grade_tpm", "state")
+#: A ride that has had no tick for so long is forgotten.
+IDLE_MS = 24 * 3600 * 1000
 
 
-def _none(x):
-    return None if pd.isna(x) else float(x)
+@dataclass
+class Race:
+    odometer: Odometer = field(default_factory=Odometer)
+    ghost: Ghost = field(default_factory=Ghost)
+    clock: float | None = None
+    raced_s: float = 0.0
+    at: float = 0.0
+    begun: bool = False
+    verdict_seen: bool = False
 
 
-def _row(ride: int, t, r: Race, tag: str) -> tuple:
-    o, g = r.odometer, r.ghost
-    return (ride, int(t.seq), float(t.elapsed_s), o.distance, o.quality, tag, -g.lead_s, g.lead_m, g.matched_m, g.filled_m, g.lead_s > 0, o.quality != "LIVE")
+def raced(r: Race, raw: float | None, speed: float | None, elapsed: float | None, history: float | None, grade: float | None, target: float | None = None, fix_fresh: bool = True) -> tuple[Race, str]:
+    """One tick of a race and the tier that answered: SEG, GRADE, TGT or GP (none).
 
-
-def _steps(ride: int, ticks: pd.DataFrame, r: Race) -> tuple[Race, list[tuple]]:
+    target (m/s): race against a fixed speed and leave history alone.
+    """
+    r.odometer = o = advanced(r.odometer, raw, speed, elapsed)
+    if finite(elapsed) is None or o.clock is None:
+        return r, "GP"
+    took = elapsed - r.clock if r.clock is not None else 0.0
+    still = speed is not None and speed < MOVING and o.event == Event.SETTLING
+    stuck = o.distance <= r.at and o.event != Event.HOLD
+    if took < 0 or not (still or stuck):
+        r.raced_s += took
+    r.clock = elapsed
+    offers = [("TGT", 1 / target)] if target is not None else [("SEG", history), ("GRADE", grade)]
+    trusted = fix_fresh and o.quality == "LIVE"
+    tag, pace = next(((t, p) for t, p in offers if trusted and p is not None), ("GP", None))
+    if not (o.held and r.begun):  # what is held back is raced when it settles
+        before = r.ghost.matched_m
+        followed(r.ghost, o.distance, r.raced_s, pace)
+        r.verdict_seen |= target is None and r.ghost.matched_m > before
+        r.begun, r.at = True, o.distance
+    return r, tag
+
+
+def to_plain(r: Race) -> dict:
+    return asdict(r)
+
+
+def from_plain(d: dict) -> Race:
+    return Race(**{**d, "odometer": Odometer(**d["odometer"]), "ghost": Ghost(**d["ghost"])})
+
+
+def _steps(ride: int, ticks: list[tuple], r: Race) -> tuple[Race, list[tuple]]:
+    """ticks in order: (seq, elapsed_s, raw_m, speed_ms, history_tpm, grade_tpm, state)."""
     out = []
-    for t in ticks.sort_values("seq").itertuples():
-        if t.state == "idle":  # the ride ended
+    for seq, elapsed, raw, speed, history, grade, state in ticks:
+        if state == "idle":  # the ride ended
             r = Race()
-            continue
-        if t.state == "paused":
-            continue
-        r, tag = race_step(r, _none(t.raw_m), _none(t.speed_ms), _none(t.elapsed_s), _none(t.history_tpm), _none(t.grade_tpm))
-        out.append(_row(ride, t, r, tag))
+        elif state != "paused":
+            r, tag = raced(r, raw, speed, elapsed, history, grade)
+            o, g = r.odometer, r.ghost
+            out.append((ride, seq, elapsed, o.distance, o.quality, tag, -g.lead_s, g.lead_m, g.matched_m, g.filled_m, g.lead_s > 0, o.quality != "LIVE"))
     return r, out
 
 
+def _in_order(ticks: pa.Table) -> list[tuple]:
+    ticks = ticks.sort_by("seq")
+    return list(zip(*(ticks.column(c).to_pylist() for c in TICK), strict=True))
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    cols = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _grouped(rows: DataFrame, key: str, ddl: str, work) -> DataFrame:
+    """work(key, table) gives the result's rows as tuples, a group at a time."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in ddl.split(", "))])
+    return rows.groupBy(key).applyInArrow(lambda k, t: _table(work(k[0].as_py(), t), schema), ddl)
+
+
 def race_batch(ticks: DataFrame) -> DataFrame:
     """Gaps of stored ticks: ride_id, seq, elapsed_s, raw_m, speed_ms, history_tpm,
     grade_tpm, state.  A ride is one ordered group."""
-
-    def run(key, pdf):
-        return pd.DataFrame(_steps(int(key[0]), pdf, Race())[1], columns=COLUMNS)
-
-    return ticks.groupBy("ride_id").applyInPandas(run, GAPS)
+    return _grouped(ticks.select("ride_id", *TICK), "ride_id", GAPS, lambda ride, t: _steps(ride, _in_order(t), Race())[1])
 
 
 class RaceProcessor(StatefulProcessor):
-    """A ride's race as one JSON value of state; an idle tick clears it."""
+    """A ride's race as one bounded JSON value of state; an idle tick or a day without ticks clears it."""
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("race", "race string")
+        self.state = handle.getValueState("race", "race string", IDLE_MS)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        ticks = pd.concat(list(rows))
+        frame = pd.concat(list(rows)).sort_values("seq")[list(TICK)].astype(object)
+        ticks = [tuple(None if isinstance(x, float) and math.isnan(x) or x is None else x for x in t) for t in frame.itertuples(index=False, name=None)]
         race = from_plain(json.loads(self.state.get()[0])) if self.state.exists() else Race()
         race, out = _steps(int(key[0]), ticks, race)
-        if len(ticks) and ticks.sort_values("seq")["state"].iloc[-1] == "idle":
+        if ticks and ticks[-1][-1] == "idle":
             self.state.clear()
         else:
             self.state.update((json.dumps(to_plain(race)),))
@@ -72,47 +129,46 @@ class RaceProcessor(StatefulProcessor):
 
 def race_stream(ticks: DataFrame) -> DataFrame:
     """The same over a stream of ticks, in the order they arrive a ride."""
-    return ticks.groupBy("ride_id").transformWithStateInPandas(RaceProcessor(), GAPS, "Append", "None")
+    return ticks.groupBy("ride_id").transformWithStateInPandas(RaceProcessor(), GAPS, "Append", "ProcessingTime")
 
 
 def odometers(ticks: DataFrame) -> DataFrame:
     """ride_id, seq, distance_m, quality, frozen_s of each tick."""
 
-    def run(key, pdf):
-        from paceline.streaming.ticks import Odometer
-
+    def work(ride, t):
         o, out = Odometer(), []
-        for t in pdf.sort_values("seq").itertuples():
-            o = advance(o, _none(t.raw_m), _none(t.speed_ms), _none(t.elapsed_s))
-            out.append((int(key[0]), int(t.seq), o.distance, o.quality, o.frozen_s))
-        return pd.DataFrame(out, columns=["ride_id", "seq", "distance_m", "quality", "frozen_s"])
-
-    return ticks.groupBy("ride_id").applyInPandas(run, "ride_id bigint, seq int, distance_m double, quality string, frozen_s double")
-
+        for seq, elapsed, raw, speed, *_ in _in_order(t):
+            o = advanced(o, raw, speed, elapsed)
+            out.append((ride, seq, o.distance, o.quality, o.frozen_s))
+        return out
 
-def recorded_tracks(samples: DataFrame) -> DataFrame:
-    """ride_id, seq, lat, lng, distance_m, time_s, tail_m of each ride's samples."""
-
-    def run(key, pdf):
-        from paceline.streaming.ticks import Recorder, record, recorded
+    return _grouped(ticks.select("ride_id", *TICK), "ride_id", "ride_id bigint, seq int, distance_m double, quality string, frozen_s double", work)
 
-        r = Recorder()
-        for t in pdf.sort_values("seq").itertuples():
-            r = record(r, _none(t.lat), _none(t.lng), float(t.distance_m), float(t.time_s))
-        rows = [(int(key[0]), k, *p, r.tail_m) for k, p in enumerate(recorded(r) or [])]
-        return pd.DataFrame(rows, columns=["ride_id", "seq", "lat", "lng", "distance_m", "time_s", "tail_m"])
 
-    return samples.groupBy("ride_id").applyInPandas(run, "ride_id bigint, seq int, lat double, lng double, distance_m double, time_s double, tail_m double")
+RECORD_M = 20.0
 
 
-def lap_folds(laps: DataFrame, route_len_m: float) -> DataFrame:
-    """lap_id, k, dt_s of laps (lap_id, route_dist_m, time_s)."""
+def recorded_tracks(samples: DataFrame) -> DataFrame:
+    """ride_id, seq, lat, lng, distance_m, time_s, tail_m of each ride's samples.
 
-    def run(key, pdf):
-        pts = list(pdf.sort_values(["time_s", "route_dist_m"])[["route_dist_m", "time_s"]].itertuples(index=False, name=None))
-        return pd.DataFrame([(int(key[0]), k, dt) for k, dt in fold_lap(pts, route_len_m)], columns=["lap_id", "k", "dt_s"])
+    The track has a positioned sample every 20 m and the last one; tail_m, for
+    the ride's key, counts samples without a position too, from the first one
+    that has one.  A ride with fewer than two points has no track.
+    """
 
-    return laps.groupBy("lap_id").applyInPandas(run, "lap_id bigint, k int, dt_s double")
+    def work(ride, t):
+        t = t.sort_by("seq")
+        lat, lng, d, s = (t.column(c).to_pylist() for c in ("lat", "lng", "distance_m", "time_s"))
+        here = [k for k in range(len(d)) if lat[k] is not None and lng[k] is not None]
+        if not here:
+            return []
+        tail = d[here[0] + spaced(d[here[0] :], RECORD_M)[-1]]
+        kept = [here[k] for k in spaced([d[k] for k in here], RECORD_M)]
+        if d[here[-1]] > d[kept[-1]]:
+            kept.append(here[-1])
+        return [(ride, n, lat[k], lng[k], d[k], s[k], tail) for n, k in enumerate(kept)] if len(kept) > 1 else []
+
+    return _grouped(samples.select("ride_id", "seq", "lat", "lng", "distance_m", "time_s"), "ride_id", "ride_id bigint, seq int, lat double, lng double, distance_m double, time_s double, tail_m double", work)
 
 
 def latest_a_second(ticks: DataFrame, ts: str = "ts", key: str = "ride_id") -> DataFrame:

@@ -5,14 +5,18 @@ from __future__ import annotations
 import pytest
 
 from paceline.plans import live
-from paceline.streaming import race
-from paceline.streaming.ticks import Episode, Ghost, Odometer, advance, behind_metres, fix_alert, fold_lap, from_plain, haunt, rebased, resumed, to_plain
+from paceline.functions import formats
+from paceline.operators import laps
+from paceline.streaming import alerts, race
+from paceline.streaming.ghost import KEEP_M, Ghost, followed, rebased, resumed
+from paceline.streaming.odometer import Odometer, advanced
+from paceline.streaming.race import Race, from_plain, raced, to_plain
 
 
-def drive(ticks):
-    o = Odometer()
+def drive(ticks, o=None):
+    o = o or Odometer()
     for raw, speed, t in ticks:
-        advance(o, raw, speed, t)
+        o = advanced(o, raw, speed, t)
     return o
 
 
@@ -26,8 +30,8 @@ def test_coasting_short_and_long():
 def test_short_freeze_is_held_back_and_settles():
     o = drive([(100, 10, 0), (100, 10, 1)])
     assert (o.distance, o.quality, o.held) == (100, "LIVE", True)
-    advance(o, 120, 10, 2)
-    assert (o.distance, o.held, o.settled) == (120, False, True)
+    o = advanced(o, 120, 10, 2)
+    assert (o.distance, o.held, o.event) == (120, False, "SETTLING")
 
 
 def test_without_speed_the_last_one_is_used_for_a_while():
@@ -40,27 +44,34 @@ def test_without_speed_the_last_one_is_used_for_a_while():
 def test_standing_still_and_recovery():
     o = drive([(100, 10, 0)] + [(100, 0, t) for t in range(1, 20)])
     assert (o.distance, o.quality) == (100, "LIVE")
-    advance(o, 140, 8, 20)
+    o = advanced(o, 140, 8, 20)
     assert (o.distance, o.quality) == (140, "LIVE")
 
 
 def test_ghost_ahead_neutral_and_novel():
     g = Ghost()
     for k in range(6):
-        haunt(g, 20.0 * k, 3.0 * k, 0.2)
-    assert (g.time, g.lead_s) == pytest.approx((20.0, 5.0))
-    haunt(g, 150.0, 30.0, None)
+        followed(g, 20.0 * k, 3.0 * k, 0.2)
+    assert (g.lead_s, g.lead_m) == pytest.approx((5.0, 25.0))
+    followed(g, 150.0, 30.0, None)
     assert (g.lead_s, g.matched_m, g.filled_m) == pytest.approx((5.0, 100.0, 50.0))
     g = Ghost()
     for k in range(300):
-        haunt(g, 100.0 * k, 10.0 * k, None)
+        followed(g, 100.0 * k, 10.0 * k, None)
     assert g.lead_s == pytest.approx(0.0)
 
 
+def test_the_path_of_a_long_ride_stays_short():
+    g = Ghost()
+    for k in range(20_000):
+        followed(g, 10.0 * k, 2.0 * k, 0.2)
+    assert g.lead_s == pytest.approx(0.0, abs=1e-6) and len(g.path) < 3 * KEEP_M / 20
+
+
 def test_ghost_against_a_fixed_pace_is_its_closed_form():
     g, d = Ghost(), 0.0
     for t in range(900):
-        haunt(g, d, float(t), 0.2)
+        followed(g, d, float(t), 0.2)
         assert g.lead_s == pytest.approx(d * 0.2 - t, abs=1e-6)
         d += 3 + t % 5
 
@@ -68,65 +79,79 @@ def test_ghost_against_a_fixed_pace_is_its_closed_form():
 def test_backward_keeps_the_lead_and_rebase_and_resume():
     g = Ghost()
     for k in range(10):
-        haunt(g, 20.0 * k, 3.0 * k, 0.2)
+        followed(g, 20.0 * k, 3.0 * k, 0.2)
     lead = g.lead_s
-    haunt(g, 100.0, 27.0, 0.2)
-    assert g.lead_s == pytest.approx(lead) and all(c[0] <= 100 for c in g.crumbs)
+    followed(g, 100.0, 27.0, 0.2)
+    assert g.lead_s == pytest.approx(lead) and all(c[0] <= 100 for c in g.path)
     rebased(g, 500.0, 127.0)
-    haunt(g, 500.0, 127.0, 0.2)
+    followed(g, 500.0, 127.0, 0.2)
     assert g.lead_s == pytest.approx(lead)
-    resumed(g, 7.0, 600.0)
-    haunt(g, 600.0, 200.0, 0.2)
+    resumed(g, 7.0)
+    followed(g, 600.0, 200.0, 0.2)
     assert g.lead_s == pytest.approx(7.0)
 
 
-def test_lap_fold():
-    got = fold_lap([(0.0, 0.0), (100.0, 20.0)], 100.0)
-    assert dict(got) == pytest.approx({1: 5.0, 2: 5.0, 3: 5.0, 4: 5.0})
-    dwell = dict(fold_lap([(0.0, 0.0), (25.0, 5.0), (50.0, 205.0), (100.0, 215.0)], 100.0))
-    assert dwell == pytest.approx({1: 5.0, 2: 50.0, 3: 5.0, 4: 5.0})
-    assert fold_lap([(0.0, 0.0)], 100.0) == []
+def _fold(spark, points, length=100.0):
+    rows = spark.createDataFrame([(1, float(d), float(t)) for d, t in points], "lap_id long, route_dist_m double, time_s double")
+    return {r["k"]: r["dt_s"] for r in laps.lap_folds(rows, length).collect()}
 
 
-def test_alert_fires_once_an_episode():
-    e, fired = Episode(), []
-    for t in range(0, 200, 10):
-        e, f = fix_alert(e, float(t), 0.0 if t < 150 else 150.0, paused=False)
-        fired.append(f)
-    assert sum(fired) == 1
+def test_lap_fold(spark):
+    assert _fold(spark, [(0, 0), (100, 20)]) == pytest.approx({1: 5.0, 2: 5.0, 3: 5.0, 4: 5.0})
+    assert _fold(spark, [(0, 0), (25, 5), (50, 205), (100, 215)]) == pytest.approx({1: 5.0, 2: 50.0, 3: 5.0, 4: 5.0})
+    assert _fold(spark, [(0, 0)]) == {}
 
 
-def test_behind_metres():
-    assert behind_metres(10.0, 0.2) == pytest.approx(-50.0) and behind_metres(10.0, None) is None and behind_metres(1.0, 0.0) is None
+def test_lap_fold_skips_what_is_too_fast(spark):
+    """Nodes at 25 m steps, the second one reached in no time: it and its neighbour do not answer."""
+    assert _fold(spark, [(0, 0), (25, 5), (50, 5.1), (75, 20), (100, 25)]) == pytest.approx({1: 5.0, 4: 5.0})
 
 
-def test_a_target_needs_trust_too():
-    from paceline.streaming.ticks import Race, race_step
+def test_fold_of_laps_weighs_as_step_by_step(spark):
+    from pyspark.sql import functions as F
 
-    r = Race()
-    assert race_step(r, 0.0, 6.0, 0.0, 0.3, None, target=5.0)[1] == "TGT"
-    assert race_step(r, 10.0, 6.0, 2.0, 0.3, None, target=5.0, fix_fresh=False)[1] == "GP"
-    assert race_step(r, 20.0, 6.0, 4.0, None, 0.2)[1] == "GRADE" and race_step(r, 30.0, 6.0, 6.0, 0.3, 0.2)[1] == "SEG"
+    for n in (1, 3, 4, 5, 9):
+        x = [float(3 * k % 7 + 1) for k in range(n)]
+        mean = 0.0
+        for k, v in enumerate(x):
+            mean = (mean * k + v) / (k + 1) if k < 4 else 0.25 * v + 0.75 * mean
+        rows = spark.createDataFrame([(k, 2, v) for k, v in enumerate(x)], "lap_id long, k int, dt_s double")
+        got = laps.fold_of_laps(rows, F.col("lap_id")).first()
+        assert (got["k"], got["dt_s"], got["min_dt_s"], got["last_dt_s"], got["count"]) == (2, pytest.approx(mean), min(x), x[-1], n)
+
+
+def test_alert_fires_once_an_episode(spark):
+    rows = [(1, k, 10.0 * k, 0.0 if k < 15 else 150.0, False) for k in range(25)] + [(2, k, 10.0 * k, None, k < 9) for k in range(12)]
+    got = alerts.position_alerts(spark.createDataFrame(rows, "ride_id long, seq int, now_s double, last_fix_s double, paused boolean"))
+    assert sorted((r["ride_id"], r["seq"]) for r in got.collect()) == [(1, 6), (1, 21), (2, 9)]
 
 
-def test_recorder_keeps_spacing_and_the_end():
-    from paceline.streaming.ticks import Recorder, record, recorded
+def test_behind_metres(spark):
+    from pyspark.sql import functions as F
 
-    r = Recorder()
-    for k, d in enumerate((0.0, 5.0, 19.0, 25.0, 30.0)):
-        record(r, None if k == 0 else 41.0, None if k == 0 else 2.0, d, float(k))
-    assert [p[2] for p in recorded(r)] == [5.0, 25.0, 30.0] and r.tail_m == 25.0
-    assert recorded(record(Recorder(), 1.0, 2.0, 0.0, 0.0)) is None
+    rows = spark.createDataFrame([(10.0, 0.2), (10.0, None), (1.0, 0.0), (1.0, float("inf"))], "s double, tpm double")
+    assert [r[0] for r in rows.select(formats.behind_metres(F.col("s"), F.col("tpm"))).collect()] == [pytest.approx(-50.0), None, None, None]
+
+
+def test_a_target_needs_trust_too():
+    r = Race()
+    assert raced(r, 0.0, 6.0, 0.0, 0.3, None, target=5.0)[1] == "TGT"
+    assert raced(r, 10.0, 6.0, 2.0, 0.3, None, target=5.0, fix_fresh=False)[1] == "GP"
+    assert raced(r, 20.0, 6.0, 4.0, None, 0.2)[1] == "GRADE" and raced(r, 30.0, 6.0, 6.0, 0.3, 0.2)[1] == "SEG"
+
+
+def test_recorder_keeps_spacing_and_the_end(spark):
+    rows = [(1, k, None if k == 0 else 41.0, None if k == 0 else 2.0, d, float(k)) for k, d in enumerate((0.0, 5.0, 19.0, 25.0, 30.0))] + [(2, 0, 1.0, 2.0, 0.0, 0.0)]
+    got = race.recorded_tracks(spark.createDataFrame(rows, "ride_id long, seq int, lat double, lng double, distance_m double, time_s double")).orderBy("seq").collect()
+    assert [(r["ride_id"], r["distance_m"], r["tail_m"]) for r in got] == [(1, 5.0, 25.0), (1, 25.0, 25.0), (1, 30.0, 25.0)]
 
 
 def test_state_survives_json():
     import json
 
-    from paceline.streaming.ticks import Race, race_step
-
     r = Race()
     for k in range(10):
-        r, _ = race_step(r, 20.0 * k, 6.0, 3.0 * k, 0.2, None)
+        r, _ = raced(r, 20.0 * k, 6.0, 3.0 * k, 0.2, None)
     assert to_plain(from_plain(json.loads(json.dumps(to_plain(r))))) == to_plain(r)
 
 
