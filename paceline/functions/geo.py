@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,8 +47,9 @@ def cell_lat(lat: Column, size_m: float = MATCH_RADIUS_M) -> Column:
     return F.floor(lat / (size_m / M_PER_DEG)).cast("int")
 
 
-def cell_lng(lng: Column, ref_lat: float = 0.0, size_m: float = MATCH_RADIUS_M) -> Column:
-    return F.floor(lng / (size_m / max(1.0, M_PER_DEG * math.cos(math.radians(ref_lat))))).cast("int")
+def cell_lng(lng: Column, row: Column, size_m: float = MATCH_RADIUS_M) -> Column:
+    """Column number within a row of cells (``cell_lat``): size_m wide at that row's middle latitude."""
+    return F.floor(lng / (size_m / m_per_deg_lng((row + 0.5) * (size_m / M_PER_DEG)))).cast("int")
 
 
 def heading_bin(deg: Column) -> Column:

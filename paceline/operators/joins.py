@@ -63,11 +63,13 @@ def project_near_cells(points: DataFrame, segs: DataFrame, tolerance_m: float) -
     """
     size = tolerance_m
     wide = tolerance_m / geo.M_PER_DEG
-    lngs = wide * geo.M_PER_DEG / geo.m_per_deg_lng(F.col("a_lat"))
+    far = F.greatest(F.abs("a_lat"), F.abs("b_lat")) + wide
+    lngs = tolerance_m / geo.m_per_deg_lng(far)
     rows = F.sequence(geo.cell_lat(F.least("a_lat", "b_lat") - wide, size), geo.cell_lat(F.greatest("a_lat", "b_lat") + wide, size))
-    cols = F.sequence(geo.cell_lng(F.least("a_lng", "b_lng") - lngs, size_m=size), geo.cell_lng(F.greatest("a_lng", "b_lng") + lngs, size_m=size))
-    spread = segs.withColumn("ci", F.explode(rows)).withColumn("cj", F.explode(cols))
-    keyed = points.withColumn("ci", geo.cell_lat(F.col("lat"), size)).withColumn("cj", geo.cell_lng(F.col("lng"), size_m=size))
+    spread = segs.withColumn("ci", F.explode(rows))
+    cols = F.sequence(geo.cell_lng(F.least("a_lng", "b_lng") - lngs, F.col("ci"), size), geo.cell_lng(F.greatest("a_lng", "b_lng") + lngs, F.col("ci"), size))
+    spread = spread.withColumn("cj", F.explode(cols))
+    keyed = points.withColumn("ci", geo.cell_lat(F.col("lat"), size)).withColumn("cj", geo.cell_lng(F.col("lng"), F.col("ci"), size))
     both = keyed.join(spread, ["route_id", "ci", "cj"])
     foot = geo.foot_on_segment(F.col("lat"), F.col("lng"), *[F.col(c) for c in ("a_lat", "a_lng", "b_lat", "b_lng")])
     near = both.withColumn("perp_m", foot["perp_m"]).withColumn("along_m", F.col("lo_m") + foot["t"] * F.col("long_m")).where(F.col("perp_m") < tolerance_m)

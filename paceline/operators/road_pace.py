@@ -14,21 +14,32 @@ MIN_LAPS = 2
 TOLERANCE_DEG = 45.0
 
 
-def seeded_ema(ordered: Column) -> Column:
-    """Running mean of the first SEED_LAPS values, then a moving average."""
-    start = F.struct(F.lit(0.0).alias("e"), F.lit(0).alias("n"))
-    n = lambda acc: acc["n"]
+def in_order(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """rows with place (from 1, in order) and places (their number) within keys."""
+    by = Window.partitionBy(*keys)
+    return rows.withColumn("place", F.row_number().over(by.orderBy(order))).withColumn("places", F.count("*").over(by))
 
-    def merge(acc: Column, x: Column) -> Column:
-        mean = F.when(n(acc) < SEED_LAPS, (acc["e"] * n(acc) + x) / (n(acc) + 1)).otherwise(ALPHA * x + (1 - ALPHA) * acc["e"])
-        return F.struct(mean.alias("e"), (n(acc) + 1).alias("n"))
 
-    return F.aggregate(ordered, start, merge, lambda acc: acc["e"])
+def seeded_mean(value: str) -> Column:
+    """The moving average after the last row, which starts as the mean of the first SEED_LAPS.
+
+    Every row's weight follows from its place, so a hot group is summed, never
+    gathered: the first ones share what the later ones have left.
+    """
+    n, k = F.col("places"), F.col("place")
+    late = F.greatest(F.lit(0), n - F.greatest(k, F.lit(SEED_LAPS)))
+    weight = F.when(k <= SEED_LAPS, 1 / F.least(n, F.lit(SEED_LAPS))).otherwise(F.lit(ALPHA)) * F.pow(F.lit(1 - ALPHA), late)
+    return F.sum(F.col(value) * weight)
+
+
+def celled(places: DataFrame) -> DataFrame:
+    """places (lat, lng) with ci and cj of their cell."""
+    return places.withColumn("ci", geo.cell_lat(F.col("lat"))).withColumn("cj", geo.cell_lng(F.col("lng"), F.col("ci")))
 
 
 def cells(samples: DataFrame) -> DataFrame:
     """Samples with ci, cj, bin; one of each ride a cell and bin, the first along it."""
-    keyed = samples.select("*", geo.cell_lat(F.col("lat")).alias("ci"), geo.cell_lng(F.col("lng")).alias("cj"), geo.heading_bin(F.col("heading")).alias("bin"))
+    keyed = celled(samples).withColumn("bin", geo.heading_bin(F.col("heading")))
     first = F.row_number().over(Window.partitionBy("track_id", "ci", "cj", "bin").orderBy("seq", "sub"))
     return keyed.withColumn("rn", first).where("rn = 1").drop("rn")
 
@@ -36,17 +47,16 @@ def cells(samples: DataFrame) -> DataFrame:
 def model(samples: DataFrame, tracks: DataFrame) -> DataFrame:
     """ci, cj, bin, ema, min, last, count, mean_heading over rides, oldest first."""
     timed = cells(samples).join(tracks.select("track_id", "started_ms"), "track_id")
-    order = F.struct("started_ms", "track_id", "tpm")
     rad = F.radians("heading")
     heading = F.pmod(F.degrees(F.atan2(F.sum(F.sin(rad)), F.sum(F.cos(rad)))) + 360, F.lit(360.0))
-    grouped = timed.groupBy("ci", "cj", "bin").agg(
-        F.array_sort(F.collect_list(order)).alias("laps"),
+    placed = in_order(timed, ["ci", "cj", "bin"], F.struct("started_ms", "track_id"))
+    return placed.groupBy("ci", "cj", "bin").agg(
+        seeded_mean("tpm").alias("ema"),
         F.min("tpm").alias("min"),
-        F.max_by("tpm", F.struct("started_ms", "track_id")).alias("last"),
+        F.max_by("tpm", "place").alias("last"),
         F.count("*").alias("count"),
         heading.alias("mean_heading"),
     )
-    return grouped.select("ci", "cj", "bin", seeded_ema(F.transform("laps", lambda x: x["tpm"])).alias("ema"), "min", "last", "count", "mean_heading")
 
 
 def pick(how: str) -> Column:
@@ -63,19 +73,21 @@ def lookup(places: DataFrame, road: DataFrame, how: str = "AVERAGE") -> DataFram
 
     The exact cell answers if there is one; else the richest of the 26
     neighbours whose mean heading is within 45 degrees.  Only places without an
-    exact answer are spread over neighbours, by equal keys.
+    exact answer are spread over neighbours, by equal keys.  Rows of cells have
+    columns of their own width, so a place has its own column in each row.
     """
     road = road.withColumn("pace", pick(how))
-    keyed = places.select("*", geo.cell_lat(F.col("lat")).alias("ci"), geo.cell_lng(F.col("lng")).alias("cj"), geo.heading_bin(F.col("heading")).alias("bin"))
+    keyed = celled(places).withColumn("bin", geo.heading_bin(F.col("heading")))
     exact = keyed.join(road.select("ci", "cj", "bin", F.col("pace").alias("exact")), ["ci", "cj", "bin"], "left")
-    missed = exact.where(F.col("exact").isNull() & F.col("heading").isNotNull()).select("id", "heading", "ci", "cj", "bin")
+    missed = exact.where(F.col("exact").isNull() & F.col("heading").isNotNull()).select("id", "lng", "heading", "ci", "bin")
     steps = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(b).alias("db")) for i in (-1, 0, 1) for j in (-1, 0, 1) for b in (-1, 0, 1) if i or j or b])
-    around = missed.select("id", "heading", "ci", "cj", "bin", F.explode(steps).alias("o")).select(
+    row = F.col("ci") + F.col("o.di")
+    around = missed.select("*", F.explode(steps).alias("o")).select(
         "id",
         "heading",
         "o",
-        (F.col("ci") + F.col("o.di")).alias("ci"),
-        (F.col("cj") + F.col("o.dj")).alias("cj"),
+        row.alias("ci"),
+        (geo.cell_lng(F.col("lng"), row) + F.col("o.dj")).alias("cj"),
         F.pmod(F.col("bin") + F.col("o.db"), F.lit(8)).alias("bin"),
     )
     near = around.join(road.select("ci", "cj", "bin", "pace", "count", "mean_heading"), ["ci", "cj", "bin"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import geo
 from paceline.operators.joins import sample_at
-from paceline.operators.road_pace import seeded_ema
+from paceline.operators.road_pace import celled, in_order, seeded_mean
 
 STEP_M = 25.0
 MIN_SEG_M = 300.0
@@ -33,19 +33,19 @@ def node_paces(nodes: DataFrame, samples: DataFrame, tracks: DataFrame, step_m:
     """
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     asked = nodes.where("k > 0").select("*", around.alias("o"))
+    row = geo.cell_lat(F.col("lat")) + F.col("o.i")
     asked = asked.select(
-        "route_id", "k", F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng"), F.col("heading").alias("n_heading"), (geo.cell_lat(F.col("lat")) + F.col("o.i")).alias("ci"), (geo.cell_lng(F.col("lng")) + F.col("o.j")).alias("cj")
+        "route_id", "k", F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng"), F.col("heading").alias("n_heading"), row.alias("ci"), (geo.cell_lng(F.col("lng"), row) + F.col("o.j")).alias("cj")
     )
-    keyed = samples.select("track_id", "seq", "sub", "lat", "lng", "heading", "tpm", geo.cell_lat(F.col("lat")).alias("ci"), geo.cell_lng(F.col("lng")).alias("cj"))
+    keyed = celled(samples.select("track_id", "seq", "sub", "lat", "lng", "heading", "tpm"))
     dist = geo.haversine_m(F.col("n_lat"), F.col("n_lng"), F.col("lat"), F.col("lng"))
     near = asked.join(keyed, ["ci", "cj"]).withColumn("dist", F.round(dist, 6))
     near = near.where((F.col("dist") <= geo.MATCH_RADIUS_M) & (geo.bearing_diff_deg(F.col("heading"), F.col("n_heading")) <= 45))
     nearest = near.groupBy("route_id", "k", "track_id").agg(F.min_by("tpm", F.struct("dist", "seq", "sub")).alias("tpm"))
     timed = nearest.join(tracks.select("track_id", "started_ms"), "track_id")
-    laps = F.array_sort(F.collect_list(F.struct("started_ms", "track_id", "tpm")))
-    out = timed.groupBy("route_id", "k").agg(laps.alias("laps"), F.min("tpm").alias("min"), F.max_by("tpm", F.struct("started_ms", "track_id")).alias("last"), F.count("*").alias("count"))
-    ema = seeded_ema(F.transform("laps", lambda x: x["tpm"]))
-    return out.select("route_id", "k", (step_m * ema).alias("dt_s"), "count", (step_m * F.col("min")).alias("min_dt_s"), (step_m * F.col("last")).alias("last_dt_s"))
+    placed = in_order(timed, ["route_id", "k"], F.struct("started_ms", "track_id"))
+    out = placed.groupBy("route_id", "k").agg(seeded_mean("tpm").alias("ema"), F.min("tpm").alias("min"), F.max_by("tpm", "place").alias("last"), F.count("*").alias("count"))
+    return out.select("route_id", "k", (step_m * F.col("ema")).alias("dt_s"), "count", (step_m * F.col("min")).alias("min_dt_s"), (step_m * F.col("last")).alias("last_dt_s"))
 
 
 def node_delta(how: str) -> Column:

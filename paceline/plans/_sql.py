@@ -26,6 +26,14 @@ def turn(a: str, b: str) -> str:
     return f"(CASE WHEN {d} > 180 THEN 360 - {d} ELSE {d} END)"
 
 
+def row(lat: str) -> str:
+    return f"floor(({lat}) / (18.0::DOUBLE / 111320.0::DOUBLE))::INT"
+
+
+def col(lng: str, row_: str) -> str:
+    return f"floor(({lng}) / (18.0::DOUBLE / greatest(1.0::DOUBLE, 111320.0::DOUBLE * cos(radians((({row_}) + 0.5::DOUBLE) * (18.0::DOUBLE / 111320.0::DOUBLE))))))::INT"
+
+
 #: steps(track_id, seq, a_*, *, dd_m, dt_s, chord_m, heading), samples, cells.
 STEPS = f"""
 s0 AS (SELECT *, lag(lat) OVER w AS a_lat, lag(lng) OVER w AS a_lng, lag(distance_m) OVER w AS a_distance_m, lag(time_s) OVER w AS a_time_s FROM points WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
@@ -35,7 +43,7 @@ paced AS (SELECT *, CASE WHEN dd_m / dt_s < 0.5 THEN 2.0::DOUBLE ELSE dt_s / dd_
 dense AS (SELECT *, CASE WHEN dd_m > chord_m * 1.5 THEN 1 ELSE greatest(1, ceil(chord_m / 12.0)) END::INT AS n FROM paced),
 samples AS (SELECT track_id, seq, sub, a_lat + sub::DOUBLE / n * (lat - a_lat) AS lat, a_lng + sub::DOUBLE / n * (lng - a_lng) AS lng, heading, tpm
             FROM (SELECT *, unnest(range(1, n + 1)) AS sub FROM dense)),
-keyed AS (SELECT *, floor(lat / (18.0::DOUBLE / 111320.0::DOUBLE))::INT AS ci, floor(lng / (18.0::DOUBLE / 111320.0::DOUBLE))::INT AS cj,
+keyed AS (SELECT *, {row('lat')} AS ci, {col('lng', row('lat'))} AS cj,
           least(7, floor({pmod('heading')} / 45.0))::INT AS bin FROM samples),
 cells AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY track_id, ci, cj, bin ORDER BY seq, sub) = 1)
 """

@@ -92,13 +92,13 @@ for _how in _sql.PICKS:
 _PLACES = "CASE WHEN track_id % 5 = 0 THEN lat + 18.0::DOUBLE / 111320.0::DOUBLE ELSE lat END"
 _PLACED = f"""
 places AS (SELECT track_id || ':' || seq AS id, track_id, seq, {_PLACES} AS lat, lng, heading, dd_m, dt_s,
-           floor(({_PLACES}) / (18.0::DOUBLE / 111320.0::DOUBLE))::INT AS ci, floor(lng / (18.0::DOUBLE / 111320.0::DOUBLE))::INT AS cj,
+           {_sql.row(_PLACES)} AS ci, {_sql.col('lng', _sql.row(_PLACES))} AS cj,
            least(7, floor(heading / 45.0))::INT AS bin FROM steps),
 rp AS (SELECT *, {_sql.PICKS['AVERAGE']} AS pace FROM road),
 exact AS (SELECT p.*, r.pace AS exact FROM places p LEFT JOIN rp r USING (ci, cj, bin)),
 near AS (SELECT id, first(pace ORDER BY r.count DESC, i, j, b) AS near
          FROM exact e, (VALUES (-1), (0), (1)) AS o1(i), (VALUES (-1), (0), (1)) AS o2(j), (VALUES (-1), (0), (1)) AS o3(b), rp r
-         WHERE e.exact IS NULL AND NOT (i = 0 AND j = 0 AND b = 0) AND r.ci = e.ci + i AND r.cj = e.cj + j AND r.bin = (e.bin + b + 8) % 8
+         WHERE e.exact IS NULL AND NOT (i = 0 AND j = 0 AND b = 0) AND r.ci = e.ci + i AND r.cj = {_sql.col('e.lng', 'e.ci + i')} + j AND r.bin = (e.bin + b + 8) % 8
            AND {_sql.turn('r.mean_heading', 'e.heading')} <= 45 GROUP BY id),
 looked AS (SELECT exact.*, near, coalesce(exact, near) AS hist FROM exact LEFT JOIN near USING (id))
 """
@@ -213,24 +213,11 @@ _TIERED = (
 )
 
 
-@query(_TIERED, *_GRADE_PARTS, _sql.ROAD, _PLACED.replace("rp AS (SELECT *,", "rp AS (SELECT *,").replace("FROM road)", "FROM road WHERE cj % 3 <> 0)"), _TIERS)
-def ride_gap_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lead by tiers: road, else gradient, else the rider's own pace.
-
-    A third of the road's cells is left out, so that all tiers answer.
-    """
-    return _tiered(spark, sf_dir, "cj % 3 <> 0")
-
-
 @query(_TIERED, *_GRADE_PARTS, _sql.ROAD, _PLACED, _TIERS)
-def ride_gap_tiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lead by tiers over the whole road."""
-    return _tiered(spark, sf_dir, "true")
-
-
-def _tiered(spark: SparkSession, sf_dir: str, cells: str) -> DataFrame:
+def ride_gap_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lead by tiers: road, else gradient, else the rider's own pace."""
     pts, tracks, road = _road(spark, sf_dir)
-    got = road_pace.lookup(_places(pts), road.where(cells))
+    got = road_pace.lookup(_places(pts), road)
     model = grade.model(grade.folds(pts), tracks)
     sloped = grade.lookup(grade.graded_steps(pts), model).select("track_id", "seq", "grade_tpm")
     tiers = got.select("track_id", "seq", "dd_m", "dt_s", "hist").join(sloped, ["track_id", "seq"], "left")

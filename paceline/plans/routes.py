@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.functions import geo
 from paceline.operators import grade, joins, road_pace, route, samples
 from paceline.plans import _sql
 from paceline.plans.pace import rounded
@@ -15,9 +16,9 @@ ORACLE_SQL = {}
 
 #: Six routes along the roads; odd ones come back beside the way out.
 _X = "CASE WHEN r % 2 = 1 AND i > 12 THEN 500 + (24 - i) * 150 ELSE 500 + i * 150 END"
-_LAT = "r * 30 + 4 + CASE WHEN r % 2 = 1 AND i > 12 THEN 3 ELSE 0 END"
+_MM, _SIDE = f"(({_X}) * 1000)", "CASE WHEN r % 2 = 1 AND i > 12 THEN 3000 ELSE 0 END"
 VERTICES = f"""
-vertices AS (SELECT r AS route_id, i, ({_LAT}) / 111320.0::DOUBLE AS lat, ({_X}) / 111320.0::DOUBLE AS lng FROM (SELECT unnest(range(0, 6)) AS r), (SELECT unnest(range(0, 25)) AS i)),
+vertices AS (SELECT r AS route_id, i, {rides.lat_of('r', _MM, '//', _SIDE)} AS lat, {rides.lng_of('r', _MM)} AS lng FROM (SELECT unnest(range(0, 6)) AS r), (SELECT unnest(range(0, 25)) AS i)),
 v1 AS (SELECT route_id, i, lat AS a_lat, lng AS a_lng, lead(lat) OVER w AS b_lat, lead(lng) OVER w AS b_lng FROM vertices WINDOW w AS (PARTITION BY route_id ORDER BY i)),
 v2 AS (SELECT *, {_sql.hav('a_lat', 'a_lng', 'b_lat', 'b_lng')} AS long_m, {_sql.bearing('a_lat', 'a_lng', 'b_lat', 'b_lng')} AS seg_heading FROM v1 WHERE b_lat IS NOT NULL),
 v3 AS (SELECT *, sum(long_m) OVER (PARTITION BY route_id ORDER BY i) AS hi_m FROM v2),
@@ -27,13 +28,11 @@ totals AS (SELECT route_id, max(hi_m) AS total_m FROM segs GROUP BY route_id)
 _BX, _BY = "((b_lng - a_lng) * kx)", "((b_lat - a_lat) * 111320.0::DOUBLE)"
 _PX, _PY = "((p.lng - a_lng) * kx)", "((p.lat - a_lat) * 111320.0::DOUBLE)"
 FEET = f"""
-asked AS (SELECT track_id || ':' || seq AS id, track_id % 6 AS route_id, lat, lng, distance_m AS around_m, heading FROM steps WHERE seq % 3 = 0),
+asked AS (SELECT track_id || ':' || seq AS id, track_id % 6 AS route_id, lat, lng, distance_m AS around_m, heading FROM steps),
 f0 AS (SELECT p.id, p.heading, p.around_m, s.*, greatest(1.0::DOUBLE, 111320.0::DOUBLE * cos(radians(a_lat))) AS kx, p.lat, p.lng FROM asked p JOIN segs s USING (route_id)),
 f1 AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({_PX.replace('p.', '')} * {_BX} + {_PY.replace('p.', '')} * {_BY}) / ({_BX} ** 2 + {_BY} ** 2))) AS t FROM f0),
 feet AS (SELECT *, sqrt(({_PX.replace('p.', '')} - t * {_BX}) ** 2 + ({_PY.replace('p.', '')} - t * {_BY}) ** 2) AS perp_m, lo_m + t * long_m AS along_m FROM f1)
 """
-#: The same for every step of every ride; FEET takes each third one.
-FEET_ALL = FEET.replace(" WHERE seq % 3 = 0", "")
 _BEST = "SELECT id, round(perp_m, 3) AS perp_m, round(along_m, 2) AS along_m, i FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY perp_m, i) AS rn FROM feet WHERE {}) WHERE rn = 1"
 
 
@@ -49,11 +48,11 @@ def query(sql: str | None = None, *parts: str):
 
 def routes(spark: SparkSession) -> DataFrame:
     base = spark.range(6).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("i"))
-    return base.select(F.col("r").alias("route_id"), "i", (F.expr(_LAT) / 111_320.0).alias("lat"), (F.expr(_X) / 111_320.0).alias("lng"))
+    return base.select(F.col("r").alias("route_id"), "i", F.expr(rides.lat_of("r", _MM, "div", _SIDE)).alias("lat"), F.expr(rides.lng_of("r", _MM)).alias("lng"))
 
 
-def _asked(spark: SparkSession, sf_dir: str, which: str = "seq % 3 = 0") -> DataFrame:
-    steps = samples.deltas(rides.points(spark, sf_dir)).where(which)
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = samples.deltas(rides.points(spark, sf_dir))
     return steps.select(F.concat_ws(":", "track_id", "seq").alias("id"), (F.col("track_id") % 6).alias("route_id"), "lat", "lng", F.col("distance_m").alias("around_m"), "heading")
 
 
@@ -88,10 +87,6 @@ def project_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, _asked(spark, sf_dir))
 
 
-@query(_BEST.format("true"), _sql.STEPS, VERTICES, FEET_ALL)
-def project_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, _asked(spark, sf_dir, "true"))
-
 
 def _nearest(spark: SparkSession, asked: DataFrame) -> DataFrame:
     got = joins.project_nearest(_plain(asked), joins.segments(routes(spark)))
@@ -103,10 +98,6 @@ def project_near_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_cells(spark, _asked(spark, sf_dir))
 
 
-@query(_BEST.format("perp_m < 35"), _sql.STEPS, VERTICES, FEET_ALL)
-def project_near_cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near_cells(spark, _asked(spark, sf_dir, "true"))
-
 
 def _near_cells(spark: SparkSession, asked: DataFrame) -> DataFrame:
     return rounded(joins.project_near_cells(_plain(asked), joins.segments(routes(spark)), 35.0), perp_m=3, along_m=2)
@@ -120,10 +111,6 @@ def project_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _window(spark, _asked(spark, sf_dir))
 
 
-@query(_BEST.format(_IN_WINDOW), _sql.STEPS, VERTICES, FEET_ALL)
-def project_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _window(spark, _asked(spark, sf_dir, "true"))
-
 
 def _window(spark: SparkSession, asked: DataFrame) -> DataFrame:
     return rounded(joins.project_window(asked.drop("heading"), joins.segments(routes(spark)), 120, 300), perp_m=3, along_m=2)
@@ -134,10 +121,6 @@ def project_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heading(spark, _asked(spark, sf_dir))
 
 
-@query(_BEST.format(f"{_IN_WINDOW} AND {_sql.turn('seg_heading', 'heading')} <= 45 AND perp_m <= 40"), _sql.STEPS, VERTICES, FEET_ALL)
-def project_heading_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _heading(spark, _asked(spark, sf_dir, "true"))
-
 
 def _heading(spark: SparkSession, asked: DataFrame) -> DataFrame:
     return rounded(joins.project_window(asked, joins.segments(routes(spark)), 120, 300, 40, 45), perp_m=3, along_m=2)
@@ -158,10 +141,6 @@ def project_unambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unambiguous(spark, _asked(spark, sf_dir))
 
 
-@query(_ONE_PLACE, _sql.STEPS, VERTICES, FEET_ALL, _CLUSTER)
-def project_unambiguous_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unambiguous(spark, _asked(spark, sf_dir, "true"))
-
 
 def _unambiguous(spark: SparkSession, asked: DataFrame) -> DataFrame:
     got = joins.project_unambiguous(asked.drop("around_m"), joins.segments(routes(spark)), 40, 45, 75, 200)
@@ -208,7 +187,7 @@ nodes AS (SELECT route_id, k, distance_m, a_lat + (distance_m - lo_m) / (hi_m -
 """
 NODE_PACES = f"""
 n0 AS (SELECT n.route_id, n.k, s.track_id, s.seq, s.sub, s.tpm, round({_sql.hav('n.lat', 'n.lng', 's.lat', 's.lng')}, 6) AS dist
-       FROM nodes n JOIN samples s ON abs(n.lat - s.lat) < 0.0003 AND abs(n.lng - s.lng) < 0.0003 WHERE n.k > 0 AND {_sql.turn('s.heading', 'n.heading')} <= 45),
+       FROM nodes n JOIN samples s ON abs(n.lat - s.lat) < 0.0003 AND abs(n.lng - s.lng) < 0.001 WHERE n.k > 0 AND {_sql.turn('s.heading', 'n.heading')} <= 45),
 n1 AS (SELECT route_id, k, track_id, tpm, started_ms FROM n0 JOIN tracks USING (track_id) WHERE dist <= 18 QUALIFY row_number() OVER (PARTITION BY route_id, k, track_id ORDER BY dist, seq, sub) = 1),
 n2 AS (SELECT *, row_number() OVER (PARTITION BY route_id, k ORDER BY started_ms, track_id) AS o, count(*) OVER (PARTITION BY route_id, k) AS n FROM n1),
 n3 AS (SELECT route_id, k, o, n, tpm AS e FROM n2 WHERE o = 1
@@ -236,13 +215,10 @@ def route_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNS = """
-thin AS (SELECT * FROM node_paces WHERE k % 61 <> 40),
-q0 AS (SELECT *, k - row_number() OVER (PARTITION BY route_id ORDER BY k) AS run FROM thin),
+q0 AS (SELECT *, k - row_number() OVER (PARTITION BY route_id ORDER BY k) AS run FROM node_paces),
 q1 AS (SELECT route_id, (min(k) - 1) * 25.0::DOUBLE AS start_m, max(k) * 25.0::DOUBLE AS end_m, sum(CASE WHEN count >= 2 THEN dt_s ELSE last_dt_s END) AS time_s FROM q0 GROUP BY route_id, run),
 runs AS (SELECT * FROM q1 WHERE end_m - start_m >= 300 AND (end_m - start_m) / time_s <= 30)
 """
-#: The same over every node.
-RUNS_ALL = RUNS.replace(" WHERE k % 61 <> 40", "")
 
 
 _RUN_ROWS = "SELECT route_id, start_m, end_m, round(time_s, 3) AS time_s FROM runs"
@@ -250,15 +226,11 @@ _RUN_ROWS = "SELECT route_id, start_m, end_m, round(time_s, 3) AS time_s FROM ru
 
 @query(_RUN_ROWS, _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS)
 def route_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of the node grid; every 61st node is left out, so that there are several."""
-    return _segments(_node_paces(spark, sf_dir)[2].where("k % 61 <> 40"))
-
-
-@query(_RUN_ROWS, _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS_ALL)
-def route_segments_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the node grid."""
     return _segments(_node_paces(spark, sf_dir)[2])
 
 
+
 def _segments(nodes: DataFrame) -> DataFrame:
     return rounded(route.segments_of_nodes(nodes).select("route_id", "start_m", "end_m", "time_s"), time_s=3)
 
@@ -271,16 +243,11 @@ _CURVE_ENDS = (
 @query(_CURVE_ENDS, _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS)
 def route_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and time of each route's stitched curve, gaps ridden at 5 m/s."""
-    segs, _, nodes = _node_paces(spark, sf_dir)
-    return _curve_ends(segs, nodes.where("k % 61 <> 40"))
-
-
-@query(_CURVE_ENDS, _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS_ALL)
-def route_curve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs, _, nodes = _node_paces(spark, sf_dir)
     return _curve_ends(segs, nodes)
 
 
+
 def _curve_ends(segs: DataFrame, nodes: DataFrame) -> DataFrame:
     total = segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m"))
     curve = route.stitched_curve(route.segments_of_nodes(nodes), total, 5.0)
@@ -288,40 +255,26 @@ def _curve_ends(segs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 HITS = f"""
-hits AS (SELECT n.*, EXISTS (SELECT 1 FROM (SELECT DISTINCT ci, cj, bin FROM cells WHERE track_id % 3 = 0) c WHERE c.ci = floor(n.lat / (18.0::DOUBLE / 111320.0::DOUBLE))
-         AND c.cj = floor(n.lng / (18.0::DOUBLE / 111320.0::DOUBLE)) AND c.bin = least(7, floor({_sql.pmod('n.heading')} / 45.0))) AND k % 37 < 30 AS hit FROM nodes n),
+hits AS (SELECT n.*, EXISTS (SELECT 1 FROM (SELECT DISTINCT ci, cj, bin FROM cells) c WHERE c.ci = {_sql.row('n.lat')} AND c.cj = {_sql.col('n.lng', _sql.row('n.lat'))} AND c.bin = least(7, floor({_sql.pmod('n.heading')} / 45.0))) AS hit FROM nodes n),
 cover AS (SELECT route_id, sum(CASE WHEN hit THEN least(25, greatest(0, total_m - distance_m)) ELSE 0 END) / any_value(total_m) AS coverage FROM hits JOIN totals USING (route_id) GROUP BY route_id)
 """
-#: The same with the cells of all rides and every node.
-HITS_ALL = HITS.replace(" WHERE track_id % 3 = 0", "").replace(" AND k % 37 < 30", "")
-
 
-def _hits(spark: SparkSession, sf_dir: str, which: str = "track_id % 3 = 0", nodes: str = "k % 37 < 30") -> tuple[DataFrame, DataFrame]:
-    """Nodes on a cell of every third ride; some are left out, so that there are gaps."""
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Length of each route, and its nodes with whether they lie on a cell of any ride."""
     pts = rides.points(spark, sf_dir)
     segs = joins.segments(routes(spark))
-    road = road_pace.model(samples.pace_samples(pts.where(which)), rides.tracks_of(pts)).select("ci", "cj", "bin", F.lit(True).alias("known"))
-    keyed = route.grid(segs).select("*", road_pace.geo.cell_lat(F.col("lat")).alias("ci"), road_pace.geo.cell_lng(F.col("lng")).alias("cj"), road_pace.geo.heading_bin(F.col("heading")).alias("bin"))
-    hit = keyed.join(road, ["ci", "cj", "bin"], "left").withColumn("hit", F.coalesce("known", F.lit(False)) & F.expr(nodes))
+    road = road_pace.cells(samples.pace_samples(pts)).select("ci", "cj", "bin").distinct().withColumn("known", F.lit(True))
+    keyed = road_pace.celled(route.grid(segs)).withColumn("bin", geo.heading_bin(F.col("heading")))
+    hit = keyed.join(road, ["ci", "cj", "bin"], "left").withColumn("hit", F.coalesce("known", F.lit(False)))
     return segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m")), hit.select("route_id", "k", "distance_m", "hit")
 
 
-def _all_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes on a cell of any ride."""
-    return _hits(spark, sf_dir, "true", "true")
-
-
 @query("SELECT route_id, round(coverage, 6) AS coverage FROM cover", _sql.STEPS, VERTICES, GRID, HITS)
 def route_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     total, hit = _hits(spark, sf_dir)
     return rounded(route.coverage(hit, total), coverage=6)
 
 
-@query("SELECT route_id, round(coverage, 6) AS coverage FROM cover", _sql.STEPS, VERTICES, GRID, HITS_ALL)
-def route_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total, hit = _all_hits(spark, sf_dir)
-    return rounded(route.coverage(hit, total), coverage=6)
-
 
 _COMPARED = "SELECT route_id, CASE WHEN NOT (SELECT coalesce(bool_or(metres >= 400 AND bin > 3), false) FROM grades) AND coverage < 0.1 THEN 'TARGET' ELSE 'HISTORY' END AS comparator FROM cover"
 _GRADE_PARTS = (_sql.GRADED, _sql.FOOT, _sql.GATES, _sql.FOLDS)
@@ -332,10 +285,6 @@ def race_comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir, *_hits(spark, sf_dir))
 
 
-@query(_COMPARED, _sql.STEPS, VERTICES, GRID, HITS_ALL, *_GRADE_PARTS)
-def race_comparator_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compared(spark, sf_dir, *_all_hits(spark, sf_dir))
-
 
 def _compared(spark: SparkSession, sf_dir: str, total: DataFrame, hit: DataFrame) -> DataFrame:
     pts = rides.points(spark, sf_dir)
@@ -358,10 +307,6 @@ def covered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.covered_runs(_hits(spark, sf_dir)[1])
 
 
-@query("SELECT route_id, start_m, end_m FROM covered", _sql.STEPS, VERTICES, GRID, HITS_ALL, _MERGED)
-def covered_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return route.covered_runs(_all_hits(spark, sf_dir)[1])
-
 
 #: Intervals on the routes, from the rides: where each ride's first and last point lie.
 _SPANS = "spans AS (SELECT track_id % 6 AS route_id, track_id, (track_id * 7919 % 3000)::DOUBLE AS start_m, (track_id * 7919 % 3000 + 200 + track_id * 31 % 700)::DOUBLE AS end_m FROM tracks)"
@@ -374,20 +319,16 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GROUPED = (
     "SELECT route_id, g::BIGINT AS grp, count(*) AS n, min(start_m) AS start_m, max(end_m) AS end_m FROM (SELECT *, sum(fresh) OVER (PARTITION BY route_id ORDER BY start_m, end_m) AS g FROM ("
-    "SELECT *, CASE WHEN start_m <= max(end_m) OVER (PARTITION BY route_id ORDER BY start_m, end_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans WHERE track_id % 4 = 1)) GROUP BY ALL"
+    "SELECT *, CASE WHEN start_m <= max(end_m) OVER (PARTITION BY route_id ORDER BY start_m, end_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans)) GROUP BY ALL"
 )
 
 
 @query(_GROUPED, _SPANS)
 def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grouped(_spans(spark, sf_dir).where("track_id % 4 = 1"))
-
-
-@query(_GROUPED.replace(" WHERE track_id % 4 = 1", ""), _SPANS)
-def overlap_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(_spans(spark, sf_dir))
 
 
+
 def _grouped(spans: DataFrame) -> DataFrame:
     got = route.overlap_groups(spans, "route_id", "start_m", "end_m")
     return got.groupBy("route_id", F.col("group").alias("grp")).agg(F.count("*").alias("n"), F.min("start_m").alias("start_m"), F.max("end_m").alias("end_m"))
@@ -401,23 +342,12 @@ _PIECES = (
 )
 
 
-@query(
-    _PIECES,
-    _SPANS,
-    "pri AS (SELECT * FROM spans WHERE track_id % 11 = 3)",
-    "sec AS (SELECT DISTINCT route_id, start_m, end_m FROM spans WHERE track_id % 5 = 2)",
-)
-def overlay_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _spans(spark, sf_dir)
-    return route.uncovered(spans.where("track_id % 5 = 2").select("route_id", "start_m", "end_m").distinct(), spans.where("track_id % 11 = 3"))
-
-
 #: Rides are dealt to routes by track_id % 6, so odd and even ones never meet on a route.
 _PRIMARY = "track_id {div} 6 % 2 = 0"
 
 
 @query(_PIECES, _SPANS, f"pri AS (SELECT * FROM spans WHERE {_PRIMARY.format(div='//')})", f"sec AS (SELECT DISTINCT route_id, start_m, end_m FROM spans WHERE NOT ({_PRIMARY.format(div='//')}))")
-def overlay_pieces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overlay_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the primary half of the rides leaves of the other half; together they hold all."""
     spans, primary = _spans(spark, sf_dir), _PRIMARY.format(div="div")
     return route.uncovered(spans.where(f"NOT ({primary})").select("route_id", "start_m", "end_m").distinct(), spans.where(primary))

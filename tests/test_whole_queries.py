@@ -1,9 +1,7 @@
-"""Queries named ..._all leave out no row of their input."""
+"""Queries leave out no row of their input."""
 
 from __future__ import annotations
 
-import pytest
-
 from paceline.operators import samples
 from paceline.plans import catalogue, routes
 from paceline.sources import rides
@@ -14,19 +12,12 @@ SF = "/root/testdata/sf0.001"
 def test_every_step_is_projected(spark):
     steps = samples.deltas(rides.points(spark, SF)).selectExpr("concat_ws(':', track_id, seq) AS id")
     want = sorted(r["id"] for r in steps.collect())
-    assert sorted(r["id"] for r in catalogue.QUERIES["project_nearest_all"](spark, SF).select("id").collect()) == want
-
-
-@pytest.mark.parametrize("name", ["project_nearest", "project_near_cells", "project_window", "project_heading", "project_unambiguous"])
-def test_projection_of_every_step_keeps_the_third_ones(spark, name):
-    third = {tuple(r) for r in catalogue.QUERIES[name](spark, SF).collect()}
-    every = [tuple(r) for r in catalogue.QUERIES[f"{name}_all"](spark, SF).collect()]
-    assert {r for r in every if int(r[0].split(":")[1]) % 3 == 0} == third and len(every) > 2 * len(third)
+    assert sorted(r["id"] for r in catalogue.QUERIES["project_nearest"](spark, SF).select("id").collect()) == want
 
 
 def test_every_interval_is_grouped(spark):
     n = rides.tracks_of(rides.points(spark, SF)).count()
-    assert catalogue.QUERIES["overlap_groups_all"](spark, SF).selectExpr("sum(n) AS n").first()["n"] == n
+    assert catalogue.QUERIES["overlap_groups"](spark, SF).selectExpr("sum(n) AS n").first()["n"] == n
 
 
 def test_overlay_halves_hold_all_rides_and_meet(spark):
@@ -35,24 +26,11 @@ def test_overlay_halves_hold_all_rides_and_meet(spark):
     rest = spans.where(f"NOT ({routes._PRIMARY.format(div='div')})")
     assert primary.count() + rest.count() == spans.count()
     assert primary.join(rest.select("route_id"), "route_id", "left_semi").count() > 0
-    assert catalogue.QUERIES["overlay_pieces_all"](spark, SF).count() > 0
-
-
-def test_coverage_of_all_rides(spark):
-    part = {r["route_id"]: r["coverage"] for r in catalogue.QUERIES["route_coverage"](spark, SF).collect()}
-    whole = {r["route_id"]: r["coverage"] for r in catalogue.QUERIES["route_coverage_all"](spark, SF).collect()}
-    assert all(whole[k] >= part[k] for k in part) and sum(whole.values()) > sum(part.values())
-    assert catalogue.QUERIES["covered_runs_all"](spark, SF).selectExpr("sum(end_m - start_m) AS m").first()["m"] > 0
-
-
-def test_whole_road_answers_first(spark):
-    part = catalogue.QUERIES["ride_gap_tiers"](spark, SF).selectExpr("sum(n_road) AS r", "sum(n_road + n_grade + n_own) AS n").first()
-    whole = catalogue.QUERIES["ride_gap_tiers_all"](spark, SF).selectExpr("sum(n_road) AS r", "sum(n_road + n_grade + n_own) AS n").first()
-    assert whole["r"] > part["r"] and whole["n"] == part["n"]
+    assert catalogue.QUERIES["overlay_pieces"](spark, SF).count() > 0
 
 
 def test_runs_hold_every_node(spark):
     nodes = catalogue.QUERIES["route_nodes"](spark, SF)
-    runs = catalogue.QUERIES["route_segments_all"](spark, SF)
+    runs = catalogue.QUERIES["route_segments"](spark, SF)
     left_out = nodes.where("k % 61 = 40").join(runs, "route_id").where("k * 25 > start_m AND k * 25 <= end_m")
     assert left_out.count() > 0
