@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +19,16 @@ FINE_PRECISION = 8
 def first_by_source_key(tracks: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Tracks whose source key nobody had before; in a batch the smallest id wins.
 
-    tracks: track_id, started_ms, length_m; an empty key never counts as seen.
+    tracks: track_id, started_ms, length_m.  A track without a start or a length
+    has no key, and an empty key is none: neither ever counts as seen.
     """
     keyed = tracks.withColumn("source_key", source_key(F.col("started_ms"), F.col("length_m")))
+    has = F.coalesce(F.col("source_key") != "", F.lit(False))
     rn = F.row_number().over(Window.partitionBy("source_key").orderBy("track_id"))
-    fresh = keyed.withColumn("rn", rn).where("rn = 1 OR source_key = ''").drop("rn")
-    return fresh if known is None else fresh.join(known.select("source_key").where("source_key <> ''"), "source_key", "left_anti")
+    first = keyed.where(has).withColumn("rn", rn).where("rn = 1").drop("rn")
+    if known is not None:
+        first = first.join(known.select("source_key").where("source_key <> ''"), "source_key", "left_anti").select(first.columns)
+    return first.unionByName(keyed.where(~has))
 
 
 def unprocessed(files: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -109,22 +115,32 @@ def summaries(points: DataFrame) -> DataFrame:
 def twins(points: DataFrame, cover: float = 0.90, length_tolerance: float = 0.10, place_m: float = 250.0, precision: int = FINE_PRECISION) -> DataFrame:
     """Pairs a < b of the same route, direction and footprint.
 
-    Rides meet only in shared cells, so pairs are counted, never crossed.
+    Rides meet by the cell of their half-way place and by a band of lengths, are
+    compared at three places, and only pairs that pass count shared cells.
     """
+    s = summaries(points).where("length_m > 0")
+    ratio = math.log(1 / (1 - length_tolerance))
+    row = geo.cell_lat(F.col("p2.lat"), place_m)
+    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(b).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1) for b in (-1, 0, 1)])).alias("o")
+    band = F.floor(F.log("length_m") / ratio)
+    left = s.select(F.col("track_id").alias("a"), F.col("length_m").alias("la"), *[F.col(f"p{k}").alias(f"a{k}") for k in (1, 2, 3)], row.alias("r"), F.col("p2.lng").alias("lng"), band.alias("n"), o)
+    left = left.select("a", "la", "a1", "a2", "a3", (F.col("r") + F.col("o.i")).alias("row"), (geo.cell_lng(F.col("lng"), F.col("r") + F.col("o.i"), place_m) + F.col("o.j")).alias("col"), (F.col("n") + F.col("o.b")).alias("band"))
+    right = s.select(F.col("track_id").alias("b"), F.col("length_m").alias("lb"), *[F.col(f"p{k}").alias(f"b{k}") for k in (1, 2, 3)], row.alias("row"), geo.cell_lng(F.col("p2.lng"), row, place_m).alias("col"), band.alias("band"))
+    near = left.join(right, ["row", "col", "band"]).where("a < b").where(F.abs(F.col("la") - F.col("lb")) <= length_tolerance * F.greatest("la", "lb"))
+    for k in (1, 2, 3):
+        near = near.where(geo.equirectangular_m(F.col(f"a{k}.lat"), F.col(f"a{k}.lng"), F.col(f"b{k}.lat"), F.col(f"b{k}.lng")) <= place_m)
+    pairs = checkpointed(near.select("a", "b"))
     fine = path_cells(points, precision)
-    wide = dilated(fine)
     n = fine.groupBy("track_id").agg(F.count("*").alias("n"))
-    inside = fine.withColumnRenamed("track_id", "a").join(wide.withColumnRenamed("track_id", "b"), ["row", "col"]).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("c"))
-    share = inside.join(n.withColumnRenamed("track_id", "a"), "a").where(F.col("c") >= cover * F.col("n")).select("a", "b")
-    mutual = share.join(share.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a < b")
-    s = summaries(points)
-    left = s.select(F.col("track_id").alias("a"), F.col("length_m").alias("la"), *[F.col(f"p{k}").alias(f"a{k}") for k in (1, 2, 3)])
-    right = s.select(F.col("track_id").alias("b"), F.col("length_m").alias("lb"), *[F.col(f"p{k}").alias(f"b{k}") for k in (1, 2, 3)])
-    both = mutual.join(left, "a").join(right, "b")
-    fine_pairs = both.where(F.abs(F.col("la") - F.col("lb")) <= length_tolerance * F.greatest("la", "lb"))
-    for k in (1, 2, 3):
-        fine_pairs = fine_pairs.where(geo.equirectangular_m(F.col(f"a{k}.lat"), F.col(f"a{k}.lng"), F.col(f"b{k}.lat"), F.col(f"b{k}.lng")) <= place_m)
-    return fine_pairs.select("a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    inside = _within(both, fine).join(n.withColumnRenamed("track_id", "a"), "a").where(F.col("c") >= cover * F.col("n")).select("a", "b")
+    return inside.join(inside.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a < b")
+
+
+def _within(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """a, b, c: for pairs of tracks, how many cells of a lie in the widened cells of b, where any do."""
+    mine = pairs.join(fine.withColumnRenamed("track_id", "a"), "a")
+    return mine.join(dilated(fine).withColumnRenamed("track_id", "b"), ["b", "row", "col"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("c"))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -149,38 +165,55 @@ def groups(pairs: DataFrame) -> DataFrame:
         before = now
 
 
-def kept_of_group(members: DataFrame) -> DataFrame:
-    """members (track_id, group, started_ms, length_m, time_s) with keep: the fastest
-    plausible ride and the two newest of each group above three."""
+def kept_of_groups(points: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """track_id, group, keep of the rides that have twins; what is not kept may be archived.
+
+    facts: track_id, source, started_ms, length_m, time_s; pairs (a, b): twins.
+    Second copies of one ride go first.  Of more than three rides left in a
+    group, the fastest plausible one and the two newest stay, and so does every
+    ride that has a cell outside the widened cells of those: nothing is archived
+    that would leave ground uncovered.
+    """
+    named = facts.join(groups(pairs), "track_id")
+    twice = checkpointed(same_ride_losers(points, facts, pairs))
+    left = named.join(twice, "track_id", "left_anti")
     kmh = F.col("length_m") / F.col("time_s") * 3.6
-    plausible = (F.col("time_s") > 0) & (kmh >= 0.5) & (kmh <= 80)
+    plausible = F.coalesce((F.col("time_s") > 0) & (kmh >= 0.5) & (kmh <= 80), F.lit(False))
     w = Window.partitionBy("group")
-    ranked = members.withColumn("newest", F.row_number().over(w.orderBy(F.desc("started_ms"), "track_id"))).withColumn("size", F.count("*").over(w))
     fastest = F.row_number().over(w.orderBy(F.when(plausible, 0).otherwise(1), "time_s", "track_id"))
-    ranked = ranked.withColumn("fastest", fastest).withColumn("fine", plausible)
-    return ranked.select("track_id", "group", ((F.col("size") <= 3) | (F.col("newest") <= 2) | ((F.col("fastest") == 1) & F.col("fine"))).alias("keep"))
+    newest = F.row_number().over(w.orderBy(F.desc("started_ms"), "track_id"))
+    ranked = left.select("track_id", "group", (F.count("*").over(w) <= 3).alias("few"), ((newest <= 2) | ((fastest == 1) & plausible)).alias("stays"))
+    ranked = checkpointed(ranked)
+    cells = path_cells(points, FINE_PRECISION)
+    ground = dilated(cells).join(ranked.where("stays AND NOT few"), "track_id").select("group", "row", "col").distinct()
+    asked = cells.join(ranked.where("NOT stays AND NOT few").select("track_id", "group"), "track_id")
+    beyond = asked.join(ground, ["group", "row", "col"], "left_anti").select("track_id").distinct().withColumn("beyond", F.lit(True))
+    kept = ranked.join(beyond, "track_id", "left").select("track_id", "group", (F.col("few") | F.col("stays") | F.col("beyond").isNotNull()).alias("keep"))
+    return kept.unionByName(named.join(twice, "track_id", "left_semi").select("track_id", "group", F.lit(False).alias("keep")))
 
 
 def same_ride_losers(points: DataFrame, facts: DataFrame, pairs: DataFrame, window_ms: int = 600_000) -> DataFrame:
     """track_id of device scans that a live recording of the same ride replaces.
 
-    facts: track_id, source, started_ms, length_m; pairs (a, b): twins.  Each
-    recording, in order of id, claims its nearest unclaimed scan in start and
-    length, and replaces it if the scan's fine cells lie in its own widened ones.
-    Claims interact only within a group of twins, so each group is one task's.
+    facts: track_id, source, started_ms, length_m; pairs (a, b): twins.  Within a
+    group of twins each recording, in order of id, claims the unclaimed scan of
+    about its length that started nearest to it, and replaces it if the scan's
+    fine cells lie in its own widened ones.  Recordings and scans meet by start
+    time; claims depend on each other only where they do, so each set of
+    recordings and scans linked by that is one group's work.
     """
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    comp = groups(pairs)
-    one = facts.where("source = 'RECORDED'").select(F.col("track_id").alias("a"), F.col("started_ms").alias("a_ms"), F.col("length_m").alias("a_m"))
-    two = facts.where("source = 'FITFILES_SCAN'").select(F.col("track_id").alias("b"), F.col("started_ms").alias("b_ms"), F.col("length_m").alias("b_m"))
+    named = facts.join(groups(pairs), "track_id")
+    slot = F.floor(F.col("started_ms") / window_ms)
+    one = named.where("source = 'RECORDED'").select("group", F.col("track_id").alias("a"), F.col("started_ms").alias("a_ms"), F.col("length_m").alias("a_m"), F.explode(F.sequence(slot - 1, slot + 1)).alias("slot"))
+    two = named.where("source = 'FITFILES_SCAN'").select("group", F.col("track_id").alias("b"), F.col("started_ms").alias("b_ms"), F.col("length_m").alias("b_m"), slot.alias("slot"))
     apart, longer = F.abs(F.col("a_ms") - F.col("b_ms")), F.greatest("a_m", "b_m")
-    match = both.join(one, "a").join(two, "b").where((apart <= window_ms) & (longer > 0)).where(F.abs(F.col("a_m") - F.col("b_m")) <= F.greatest(F.lit(100.0), longer * 0.01))
+    match = one.join(two, ["group", "slot"]).where((apart <= window_ms) & (longer > 0)).where(F.abs(F.col("a_m") - F.col("b_m")) <= F.greatest(F.lit(100.0), longer * 0.01))
+    match = checkpointed(match.select("a", "b", apart.alias("apart")))
     fine = path_cells(points, FINE_PRECISION)
     n = fine.groupBy(F.col("track_id").alias("b")).agg(F.count("*").alias("n"))
-    inside = fine.select(F.col("track_id").alias("b"), "row", "col").join(match.select("a", "b"), "b").join(dilated(fine).withColumnRenamed("track_id", "a"), ["a", "row", "col"], "left_semi")
-    held = inside.groupBy("a", "b").agg(F.count("*").alias("c"))
-    asked = match.withColumn("apart", apart).join(held, ["a", "b"], "left").join(n, "b").withColumn("covered", F.coalesce("c", F.lit(0)) == F.col("n"))
-    asked = asked.join(comp.select(F.col("track_id").alias("a"), "group"), "a").select("group", "a", "b", "apart", "covered")
+    held = _within(match.select(F.col("b").alias("a"), F.col("a").alias("b")), fine).select(F.col("a").alias("b"), F.col("b").alias("a"), "c")
+    asked = match.join(held, ["a", "b"], "left").join(n, "b").withColumn("covered", F.coalesce("c", F.lit(0)) == F.col("n"))
+    asked = asked.join(groups(match.select("a", "b")).select(F.col("track_id").alias("a"), "group"), "a").select("group", "a", "b", "apart", "covered")
 
     def claim(pdf):
         taken: set[int] = set()
@@ -209,28 +242,23 @@ def overlap_pairs(rides: DataFrame, share: float = 0.5, day_ms: int = 86_400_000
 
 
 def suppressed(rides: DataFrame) -> DataFrame:
-    """track_id, kept: rides in order of metres, each dropped if it overlaps one accepted before.
+    """track_id, kept: rides in order of metres (then id), each dropped if it overlaps one accepted before.
 
-    The order matters only among rides that reach each other by overlaps, so
-    each such component is one group.  rides adds metres to overlap_pairs' columns.
+    Rounds over the overlapping pairs: a ride that no open pair has as the later
+    one is accepted, what it overlaps is dropped, and pairs with a dropped ride
+    are closed.  rides adds metres to overlap_pairs' columns.
     """
-    pairs = overlap_pairs(rides)
-    comp = groups(pairs)
-    mine = rides.join(comp, "track_id").select("track_id", "group", "start_ms", "end_ms", "metres")
-
-    def accept(pdf):
-        pdf = pdf.sort_values(["metres", "track_id"], ascending=[False, True])
-        taken: list[tuple[int, int]] = []
-        keep = []
-        for a, z in zip(pdf["start_ms"], pdf["end_ms"], strict=True):
-            clash = any(min(z, q) - max(a, p) > 0.5 * min(z - a, q - p) for p, q in taken)
-            keep.append(not clash)
-            if not clash:
-                taken.append((a, z))
-        return pdf.assign(kept=keep)[["track_id", "kept"]]
-
-    decided = mine.groupBy("group").applyInPandas(accept, "track_id bigint, kept boolean")
-    return rides.select("track_id").join(decided, "track_id", "left").select("track_id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    order = rides.select("track_id", F.struct((-F.col("metres")).alias("m"), "track_id").alias("at"))
+    pairs = overlap_pairs(rides).join(order.toDF("a", "at_a"), "a").join(order.toDF("b", "at_b"), "b")
+    first = F.col("at_a") < F.col("at_b")
+    pairs = checkpointed(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo")))
+    gone = pairs.select(F.col("lo").alias("track_id")).limit(0)
+    while not pairs.isEmpty():
+        accepted = pairs.select("hi").distinct().join(pairs.select(F.col("lo").alias("hi")), "hi", "left_anti")
+        now = checkpointed(pairs.join(accepted, "hi", "left_semi").select(F.col("lo").alias("track_id")).distinct())
+        gone = checkpointed(gone.unionByName(now))
+        pairs = checkpointed(pairs.join(now.toDF("hi"), "hi", "left_anti").join(now.toDF("lo"), "lo", "left_anti"))
+    return rides.select("track_id").join(gone.withColumn("gone", F.lit(True)), "track_id", "left").select("track_id", F.col("gone").isNull().alias("kept"))
 
 
 def import_summary(outcomes: DataFrame) -> DataFrame:

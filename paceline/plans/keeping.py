@@ -10,6 +10,7 @@ from paceline.operators import library
 from paceline.plans import _sql
 from paceline.plans.pace import rounded
 from paceline.sources import rides
+from paceline.sources.rides import checkpointed
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -80,8 +81,8 @@ g0 AS (SELECT track_id, seq, floor((lat + 90) / 180 * 32768)::BIGINT AS r, floor
 g1 AS (SELECT *, coalesce(lag(r) OVER w, r) AS pr, coalesce(lag(c) OVER w, c) AS pc FROM g0 WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
 cells6 AS (SELECT DISTINCT track_id, row, col FROM g1, LATERAL (SELECT unnest(range(least(r, pr), greatest(r, pr) + 1)) AS row) x, LATERAL (SELECT unnest(range(least(c, pc), greatest(c, pc) + 1)) AS col) y)
 """
-_BOX = (0.0, 0.002, 0.010, 0.034)
-_IN_BOX = "row BETWEEN floor((0.0 + 90) / 180 * 32768) AND floor((0.002 + 90) / 180 * 32768) AND col BETWEEN floor((0.010 + 180) / 360 * 32768) AND floor((0.034 + 180) / 360 * 32768)"
+_BOX = (41.001, 41.002, 0.010, 0.034)
+_IN_BOX = f"row BETWEEN floor(({_BOX[0]} + 90) / 180 * 32768) AND floor(({_BOX[1]} + 90) / 180 * 32768) AND col BETWEEN floor(({_BOX[2]} + 180) / 360 * 32768) AND floor(({_BOX[3]} + 180) / 360 * 32768)"
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +108,9 @@ def track_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select("track_id", geo.geohash_of(F.col("row"), F.col("col"), 6).alias("cell"))
 
 
-@query(f"SELECT track_id, count(*) AS shared FROM cells6 WHERE {_IN_BOX} GROUP BY track_id ORDER BY shared DESC, track_id LIMIT 50", _CELLS)
+@query(f"SELECT track_id, count(*) AS shared FROM cells6 WHERE {_IN_BOX} GROUP BY track_id ORDER BY shared DESC, track_id LIMIT 250", _CELLS)
 def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.ranked_candidates(_cells(spark, sf_dir), _BOX, 50)
+    return library.ranked_candidates(_cells(spark, sf_dir), _BOX)
 
 
 @query(f"SELECT DISTINCT track_id FROM cells6 WHERE {_IN_BOX}", _CELLS)
@@ -186,20 +187,49 @@ def twin_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.groups(library.twins(_twin_points(spark, sf_dir))).withColumnRenamed("group", "grp")
 
 
-_TIDY = """
-timed AS (SELECT g.track_id, grp, started_ms, len AS length_m, time_ms / 1000.0::DOUBLE AS time_s FROM grp g JOIN tot ON tot.track_id = g.track_id JOIN tracks t ON t.track_id = g.track_id % 1000000),
-ranked AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY grp ORDER BY started_ms DESC, track_id) AS newest, time_s > 0 AND length_m / time_s * 3.6 >= 0.5 AND length_m / time_s * 3.6 <= 80 AS fine,
-           row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN time_s > 0 AND length_m / time_s * 3.6 >= 0.5 AND length_m / time_s * 3.6 <= 80 THEN 0 ELSE 1 END, time_s, track_id) AS fastest FROM timed WINDOW w AS (PARTITION BY grp))
+#: Twins as live recordings and device scans; a third of the scans start too late to be the same ride.
+_FACTS = """
+facts AS (SELECT g.track_id, grp, CASE WHEN g.track_id >= 1000000 THEN 'FITFILES_SCAN' ELSE 'RECORDED' END AS source, len AS length_m, time_ms / 1000.0::DOUBLE AS time_s,
+          started_ms + CASE WHEN g.track_id < 1000000 THEN 0 WHEN t.track_id % 3 = 0 THEN 1200000 ELSE 2000 * (t.track_id % 7) END AS started_ms
+          FROM grp g JOIN tot ON tot.track_id = g.track_id JOIN tracks t ON t.track_id = g.track_id % 1000000),
+same AS (SELECT a.track_id AS a, b.track_id AS b, abs(a.started_ms - b.started_ms) AS apart FROM facts a JOIN facts b USING (grp)
+         WHERE a.source = 'RECORDED' AND b.source = 'FITFILES_SCAN' AND abs(a.started_ms - b.started_ms) <= 600000 AND abs(a.length_m - b.length_m) <= greatest(100, 0.01 * greatest(a.length_m, b.length_m))),
+bare AS (SELECT DISTINCT a, b FROM same JOIN fine f ON f.track_id = b LEFT JOIN wide w ON w.track_id = a AND w.row = f.row AND w.col = f.col WHERE w.track_id IS NULL),
+rec AS (SELECT track_id, row_number() OVER (ORDER BY track_id) AS o FROM facts WHERE source = 'RECORDED'),
+claims(o, taken) AS (SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL SELECT o, CASE WHEN want IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bare WHERE a = track_id AND b = want) THEN list_append(taken, want) ELSE taken END
+  FROM (SELECT r.o, r.track_id, c.taken, (SELECT arg_min(b, (apart, b)) FROM same s WHERE s.a = r.track_id AND NOT list_contains(c.taken, s.b)) AS want FROM claims c JOIN rec r ON r.o = c.o + 1)),
+twice AS (SELECT unnest(taken) AS track_id FROM (SELECT taken FROM claims ORDER BY o DESC LIMIT 1))
 """
+_PLAUSIBLE = "time_s > 0 AND length_m / time_s * 3.6 >= 0.5 AND length_m / time_s * 3.6 <= 80"
+_TIDY = f"""
+ranked AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY grp ORDER BY started_ms DESC, track_id) AS newest, {_PLAUSIBLE} AS ok,
+           row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN {_PLAUSIBLE} THEN 0 ELSE 1 END, time_s, track_id) AS fastest FROM facts WHERE track_id NOT IN (SELECT track_id FROM twice) WINDOW w AS (PARTITION BY grp)),
+stay AS (SELECT *, n <= 3 OR newest <= 2 OR (fastest = 1 AND ok) AS stays FROM ranked),
+ground AS (SELECT DISTINCT grp, row, col FROM wide JOIN stay USING (track_id) WHERE stays),
+beyond AS (SELECT DISTINCT s.track_id FROM stay s JOIN fine f USING (track_id) LEFT JOIN ground g ON g.grp = s.grp AND g.row = f.row AND g.col = f.col WHERE NOT stays AND g.grp IS NULL)
+"""
+
+
+def _facts(spark: SparkSession, sf_dir: str, pts: DataFrame) -> DataFrame:
+    own = rides.tracks_of(rides.points(spark, sf_dir)).select(F.col("track_id").alias("own"), "started_ms", (F.col("time_ms") / 1000.0).alias("time_s"))
+    length = pts.groupBy("track_id").agg(F.max("distance_m").alias("length_m")).withColumn("own", F.expr("track_id % 1000000"))
+    scan = F.col("track_id") >= 1_000_000
+    late = F.when(~scan, 0).otherwise(F.expr("CASE WHEN own % 3 = 0 THEN 1200000 ELSE 2000 * (own % 7) END"))
+    return length.join(own, "own").select("track_id", F.when(scan, "FITFILES_SCAN").otherwise("RECORDED").alias("source"), (F.col("started_ms") + late).alias("started_ms"), "length_m", "time_s")
 
 
-@query("SELECT track_id, grp, n <= 3 OR newest <= 2 OR (fastest = 1 AND fine) AS keep FROM ranked", TWINS, _TIDY)
+@query("SELECT track_id, grp, track_id NOT IN (SELECT track_id FROM twice) AND coalesce(stays OR track_id IN (SELECT track_id FROM beyond), false) AS keep FROM facts LEFT JOIN (SELECT track_id, stays FROM stay) USING (track_id)", TWINS, _FACTS, _TIDY)
 def tidy_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = _twin_points(spark, sf_dir)
-    own = rides.tracks_of(rides.points(spark, sf_dir)).select(F.col("track_id").alias("own"), "started_ms", (F.col("time_ms") / 1000.0).alias("time_s"))
-    length = pts.groupBy("track_id").agg(F.max("distance_m").alias("length_m"))
-    members = library.groups(library.twins(pts)).join(length, "track_id").withColumn("own", F.expr("track_id % 1000000")).join(own, "own")
-    return library.kept_of_group(members).withColumnRenamed("group", "grp")
+    return library.kept_of_groups(pts, _facts(spark, sf_dir, pts), checkpointed(library.twins(pts))).withColumnRenamed("group", "grp")
+
+
+@query("SELECT track_id FROM twice", TWINS, _FACTS)
+def same_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device scans of rides that were recorded live as well."""
+    pts = _twin_points(spark, sf_dir)
+    return library.same_ride_losers(pts, _facts(spark, sf_dir, pts), checkpointed(library.twins(pts)))
 
 
 _RIDES = "rides AS (SELECT track_id, started_ms AS start_ms, started_ms + time_ms AS end_ms, length_mm / 1000.0::DOUBLE AS metres FROM tracks)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,11 +56,6 @@ def test_densify_and_guards(spark):
     assert 2 not in counts and counts[3][0] == 1 and counts[4][1] == pytest.approx(2.0)
 
 
-def test_seeded_ema(spark):
-    got = spark.createDataFrame([([1.0, 2.0, 4.0, 8.0, 3.0],), ([5.0, 5.0, 5.0, 5.0, 10.0],), ([5.0, 10.0],)], "x array<double>").select(road_pace.seeded_ema(F.col("x"))).collect()
-    assert [r[0] for r in got] == pytest.approx([3.5625, 6.25, 7.5])
-
-
 def test_road_pace_exact_neighbour_and_heading(spark):
     pts = rides(spark, east(1, 5.0), east(2, 5.0))
     road = road_pace.model(samples.pace_samples(pts), started(spark, t1=1, t2=2))
@@ -224,11 +221,57 @@ def test_twins_and_tidy(spark):
     assert pairs.count() == 10
     group = library.groups(pairs)
     assert {r["group"] for r in group.collect()} == {1} and group.count() == 5
-    facts = spark.createDataFrame([(k, k * 1000, 5000.0, 1000.0 + k) for k in range(1, 6)], "track_id long, started_ms long, length_m double, time_s double")
-    kept = {r["track_id"] for r in library.kept_of_group(group.join(facts, "track_id")).where("keep").collect()}
+    facts = spark.createDataFrame([(k, "GPX_IMPORT", k * 1000, 5000.0, 1000.0 + k) for k in range(1, 6)], "track_id long, source string, started_ms long, length_m double, time_s double")
+    kept = {r["track_id"] for r in library.kept_of_groups(pts, facts, pairs).where("keep").collect()}
     assert kept == {1, 4, 5}
 
 
+def test_a_ride_that_leaves_the_ground_of_those_kept_stays(spark):
+    """The slow ride 2 has a short detour off the road, so it has a cell that no survivor has."""
+    detour = [(t, s, lat + (0.0006 if s == 20 else 0.0), *rest) for t, s, lat, *rest in east(2, 7.0, n=161, step_m=125.0)]
+    pts = rides(spark, *[east(k, 5.0 + k, n=161, step_m=125.0) for k in (1, 3, 4, 5)], detour)
+    facts = spark.createDataFrame([(k, "GPX_IMPORT", k * 1000, 20000.0, 1000.0 + k) for k in range(1, 6)], "track_id long, source string, started_ms long, length_m double, time_s double")
+    pairs = library.twins(pts)
+    assert {2} <= {r["a"] for r in pairs.collect()} | {r["b"] for r in pairs.collect()}
+    kept = {r["track_id"] for r in library.kept_of_groups(pts, facts, pairs).where("keep").collect()}
+    assert kept == {1, 2, 4, 5}
+
+
+def test_rides_without_a_key_are_all_new(spark):
+    rows = [(1, None, 1000.0), (2, None, 1000.0), (3, 60_000, None), (4, 60_000, 1000.0), (5, 60_001, 1001.0)]
+    got = library.first_by_source_key(spark.createDataFrame(rows, "track_id long, started_ms long, length_m double"))
+    assert sorted(r["track_id"] for r in got.collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("lat", [0.0, 41.0, -60.0, 69.0])
+def test_cells_find_what_a_full_scan_finds(spark, lat):
+    """A slanted ride beside a route, 17 m off, at every latitude."""
+    scale = math.cos(math.radians(lat)) * 111_320.0
+    place = lambda m, off: (lat + (0.5 * m + off) / 111_320.0, 7.0 + m / scale)
+    route_rows = [(1, i, *place(200.0 * i, 0.0)) for i in range(6)]
+    segs = joins.segments(spark.createDataFrame(route_rows, "route_id long, i int, lat double, lng double"))
+    off = 17.0 * math.hypot(1.0, 0.5)
+    ride = [(4, k, *place(20.0 * k, off), 22.36 * k, 5.0 * k, None) for k in range(50)]
+    pts = spark.createDataFrame(ride, "track_id long, seq int, lat double, lng double, distance_m double, time_s double, ele_m double")
+    samples_ = samples.pace_samples(pts)
+    tracks = spark.createDataFrame([(4, 1)], "track_id long, started_ms long")
+    nodes = route.grid(segs)
+    got = {r["k"] for r in route.node_paces(nodes, samples_, tracks).collect()}
+    s, want = samples_.collect(), set()
+    for n in nodes.where("k > 0").collect():
+        for x in s:
+            dy, dx = (n["lat"] - x["lat"]) * 111_195.0, (n["lng"] - x["lng"]) * 111_195.0 * math.cos(math.radians(lat))
+            if math.hypot(dx, dy) <= 18.0:
+                want.add(n["k"])
+    assert want and abs(len(got ^ want)) <= 1
+    road = road_pace.model(samples_, tracks)
+    moved = pts.select(F.col("seq").alias("id"), (F.col("lat") + 15.0 / 111_320.0).alias("lat"), "lng").withColumn("heading", F.lit(math.degrees(math.atan2(1.0, 0.5))))
+    found = road_pace.lookup(moved, road)
+    assert found.where("hist IS NULL").count() <= 1
+    near = joins.project_near_cells(pts.select(F.col("seq").alias("id"), F.lit(1).cast("bigint").alias("route_id"), "lat", "lng"), segs, 35.0)
+    assert near.count() == 50 and near.agg(F.max(F.abs(F.col("perp_m") - 17.0))).first()[0] < 0.5
+
+
 def test_recording_replaces_its_device_scan(spark):
     pts = rides(spark, *[east(k, 5.0, n=41, step_m=125.0) for k in (1, 2, 11, 12, 13)])
     facts = spark.createDataFrame(
