@@ -102,3 +102,27 @@ def min_per_mile(ms: Column) -> Column:
 def behind_metres(deficit_s: Column, tpm: Column) -> Column:
     """Metres behind for a deficit in seconds, at a pace; null without one."""
     return F.when((tpm > 0) & (tpm < float("inf")), -deficit_s / tpm)
+
+
+def redacted(text: Column) -> Column:
+    """A log line without coordinates and names: what follows lat= or lng=, route and profile names, quoted names."""
+    t = F.regexp_replace(text, r"(lat|lng)=-?\d+([.,]\d+)?", "$1=•")
+    t = F.regexp_replace(t, r"name=.*?(?= routeLen=)", "name=•")
+    t = F.regexp_replace(t, r"(active profile: id=\S+ name=).*", "$1•")
+    return F.regexp_replace(t, r"\b(on|for) '[^']*'", "$1 '•'")
+
+
+def tolerant_json(text: Column, schema: str) -> Column:
+    """JSON text as a struct: unknown fields are passed over, missing or unfit ones are null."""
+    return F.from_json(text, schema, {"mode": "PERMISSIVE", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"})
+
+
+def render_key(gap_s: Column, gap_m: Column, active: Column, estimated: Column, imperial: Column) -> Column:
+    """What of a gap can be seen, as a struct: status, whole seconds and whole units of the distance shown."""
+    whole = lambda c: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(-(2**31))).otherwise(c.cast("int"))
+    shown = F.when(imperial, gap_m * FEET_PER_METRE).otherwise(gap_m)
+    pick = lambda c, rest: F.when(active, c).otherwise(rest)
+    return F.struct(
+        active.alias("active"), pick(estimated, F.lit(False)).alias("estimated"), pick(gap_status(gap_s), F.lit("NEUTRAL")).alias("status"),
+        pick(whole(gap_s), F.lit(0)).alias("time_s"), pick(whole(shown), F.lit(0)).alias("distance"), imperial.alias("imperial"),
+    )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paceline.plans import importing, keeping, live, pace, routes
+from paceline.plans import importing, keeping, live, pace, routes, upkeep
 
-QUERIES = {**pace.QUERIES, **routes.QUERIES, **keeping.QUERIES, **live.QUERIES, **importing.QUERIES}
-ORACLE_SQL = {**pace.ORACLE_SQL, **routes.ORACLE_SQL, **keeping.ORACLE_SQL, **live.ORACLE_SQL, **importing.ORACLE_SQL}
+QUERIES = {**pace.QUERIES, **routes.QUERIES, **keeping.QUERIES, **live.QUERIES, **importing.QUERIES, **upkeep.QUERIES}
+ORACLE_SQL = {**pace.ORACLE_SQL, **routes.ORACLE_SQL, **keeping.ORACLE_SQL, **live.ORACLE_SQL, **importing.ORACLE_SQL, **upkeep.ORACLE_SQL}
 
 #: Names from when the plain ones covered part of the rides; both cover all now.
 for _name in (

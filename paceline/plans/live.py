@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import formats
-from paceline.operators import laps, rules
+from paceline.operators import laps, rules, signals
 from paceline.plans import _sql
 from paceline.sources import rides
 from paceline.streaming import alerts, race
@@ -201,17 +201,18 @@ def tick_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def marker_glide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a marker is drawn 400 ms after each tick, gliding for 800 ms."""
-    w = Window.partitionBy("track_id").orderBy("seq")
-    p = rides.points(spark, sf_dir).select("track_id", "seq", F.col("distance_m").alias("d"), F.lag("distance_m").over(w).alias("pd"))
-    return p.select("track_id", "seq", F.round(F.coalesce(F.col("pd") + 0.5 * (F.col("d") - F.col("pd")), F.col("d")), 4).alias("shown_m"))
+    p = rides.points(spark, sf_dir).select("track_id", "seq", F.col("t_ms").alias("at"), F.col("distance_m").alias("value"))
+    return signals.glided(p, 400, "track_id").select("track_id", "seq", F.round("shown", 4).alias("shown_m"))
 
 
-@query("SELECT user_id, event_id, event_type, ts, was FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS DISTINCT FROM event_type")
+@query(
+    "SELECT user_id, event_id, event_type, was, coalesce((lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) - us) // 1000, -1) AS held_ms FROM (SELECT *, epoch_us(ts) AS us, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS DISTINCT FROM event_type"
+)
 def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose kind differs from the one before: distinct until changed."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = rides.table(spark, sf_dir, "events").withColumn("was", F.lag("event_type").over(w))
-    return e.where(~F.col("was").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", "event_type", "ts", "was")
+    """Events whose kind differs from the one before, and how long that kind was held (-1: still)."""
+    e = rides.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.to_timestamp("ts")).alias("at"), F.col("event_id").alias("seq"))
+    held = F.coalesce(F.floor(F.col("held_ms") / 1000), F.lit(-1))
+    return signals.changes(e, "event_type", "user_id").select("user_id", "event_id", "event_type", "was", held.alias("held_ms"))
 
 
 _RECORDED = """
