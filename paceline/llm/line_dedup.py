@@ -6,14 +6,18 @@ aggregation; only lines whose estimate is near the threshold are counted
 exactly.  A boilerplate line stays in the document with the smallest doc_id
 that has it, so no content leaves the corpus, and goes from all others.
 
-Lines on one site only (most of them) leave in a first aggregation that holds
-two values a line, so sketches exist for a small part.  A hot line's rows are
-merged before the shuffle; no line's rows or documents are gathered.
+Each hash's sketch, least site, greatest site and first document come from one
+aggregation of the lines, merged in every task before the shuffle, so a hot line
+is one row a task however many documents hold it.  Exact counts read distinct
+(line, site) rows of the near lines only, at most a few more than the threshold
+each.  No line's rows or documents are gathered.
 
 Defined results: lines are compared without surrounding blanks; blank lines
 stay; a null text stays null (0 lines); null source is a site of its own; rows
-with a null doc_id lose a line if any numbered document has it; repeated rows
-are treated alike; an empty table gives an empty result; other columns stay.
+with a null doc_id lose a line if any numbered document has it; of documents
+with the same smallest doc_id (repeated rows) all keep the line; an empty table
+gives an empty result; other columns stay, and where docs has a column n_lines
+or n_removed already, the new one's name gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import checkpointed, table
+from paceline.llm.common import checkpointed, fresh_name, light, table
 
 MIN_SITES = 10
 #: log2 of the sketch's registers: standard error about 1.6 %.
@@ -42,33 +46,34 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h, first: hashes of boilerplate lines and the document that keeps each."""
-    spread = lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("z"), F.min("doc_id").alias("first"))
-    shared = checkpointed(spread.where("a <> z").select("h", "first"))
-    sketches = lines.join(shared.select("h"), "h").groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    estimated = checkpointed(sketches.select("h", F.hll_sketch_estimate("sketch").alias("sites")))
+    spread = lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("z"), F.min("doc_id").alias("first"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     low, high = min_sites * (1 - NEAR), min_sites * (1 + NEAR)
-    near = estimated.where(F.col("sites").between(low, high)).select("h")
-    exact = lines.join(near, "h").groupBy("h").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    chosen = estimated.where(F.col("sites") > high).select("h").unionByName(exact.select("h"))
-    return shared.join(chosen, "h", "left_semi")
+    shared = spread.where(F.lit(min_sites <= 1) | (F.col("a") != F.col("z"))).select("h", "first", F.hll_sketch_estimate("sketch").alias("sites"))
+    shared = checkpointed(shared.where(F.col("sites") >= low))
+    near = light(shared.where(F.col("sites") <= high).select("h"))
+    exact = lines.select("h", "site").distinct().join(near, "h").groupBy("h").count().where(F.col("count") >= min_sites)
+    chosen = shared.where(F.col("sites") > high).select("h", "first")
+    return chosen.unionByName(shared.join(exact.select("h"), "h", "left_semi").select("h", "first"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with boilerplate lines removed, plus n_lines and n_removed."""
-    lines = line_rows(docs)
-    common = boilerplate(lines, min_sites)
+    common = light(checkpointed(boilerplate(line_rows(docs), min_sites)))
+    # rows without a doc_id are told apart by their text
+    named = docs.select("doc_id", F.xxhash64("text").alias("of"), "source", "text")
+    lines = named.select("doc_id", "of", F.explode(F.split("text", "\n")).alias("line")).where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "of", _key(F.col("line")).alias("h"))
     later = lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    gone = later.groupBy("doc_id").agg(F.collect_set("h").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    id_, of, gone, kept_ = (fresh_name(docs, c) for c in ("l_id", "l_of", "l_gone", "l_kept"))
+    drops = later.groupBy(F.col("doc_id").alias(id_), F.col("of").alias(of)).agg(F.collect_set("h").alias(gone))
     split = F.split("text", "\n")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(split, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains("__gone", _key(x)))
-    out = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), split).otherwise(kept))
-    n_lines = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(split)), F.lit(0)).cast("bigint")
-    n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.size("__kept")).cast("bigint")
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(of)), "left")
+    kept = F.filter(split, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains(gone, _key(x)))
+    out = joined.withColumn(kept_, F.when(F.col(gone).isNull(), split).otherwise(kept))
+    count = lambda lines_: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_)).cast("bigint")
     return out.select(
-        *[(F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join("__kept", "\n")).alias("text") if c == "text" else docs[c]) for c in docs.columns],
-        n_lines.alias("n_lines"),
-        (n_lines - n_kept).alias("n_removed"),
+        *[(F.when(F.col(gone).isNull(), docs["text"]).otherwise(F.array_join(kept_, "\n")).alias("text") if c == "text" else docs[c]) for c in docs.columns],
+        count(split).alias(fresh_name(docs, "n_lines")),
+        (count(split) - count(F.col(kept_))).alias(fresh_name(docs, "n_removed")),
     )
 
 
