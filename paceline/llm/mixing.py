@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import WORD, checkpointed, light, table
+from paceline.llm.common import WORD, checkpointed, fresh_name, light, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -31,23 +31,37 @@ def _hash() -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 9), 16, 10).cast("bigint")
 
 
+def _ranked(by_source: DataFrame) -> DataFrame:
+    """by_source with k, the place of its source by code point (null last), from 1.
+
+    Sources are dealt by range, so that a place is the row's place in its
+    partition and the number of rows in those before: no task holds all sources.
+    """
+    dealt = checkpointed(by_source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    before, offsets = 0, {}
+    for row in dealt.groupBy("part").count().orderBy("part").collect():  # one row a partition
+        offsets[row["part"]], before = before, before + row["count"]
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("part")) if offsets else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.select("source", "source_size", (offset + place).alias("k"))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """source, source_size, target: shares by weight, capped and reshared.
 
-    One row a source; the cap binds in order of cap over weight, so running sums
-    in that order give the level at which the rest share.
+    Every round gives the rest to the open sources by weight and closes those
+    that reach their cap, until none does; a round is one sum over the sources.
     """
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = by_source.select("*", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("k"))
+    ranked = _ranked(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("k") - 1) % len(weights) + 1).cast("int"))
-    capped = ranked.select("*", weight.alias("w"), (max_epochs * F.col("source_size")).alias("cap"))
-    run = Window.orderBy(F.col("cap") / F.col("w"), "k")
-    before, rest = run.rowsBetween(Window.unboundedPreceding, -1), run.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(rest)
-    levels = capped.select("*", level.alias("level"))
-    open_level = F.min(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.struct(F.col("cap") / F.col("w"), "k", "level"))).over(every)["level"]
-    return levels.select("source", "source_size", F.round(F.least(F.col("cap").cast("double"), F.col("w") * F.coalesce(open_level, F.lit(0.0))), 6).alias("target"))
+    capped = checkpointed(ranked.select("source", "source_size", weight.alias("w"), (max_epochs * F.col("source_size")).alias("cap")))
+    total, level, seen = None, -1.0, None
+    while level != seen:
+        closed = F.col("cap") <= F.lit(level) * F.col("w")
+        total, taken, open_w = capped.agg(F.sum("source_size"), F.sum(F.when(closed, F.col("cap"))), F.sum(F.when(~closed, F.col("w")))).first()
+        seen, level = level, float((total or 0) - (taken or 0)) / open_w if open_w else max(level, 0.0)
+    share = F.when(F.col("cap") <= F.lit(level) * F.col("w"), F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("w"))
+    return capped.select("source", "source_size", F.round(share, 6).alias("target"))
 
 
 def _bucket(level: int) -> Column:
@@ -103,11 +117,12 @@ def _mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as its source's plan takes it."""
     _, out = _mixed(docs)
-    rule = out.groupBy("source").agg(F.first("passes").alias("__passes"), F.first("threshold").alias("__threshold")).withColumnRenamed("source", "__source")
+    source, passes, threshold, copy = (fresh_name(docs, c) for c in ("m_source", "m_passes", "m_threshold", "m_copy"))
+    rule = out.groupBy("source").agg(F.first("passes").alias(passes), F.first("threshold").alias(threshold)).withColumnRenamed("source", source)
     rule = light(checkpointed(rule))
-    times = (F.col("__passes") + F.when(_hash() < F.col("__threshold"), 1).otherwise(0)).cast("int")
-    joined = docs.join(rule, docs["source"].eqNullSafe(F.col("__source")))
-    return joined.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    times = (F.col(passes) + F.when(_hash() < F.col(threshold), 1).otherwise(0)).cast("int")
+    joined = docs.join(rule, docs["source"].eqNullSafe(F.col(source)))
+    return joined.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
