@@ -11,18 +11,24 @@ below the next projected squared distance.
 
 This runs in two passes, both per cell: the query's own cell gives a first k-th
 distance; then every cell whose box may still hold neighbours under the test is
-visited, with that bound from the start.  Queries are dealt out in blocks, so a
-cell that all queries visit is many tasks; equal vectors are one point with its
-k + 1 smallest ids, all that an answer can hold.
+visited, with that bound from the start.  In a cell, a smaller kd-tree hands out
+its leaves in order of their boxes' distance, and the rows of those met so far
+are measured in order of projected distance.  Queries are dealt out in blocks,
+so a cell that all queries visit is many tasks; equal vectors are one point with
+its k + 1 smallest ids, all that an answer can hold; a cell with many more rows
+than ``CELL_ROWS`` (the sample of splits is bounded) is several rows, each
+searched by itself.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; rows with a null vec_id take no
-part; a repeated row of the same id counts once; with fewer candidates all are
-given; an empty table gives an empty result; other columns are ignored.
+part; of rows with one vec_id the smallest vector counts, as a query and as a
+candidate; ties in the score go to the smaller vec_id; with fewer candidates all
+are given; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from statistics import NormalDist
 
@@ -39,6 +45,8 @@ DIMS = 10
 #: Share of the chi-square law under which a nearer vector would have been met.
 CONFIDENCE = 0.985
 CELL_ROWS = 2048
+#: Rows of a leaf of the tree inside a cell.
+LEAF_ROWS = 64
 #: The tree's splits are medians of about so many rows.
 SAMPLE_ROWS = 65_536
 #: Queries of one task's visit to a cell.
@@ -96,10 +104,29 @@ class Tree:
                 todo += [(self.kids[node][0], rows[below]), (self.kids[node][1], rows[~below])]
         return out
 
-    def near(self, point: np.ndarray, most: float) -> np.ndarray:
-        """Leaves whose box is within squared distance ``most`` of the point."""
-        gap = np.maximum(np.maximum(self.box_lo - point, point - self.box_hi), 0)
-        return np.flatnonzero((gap * gap).sum(1) <= most)
+    def near(self, point: np.ndarray, most: float) -> list[int]:
+        """Leaves whose box is within squared distance ``most`` of the point, from the root down."""
+        return [leaf for leaf, _ in self.leaves(point, lambda: most)]
+
+    def leaves(self, point: np.ndarray, most) -> Iterator[tuple[int, float]]:
+        """(leaf, squared distance of its box) in order of distance, while below most()."""
+        heap = [(0.0, 0, 0 if self.axis else -1, ())]
+        n = 1
+        while heap:
+            d, _, node, gaps = heapq.heappop(heap)
+            if d > most():
+                return
+            if node < 0:
+                yield -1 - node, d
+                continue
+            axis = self.axis[node]
+            off = point[axis] - self.at[node]
+            near, far = self.kids[node] if off < 0 else self.kids[node][::-1]
+            old = dict(gaps)
+            heapq.heappush(heap, (d, n, near, gaps))
+            new = {**old, axis: max(old.get(axis, 0.0), off * off)}
+            heapq.heappush(heap, (d - old.get(axis, 0.0) + new[axis], n + 1, far, tuple(new.items())))
+            n += 2
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -117,35 +144,48 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def _search(x: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np.ndarray, bound: float, k: int, stretch: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x among the k nearest of q, with squared distances: projected
-    neighbours in order, a stride at a time, until the chi-square test holds."""
-    d = px - pq
-    proj = np.einsum("ij,ij->i", d, d)
-    order = np.argsort(proj, kind="stable")
-    got, best = np.empty(0, np.int64), np.empty(0)
-    at, stride = 0, 32
-    while at < len(order) and proj[order[at]] <= stretch * bound:
-        rows = order[at : at + stride]
-        e = x[rows] - q
-        got, best = np.append(got, rows), np.append(best, np.einsum("ij,ij->i", e, e))
-        if len(best) > k:
-            kth = np.partition(best, k - 1)[k - 1]
-            bound = min(bound, kth)
-            keep = best <= kth  # ties stay: ids decide later
-            got, best = got[keep], best[keep]
-        elif len(best) == k:
-            bound = min(bound, best.max())
-        at, stride = at + stride, min(2 * stride, 1024)
-    return got, best
+def _reach(bound: float, stretch: float) -> float:
+    """The squared projected distance up to which a nearer row than bound may lie."""
+    return float("inf") if np.isinf(stretch) else stretch * bound * bound
+
+
+class Cell:
+    """The rows of a cell under a kd-tree of their own."""
+
+    def __init__(self, x: np.ndarray, project: np.ndarray):
+        self.x, self.px = x, x @ project
+        self.tree = Tree(self.px, max(1, len(x) // LEAF_ROWS))
+        leaf = self.tree.cells(self.px)
+        self.order = np.argsort(leaf, kind="stable")
+        self.cut = np.searchsorted(leaf[self.order], np.arange(leaf.max(initial=0) + 2))
+
+    def search(self, q: np.ndarray, pq: np.ndarray, bound: float, k: int, stretch: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows among the k nearest of q and their distances: projected
+        neighbours, leaf by leaf, until the chi-square test holds for the next leaf."""
+        got, best = np.empty(0, np.int64), np.empty(0)
+        limit = [_reach(bound, stretch)]
+        for leaf, _ in self.tree.leaves(pq, lambda: limit[0]):
+            rows = self.order[self.cut[leaf] : self.cut[leaf + 1]]
+            d = self.px[rows] - pq
+            rows = rows[np.einsum("ij,ij->i", d, d) <= limit[0]]
+            e = self.x[rows] - q
+            got, best = np.append(got, rows), np.append(best, np.sqrt(np.einsum("ij,ij->i", e, e)))
+            if len(best) >= k:
+                kth = np.partition(best, k - 1)[k - 1]
+                keep = best <= kth  # ties stay: ids decide later
+                got, best = got[keep], best[keep]
+                bound = min(bound, kth)
+                limit[0] = _reach(bound, stretch)
+        return got, best
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, confidence: float = CONFIDENCE, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows but itself.
 
-    rows and queries: vec_id, embedding.  ``exact`` drops the stopping test.
+    rows: vec_id, embedding; queries: vec_id of those rows to search for.
+    ``exact`` drops the stopping test.
     """
-    points = usable(rows)
+    points = checkpointed(usable(rows).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     n = points.count()
     dim = points.select(F.size("embedding")).first()
     d = dim[0] if dim else 1
@@ -166,23 +206,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, confidence: float =
         x = _matrix(batches.column("embedding").combine_chunks())
         return pa.table({"cell": [key[0].as_py()], "ids": [batches.column("ids").to_pylist()], "x": [x.tobytes()]}, pa.schema([("cell", pa.int64()), ("ids", pa.list_(pa.list_(pa.int64()))), ("x", pa.binary())]))
 
-    cells = checkpointed(placed.groupBy("cell").applyInArrow(pack, "cell bigint, ids array<array<bigint>>, x binary"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / (4 * CELL_ROWS)).alias("parts"))
+    parted = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("ids"), "parts"))  # a row a cell, bounded by the sample
+    cells = checkpointed(parted.groupBy("cell", "part").applyInArrow(pack, "cell bigint, ids array<array<bigint>>, x binary"))
+    asked = points.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
     asked = checkpointed(asked.mapInArrow(place, "query_id bigint, embedding array<double>, cell bigint"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[int, int, float]] = []
             for row in b.to_pylist():
-                ids, x = row["ids"], np.frombuffer(row["x"]).reshape(-1, d)
-                px = x @ project
+                ids, cell = row["ids"], Cell(np.frombuffer(row["x"]).reshape(-1, d), project)
                 for qid, q, bound in zip(row["qids"], row["qs"], row["bounds"], strict=True):
                     q = np.array(q)
                     # one more: the query itself is among the rows
-                    for r, s in zip(*_search(x, px, q, q @ project, bound, k + 1, stretch), strict=True):
+                    for r, s in zip(*cell.search(q, q @ project, bound, k + 1, stretch), strict=True):
                         out += [(qid, i, float(s)) for i in ids[r] if i != qid]
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "sq"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     def searched(visits: DataFrame) -> DataFrame:
         """visits: query_id, embedding, bound, cell."""
@@ -192,14 +233,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, confidence: float =
             .groupBy("cell", F.pmod(F.xxhash64("query_id"), "blocks").alias("block"))
             .agg(F.collect_list("query_id").alias("qids"), F.collect_list("embedding").alias("qs"), F.collect_list("bound").alias("bounds"))
         )
-        return blocks.join(cells, "cell").select("qids", "qs", "bounds", "ids", "x").mapInArrow(visit, "query_id bigint, vec_id bigint, sq double")
+        return blocks.join(cells, "cell").select("qids", "qs", "bounds", "ids", "x").mapInArrow(visit, "query_id bigint, vec_id bigint, score double")
 
     def best(found: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy("sq", "vec_id")
+        w = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return found.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
     first = checkpointed(best(searched(asked.withColumn("bound", F.lit(float("inf"))))))
-    kth = first.where(F.col("rank") == k).select("query_id", F.col("sq").alias("bound"))
+    kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
     known = asked.withColumnRenamed("cell", "home").join(kth, "query_id", "left").select("query_id", "embedding", "home", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,27 +248,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, confidence: float =
             if not b.num_rows:
                 continue
             pq = _matrix(b.column(1)) @ project
-            near = [tree.near(p, stretch * bound) for p, bound in zip(pq, b.column(3).to_numpy(), strict=True)]
-            near = [c[c != home] for c, home in zip(near, b.column(2).to_numpy(), strict=True)]
+            near = [np.array([c for c in tree.near(p, _reach(bound, stretch)) if c != home], np.int64) for p, bound, home in zip(pq, b.column(3).to_numpy(), b.column(2).to_numpy(), strict=True)]
             rows_ = pa.array(np.repeat(np.arange(len(near)), [len(c) for c in near]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows_), b.column(1).take(rows_), b.column(3).take(rows_), pa.array(np.concatenate([*near, np.empty(0, np.int64)]))], ["query_id", "embedding", "bound", "cell"])
 
     visits = known.mapInArrow(spread, "query_id bigint, embedding array<double>, bound double, cell bigint")
-    found = first.select("query_id", "vec_id", "sq").unionByName(searched(visits))
-    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("sq").alias("score"))
+    found = first.select("query_id", "vec_id", "score").unionByName(searched(visits))
+    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _alike(points: DataFrame, most: int) -> DataFrame:
     """embedding, ids: one row a distinct vector with its ``most`` smallest ids."""
-    first = points.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     key = F.xxhash64("embedding")
     part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
     smallest = lambda c: F.slice(F.array_sort(c), 1, most)
-    some = first.groupBy(key.alias("h"), "embedding", part.alias("part")).agg(smallest(F.collect_list("vec_id")).alias("ids"))
+    some = points.groupBy(key.alias("h"), "embedding", part.alias("part")).agg(smallest(F.collect_list("vec_id")).alias("ids"))
     return some.groupBy("h", "embedding").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"))
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    points = usable(rows)
-    return nearest(rows, points.where(F.col("vec_id") % EVERY == 0))
+    return nearest(rows, rows.where(F.col("vec_id") % EVERY == 0))

@@ -79,6 +79,15 @@ def brute(x, ids, q, k):
     return [int(ids[i]) for i in order if np.isfinite(d[i])]
 
 
+def test_repeated_ids_do_not_depend_on_row_order(spark):
+    rows = [(100, [1.0, 0.0]), (100, [9.0, 0.0]), (1, [1.5, 0.0]), (2, [8.0, 0.0])]
+    answers = []
+    for some in (rows, rows[::-1], rows[2:] + rows[:2]):
+        t = vectors(spark, some)
+        answers.append(sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(t, t.where("vec_id % 100 = 0")).collect()))
+    assert answers[0] == answers[1] == answers[2] == [(100, 1, 1, 0.5), (100, 2, 2, 7.0)]
+
+
 def test_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     x, ids = np.array(rows["embedding"].tolist(), np.float64), rows["vec_id"].to_numpy()
@@ -112,7 +121,7 @@ def test_odd_vectors(spark):
 def test_pipeline_stages_do_what_the_operators_say(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     sf = "/root/testdata/sf0.001"
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "mixing sources to target weights", "BPE encoding"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "mixing sources to target weights", "BPE encoding and decoding"]
     before = docs
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         after = stage(spark, before, sf).cache()

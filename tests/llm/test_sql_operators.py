@@ -67,9 +67,12 @@ def test_odd_tables(odd, empty):
 
 
 def test_clashing_columns(docs_of):
-    d = docs_of(["a b c", "a b c d"]).withColumns({c: F.lit("x") for c in ("h", "n", "node", "first", "size", "key", "ws", "target", "lines", "count", "__x")})
+    d = docs_of(["a b c", "a b c d"]).withColumns({c: F.lit("x") for c in ("h", "n", "node", "first", "size", "key", "ws", "target", "lines", "count", "__x", "__id", "__copy", "__source", "n_lines", "n_removed", "l_gone", "m_copy", "gone", "epochs", "passes")})
     for f in (license_scan.scan, line_dedup.dedup_lines, quality_rules.judged, mixing.mixed, mixing.mix, jaccard_join.similar, jaccard_join.keep_one):
         f(d).collect()
+    out = line_dedup.dedup_lines(d)
+    assert out.columns[-2:] == ["n_lines_", "n_removed_"] and {r["n_lines"] for r in out.collect()} == {"x"}
+    assert mixing.mix(d).columns == jaccard_join.keep_one(d).columns == d.columns
 
 
 def test_lines_spread_over_sites_stay_once(docs_of):
