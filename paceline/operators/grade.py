@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import geo
 from paceline.operators.samples import DROPOUT_M, MAX_SPEED, MIN_SPEED, deltas
+from paceline.sources.rides import checkpointed
 
 WINDOW_M = 100.0
 MAX_PCT = 20.0
@@ -29,10 +30,10 @@ def windowed(points: DataFrame) -> DataFrame:
     step's own; within a run distance does not fall, so the point is found by a
     range frame.
     """
-    steps = deltas(points)
     w = Window.partitionBy("track_id").orderBy("seq")
+    step = lambda c: F.col(c) - F.when(F.lag("lat").over(w).isNotNull(), F.lag(c).over(w))
+    joined = points.select("track_id", "seq", "distance_m", "ele_m", step("distance_m").alias("dd_m"), step("time_s").alias("dt_s"))
     fast = (F.col("dt_s") > 0) & (F.col("dd_m") > MAX_SPEED * F.col("dt_s"))
-    joined = points.join(steps.select("track_id", "seq", "dd_m", "dt_s"), ["track_id", "seq"], "left")
     runs = joined.withColumn("run", F.sum(F.when((F.col("dd_m") > DROPOUT_M) | fast, 1).otherwise(0)).over(w))
     at_mm = F.round(F.col("distance_m") * 1000).cast("bigint")
     back = Window.partitionBy("track_id", "run").orderBy("mm").rangeBetween(Window.unboundedPreceding, -int(WINDOW_M * 1000))
@@ -41,22 +42,24 @@ def windowed(points: DataFrame) -> DataFrame:
     return seen.where("dd_m IS NOT NULL").select("track_id", "seq", "dd_m", "dt_s", "run", ((F.col("ele_m") - F.col("b.ele_m")) / dd * 100).alias("grade_pct"))
 
 
-def graded_steps(points: DataFrame) -> DataFrame:
-    """track_id, seq, dd_m, dt_s, grade_pct: moving, fault-free, within 20 %."""
+def graded_steps(steps: DataFrame) -> DataFrame:
+    """track_id, seq, dd_m, dt_s, grade_pct of steps as ``windowed`` gives them: moving, fault-free, within 20 %."""
     v = F.col("dd_m") / F.col("dt_s")
-    fine = windowed(points).where((F.col("dd_m") > 0) & (F.col("dd_m") <= DROPOUT_M) & (F.col("dt_s") > 0))
+    fine = steps.where((F.col("dd_m") > 0) & (F.col("dd_m") <= DROPOUT_M) & (F.col("dt_s") > 0))
     return fine.where((v <= MAX_SPEED) & (v >= MIN_SPEED) & (F.abs("grade_pct") <= MAX_PCT)).select("track_id", "seq", "dd_m", "dt_s", "grade_pct")
 
 
-def folds(points: DataFrame, gate: bool = True) -> DataFrame:
+def folds(points: DataFrame, gate: bool = True, steps: DataFrame | None = None) -> DataFrame:
     """track_id, bin, sum_dt, sum_dd: one ride's seconds and metres by gradient.
 
-    With ``gate``, drift clouds and motorised rides give none.
+    With ``gate``, drift clouds and motorised rides give none.  steps: what
+    ``windowed`` gives, where a caller has it; it is made once for fold and gates.
     """
-    out = graded_steps(points).groupBy("track_id", bin_of(F.col("grade_pct")).alias("bin")).agg(F.sum("dt_s").alias("sum_dt"), F.sum("dd_m").alias("sum_dd"))
+    steps = checkpointed(windowed(points)) if steps is None else steps
+    out = graded_steps(steps).groupBy("track_id", bin_of(F.col("grade_pct")).alias("bin")).agg(F.sum("dt_s").alias("sum_dt"), F.sum("dd_m").alias("sum_dd"))
     if gate:
-        out = out.join(drift_gate(points).where("drift").select("track_id"), "track_id", "left_anti")
-        out = out.join(motor_gate(points).where("motorised").select("track_id"), "track_id", "left_anti")
+        out = out.join(drift_gate(points, steps).where("drift").select("track_id"), "track_id", "left_anti")
+        out = out.join(motor_gate(steps).where("motorised").select("track_id"), "track_id", "left_anti")
     return out
 
 
@@ -97,9 +100,10 @@ def footprint(points: DataFrame) -> DataFrame:
     return far.groupBy("track_id").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY d)").alias("footprint_m"))
 
 
-def drift_gate(points: DataFrame) -> DataFrame:
+def drift_gate(points: DataFrame, windows: DataFrame) -> DataFrame:
     """track_id, n_pairs, turn_rate, footprint_m, drift: whether a ride is a cloud
-    of positions at home: it turns all the time, stays small and flat."""
+    of positions at home: it turns all the time, stays small and flat.  windows:
+    the points' ``windowed``."""
     steps = deltas(points)
     fault = ~((F.col("dd_m") > 0) & (F.col("dd_m") <= DROPOUT_M) & (F.col("dt_s") > 0) & (F.col("dd_m") <= MAX_SPEED * F.col("dt_s")))
     w = Window.partitionBy("track_id").orderBy("seq")
@@ -108,7 +112,7 @@ def drift_gate(points: DataFrame) -> DataFrame:
     in_run = Window.partitionBy("track_id", "run").orderBy("seq")
     turns = moved.select("track_id", (geo.bearing_diff_deg(F.lag("heading").over(in_run), F.col("heading")) / ((F.lag("chord_m").over(in_run) + F.col("chord_m")) / 2)).alias("rate")).where("rate IS NOT NULL")
     rates = turns.groupBy("track_id").agg(F.count("*").alias("n_pairs"), F.median("rate").alias("turn_rate"))
-    grades = graded_steps(points).groupBy("track_id").agg(F.count("*").alias("n_grades"), F.median(F.abs("grade_pct")).alias("grade"))
+    grades = graded_steps(windows).groupBy("track_id").agg(F.count("*").alias("n_grades"), F.median(F.abs("grade_pct")).alias("grade"))
     flat = (F.coalesce("n_grades", F.lit(0)) < DRIFT["pairs"]) | (F.col("grade") < DRIFT["grade"])
     turning = (F.coalesce("n_pairs", F.lit(0)) >= DRIFT["pairs"]) & (F.col("turn_rate") > F.degrees(F.lit(1 / DRIFT["radius_m"])))
     every = footprint(points).join(rates, "track_id", "left").join(grades, "track_id", "left")
@@ -116,10 +120,10 @@ def drift_gate(points: DataFrame) -> DataFrame:
     return every.select("track_id", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "turn_rate", "footprint_m", F.coalesce(verdict, F.lit(False)).alias("drift"))
 
 
-def motor_gate(points: DataFrame) -> DataFrame:
-    """track_id, moving_s, fast_s, uphill_s, motorised."""
+def motor_gate(steps: DataFrame) -> DataFrame:
+    """track_id, moving_s, fast_s, uphill_s, motorised, of steps as ``windowed`` gives them."""
     v = F.col("dd_m") / F.col("dt_s")
-    moving = windowed(points).where((F.col("dd_m") > 0) & (F.col("dd_m") <= DROPOUT_M) & (F.col("dt_s") > 0)).where(v >= MIN_SPEED)
+    moving = steps.where((F.col("dd_m") > 0) & (F.col("dd_m") <= DROPOUT_M) & (F.col("dt_s") > 0)).where(v >= MIN_SPEED)
     # an impossible speed opens a run, so its own step has no gradient; it counts as moving
     fast = (v > MOTOR["speed"]) & (F.col("grade_pct") >= MOTOR["grade"])
     up = (v > MOTOR["speed"]) & (F.col("grade_pct") >= MOTOR["uphill"])

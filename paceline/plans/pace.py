@@ -9,6 +9,7 @@ from paceline.functions import formats
 from paceline.operators import grade, road_pace, samples
 from paceline.plans import _sql
 from paceline.sources import rides
+from paceline.sources.rides import checkpointed
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -148,7 +149,7 @@ def ride_gap_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT track_id, seq, dd_m, dt_s, round(grade_pct, 4) AS grade_pct FROM graded", _sql.STEPS, _sql.GRADED)
 def grade_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grade.graded_steps(rides.points(spark, sf_dir)), grade_pct=4)
+    return rounded(grade.graded_steps(grade.windowed(rides.points(spark, sf_dir))), grade_pct=4)
 
 
 @query("SELECT track_id, bin, round(sum_dt, 3) AS sum_dt, round(sum_dd, 3) AS sum_dd FROM folds", _sql.STEPS, _sql.GRADED, _sql.FOOT, _sql.GATES, _sql.FOLDS)
@@ -176,7 +177,7 @@ def grade_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def grade_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts, model = _grades(spark, sf_dir)
-    return rounded(grade.lookup(grade.graded_steps(pts), model).select("track_id", "seq", "grade_tpm"), grade_tpm=6)
+    return rounded(grade.lookup(grade.graded_steps(grade.windowed(pts)), model).select("track_id", "seq", "grade_tpm"), grade_tpm=6)
 
 
 @query("SELECT round(coalesce(sum(metres), 0), 3) AS covered_m, coalesce(bool_or(metres >= 400), false) AS usable FROM grades", *_GRADE_PARTS)
@@ -186,12 +187,13 @@ def grade_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT track_id, n_pairs, round(turn_rate, 6) AS turn_rate, round(footprint_m, 3) AS footprint_m, drift FROM drift", *_GRADE_PARTS[:4])
 def drift_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grade.drift_gate(rides.points(spark, sf_dir)), turn_rate=6, footprint_m=3)
+    pts = rides.points(spark, sf_dir)
+    return rounded(grade.drift_gate(pts, grade.windowed(pts)), turn_rate=6, footprint_m=3)
 
 
 @query("SELECT track_id, round(moving_s, 3) AS moving_s, round(fast_s, 3) AS fast_s, round(uphill_s, 3) AS uphill_s, motorised FROM motor", *_GRADE_PARTS[:4])
 def motor_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grade.motor_gate(rides.points(spark, sf_dir)), moving_s=3, fast_s=3, uphill_s=3)
+    return rounded(grade.motor_gate(grade.windowed(rides.points(spark, sf_dir))), moving_s=3, fast_s=3, uphill_s=3)
 
 
 @query("SELECT track_id, round(footprint_m, 3) AS footprint_m FROM foot", _sql.FOOT)
@@ -218,8 +220,9 @@ def ride_gap_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lead by tiers: road, else gradient, else the rider's own pace."""
     pts, tracks, road = _road(spark, sf_dir)
     got = road_pace.lookup(_places(pts), road)
-    model = grade.model(grade.folds(pts), tracks)
-    sloped = grade.lookup(grade.graded_steps(pts), model).select("track_id", "seq", "grade_tpm")
+    steps = checkpointed(grade.windowed(pts))
+    model = grade.model(grade.folds(pts, steps=steps), tracks)
+    sloped = grade.lookup(grade.graded_steps(steps), model).select("track_id", "seq", "grade_tpm")
     tiers = got.select("track_id", "seq", "dd_m", "dt_s", "hist").join(sloped, ["track_id", "seq"], "left")
     ghost = F.when(F.col("dd_m") > 0, F.coalesce(F.col("hist") * F.col("dd_m"), F.col("grade_tpm") * F.col("dd_m"), F.col("dt_s"))).otherwise(0.0)
     return tiers.groupBy("track_id").agg(

@@ -118,14 +118,14 @@ def test_gradient_model_and_trust(spark):
 def test_gradient_window_restarts_after_a_dropout(spark):
     a = east(1, 5.0, n=10, rise=0.02)
     b = [(1, r[1] + 10, r[2], r[3] + 900 * DEG, r[4] + 900, r[5] + 300, r[6]) for r in east(1, 5.0, n=10, rise=0.02)]
-    steps = [r["seq"] for r in grade.graded_steps(rides(spark, a, b)).orderBy("seq").collect()]
+    steps = [r["seq"] for r in grade.graded_steps(grade.windowed(rides(spark, a, b))).orderBy("seq").collect()]
     assert steps == [4, 5, 6, 7, 8, 9, 14, 15, 16, 17, 18, 19]
 
 
 def test_motor_gate(spark):
     car = east(1, 1.25, n=120, rise=0.03)  # 20 m/s uphill
     bike = east(2, 5.0, n=120, rise=0.03)
-    got = {r["track_id"]: r["motorised"] for r in grade.motor_gate(rides(spark, car, bike)).collect()}
+    got = {r["track_id"]: r["motorised"] for r in grade.motor_gate(grade.windowed(rides(spark, car, bike))).collect()}
     assert got == {1: True, 2: False}
 
 
