@@ -11,9 +11,9 @@ the shuffle, and a group has a few hundred buckets at most, whatever its size.
 Only measures, never texts, are shuffled.
 
 Defined results: a null text counts as empty (base_failed); null lang or source
-form groups of their own; repeated rows are judged alike; an empty table gives
-an empty result; other columns are ignored by ``measure`` and kept by
-``quality_filter``.
+form groups of their own; repeated rows and ties are judged alike (a value equal
+to its limit passes); an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Metric -> least room above the upper quartile, in the metric's unit.
 ROOM = {"word_length": 20, "symbols": 100, "dup_lines": 500, "repeats": 350}
-#: Groups with fewer documents take the limits of all groups' merged sketches.
-MIN_GROUP = 50
+#: Documents' worth of weight that the limits of all groups' merged sketches have beside a group's own.
+PRIOR = 50
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -105,7 +105,9 @@ def bucket(v: Column) -> Column:
 def limits(measured: DataFrame) -> DataFrame:
     """lang, source and an upper limit per metric.
 
-    Quantiles come from the sketches; limit = q75 + 3 * (q75 - q50) + room.
+    Quantiles come from the sketches; limit = q75 + 3 * (q75 - q50) + room.  A
+    group's limit is the mean of its own and that of all groups' merged
+    sketches, weighted by its number of documents and by PRIOR.
     """
     long = measured.where(~base_failed()).select(
         "lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in metrics().items()])).alias("m")
@@ -130,7 +132,7 @@ def limits(measured: DataFrame) -> DataFrame:
     return own.join(F.broadcast(overall), F.lit(True)).select(  # one row
         F.col("lang").alias("g_lang"),
         F.col("source").alias("g_source"),
-        *[F.when(F.col("n") >= MIN_GROUP, F.col(f"max_{k}")).otherwise(F.col(f"all_{k}")).alias(f"max_{k}") for k in ROOM],
+        *[F.expr(f"(n * max_{k} + {PRIOR} * all_{k}) div (n + {PRIOR})").alias(f"max_{k}") for k in ROOM],
     )
 
 
@@ -185,7 +187,7 @@ own AS (
 ), every AS (SELECT metric, quantile_disc(b, 0.5) AS q50, quantile_disc(b, 0.75) AS q75 FROM b GROUP BY ALL),
 lim AS (
   SELECT lang, source, metric,
-         CASE WHEN n >= {MIN_GROUP} THEN 4 * own.q75 - 3 * own.q50 ELSE 4 * every.q75 - 3 * every.q50 END + {_ROOM} AS top
+         (n * (4 * own.q75 - 3 * own.q50 + {_ROOM}) + {PRIOR} * (4 * every.q75 - 3 * every.q50 + {_ROOM})) // (n + {PRIOR}) AS top
   FROM own JOIN every USING (metric)
 ), bad AS (
   SELECT DISTINCT u.doc_id FROM u JOIN lim ON u.metric = lim.metric AND u.lang IS NOT DISTINCT FROM lim.lang
