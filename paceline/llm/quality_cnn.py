@@ -6,8 +6,10 @@ answers are max-pooled over the chunk and a logistic layer turns the pooled
 values into the chunk's log-odds; the mean over chunks gives the document's
 probability.  Only the text's bytes are input.
 
-Training takes at most ``TRAIN_PER_CLASS`` labelled documents of each class, the
-first by a hash of doc_id, so the driver's part does not grow with the corpus.
+Training takes labelled documents of each class, whole, in order of a hash of
+doc_id: at most ``TRAIN_PER_CLASS``, and none beyond a sum of ``TRAIN_BYTES``, so
+the driver's part does not grow with the corpus.  All chunks of a text taken are
+learned from.
 The weights (some 10 KB) travel in the task's closure; scoring is one pass.
 
 Defined results: a null or empty text is one chunk of padding and gets a score;
@@ -23,15 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import small, table
+from paceline.llm.common import checkpointed, small, table
 
-#: Bound of the training sample: labelled documents of each class.
+#: Bounds of the training sample: labelled documents of each class, and bytes of their texts.
 TRAIN_PER_CLASS = 1500
-#: Chunks of one training document used at most, spread evenly over it.
-TRAIN_CHUNKS = 12
+TRAIN_BYTES = 16 << 20
 CHUNK, STEP = 256, 192
 WIDTH, STRIDE, EMBED, FILTERS = 8, 4, 4, 24
 WINDOWS = (CHUNK - WIDTH) // STRIDE + 1
@@ -146,48 +147,38 @@ class Network:
         return (1 / (1 + np.exp(-out / np.maximum(counts, 1)))).tolist()
 
 
-def training_chunks(data: bytes) -> list[bytes]:
-    """The bytes of at most TRAIN_CHUNKS chunks, spread evenly over data."""
-    n = max(1, -(-max(0, len(data) - CHUNK) // STEP) + 1)
-    return [data[k * STEP : k * STEP + CHUNK] for k in np.unique(np.linspace(0, n - 1, TRAIN_CHUNKS).astype(int)).tolist()]
-
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> tuple[list[bytes], np.ndarray, dict[int, int]]:
+    """Whole texts and labels of the sample, none held out, and how many labels of each class there are.
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> tuple[list[list[bytes]], np.ndarray, dict[int, int]]:
-    """Chunks and labels of at most per_class documents of each class, none held out, and how many there are of each.
-
-    Chunks are cut in the tasks, and a repeated doc_id gives one row, so the
-    sample is bounded in bytes: 2 * per_class * TRAIN_CHUNKS * CHUNK.
+    A repeated doc_id gives one row, with its smallest text.  Rows enter in
+    order of a hash of doc_id while their class's texts stay within TRAIN_BYTES
+    in sum; a text is taken whole or not at all, so no long text fills the driver.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", "quality")
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [usable.where(F.col("quality") == q).distinct().orderBy(*first).limit(per_class) for q in (0, 1)]
-    chosen = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            cut = [training_chunks((t.as_py() or "").encode()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
-
-    mine = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("text").cast("string").alias("text"))
-    cut = mine.mapInArrow(run, "doc_id bigint, quality int, chunks array<binary>")
-    rows = cut.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("chunks").alias("chunks")).orderBy("doc_id").collect()  # 2 * per_class rows at most
+    chosen = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    named = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    sizes = named.select("doc_id", F.length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("size").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("quality").orderBy(*first))  # 2 * per_class rows at most
+    fits = checkpointed(sizes.where(F.col("size") <= TRAIN_BYTES).select("doc_id", "quality", "size", upto.alias("upto")).where(F.col("upto") <= TRAIN_BYTES))
+    held = named.join(F.broadcast(fits), "doc_id").where(F.length("text") == F.col("size"))
+    rows = held.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text")).orderBy("doc_id").collect()  # within the bounds
     there = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}  # 2 rows
-    return [[bytes(c) for c in r["chunks"]] for r in rows], np.array([r["quality"] for r in rows], np.float32), there
+    return [bytes(r["text"]) for r in rows], np.array([r["quality"] for r in rows], np.float32), there
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Network | None:
-    chunks, target, there = training_sample(docs, labels, per_class)
+    texts, target, there = training_sample(docs, labels, per_class)
     if len(set(target.tolist())) < 2:
         return None
-    codes, y, w = [], [], []
+    codes = [chunked(t) for t in texts]
     share = {q: there[int(q)] / (target == q).sum() for q in (0.0, 1.0)}  # the classes as frequent as among the labels
-    for cut, q in zip(chunks, target.tolist(), strict=True):
-        codes.extend(chunked(c) for c in cut)
-        y.append(np.full(len(cut), q, np.float32))
-        w.append(np.full(len(cut), share[q] / len(cut) ** 0.5, np.float32))
+    n = np.array([len(c) for c in codes])
+    # a text's weight grows with the root of its length, shared by its chunks
+    weight = np.repeat(np.array([share[q] for q in target.tolist()]) / n**0.5, n).astype(np.float32)
     net = Network()
-    weight = np.concatenate(w)
-    net.fit(np.concatenate(codes), np.concatenate(y), weight / weight.mean())
+    net.fit(np.concatenate(codes), np.repeat(target, n), weight / weight.mean())
     return net
 
 
