@@ -4,13 +4,15 @@ A text is cut into normalised sentences.  Sentences that speak of licensing are
 mapped to identifiers of known licence sentences (others become ``?``), and the
 identifier sequence of the document is matched against ordered rules: a rule
 names a licence by a run of identifiers; longer and more specific rules come
-first and consume what they match.
+first and consume what they match.  Unknown sentences may lie between those of a
+run.  An ``SPDX-License-Identifier`` line is a sentence too.
 
 Everything is done per row with built-in functions: no shuffle, no Python.
 
 Defined results: a null or empty text has no sentences; copyright notices are
-read but name no licence; repeated rows get equal results; an empty table gives
-an empty result.
+read but name no licence; repeated rows and ties get equal results (licences
+stand in the order in which the text names them); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,6 +65,34 @@ SENTENCES = {
     "licensed under cc by-nd 4.0": "CCBYND4",
     "licensed under cc by-nc-sa 4.0": "CCBYNCSA4",
     "this is free and unencumbered software released into the public domain": "Unlicense",
+    "this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or (at your option) any later version": "LGPL21Grant",
+    "this library is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "LGPL3Grant",
+    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "AGPL3Grant",
+    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, version 3": "AGPL3Only",
+    "licensed under the gnu affero general public license, version 3": "AGPL3Short",
+    "this library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose": "LGPLWarranty",
+    "see the gnu lesser general public license for more details": "LGPLSee",
+    "see the gnu affero general public license for more details": "AGPLSee",
+    "you should have received a copy of the gnu lesser general public license along with this library": "LGPLCopy",
+    "you should have received a copy of the gnu affero general public license along with this program": "AGPLCopy",
+    "if a copy of the mpl was not distributed with this file, you can obtain one at http://mozilla.org/mpl/2.0/": "MPL2Obtain",
+    "if a copy of the mpl was not distributed with this file, you can obtain one at https://mozilla.org/mpl/2.0/": "MPL2Obtain",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1.0 which accompanies this distribution": "EPL1Grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0": "EPL2Grant",
+    "to the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0Grant",
+    "this software is distributed without any warranty": "CC0Warranty",
+    "you should have received a copy of the cc0 public domain dedication along with this software": "CC0Copy",
+    "this work is licensed under a creative commons attribution 4.0 international license": "CCBY4",
+    "this work is licensed under a creative commons attribution-sharealike 4.0 international license": "CCBYSA4",
+    "this work is licensed under a creative commons attribution-noncommercial 4.0 international license": "CCBYNC4",
+    "this work is licensed under the creative commons attribution 4.0 international license": "CCBY4",
+    "this work is licensed under the creative commons attribution-sharealike 4.0 international license": "CCBYSA4",
+    "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"software\") to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software, and to permit third-parties to whom the software is furnished to do so, all subject to the following": "BSLGrant",
+    "distributed under the boost software license, version 1.0": "BSLShort",
+    "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions": "ZlibGrant",
+    "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means": "UnlicenseFree",
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "0BSDGrant",
+    "do what the fuck you want to public license": "WTFPLTitle",
     "all rights reserved": "AllRights",
 }
 #: Ordered rules: licence, run of identifiers (fixed values).
@@ -96,13 +126,39 @@ RULES = [
     ("CC-BY-NC-4.0", ("CCBYNC4",)),
     ("CC-BY-ND-4.0", ("CCBYND4",)),
     ("CC-BY-NC-SA-4.0", ("CCBYNCSA4",)),
+    ("LGPL-2.1-or-later", ("LGPL21Grant", "LGPLWarranty", "LGPLSee", "LGPLCopy")),
+    ("LGPL-3.0-or-later", ("LGPL3Grant", "LGPLWarranty", "LGPLSee", "LGPLCopy")),
+    ("LGPL-2.1-or-later", ("LGPL21Grant",)),
+    ("LGPL-3.0-or-later", ("LGPL3Grant",)),
+    ("AGPL-3.0-or-later", ("AGPL3Grant", "GPLWarranty", "AGPLSee", "AGPLCopy")),
+    ("AGPL-3.0-only", ("AGPL3Only", "GPLWarranty", "AGPLSee", "AGPLCopy")),
+    ("AGPL-3.0-or-later", ("AGPL3Grant",)),
+    ("AGPL-3.0-only", ("AGPL3Only",)),
+    ("AGPL-3.0-only", ("AGPL3Short",)),
+    ("EPL-1.0", ("EPL1Grant",)),
+    ("EPL-2.0", ("EPL2Grant",)),
+    ("CC0-1.0", ("CC0Grant", "CC0Warranty", "CC0Copy")),
+    ("CC0-1.0", ("CC0Grant",)),
+    ("CC0-1.0", ("CC0Copy",)),
+    ("BSL-1.0", ("BSLGrant",)),
+    ("BSL-1.0", ("BSLShort",)),
+    ("Zlib", ("ZlibGrant",)),
+    ("Unlicense", ("Unlicense", "UnlicenseFree")),
     ("Unlicense", ("Unlicense",)),
+    ("Unlicense", ("UnlicenseFree",)),
+    ("0BSD", ("0BSDGrant",)),
+    ("WTFPL", ("WTFPLTitle",)),
     ("Proprietary", ("AllRights",)),
 ]
+#: An identifier line names its licence outright.
+SPDX = "spdx-license-identifier"
+for _licence in sorted({name for name, _ in RULES} - {"Proprietary"}):
+    SENTENCES[f"{SPDX}={_licence.lower()}"] = f"SPDX-{_licence}"
+    RULES.append((_licence, (f"SPDX-{_licence}",)))
 #: Every sentence above holds one of these; a text without them is passed over.
-CRITICAL = "licen[cs]e|copyright|rights reserved|warrant|permission|redistribut|public domain|gnu general public"
+CRITICAL = "licen[cs]e|copyright|rights reserved|warrant|permission|redistribut|public domain|gnu general public|is free to copy|copy of the mpl"
 #: A line that begins so begins a sentence, whatever the line before ends with.
-OPENERS = "licensed under|released under|this work is|this project is|this program is|this source code|this is free|permission is hereby|permission to use|redistribution and use|all rights reserved|copyright|the mit license|mit license"
+OPENERS = "spdx-license-identifier|this library is|this software is|this program and the accompanying|distributed under the boost|permission is granted|anyone is free|to the extent possible|licensed under|released under|this work is|this project is|this program is|this source code|this is free|permission is hereby|permission to use|redistribution and use|all rights reserved|copyright|the mit license|mit license"
 BLANK = r"[ \t\n\x0B\f\r]"
 CUT = "\x01"
 #: Comment leaders and bullets; a line may have several.
@@ -128,6 +184,7 @@ def normalised(text: Column) -> Column:
     t = F.regexp_replace(t, "[\"']{2,}", '"')
     t = F.regexp_replace(t, rf"(^|\n)[ \t]*(?:(?:{LEADERS})[ \t]*)+", "$1")
     t = F.regexp_replace(t, rf"\bat{BLANK}+(https?://)", "at $1")
+    t = F.regexp_replace(t, rf"{SPDX}:[ \t]*([a-z0-9.+-]*[a-z0-9+])", f"{SPDX}=$1{CUT}")
     t = F.regexp_replace(t, rf"[.!?;:]({BLANK}+|\z)", CUT)
     t = F.regexp_replace(t, rf"\n{BLANK}*\n", CUT)
     t = F.regexp_replace(t, rf"\n[ \t]*({LINE_OPENERS})", CUT + "$1")
@@ -157,7 +214,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ids = F.transform(F.filter(critical, lambda s: ~notice(s)), lambda s: F.coalesce(F.element_at(known, s), *held(s), F.lit("?")))
     ids = F.filter(ids, lambda x: x != "")
     named = docs.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
-    chain = F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|"))
+    chain = F.concat(F.lit("|"), F.array_join(F.filter("ids", lambda x: x != "?"), "||"), F.lit("|"))  # unknown sentences may lie between
     for licence, run in RULES:
         chain = F.replace(chain, F.lit("|" + "||".join(run) + "|"), F.lit(f"<{licence}>"))
     found = F.array_distinct(F.regexp_extract_all(F.when(F.size("ids") > 0, chain).otherwise(""), F.lit("<([^>]+)>"), F.lit(1)))
@@ -178,7 +235,7 @@ def _oracle() -> str:
     """The scan by fixed sentences and single leaders; whole headers are beyond it."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({q(k)}, {q(v)})" for k, v in _pieces().items())
-    chain = "'|' || array_to_string(ids, '||') || '|'"
+    chain = "'|' || array_to_string(list_filter(ids, lambda z: z <> '?'), '||') || '|'"
     for licence, run in RULES:
         chain = f"replace({chain}, {q('|' + '||'.join(run) + '|')}, {q(f'<{licence}>')})"
     return rf"""
@@ -186,7 +243,7 @@ WITH known(s, id) AS (VALUES {known}),
 d AS (SELECT doc_id, lower(text) AS t FROM documents),
 n AS (SELECT doc_id, regexp_replace(regexp_replace(replace(t, 'licence', 'license'), '[“”‘’`]', '"', 'g'), '(^|\n)[ \t]*(//+|/\*+|\*+/?|#+|;+|--+)[ \t]*', '\1', 'g') AS t
       FROM d WHERE regexp_matches(t, '{CRITICAL}')),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[.!?;:]({BLANK}+|\z)', chr(1), 'g'), '\n{BLANK}*\n', chr(1), 'g'), '\n[ \t]*({OPENERS})', chr(1) || '\1', 'g'), '{BLANK}+', ' ', 'g') AS t FROM n),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{SPDX}:[ \t]*([a-z0-9.+-]*[a-z0-9+])', '{SPDX}=\1' || chr(1), 'g'), '[.!?;:]({BLANK}+|\z)', chr(1), 'g'), '\n{BLANK}*\n', chr(1), 'g'), '\n[ \t]*({OPENERS})', chr(1) || '\1', 'g'), '{BLANK}+', ' ', 'g') AS t FROM n),
 s AS (SELECT doc_id, unnest(range(1, len(string_split(t, chr(1))) + 1)) AS k, trim(unnest(string_split(t, chr(1)))) AS s FROM c),
 i AS (SELECT doc_id, k, coalesce(known.id, '?') AS id FROM s LEFT JOIN known USING (s)
       WHERE regexp_matches(s, '{CRITICAL}') AND NOT regexp_matches(s, '^copyright ')),

@@ -105,3 +105,44 @@ BSD2 = "\n".join(x for x in CHROMIUM.split("\n") if not any(w in x for w in ("Ne
 def test_whole_headers(docs_of, text, ids, licence):
     got = license_scan.scan(docs_of([text])).first()
     assert (got["sentence_ids"], got["licences"]) == (ids, licence)
+
+
+GNU = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details.
+
+You should have received a copy of the GNU {kind}General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+CC0 = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty.
+
+You should have received a copy of the CC0 Public Domain Dedication along with this software."""
+
+
+def test_more_licences(docs_of):
+    texts = [
+        GNU.format(kind=""),
+        GNU.format(kind="Affero "),
+        CC0,
+        "// SPDX-License-Identifier: Apache-2.0\n// some code",
+        "/* SPDX-License-Identifier: MIT */",
+        "# SPDX-License-Identifier: GPL-3.0-or-later\nimport this",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "This code is not licensed under the MIT License.",
+    ]
+    got = {r["doc_id"]: r["licences"] for r in license_scan.scan(docs_of(texts)).collect()}
+    want = ["GPL-3.0-or-later", "AGPL-3.0-or-later", "CC0-1.0", "Apache-2.0", "MIT", "GPL-3.0-or-later", "EPL-2.0", ""]
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_unknown_sentences_may_lie_between(docs_of):
+    text = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nA word on the license here.\nSee the License for the specific language governing permissions and limitations under the License."
+    got = license_scan.scan(docs_of([text])).first()
+    assert got["licences"] == "Apache-2.0" and "?" in got["sentence_ids"]
