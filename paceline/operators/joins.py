@@ -39,7 +39,11 @@ def segments(vertices: DataFrame) -> DataFrame:
     return long.withColumn("hi_m", hi).withColumn("lo_m", F.col("hi_m") - F.col("long_m"))
 
 
-def feet(points: DataFrame, segs: DataFrame, on: str = "route_id") -> DataFrame:
+#: Metres of a route that are one key where points meet segments by their band.
+BAND_M = 500.0
+
+
+def feet(points: DataFrame, segs: DataFrame, on: str | list[str] = "route_id") -> DataFrame:
     """Every (point, segment) of the same route with perp_m and along_m.
 
     points: id, route_id, lat, lng and more.  A route has a few hundred segments.
@@ -55,11 +59,11 @@ def project_nearest(points: DataFrame, segs: DataFrame) -> DataFrame:
     return got.select("id", "m.perp_m", "m.along_m", "m.i", F.col("m.heading").alias("seg_heading"))
 
 
-def project_near_cells(points: DataFrame, segs: DataFrame, tolerance_m: float) -> DataFrame:
-    """Like project_nearest where that is below tolerance_m, by cells of that size.
+def near_segments(points: DataFrame, segs: DataFrame, tolerance_m: float) -> DataFrame:
+    """(point, segment) of the same route within tolerance_m, with perp_m and along_m.
 
-    A segment is spread over the cells of its box widened by the tolerance, so
-    only near pairs meet; points farther away have no row.
+    A segment is spread over the cells, tolerance_m wide, of its box widened by
+    the tolerance, so only near pairs meet.
     """
     size = tolerance_m
     wide = tolerance_m / geo.M_PER_DEG
@@ -72,8 +76,12 @@ def project_near_cells(points: DataFrame, segs: DataFrame, tolerance_m: float) -
     keyed = points.withColumn("ci", geo.cell_lat(F.col("lat"), size)).withColumn("cj", geo.cell_lng(F.col("lng"), F.col("ci"), size))
     both = keyed.join(spread, ["route_id", "ci", "cj"])
     foot = geo.foot_on_segment(F.col("lat"), F.col("lng"), *[F.col(c) for c in ("a_lat", "a_lng", "b_lat", "b_lng")])
-    near = both.withColumn("perp_m", foot["perp_m"]).withColumn("along_m", F.col("lo_m") + foot["t"] * F.col("long_m")).where(F.col("perp_m") < tolerance_m)
-    got = near.groupBy("id").agg(F.min(F.struct("perp_m", "i", "along_m")).alias("m"))
+    return both.withColumn("t", foot["t"]).withColumn("perp_m", foot["perp_m"]).withColumn("along_m", F.col("lo_m") + F.col("t") * F.col("long_m")).where(F.col("perp_m") <= tolerance_m)
+
+
+def project_near_cells(points: DataFrame, segs: DataFrame, tolerance_m: float) -> DataFrame:
+    """Like project_nearest where that is below tolerance_m; points farther away have no row."""
+    got = near_segments(points, segs, tolerance_m).where(F.col("perp_m") < tolerance_m).groupBy("id").agg(F.min(F.struct("perp_m", "i", "along_m")).alias("m"))
     return got.select("id", "m.perp_m", "m.along_m", "m.i")
 
 
@@ -82,7 +90,14 @@ def project_window(points: DataFrame, segs: DataFrame, back_m: float, fwd_m: flo
 
     points: id, route_id, lat, lng, around_m (and heading for max_turn_deg).
     """
-    got = feet(points, segs.withColumnRenamed("heading", "seg_heading")).where((F.col("hi_m") >= F.col("around_m") - back_m) & (F.col("lo_m") <= F.col("around_m") + fwd_m))
+    named = segs.withColumnRenamed("heading", "seg_heading")
+    if max_perp_m is None:  # by stretches of the route that the band touches
+        stretch = lambda lo, hi: F.explode(F.sequence(F.floor(lo / BAND_M), F.floor(hi / BAND_M)))
+        asked = points.withColumn("stretch", stretch(F.col("around_m") - back_m, F.col("around_m") + fwd_m))
+        got = feet(asked, named.withColumn("stretch", stretch(F.col("lo_m"), F.col("hi_m"))), ["route_id", "stretch"])
+    else:  # by cells
+        got = near_segments(points, named, max_perp_m)
+    got = got.where((F.col("hi_m") >= F.col("around_m") - back_m) & (F.col("lo_m") <= F.col("around_m") + fwd_m))
     if max_turn_deg is not None:
         got = got.where(geo.bearing_diff_deg(F.col("seg_heading"), F.col("heading")) <= max_turn_deg)
     if max_perp_m is not None:
@@ -93,7 +108,7 @@ def project_window(points: DataFrame, segs: DataFrame, back_m: float, fwd_m: flo
 
 def project_unambiguous(points: DataFrame, segs: DataFrame, max_perp_m: float, max_turn_deg: float, gap_m: float, extent_m: float) -> DataFrame:
     """The nearest gated segment, where all gated ones form one cluster along the loop."""
-    gated = feet(points, segs.withColumnRenamed("heading", "seg_heading")).where((F.col("perp_m") <= max_perp_m) & (geo.bearing_diff_deg(F.col("seg_heading"), F.col("heading")) <= max_turn_deg))
+    gated = near_segments(points, segs.withColumnRenamed("heading", "seg_heading"), max_perp_m).where((F.col("perp_m") <= max_perp_m) & (geo.bearing_diff_deg(F.col("seg_heading"), F.col("heading")) <= max_turn_deg))
     total = segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m"))
     w = Window.partitionBy("id").orderBy("along_m", "i")
     gaps = gated.join(total, "route_id").withColumn("gap", F.col("along_m") - F.lag("along_m").over(w))

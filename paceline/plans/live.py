@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import formats
-from paceline.operators import laps, rules, signals
-from paceline.plans import _sql
+from paceline.operators import joins, laps, rules, samples, signals
+from paceline.plans import _sql, routes
 from paceline.sources import rides
-from paceline.streaming import alerts, race
+from paceline.streaming import alerts, race, tracking
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -305,3 +305,25 @@ def profile_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     renamed = settings.where(k % 10 == 1).select("profile_id", F.concat(F.lit("new "), F.col("profile_id")).alias("profile_name"))
     replaced = settings.where(k % 10 == 2).select(F.concat(F.lit("q"), k).alias("profile_id"), "profile_name")
     return rules.learned(settings, renamed.unionByName(replaced)).select("profile_id", "profile_name")
+
+
+def _tracking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    steps = samples.deltas(rides.points(spark, sf_dir))
+    ticks = steps.select(F.col("track_id").alias("ride_id"), "seq", (F.col("track_id") % 6).alias("route_id"), "lat", "lng", "heading", F.col("distance_m").alias("odo_m"), (F.col("dd_m") > 0.5 * F.col("dt_s")).alias("moving"), (F.col("seq") % 9 != 4).alias("fresh"))
+    return ticks, joins.segments(routes.routes(spark))
+
+
+@query()
+def route_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where along its road's route each ride is, tick by tick; every ninth position is stale."""
+    return tracking.tracked(*_tracking(spark, sf_dir))
+
+
+@query()
+def ghost_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marker of a ghost that rides the route at 5 m/s, 20 s behind the rider."""
+    ticks, segs = _tracking(spark, sf_dir)
+    at = tracking.tracked(ticks, segs).join(ticks.select("ride_id", "seq", "route_id", "odo_m"), ["ride_id", "seq"]).withColumn("lead_s", F.lit(20.0))
+    ends = segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m"))
+    curve = ends.select("route_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("distance_m"), F.lit(0.0).alias("time_s")), F.struct(F.lit(1).alias("k"), F.col("total_m").alias("distance_m"), (F.col("total_m") / 5.0).alias("time_s")))).alias("c")).select("route_id", "c.*")
+    return tracking.markers(at, curve)
