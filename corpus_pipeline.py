@@ -48,9 +48,9 @@ STAGES = [
     ("line dedup", drop_lines),
     ("n-gram Jaccard join", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
-    ("BPE encoding", encode),
+    ("BPE encoding and decoding", encode),
 ]
-#: A trained network and a tokenizer are beyond SQL; see tests/llm/test_models.py.
+#: A trained network and a tokenizer are beyond SQL; see tests/llm/test_models.py and test_pipeline_decoding.py.
 ORACLE_SQL = None
 
 
