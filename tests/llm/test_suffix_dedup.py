@@ -43,10 +43,12 @@ def mess(seed: int, n: int = 120):
     return rows + [(500, "ab" * 300), (501, "ab" * 200), (502, "a" * 300), (503, "a" * 49), (504, "a" * 50), (505, rows[3][1]), (506, None)]
 
 
-@pytest.mark.parametrize(("cell", "bucket"), [(6 << 20, 16 << 20), (800, 3000)])
-def test_equals_brute_force(docs_of, monkeypatch, cell, bucket):
+@pytest.mark.parametrize(("cell", "bucket", "hot", "block"), [(6 << 20, 16 << 20, 4096, 1 << 17), (800, 3000, 4096, 1 << 17), (800, 3000, 1, 300), (6 << 20, 3000, 3, 97)])
+def test_equals_brute_force(docs_of, monkeypatch, cell, bucket, hot, block):
     monkeypatch.setattr(s, "CELL_BYTES", cell)
     monkeypatch.setattr(s, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(s, "HOT_RUNS", hot)
+    monkeypatch.setattr(s, "BLOCK", block)
     rows = mess(1)
     got = s.deduped(docs_of([(i, t, "en", "a") for i, t in rows]).repartition(5)).collect()
     assert sorted(map(tuple, got)) == brute(rows)
@@ -75,3 +77,25 @@ def test_earlier_copy_by_neighbours(rows):
     place = np.array([p for _, p in rows], np.int64)
     want = [any(w2 == w and p2 < p for w2, p2 in rows) for w, p in rows]
     assert s.earlier_copy(words, place).tolist() == want
+
+
+def test_equal_hashes_do_not_make_equal_runs(docs_of, monkeypatch):
+    """With run hashes that always agree, bytes decide."""
+    plain = s.Cell._runs
+
+    def blunt(self, lo, z):
+        h, c, *rest = plain(self, lo, z)
+        return h, c * np.uint64(0), *rest
+
+    monkeypatch.setattr(s.Cell, "_runs", blunt)
+    monkeypatch.setattr(s, "CELL_BYTES", 2000)
+    rows = mess(2, 60)
+    got = s.deduped(docs_of([(i, t, "en", "a") for i, t in rows]).repartition(3)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_extra_columns_are_ignored(docs_of):
+    from pyspark.sql import functions as F
+
+    d = docs_of(["x" * 60, "x" * 60]).withColumns({c: F.lit("x") for c in ("cell", "ids", "lens", "data", "size", "n_removed", "bucket")})
+    assert sorted(r["n_removed"] for r in s.deduped(d).collect()) == [0, 60]
