@@ -33,7 +33,10 @@ from paceline.llm.common import small, table
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 SHORT = 256
-MEMO_WORDS = 200_000
+#: Bytes that a memo's generation holds, about; words of more letters are not kept.
+MEMO_BYTES = 64 << 20
+LONG_WORD = 512
+ENTRY_BYTES = 160
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The pre-tokenizer's pattern, white space spelt out (possessive: it never has to give back).
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}++| ?\p{{N}}++| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -66,19 +69,23 @@ def chunk_text(chunk: str) -> str:
 
 
 class Memo(dict):
-    """word -> value, made once; old words go a generation at a time."""
+    """word -> value, made once; old words go a generation at a time, by the bytes they hold."""
 
-    def __init__(self, make, most: int = MEMO_WORDS):
+    def __init__(self, make, most: int = MEMO_BYTES):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.held, self.old = make, most, 0, {}
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
-        if len(self) >= self.most:
+        if len(word) > LONG_WORD:
+            return value
+        self.held += ENTRY_BYTES + 4 * len(word) + 8 * len(value)
+        if self.held > self.most:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[word] = value
         return value
 

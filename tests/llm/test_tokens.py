@@ -37,14 +37,15 @@ def test_very_long_words():
 
 
 def test_memo_keeps_answers_when_full():
-    m = bpe.Memo(lambda w: len(w), most=3)
-    assert [m["a" * (k % 7)] for k in range(50)] == [k % 7 for k in range(50)] and len(m) <= 3
+    m = bpe.Memo(lambda w: (len(w),), most=600)
+    assert [m["a" * (k % 7)] for k in range(50)] == [(k % 7,) for k in range(50)] and len(m) <= 4
+    assert m["a" * 5000] == (5000,) and "a" * 5000 not in m
 
 
 def test_piece_numbers_when_the_memo_is_full(monkeypatch):
     from collections import Counter
 
-    monkeypatch.setattr(token_counts, "MEMO_WORDS", 3)
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 500)
     c = token_counts.PieceCounts(bpe.DEFAULT_FILE, bpe.chunk_text)
     text = "one two three four five six seven two"
     for _ in range(3):
