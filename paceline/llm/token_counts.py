@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.bpe import DEFAULT_FILE, chunk_text, chunks, load
+from paceline.llm.bpe import DEFAULT_FILE, ENTRY_BYTES, LONG_WORD, chunk_text, chunks, load
 from paceline.llm.common import small, table
 
 LIMIT = 1024
-#: Pre-tokens whose piece numbers a worker remembers before it starts anew.
-MEMO_WORDS = 600_000
+#: Bytes of pre-tokens whose piece numbers a worker remembers before it starts anew.
+MEMO_BYTES = 96 << 20
 
 
 class PieceCounts:
@@ -40,23 +40,28 @@ class PieceCounts:
 
         self.library = Tokenizer.from_file(public_tokenizers.path(file))
         self.known: dict[str, int] = {}
+        self.held = 0
         self.text_of = text_of
 
-    def learn(self, words: list[str]) -> None:
-        texts = [self.text_of(w) for w in words]
-        for word, got in zip(words, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[word] = len(got)
+    def counted(self, words: list[str]) -> dict[str, int]:
+        got = self.library.encode_batch_fast([self.text_of(w) for w in words], add_special_tokens=False)
+        return dict(zip(words, map(len, got), strict=True))
 
     def total(self, frequency: Counter[str]) -> int:
         """Sum of number times frequency over a document's pre-tokens."""
         known = self.known
         new = [w for w in frequency if w not in known]
-        if new:
-            if len(known) + len(new) > MEMO_WORDS:
-                known.clear()
-                new = list(frequency)
-            self.learn(new)
-        return sum([known[w] * f for w, f in frequency.items()])
+        if not new:
+            return sum([known[w] * f for w, f in frequency.items()])
+        fresh = self.counted(new)
+        n = sum([(fresh[w] if w in fresh else known[w]) * f for w, f in frequency.items()])
+        keep = {w: k for w, k in fresh.items() if len(w) <= LONG_WORD}
+        self.held += sum(map(len, keep)) + ENTRY_BYTES * len(keep)
+        if self.held > MEMO_BYTES:
+            known.clear()
+            self.held = 0
+        known.update(keep)
+        return n
 
 
 @cache
