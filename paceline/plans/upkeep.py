@@ -222,7 +222,7 @@ def keys_subtracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.without_keys(keys, keys.where("track_id % 4 = 2")).select("track_id")
 
 
-_LINE = "concat(CASE WHEN event_id % 3 = 0 THEN 'fix lat=41.4863 lng=-2,31 ok' WHEN event_id % 3 = 1 THEN 'nav name=Casa - Trabajo routeLen=1200' ELSE 'race on ''Home loop'' karooLen=9' END, ' #', CAST(event_id AS VARCHAR))"
+_LINE = "concat(CASE WHEN event_id % 3 = 0 THEN 'fix lat=41.4863 lng=-2,31 ok' WHEN event_id % 3 = 1 THEN 'nav name=Casa - Trabajo routeLen=1200' ELSE 'race on ''Home loop'' navLen=9' END, ' #', CAST(event_id AS VARCHAR))"
 
 
 @query(
