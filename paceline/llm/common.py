@@ -49,6 +49,27 @@ def light(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Keys that one key of a large side is dealt over where the other side is too large to broadcast.
+SALTS = 16
+
+
+def joined(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the other columns of facts (at most one row a key; nulls are equal), null where it has none.
+
+    facts is broadcast if it has few rows; else the rows of a key, however
+    many, are dealt over SALTS keys, and facts is repeated for each.
+    """
+    facts = checkpointed(facts)
+    other, deal = fresh_name(rows, f"{key}_"), fresh_name(rows, "deal")
+    facts = facts.withColumnRenamed(key, other)
+    same = rows[key].eqNullSafe(facts[other])
+    if facts.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), same, "left").drop(other)
+    facts = facts.withColumn(f"{deal}_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn(deal, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(facts, dealt[key].eqNullSafe(facts[other]) & (dealt[deal] == facts[f"{deal}_"]), "left").drop(other, deal, f"{deal}_")
+
+
 #: Rows of a partition of a small table.
 TASK_ROWS = 4096
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paceline.llm import bpe, jaccard_join, license_scan, line_dedup, mixing, nearest, quality_cnn, quality_rules, suffix_dedup, token_counts, url_filter
+from paceline.llm import bpe, jaccard_join, license_scan, line_dedup, mixing, nearest, quality_cnn, quality_rules, suffix_dedup, token_counts, url_filter, vector_codes
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_url_filter": url_filter.op12_url_filter,
 }
 ORACLE_SQL = {
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
     "op12_url_filter": url_filter.ORACLE,
 }
