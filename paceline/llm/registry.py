@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paceline.llm import bpe, jaccard_join, license_scan, line_dedup, mixing, nearest, quality_cnn, quality_rules, suffix_dedup, token_counts, url_filter, vector_codes
+from paceline.llm import bpe, jaccard_join, lexical_search, license_scan, line_dedup, mixing, nearest, quality_cnn, quality_rules, suffix_dedup, token_counts, url_filter, vector_codes
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_url_filter": url_filter.op12_url_filter,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE,
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op10_jaccard_join": jaccard_join.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
     "op12_url_filter": url_filter.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
