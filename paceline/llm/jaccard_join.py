@@ -66,6 +66,11 @@ BITMAP_BITS = 1 << 30
 BUCKET_BYTES = 4096
 
 
+def _text_hash(text: Column) -> Column:
+    """Tells rows that share a doc_id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -106,7 +111,7 @@ def frequent_hashes(docs: DataFrame) -> np.ndarray:
 
 
 def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digest (the set's name, null when empty) and its prefix."""
+    """doc_id, of (a hash of the text), n_shingles, digest (the set's name, null when empty) and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -120,9 +125,10 @@ def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 prefixes.append(s[: n - (n * PERCENT + 99) // 100 + 1 if n else 0].view(np.int64))
             at = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], ["doc_id", "of", "n_shingles", "digest", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>")
+    texts = _texts(docs).select("doc_id", "text", _text_hash(F.col("text")).alias("of"))
+    return texts.mapInArrow(run, "doc_id bigint, of bigint, n_shingles bigint, digest binary, prefix array<bigint>")
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -339,25 +345,49 @@ def _decided(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return compact(verified(few(pairs), sets))[0]
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, of (a hash of the text), n_shingles, comp (null for an empty set) for each row."""
     feats = checkpointed(features(docs, frequent_hashes(docs)))
     # numbers are given before the checkpoint, which fixes them
     nodes = feats.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     comp = nodes.select("digest", "node").join(components(node_links(docs, nodes)), "node", "left")
     named = comp.select(F.col("digest").alias("c_digest"), F.coalesce("comp", "node").alias("comp"))
-    placed = checkpointed(feats.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("c_digest"), "left").select("doc_id", "n_shingles", "comp"))
+    return checkpointed(feats.select("doc_id", "of", "n_shingles", "digest").join(named, F.col("digest") == F.col("c_digest"), "left").select("doc_id", "of", "n_shingles", "comp"))
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row."""
+    placed = _grouped(docs)
     least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "comp", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id."""
-    found = similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    gone = fresh_name(docs, "gone")
-    return docs.join(found.withColumnRenamed("doc_id", gone), docs["doc_id"] == F.col(gone), "left_anti")
+    """The rows of docs, but one only of each component.
+
+    The row with the smallest doc_id stays, a null id counting as the largest
+    and the hash of the text deciding between equal ids.  Rows are told apart by
+    id and text, so a row is never dropped for another that shares its id; of
+    rows that share both, the first by its columns' JSON stays.  Rows with an
+    empty set are no copies of anything and all stay.
+    """
+    id_, of, copy = (fresh_name(docs, c) for c in ("k_id", "k_of", "k_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of")
+    held = _grouped(docs).where("comp IS NOT NULL").groupBy("comp", "doc_id", "of").agg(F.count("*").alias("n"))
+    stay = held.groupBy("comp").agg(F.min_by(F.struct("doc_id", "of", "n"), order).alias("x"))
+    stay = checkpointed(stay.select("comp", "x.*"))
+    gone = held.join(stay.select("comp", F.col("doc_id").alias("s_id"), F.col("of").alias("s_of")), "comp").where(~(F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("of") == F.col("s_of"))))
+    named = lambda rows: rows.select(F.col("doc_id").alias(id_), F.col("of").alias(of))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col(id_)) & (_text_hash(docs["text"]) == F.col(of))
+    kept = docs.join(named(gone), same, "left_anti")
+    repeated = named(stay.where("n > 1"))
+    if repeated.isEmpty():
+        return kept
+    row = F.struct(*[docs[c] for c in docs.columns])
+    one = docs.join(light(checkpointed(repeated)), same).groupBy(id_, of).agg(F.min_by(row, F.to_json(row)).alias(copy))
+    return kept.join(light(checkpointed(repeated)), same, "left_anti").unionByName(one.select(f"`{copy}`.*"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
