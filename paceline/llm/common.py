@@ -53,7 +53,7 @@ def light(df: DataFrame) -> DataFrame:
 SALTS = 16
 
 
-def joined(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+def joined(rows: DataFrame, facts: DataFrame, key: str, how: str = "left") -> DataFrame:
     """rows with the other columns of facts (at most one row a key; nulls are equal), null where it has none.
 
     facts is broadcast if it has few rows; else the rows of a key, however
@@ -64,10 +64,10 @@ def joined(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     facts = facts.withColumnRenamed(key, other)
     same = rows[key].eqNullSafe(facts[other])
     if facts.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(facts), same, "left").drop(other)
+        return rows.join(F.broadcast(facts), same, how).drop(other)
     facts = facts.withColumn(f"{deal}_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn(deal, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return dealt.join(facts, dealt[key].eqNullSafe(facts[other]) & (dealt[deal] == facts[f"{deal}_"]), "left").drop(other, deal, f"{deal}_")
+    return dealt.join(facts, dealt[key].eqNullSafe(facts[other]) & (dealt[deal] == facts[f"{deal}_"]), how).drop(other, deal, f"{deal}_")
 
 
 #: Rows of a partition of a small table.

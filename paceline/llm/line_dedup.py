@@ -10,7 +10,9 @@ Each hash's sketch, least site, greatest site and first document come from one
 aggregation of the lines, merged in every task before the shuffle, so a hot line
 is one row a task however many documents hold it.  Exact counts read distinct
 (line, site) rows of the near lines only, at most a few more than the threshold
-each.  No line's rows or documents are gathered.
+each.  No line's rows or documents are gathered.  Boilerplate lines meet the
+documents by broadcast, or where they are many by a join that deals every line's
+rows over several keys; a text then loses lines by their places.
 
 Defined results: lines are compared without surrounding blanks; blank lines
 stay; a null text stays null (0 lines); null source is a site of its own; rows
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import checkpointed, fresh_name, light, table
+from paceline.llm.common import checkpointed, fresh_name, joined, light, table
 
 MIN_SITES = 10
 #: log2 of the sketch's registers: standard error about 1.6 %.
@@ -58,22 +60,23 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with boilerplate lines removed, plus n_lines and n_removed."""
-    common = light(checkpointed(boilerplate(line_rows(docs), min_sites)))
+    common = boilerplate(line_rows(docs), min_sites)
     # rows without a doc_id are told apart by their text
-    named = docs.select("doc_id", F.xxhash64("text").alias("of"), "source", "text")
-    lines = named.select("doc_id", "of", F.explode(F.split("text", "\n")).alias("line")).where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "of", _key(F.col("line")).alias("h"))
-    later = lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    id_, of, gone, kept_ = (fresh_name(docs, c) for c in ("l_id", "l_of", "l_gone", "l_kept"))
-    drops = later.groupBy(F.col("doc_id").alias(id_), F.col("of").alias(of)).agg(F.collect_set("h").alias(gone))
-    split = F.split("text", "\n")
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(of)), "left")
-    kept = F.filter(split, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains(gone, _key(x)))
-    out = joined.withColumn(kept_, F.when(F.col(gone).isNull(), split).otherwise(kept))
-    count = lambda lines_: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_)).cast("bigint")
+    placed = docs.select("doc_id", F.xxhash64("text").alias("of"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    placed = placed.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "of", "place", _key(F.col("line")).alias("h"))
+    later = joined(placed, common, "h", "inner").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    id_, of, lines, gone = (fresh_name(docs, c) for c in ("l_id", "l_of", "l_lines", "l_gone"))
+    drops = later.groupBy(F.col("doc_id").alias(id_), F.col("of").alias(of)).agg(F.collect_set("place").alias(gone))
+    # the text goes along as its lines, cut once
+    cut = docs.withColumn(lines, F.split("text", "\n")).withColumn(f"{of}_", F.xxhash64("text")).drop("text")
+    out = cut.join(drops, cut["doc_id"].eqNullSafe(F.col(id_)) & (F.col(f"{of}_") == F.col(of)), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), F.col(lines)).otherwise(F.transform(stay, lambda k: F.get(lines, k)))
+    count = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("bigint")
     return out.select(
-        *[(F.when(F.col(gone).isNull(), docs["text"]).otherwise(F.array_join(kept_, "\n")).alias("text") if c == "text" else docs[c]) for c in docs.columns],
-        count(split).alias(fresh_name(docs, "n_lines")),
-        (count(split) - count(F.col(kept_))).alias(fresh_name(docs, "n_removed")),
+        *[F.array_join(kept, "\n").alias("text") if c == "text" else cut[c] for c in docs.columns],
+        count(lines).alias(fresh_name(docs, "n_lines")),
+        count(gone).alias(fresh_name(docs, "n_removed")),
     )
 
 

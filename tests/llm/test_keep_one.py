@@ -115,3 +115,15 @@ def test_stages_on_odd_tables(spark, odd, empty):
             times[r["source"]] = times.get(r["source"], 0) + r["epochs"]
         assert mixed.columns == columns and {r["source"]: r["count"] for r in mixed.groupBy("source").count().collect()} == {k: n for k, n in times.items() if n}
         assert corpus_pipeline.encode(spark, docs, SF).count() == len(rows)
+
+
+def test_lines_meet_documents_by_salted_shuffle_too(spark, monkeypatch, docs_of):
+    from paceline.llm import common
+
+    rows = [(k, "\n".join([f"own {k}", *[f"common {i}" for i in range(40)], "", "common 3"]), "en", f"s{k % 15}") for k in range(60)] + [(None, "common 1\ncommon 1", "en", "s1")] * 2
+    want = _lines_by_hand(rows)
+    for most in (50_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        got = line_dedup.dedup_lines(docs_of(rows))
+        assert sorted(repr((r["doc_id"], r["text"])) for r in got.collect()) == want
+        assert got.agg(F.sum("n_removed")).first()[0] == 59 * 41 + 4
