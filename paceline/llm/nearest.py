@@ -191,8 +191,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, confidence: float =
     d = dim[0] if dim else 1
     project = np.random.default_rng(3).normal(size=(d, DIMS))
     stretch = float("inf") if exact else chi_square_quantile(confidence, DIMS)
-    chosen = points.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SAMPLE_ROWS))) == 0).select("embedding").toArrow().column(0).combine_chunks()
-    tree = Tree(_matrix(chosen) @ project if len(chosen) else np.empty((0, DIMS)), max(1, n // CELL_ROWS))
+    chosen = points.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SAMPLE_ROWS))) == 0).select("embedding")
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list(_matrix(b.column(0)) @ project) if b.num_rows else [], pa.list_(pa.float64()))], ["p"])
+
+    sample = _matrix(chosen.mapInArrow(projected, "p array<double>").toArrow().column(0).combine_chunks())  # DIMS numbers a row of the sample
+    tree = Tree(sample if len(sample) else np.empty((0, DIMS)), max(1, n // CELL_ROWS))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
