@@ -18,7 +18,7 @@ SPACING_M = 20.0
 class Imported(NamedTuple):
     #: path, outcome (imported, duplicate, invalid, failed, unwritten), enriched
     outcomes: DataFrame
-    #: points of the rides to add
+    #: points of the rides to add, spacing_m apart, with their source_key
     added: DataFrame
     #: points, with heights filled in, of the recorded rides that a file completes
     completed: DataFrame
@@ -36,20 +36,20 @@ def imported(files: DataFrame, points: DataFrame, ledger: DataFrame, recorded: D
     """What becomes of files (path, size, mtime, source, started_ms), as ``asked`` gives them.
 
     points: path, seq, lat, lng, distance_m, time_s, ele_m of the files that
-    could be decoded; recorded: track_id, source, started_ms and points' columns
-    of the library.  A file without points has failed; one with fewer than two
-    points spacing_m apart is invalid.  A ride whose key the library or a file
-    of a smaller path has is a duplicate, and completes the heights of a recorded
-    ride with its key.  Keys are of the start and the length; a ride without a
-    start has none and is never a duplicate.  unwritten: paths whose rides could
-    not be stored.  Failed and unwritten files stay out of the ledger.
+    could be decoded; recorded: track_id, source, source_key and points' columns
+    of the library.  A ride is thinned to points spacing_m apart first; what is
+    left is judged, keyed and stored, so that a file meets the live recording of
+    its ride, which is thinned alike.  A file without points has failed; one with
+    fewer than two left is invalid.  A ride whose key the library or a file of a
+    smaller path has is a duplicate, and completes the heights of a recorded ride
+    with its key.  Keys are of the start and the last point left; a ride without
+    a start has none and is never a duplicate.  unwritten: paths whose rides
+    could not be stored.  Failed and unwritten files stay out of the ledger.
     """
-    rides = points.join(files.select("path"), "path", "left_semi")
-    kept = decimated(rides.withColumnRenamed("path", "track_id"), spacing_m).groupBy(F.col("track_id").alias("path")).agg(F.count("*").alias("n"))
-    length = rides.groupBy("path").agg(F.max("distance_m").alias("length_m"))
-    keyed = files.join(length, "path", "left").join(kept, "path", "left").withColumn("key", source_key(F.col("started_ms"), F.col("length_m")))
-    owned = recorded.groupBy("track_id").agg(F.first("source").alias("source"), F.first("started_ms").alias("started_ms"), F.max("distance_m").alias("length_m"))
-    owned = owned.select("track_id", F.col("source").alias("own_source"), source_key(F.col("started_ms"), F.col("length_m")).alias("key")).where("key <> ''")
+    rides = checkpointed(thinned(points.join(files.select("path"), "path", "left_semi"), spacing_m))
+    facts = rides.groupBy("path").agg(F.count("*").alias("n"), F.max("distance_m").alias("length_m"))
+    keyed = files.join(facts, "path", "left").withColumn("key", source_key(F.col("started_ms"), F.col("length_m")))
+    owned = recorded.groupBy("track_id").agg(F.first("source").alias("own_source"), F.first("source_key").alias("key")).where("key <> ''")
     usable = (F.col("n") >= 2) & (F.coalesce(F.col("key"), F.lit("")) != "")
     rank = F.row_number().over(Window.partitionBy("key", F.coalesce(usable, F.lit(False))).orderBy("path"))
     known = owned.select("key").distinct().withColumn("known", F.lit(True))
@@ -64,10 +64,16 @@ def imported(files: DataFrame, points: DataFrame, ledger: DataFrame, recorded: D
     completed = _completed(twice.groupBy("track_id").agg(F.min("path").alias("path")), rides, recorded)
     done = checkpointed(twice.join(completed.select("track_id").distinct(), "track_id", "left_semi").select("path").distinct())
     outcomes = judged.join(done.withColumn("done", F.lit(True)), "path", "left").select("path", "mtime", "outcome", F.col("done").isNotNull().alias("enriched"))
-    added = rides.join(judged.where("outcome = 'imported'").select("path"), "path", "left_semi")
+    added = rides.join(judged.where("outcome = 'imported'").select("path", F.col("key").alias("source_key")), "path")
     return Imported(outcomes, added, completed, marked(ledger, judged.where("outcome NOT IN ('failed', 'unwritten')")))
 
 
+def thinned(points: DataFrame, spacing_m: float = SPACING_M) -> DataFrame:
+    """The points (path, seq, distance_m and others) that are spacing_m or more beyond the last one kept."""
+    kept = decimated(points.select(F.col("path").alias("track_id"), "seq", "distance_m"), spacing_m)
+    return points.join(kept.select(F.col("track_id").alias("path"), "seq"), ["path", "seq"], "left_semi")
+
+
 def _completed(matches: DataFrame, rides: DataFrame, recorded: DataFrame) -> DataFrame:
     """Recorded rides of matches (track_id, path) that their file's heights change, with them."""
     scan = rides.join(matches, "path").select("track_id", "distance_m", "ele_m")

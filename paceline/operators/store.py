@@ -34,10 +34,11 @@ def current(aggregates: DataFrame) -> DataFrame:
 
 
 def updated(aggregates: DataFrame, fresh: DataFrame, replace: bool = True) -> DataFrame:
-    """Aggregates by route_key after saving fresh ones; without replace, only where there is none."""
-    if replace:
-        return aggregates.join(fresh.select("route_key"), "route_key", "left_anti").unionByName(fresh)
-    return aggregates.unionByName(fresh.join(aggregates.select("route_key"), "route_key", "left_anti").select(aggregates.columns))
+    """Aggregates by route_key after saving fresh ones; without replace, only where
+    there is none that can still be read: one of an unknown version gives way."""
+    if not replace:
+        fresh = fresh.join(current(aggregates).select("route_key"), "route_key", "left_anti").select(aggregates.columns)
+    return aggregates.join(fresh.select("route_key"), "route_key", "left_anti").unionByName(fresh)
 
 
 def swept(aggregates: DataFrame, now_ms: int, most: int = MOST_FILES, max_age_ms: int = MAX_AGE_MS) -> DataFrame:

@@ -121,16 +121,26 @@ def lap_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("k", *[F.round(c, 6).alias(c) for c in ("dt_s", "min_dt_s", "last_dt_s")], "count")
 
 
-@query(
-    "SELECT ride_id, seq, age_s FROM (SELECT *, row_number() OVER (PARTITION BY ride_id, loss ORDER BY seq) AS rn FROM ("
-    "SELECT *, sum(CASE WHEN age_s < 30 THEN 1 ELSE 0 END) OVER (PARTITION BY ride_id ORDER BY seq) AS loss FROM ("
-    "SELECT track_id AS ride_id, seq, time_s - coalesce(max(CASE WHEN seq % 60 < 25 THEN time_s END) OVER (PARTITION BY track_id ORDER BY seq), min(time_s) OVER (PARTITION BY track_id)) AS age_s FROM points QUALIFY seq % 7 <> 0)) WHERE age_s >= 60) WHERE rn = 1"
-)
+#: A latch a ride, walked tick by tick: anchor, whether the alert is out, and whether this tick raises it.
+_ALERTS = """
+ft AS (SELECT track_id AS ride_id, seq, time_s AS now, CASE WHEN track_id % 5 <> 0 THEN max(CASE WHEN seq % 60 BETWEEN 3 AND 24 THEN time_s - 1 END) OVER (PARTITION BY track_id ORDER BY seq) END AS fix,
+       seq % 90 BETWEEN 50 AND 65 AS paused, seq % 4 = 1 AS refused FROM points),
+health(ride_id, seq, anchor, was, fired, alert, age) AS (
+  SELECT ride_id, seq, now, paused, false, false, 0.0::DOUBLE FROM ft WHERE seq = 1
+  UNION ALL
+  SELECT ride_id, seq, anchor, paused, CASE WHEN NOT judged THEN fired WHEN age >= 60 THEN fired OR NOT refused WHEN now - fix < 30 THEN false ELSE fired END, judged AND age >= 60 AND NOT fired, age
+  FROM (SELECT *, now - greatest(anchor, fix) AS age, NOT paused AND fix IS NOT NULL AS judged FROM (
+    SELECT t.*, h.fired, CASE WHEN h.was AND NOT t.paused THEN t.now ELSE h.anchor END AS anchor FROM health h JOIN ft t ON t.ride_id = h.ride_id AND t.seq = h.seq + 1)))
+"""
+
+
+@query("SELECT ride_id, seq, round(age, 6) AS age_s FROM health WHERE alert", _ALERTS)
 def position_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of rides that have a position in 25 of 60 ticks and pause every seventh."""
+    """Alerts of rides that lose their position and pause for a while; some never had one, some alerts are refused."""
     pts = rides.points(spark, sf_dir)
-    last = F.max(F.when(F.col("seq") % 60 < 25, F.col("time_s"))).over(Window.partitionBy("track_id").orderBy("seq"))
-    return alerts.position_alerts(pts.select(F.col("track_id").alias("ride_id"), "seq", F.col("time_s").alias("now_s"), last.alias("last_fix_s"), (F.col("seq") % 7 == 0).alias("paused")))
+    last = F.max(F.when((F.col("seq") % 60).between(3, 24), F.col("time_s") - 1)).over(Window.partitionBy("track_id").orderBy("seq"))
+    ticks_ = pts.select(F.col("track_id").alias("ride_id"), "seq", F.col("time_s").alias("now_s"), F.when(F.col("track_id") % 5 != 0, last).alias("last_fix_s"), (F.col("seq") % 90).between(50, 65).alias("paused"))
+    return alerts.position_alerts(ticks_, refused=F.col("seq") % 4 == 1).withColumn("age_s", F.round("age_s", 6))
 
 
 _GAPS = "gaps AS (SELECT track_id, seq, CASE WHEN seq % 19 = 0 THEN NULL ELSE (t_ms - d_mm * 18 // 100) / 1000.0::DOUBLE END AS gap_s, (d_mm - t_ms * 5) / 1000.0::DOUBLE AS gap_m FROM points)"

@@ -137,8 +137,13 @@ def aggregate_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.swept(store.current(store.updated(old, new)), 1_700_000_000_000)
 
 
-@query("SELECT * FROM old UNION ALL SELECT * FROM new WHERE route_key NOT IN (SELECT route_key FROM old)", _AGGS)
+@query(
+    "SELECT coalesce(old.route_key, new.route_key) AS route_key, CASE WHEN old.schema_version BETWEEN 1 AND 3 OR new.route_key IS NULL THEN old.schema_version ELSE 3 END AS schema_version,"
+    " CASE WHEN old.schema_version BETWEEN 1 AND 3 OR new.route_key IS NULL THEN old.updated_ms ELSE new.updated_ms END AS updated_ms FROM old FULL JOIN new ON old.route_key = new.route_key",
+    _AGGS,
+)
 def aggregates_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved where there is none yet; one of a version that cannot be read counts as none."""
     old, new = _aggregates(spark, sf_dir)
     return store.updated(old, new, replace=False)
 

@@ -123,7 +123,7 @@ def test_fold_of_laps_weighs_as_step_by_step(spark):
 def test_alert_fires_once_an_episode(spark):
     rows = [(1, k, 10.0 * k, 0.0 if k < 15 else 150.0, False) for k in range(25)] + [(2, k, 10.0 * k, None, k < 9) for k in range(12)]
     got = alerts.position_alerts(spark.createDataFrame(rows, "ride_id long, seq int, now_s double, last_fix_s double, paused boolean"))
-    assert sorted((r["ride_id"], r["seq"]) for r in got.collect()) == [(1, 6), (1, 21), (2, 9)]
+    assert sorted((r["ride_id"], r["seq"]) for r in got.collect()) == [(1, 6), (1, 21)]
 
 
 def test_behind_metres(spark):
