@@ -2,8 +2,7 @@
 
 Every function takes rows of a key in order of ``at`` (a time, milliseconds where
 there is a default), then ``seq``, and works in
-windows of one key.  Over a stream, ``latest_together`` and ``changes`` have the
-same meaning a micro-batch at a time behind a watermark.
+windows of one key.  Over a stream, the rules of ``streaming.live`` give the same.
 """
 
 from __future__ import annotations
@@ -52,22 +51,42 @@ def changes(events: DataFrame, kind: str, key: str) -> DataFrame:
     return edges.withColumn("held_ms", F.lead("at").over(w) - F.col("at"))
 
 
+def absences(states: DataFrame, key: str = "ride_id", grace_ms: int = GRACE_MS, until_ms: int | None = None) -> DataFrame:
+    """key, at, kind: ``gone`` once present has been false for grace_ms, ``back`` when it is true after that.
+
+    until_ms: the time up to which states are known; else that of a key's last row.
+    """
+    edges = changes(states, "present", key)
+    end = states.groupBy(key).agg(F.max("at").alias("end"))
+    away = edges.where("NOT present").join(end, key).withColumn("end", F.col("end") if until_ms is None else F.lit(until_ms))
+    held = away.where(F.coalesce("held_ms", F.col("end") - F.col("at")) >= grace_ms)
+    gone = held.select(key, (F.col("at") + grace_ms).alias("at"), F.lit("gone").alias("kind"))
+    return gone.unionByName(held.where("held_ms IS NOT NULL").select(key, (F.col("at") + F.col("held_ms")).alias("at"), F.lit("back").alias("kind")))
+
+
 def torn_down(states: DataFrame, key: str = "ride_id", grace_ms: int = GRACE_MS) -> DataFrame:
     """key, at of the teardowns: an absence (present is false) that lasts for grace_ms."""
-    edges = changes(states, "present", key)
-    last = states.groupBy(key).agg(F.max("at").alias("end"))
-    held = edges.where("NOT present").join(last, key).where(F.coalesce("held_ms", F.col("end") - F.col("at")) >= grace_ms)
-    return held.select(key, (F.col("at") + grace_ms).alias("at"))
+    return absences(states, key, grace_ms).where("kind = 'gone'").select(key, "at")
+
 
+def kept_alive(emissions: DataFrame, key: str = "ride_id", every_ms: int = HEARTBEAT_MS, until_ms: int | None = None) -> DataFrame:
+    """emissions with repeats of each one every every_ms until the next: key, at, seq, value, repeat.
 
-def kept_alive(emissions: DataFrame, key: str = "ride_id", every_ms: int = HEARTBEAT_MS) -> DataFrame:
-    """emissions with repeats of each one every every_ms until the next: key, at, seq, value, repeat."""
+    until_ms: the last one is repeated until then; else it is not.
+    """
     gap = F.lead("at").over(_order(key, "seq")) - F.col("at")
+    if until_ms is not None:
+        gap = F.coalesce(gap, until_ms - F.col("at") + 1)
     n = F.greatest(F.lit(0), F.floor((gap - 1) / every_ms)).cast("int")
     spread = emissions.withColumn("n_", F.coalesce(n, F.lit(0))).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("n_"))))
     return spread.select(key, (F.col("at") + F.col("repeat") * every_ms).alias("at"), "seq", "value", "repeat")
 
 
+def shown(values: DataFrame, key: str = "ride_id", every_ms: int = HEARTBEAT_MS, until_ms: int | None = None) -> DataFrame:
+    """What is drawn of values: those that differ from the one shown, each again every every_ms while it is shown."""
+    return kept_alive(changes(values, "value", key).select(key, "at", "seq", "value"), key, every_ms, until_ms)
+
+
 def arbitrated(events: DataFrame, key: str = "ride_id") -> DataFrame:
     """Events of the source that has the word: replay while it is open, live otherwise.
 

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from paceline.plans import importing, keeping, live, pace, routes, upkeep
+from paceline.plans import importing, keeping, live, pace, routes, streams, upkeep
 
-QUERIES = {**pace.QUERIES, **routes.QUERIES, **keeping.QUERIES, **live.QUERIES, **importing.QUERIES, **upkeep.QUERIES}
-ORACLE_SQL = {**pace.ORACLE_SQL, **routes.ORACLE_SQL, **keeping.ORACLE_SQL, **live.ORACLE_SQL, **importing.ORACLE_SQL, **upkeep.ORACLE_SQL}
-
-#: Names from when the plain ones covered part of the rides; both cover all now.
-for _name in (
-    "project_nearest", "project_near_cells", "project_window", "project_heading", "project_unambiguous", "route_segments", "route_curve",
-    "route_coverage", "covered_runs", "race_comparator", "overlap_groups", "overlay_pieces", "ride_gap_tiers",
-):
-    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
+_MODULES = (pace, routes, keeping, live, importing, upkeep, streams)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -45,10 +45,11 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Ticks as above; a tick's event, then what it makes of the state before it.
-_TICKS = """
-tk AS (SELECT track_id AS ride_id, seq, time_s AS t, CASE WHEN seq % 11 = 5 THEN lag(distance_m) OVER w ELSE distance_m END AS raw, CASE WHEN seq % 13 <> 3 THEN (seq % 9 + 1)::DOUBLE END AS speed, greatest(0, time_s - lag(time_s) OVER w) AS dt FROM points WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
-coast(ride_id, seq, raw, gained, due_m, due_s, spent, blind, frozen, cruise, forward, held) AS (
-  SELECT ride_id, seq, raw, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CASE WHEN speed BETWEEN 0.5 AND 30 THEN speed ELSE 0.0::DOUBLE END, false, false FROM tk WHERE seq = 1
+_RAW = "SELECT track_id AS ride_id, seq, time_s AS t, CASE WHEN seq % 11 = 5 THEN lag(distance_m) OVER w ELSE distance_m END AS raw, CASE WHEN seq % 13 <> 3 THEN (seq % 9 + 1)::DOUBLE END AS speed, CASE WHEN seq % 3 <> 0 THEN 0.18::DOUBLE END AS history, CASE WHEN seq % 3 = 0 THEN 0.2::DOUBLE END AS grade, greatest(0, time_s - lag(time_s) OVER w) AS dt FROM points WINDOW w AS (PARTITION BY track_id ORDER BY seq)"
+_TK = f"tk AS ({_RAW})"
+_COAST = """
+coast(ride_id, seq, raw, gained, due_m, due_s, spent, blind, frozen, cruise, forward, held, ev) AS (
+  SELECT ride_id, seq, raw, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CASE WHEN speed BETWEEN 0.5 AND 30 THEN speed ELSE 0.0::DOUBLE END, false, false, 'read' FROM tk WHERE seq = 1
   UNION ALL
   SELECT ride_id, seq, raw,
          CASE ev WHEN 'read' THEN 0 WHEN 'lost' THEN 0 WHEN 'hold' THEN gained WHEN 'stand' THEN gained WHEN 'stall' THEN gained + due_m ELSE gained + due_m + rate * room END,
@@ -59,7 +60,7 @@ coast(ride_id, seq, raw, gained, due_m, due_s, spent, blind, frozen, cruise, for
          CASE ev WHEN 'read' THEN 0 WHEN 'lost' THEN 0 WHEN 'stand' THEN frozen ELSE frozen + dt END,
          CASE WHEN ev = 'read' AND speed BETWEEN 0.5 AND 30 THEN speed ELSE cruise END,
          CASE WHEN ev = 'read' THEN raw > was ELSE forward END,
-         ev = 'hold' OR (ev = 'stand' AND held)
+         ev = 'hold' OR (ev = 'stand' AND held), ev
   FROM (SELECT *, CASE WHEN speed IS NULL THEN cruise ELSE least(speed, 30) END AS rate,
                least(dt, greatest(0, 1800 - spent - due_s), CASE WHEN speed IS NULL THEN greatest(0, 30 - blind) ELSE dt END) AS room FROM (
     SELECT k.ride_id, k.seq, k.raw, k.speed, k.dt, c.raw AS was, c.gained, c.due_m, c.due_s, c.spent, c.blind, c.frozen, c.cruise, c.forward, c.held,
@@ -69,19 +70,48 @@ coast(ride_id, seq, raw, gained, due_m, due_s, spent, blind, frozen, cruise, for
 """
 
 
-@query("SELECT ride_id, seq, round(raw + gained, 6) AS distance_m, CASE WHEN held OR frozen <= 0 THEN 'LIVE' WHEN frozen <= 30 THEN 'COASTING' ELSE 'LONG_LOSS' END AS quality, round(frozen, 6) AS frozen_s FROM coast", _TICKS)
+@query("SELECT ride_id, seq, round(raw + gained, 6) AS distance_m, CASE WHEN held OR frozen <= 0 THEN 'LIVE' WHEN frozen <= 30 THEN 'COASTING' ELSE 'LONG_LOSS' END AS quality, round(frozen, 6) AS frozen_s FROM coast", _TK, _COAST)
 def coast_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return race.odometers(ticks(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("distance_m", "frozen_s")})
 
 
-@query()
+#: The race: the clock that stands while the rider does, the lead, and the ghost's place on a path of crumbs.
+_RACE = """
+cx AS (SELECT ride_id, seq, coast.raw + gained AS dist, CASE WHEN held OR frozen <= 0 THEN 'LIVE' WHEN frozen <= 30 THEN 'COASTING' ELSE 'LONG_LOSS' END AS quality, held, ev,
+       ev = 'read' AND lag(held) OVER (PARTITION BY ride_id ORDER BY seq) AND tk.speed < 0.5 AS still, t, history, grade FROM coast JOIN tk USING (ride_id, seq)),
+offer AS (SELECT *, CASE WHEN quality <> 'LIVE' THEN 'GP' WHEN history IS NOT NULL THEN 'SEG' WHEN grade IS NOT NULL THEN 'GRADE' ELSE 'GP' END AS tag, CASE WHEN quality = 'LIVE' THEN coalesce(history, grade) END AS pace FROM cx),
+rc(ride_id, seq, t, raced, at_m, clock, lead, matched, filled, path, back) AS (
+  SELECT ride_id, seq, t, 0.0::DOUBLE, dist, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, [{'d': dist, 't': 0.0::DOUBLE}], 0.0::DOUBLE FROM offer WHERE seq = 1
+  UNION ALL
+  SELECT ride_id, seq, t, raced, at2, clock2, lead2, matched2, filled2, path2,
+         CASE WHEN held THEN back ELSE at2 - CASE WHEN clock2 > path2[-1].t THEN CASE WHEN lead2 < 0 THEN at2 WHEN clock2 + lead2 > path2[-1].t THEN path2[-1].d + least(1, (clock2 - path2[-1].t) / (clock2 + lead2 - path2[-1].t)) * (at2 - path2[-1].d) ELSE path2[-1].d END
+              WHEN k = 0 THEN path2[1].d WHEN path2[k + 1].t > path2[k].t THEN path2[k].d + least(1, (clock2 - path2[k].t) / (path2[k + 1].t - path2[k].t)) * (path2[k + 1].d - path2[k].d) ELSE path2[k].d END END
+  FROM (SELECT *, len(list_filter(path2, lambda x: x.t < clock2)) AS k FROM (
+    SELECT *, CASE WHEN held THEN at_m ELSE dist END AS at2, CASE WHEN held THEN clock ELSE raced END AS clock2, CASE WHEN held THEN lead ELSE lead1 END AS lead2,
+           matched + CASE WHEN NOT held AND step > 0 AND pace IS NOT NULL THEN step ELSE 0 END AS matched2, filled + CASE WHEN NOT held AND step > 0 AND pace IS NULL THEN step ELSE 0 END AS filled2,
+           CASE WHEN held THEN path WHEN step > 0 THEN CASE WHEN dist - path[-1].d >= 20 THEN list_append(path, {'d': dist, 't': raced + lead1}) ELSE path END
+                WHEN step < 0 THEN CASE WHEN path[1].d <= dist THEN list_filter(path, lambda x: x.d <= dist) ELSE [{'d': dist, 't': raced}] END ELSE path END AS path2
+    FROM (SELECT *, CASE WHEN step > 0 THEN lead + (CASE WHEN pace IS NULL THEN greatest(0, took) ELSE pace * step END - took) ELSE lead - took END AS lead1 FROM (
+      SELECT *, dist - at_m AS step, raced - clock AS took FROM (
+        SELECT o.*, r.at_m, r.clock, r.lead, r.matched, r.filled, r.path, r.back,
+               r.raced + CASE WHEN o.t < r.t OR NOT (coalesce(o.still, false) OR (o.dist <= r.at_m AND o.ev <> 'hold')) THEN o.t - r.t ELSE 0 END AS raced
+        FROM rc r JOIN offer o ON o.ride_id = r.ride_id AND o.seq = r.seq + 1))))))
+"""
+_GAPS_SQL = "SELECT ride_id, seq, t AS elapsed_s, round(dist, 6) AS distance_m, quality, tag, round(0 - lead, 6) AS gap_time_s, round(back, 6) AS gap_distance_m, round(matched, 6) AS matched_m, round(filled, 6) AS filled_m, lead > 0 AS ahead, quality <> 'LIVE' AS estimated FROM rc JOIN offer USING (ride_id, seq, t)"
+
+
+def _rounded(gaps: DataFrame) -> DataFrame:
+    return gaps.withColumns({c: F.round(c, 6) for c in ("distance_m", "gap_time_s", "gap_distance_m", "matched_m", "filled_m")})
+
+
+@query(_GAPS_SQL, _TK, _COAST, _RACE)
 def race_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return race.race_batch(ticks(spark, sf_dir))
+    return _rounded(race.race_batch(ticks(spark, sf_dir)))
 
 
-@query()
+@query(f"SELECT ride_id, seq, 0 - gap_time_s AS seconds, gap_distance_m AS metres, estimated::INT AS estimated, 'STREAMING' AS status FROM ({_GAPS_SQL})", _TK, _COAST, _RACE)
 def gap_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return race.gap_stream(race.race_batch(ticks(spark, sf_dir)))
+    return race.gap_stream(_rounded(race.race_batch(ticks(spark, sf_dir))))
 
 
 #: Laps of a ride's own road, folded node by node from the last good one.

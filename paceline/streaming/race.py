@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import json
-import math
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from paceline.operators.samples import spaced
 from paceline.streaming.ghost import Ghost, followed
 from paceline.streaming.odometer import MOVING, Event, Odometer, advanced, finite
+from paceline.streaming.ordered import Rule, over_stream
 
 GAPS = (
     "ride_id bigint, seq int, elapsed_s double, distance_m double, quality string, tag string, gap_time_s double,"
     " gap_distance_m double, matched_m double, filled_m double, ahead boolean, estimated boolean"
 )
-COLUMNS = [c.split()[0] for c in GAPS.split(", ")]
 TICK = ("seq", "elapsed_s", "raw_m", "speed_ms", "history_tpm", "grade_tpm", "state")
-#: A ride that has had no tick for so long is forgotten.
-IDLE_MS = 24 * 3600 * 1000
 
 
 @dataclass
@@ -62,24 +56,23 @@ def raced(r: Race, raw: float | None, speed: float | None, elapsed: float | None
     return r, tag
 
 
-def to_plain(r: Race) -> dict:
-    return asdict(r)
-
-
-def from_plain(d: dict) -> Race:
-    return Race(**{**d, "odometer": Odometer(**d["odometer"]), "ghost": Ghost(**d["ghost"])})
+def _ticked(ride: int, r: Race, tick: tuple) -> tuple[Race, list[tuple]]:
+    """A race after a tick (seq, elapsed_s, raw_m, speed_ms, history_tpm, grade_tpm, state), and its row."""
+    seq, elapsed, raw, speed, history, grade, state = tick
+    if state == "idle":  # the ride ended
+        return Race(), []
+    if state == "paused":
+        return r, []
+    r, tag = raced(r, raw, speed, elapsed, history, grade)
+    o, g = r.odometer, r.ghost
+    return r, [(ride, seq, elapsed, o.distance, o.quality, tag, 0.0 - g.lead_s, g.lead_m, g.matched_m, g.filled_m, g.lead_s > 0, o.quality != "LIVE")]
 
 
 def _steps(ride: int, ticks: list[tuple], r: Race) -> tuple[Race, list[tuple]]:
-    """ticks in order: (seq, elapsed_s, raw_m, speed_ms, history_tpm, grade_tpm, state)."""
     out = []
-    for seq, elapsed, raw, speed, history, grade, state in ticks:
-        if state == "idle":  # the ride ended
-            r = Race()
-        elif state != "paused":
-            r, tag = raced(r, raw, speed, elapsed, history, grade)
-            o, g = r.odometer, r.ghost
-            out.append((ride, seq, elapsed, o.distance, o.quality, tag, -g.lead_s, g.lead_m, g.matched_m, g.filled_m, g.lead_s > 0, o.quality != "LIVE"))
+    for tick in ticks:
+        r, some = _ticked(ride, r, tick)
+        out += some
     return r, out
 
 
@@ -106,30 +99,51 @@ def race_batch(ticks: DataFrame) -> DataFrame:
     return _grouped(ticks.select("ride_id", *TICK), "ride_id", GAPS, lambda ride, t: _steps(ride, _in_order(t), Race())[1])
 
 
-class RaceProcessor(StatefulProcessor):
-    """A ride's race as one bounded JSON value of state; an idle tick or a day without ticks clears it."""
+class Racing(Rule):
+    """A ride's race over a stream of ticks: typed state, ticks in the order of their time.
 
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("race", "race string", IDLE_MS)
+    A ride that ends (idle) drops its race only if it was active here: a race
+    that was handed over and not yet gone on with stays.
+    """
+
+    rows = "at bigint, seq bigint, elapsed_s double, raw_m double, speed_ms double, history_tpm double, grade_tpm double, state string"
+    state = (
+        "reading double, clock double, gained_m double, pending_m double, pending_s double, spent_s double, blind_s double, frozen_s double, cruise double, forward boolean, event string,"
+        " lead_s double, lead_m double, matched_m double, filled_m double, ghost_m double, ghost_s double, path array<array<double>>,"
+        " race_clock double, raced_s double, at_m double, begun boolean, verdict_seen boolean, active boolean"
+    )
+    out = GAPS.partition(", ")[2]
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values("seq")[list(TICK)].astype(object)
-        ticks = [tuple(None if isinstance(x, float) and math.isnan(x) or x is None else x for x in t) for t in frame.itertuples(index=False, name=None)]
-        race = from_plain(json.loads(self.state.get()[0])) if self.state.exists() else Race()
-        race, out = _steps(int(key[0]), ticks, race)
-        if ticks and ticks[-1][-1] == "idle":
-            self.state.clear()
-        else:
-            self.state.update((json.dumps(to_plain(race)),))
-        yield pd.DataFrame(out, columns=COLUMNS)
+    def first(self) -> tuple[Race, bool]:
+        return Race(), False
 
-    def close(self) -> None:
-        pass
+    def save(self, state: tuple[Race, bool]) -> tuple:
+        r, active = state
+        o, g = r.odometer, r.ghost
+        return (o.reading, o.clock, o.gained_m, o.pending_m, o.pending_s, o.spent_s, o.blind_s, o.frozen_s, o.cruise, o.forward, str(o.event), g.lead_s, g.lead_m, g.matched_m, g.filled_m, g.at, g.clock, g.path, r.clock, r.raced_s, r.at, r.begun, r.verdict_seen, active)
 
+    def load(self, row: tuple) -> tuple[Race, bool]:
+        *odometer, event = row[:11]
+        lead_s, lead_m, matched_m, filled_m, at, clock, path = row[11:18]
+        ghost = Ghost(lead_s, lead_m, matched_m, filled_m, at, clock, [list(p) for p in path])
+        return Race(Odometer(*odometer, Event(event)), ghost, *row[18:23]), bool(row[23])
 
-def race_stream(ticks: DataFrame) -> DataFrame:
-    """The same over a stream of ticks, in the order they arrive a ride."""
-    return ticks.groupBy("ride_id").transformWithStateInPandas(RaceProcessor(), GAPS, "Append", "ProcessingTime")
+    def step(self, state: tuple[Race, bool], row: tuple) -> tuple[tuple[Race, bool], list[tuple]]:
+        race, active = state
+        if row[-1] == "idle" and not active:
+            return state, []
+        race, out = _ticked(0, race, row[1:])
+        return (race, active or row[-1] == "recording") if row[-1] != "idle" else self.first(), [x[1:] for x in out]
+
+
+def race_stream(ticks: DataFrame, delay: str = "0 seconds", initial: DataFrame | None = None) -> DataFrame:
+    """Gaps over a stream of ticks (ride_id, at in milliseconds, and what ``race_batch`` takes), late by ``delay`` at most.
+
+    initial: races to go on with, as ``resumption.handed_over`` gives them.
+    """
+    kinds = {c.split()[0]: c.split()[1] for c in Racing.rows.split(", ")}
+    typed = ticks.select("ride_id", *[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
+    return over_stream(typed, Racing(), "ride_id", delay, initial)
 
 
 def odometers(ticks: DataFrame) -> DataFrame:
@@ -187,7 +201,7 @@ def gap_stream(gaps: DataFrame) -> DataFrame:
     return gaps.select(
         "ride_id",
         "seq",
-        F.when(fine, -F.col("gap_time_s")).alias("seconds"),
+        F.when(fine, 0.0 - F.col("gap_time_s")).alias("seconds"),
         F.when(fine, F.col("gap_distance_m")).alias("metres"),
         F.col("estimated").cast("int").alias("estimated"),
         F.when(fine, "STREAMING").otherwise("SEARCHING").alias("status"),
