@@ -32,7 +32,7 @@ def asked(files: DataFrame, ledger: DataFrame, last_scan_ms: int | None = None)
     return unprocessed(fresh, ledger)
 
 
-def imported(files: DataFrame, points: DataFrame, ledger: DataFrame, recorded: DataFrame, unwritten: DataFrame | None = None, spacing_m: float = SPACING_M) -> Imported:
+def imported(files: DataFrame, points: DataFrame, ledger: DataFrame, recorded: DataFrame, unwritten: DataFrame | None = None, spacing_m: float = SPACING_M, tracks: DataFrame | None = None) -> Imported:
     """What becomes of files (path, size, mtime, source, started_ms), as ``asked`` gives them.
 
     points: path, seq, lat, lng, distance_m, time_s, ele_m of the files that
@@ -45,11 +45,13 @@ def imported(files: DataFrame, points: DataFrame, ledger: DataFrame, recorded: D
     with its key.  Keys are of the start and the last point left; a ride without
     a start has none and is never a duplicate.  unwritten: paths whose rides
     could not be stored.  Failed and unwritten files stay out of the ledger.
+    tracks: track_id, source, source_key of the library, where they are kept
+    apart from its points.
     """
     rides = checkpointed(thinned(points.join(files.select("path"), "path", "left_semi"), spacing_m))
     facts = rides.groupBy("path").agg(F.count("*").alias("n"), F.max("distance_m").alias("length_m"))
     keyed = files.join(facts, "path", "left").withColumn("key", source_key(F.col("started_ms"), F.col("length_m")))
-    owned = recorded.groupBy("track_id").agg(F.first("source").alias("own_source"), F.first("source_key").alias("key")).where("key <> ''")
+    owned = (recorded if tracks is None else tracks).groupBy("track_id").agg(F.first("source").alias("own_source"), F.first("source_key").alias("key")).where("key <> ''")
     usable = (F.col("n") >= 2) & (F.coalesce(F.col("key"), F.lit("")) != "")
     rank = F.row_number().over(Window.partitionBy("key", F.coalesce(usable, F.lit(False))).orderBy("path"))
     known = owned.select("key").distinct().withColumn("known", F.lit(True))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import geo
+from paceline.sources.rides import checkpointed
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, lo: str, hi: str, bucket: float, closed: str = "right") -> DataFrame:
@@ -53,10 +54,29 @@ def feet(points: DataFrame, segs: DataFrame, on: str | list[str] = "route_id") -
     return both.withColumn("t", foot["t"]).withColumn("perp_m", foot["perp_m"]).withColumn("along_m", F.col("lo_m") + F.col("t") * F.col("long_m"))
 
 
+#: Metres of the first ring of cells, how much wider the next one is, and beyond what a point meets its whole route.
+RING_M, WIDER, FAR_M = 50.0, 4.0, 200_000.0
+
+
 def project_nearest(points: DataFrame, segs: DataFrame) -> DataFrame:
-    """id, perp_m, along_m, i of the nearest segment; the first of equals."""
-    got = feet(points, segs).groupBy("id").agg(F.min(F.struct("perp_m", "i", "along_m", "heading")).alias("m"))
-    return got.select("id", "m.perp_m", "m.along_m", "m.i", F.col("m.heading").alias("seg_heading"))
+    """id, perp_m, along_m, i of the nearest segment; the first of equals.
+
+    Rings of cells: a point meets the segments within RING_M of it; where there
+    are none it is asked again with a ring WIDER times as wide.  What a ring
+    holds is nearer than all outside it, so a point with an answer is done.
+    """
+    asked, ring, found = points, RING_M, None
+    best = lambda got: got.groupBy("id").agg(F.min(F.struct("perp_m", "i", "along_m", "heading")).alias("m"))
+    while True:
+        got = checkpointed(best(near_segments(asked, segs, ring) if ring <= FAR_M else feet(asked, segs)))
+        found = got if found is None else found.unionByName(got)
+        if ring > FAR_M:
+            break
+        asked = checkpointed(asked.join(got.select("id"), "id", "left_anti"))
+        if asked.isEmpty():
+            break
+        ring *= WIDER
+    return found.select("id", "m.perp_m", "m.along_m", "m.i", F.col("m.heading").alias("seg_heading"))
 
 
 def near_segments(points: DataFrame, segs: DataFrame, tolerance_m: float) -> DataFrame:

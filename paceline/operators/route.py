@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import geo
+from paceline.functions.formats import mmss
+from paceline.operators import joins
 from paceline.operators.joins import sample_at
 from paceline.operators.road_pace import celled, in_order, seeded_mean
 
@@ -145,6 +147,41 @@ def uncovered(secondary: DataFrame, primary: DataFrame, min_piece_m: float = 200
     return every.where(F.col("z") - F.col("a") >= min_piece_m).select(*key, F.col("a").alias("piece_start_m"), F.col("z").alias("piece_end_m"))
 
 
+def overlay(primary: DataFrame, secondary: DataFrame, min_piece_m: float = 200.0) -> DataFrame:
+    """Primary segments, and of each secondary one what primary leaves of it, cut along its curve.
+
+    Segments: seg_id, route_id, start_m, end_m, label, curve (array of d, t,
+    rising from 0).  A piece's curve starts at 0 metres and 0 seconds; both cuts
+    are looked up on the segment's curve, whose metres are scaled to the route's,
+    and times never fall.  Its label has its own time.  A segment that no primary
+    one touches stays as it is; pieces shorter than min_piece_m, and those that
+    take no time, are dropped.
+    """
+    kind = [c for c in primary.columns if c in ("seg_id", "route_id", "start_m", "end_m", "label", "curve")]
+    pieces = uncovered(secondary.select("route_id", "start_m", "end_m").distinct(), primary, min_piece_m)
+    cut = secondary.join(pieces, ["route_id", "start_m", "end_m"])
+    whole = (F.col("piece_start_m") <= F.col("start_m")) & (F.col("piece_end_m") >= F.col("end_m"))
+    kept = cut.where(whole).select(kind)
+    long = F.element_at("curve", -1)["d"]
+    scale = long / (F.col("end_m") - F.col("start_m"))
+    parts = cut.where(~whole).withColumns({"d0": (F.col("piece_start_m") - F.col("start_m")) * scale, "d1": (F.col("piece_end_m") - F.col("start_m")) * scale})
+    parts = parts.withColumn("id", F.concat_ws(":", "seg_id", "piece_start_m"))
+    curves = secondary.select(F.col("seg_id").alias("curve_id"), F.posexplode("curve").alias("k", "s")).select("curve_id", "k", F.col("s.d").alias("distance_m"), F.col("s.t").alias("time_s"))
+    asked = lambda at, name: joins.time_at(parts.select("id", F.col("seg_id").alias("curve_id"), F.col(at).alias("distance_m")), curves).withColumnRenamed("time_s", name)
+    timed = parts.join(asked("d0", "t0"), "id").join(asked("d1", "t1"), "id")
+    inner = timed.select("id", "d0", "d1", "t0", "t1", F.explode("curve").alias("s")).where((F.col("s.d") > F.col("d0")) & (F.col("s.d") < F.col("d1")))
+    ends = timed.select("id", F.explode(F.array(F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("t")), F.struct((F.col("d1") - F.col("d0")).alias("d"), (F.col("t1") - F.col("t0")).alias("t")))).alias("s")).select("id", "s.d", "s.t")
+    every = inner.select("id", (F.col("s.d") - F.col("d0")).alias("d"), (F.col("s.t") - F.col("t0")).alias("t")).unionByName(ends)
+    upto = Window.partitionBy("id").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    risen = every.groupBy("id", "d").agg(F.min("t").alias("t")).select("id", "d", F.greatest(F.lit(0.0), F.max("t").over(upto)).alias("t"))
+    based = risen.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "t"))).alias("curve"))
+    lasts = F.element_at("curve", -1)["t"]
+    label = F.concat(F.regexp_replace("label", " [^ ]*$", ""), F.lit(" "), mmss(lasts))
+    trimmed = timed.drop("curve").join(based, "id").where(lasts > 0).withColumn("label", label)
+    trimmed = trimmed.select(*[F.col({"start_m": "piece_start_m", "end_m": "piece_end_m"}.get(c, c)).alias(c) for c in kind])
+    return primary.select(kind).unionByName(kept).unionByName(trimmed)
+
+
 def overlap_groups(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """intervals with ``group``: transitively overlapping ones; touching counts."""
     w = Window.partitionBy(key).orderBy(start, end)

@@ -100,6 +100,14 @@ grades AS (SELECT bin, mean, coalesce(q_min, mean) AS min, coalesce(q_last, mean
                   arg_max(sum_dt / sum_dd, (started_ms, track_id)) FILTER (sum_dd >= 400) AS q_last, sum(sum_dd) AS metres, count(*) AS count
            FROM folds JOIN tracks USING (track_id) GROUP BY bin))
 """
+#: Of rides (track_id, start_ms, end_ms, metres): overlapping pairs, and the greedy pick of the longest.
+PAIRS = "op AS (SELECT a.track_id AS a, b.track_id AS b, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS overlap_ms, least(a.end_ms - a.start_ms, b.end_ms - b.start_ms) AS shorter FROM rides a JOIN rides b ON a.track_id < b.track_id AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms WHERE a.end_ms > a.start_ms AND b.end_ms > b.start_ms)"
+GREEDY = """
+ordered AS (SELECT *, row_number() OVER (ORDER BY metres DESC, track_id) AS o FROM rides),
+pick(o, taken) AS (SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL SELECT p.o + 1, CASE WHEN EXISTS (SELECT 1 FROM op WHERE overlap_ms > 0.5 * shorter AND ((op.a = r.track_id AND list_contains(p.taken, op.b)) OR (op.b = r.track_id AND list_contains(p.taken, op.a)))) THEN p.taken ELSE list_append(p.taken, r.track_id) END
+  FROM pick p JOIN ordered r ON r.o = p.o + 1)
+"""
 
 
 def query(select: str, *parts: str) -> str:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from paceline.plans import importing, keeping, live, pace, routes, streams, upkeep
+from paceline.plans import importing, keeping, live, pace, routes, scanning, streams, upkeep
 
-_MODULES = (pace, routes, keeping, live, importing, upkeep, streams)
+_MODULES = (pace, routes, keeping, live, importing, scanning, upkeep, streams)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

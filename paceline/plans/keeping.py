@@ -233,27 +233,20 @@ def same_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RIDES = "rides AS (SELECT track_id, started_ms AS start_ms, started_ms + time_ms AS end_ms, length_mm / 1000.0::DOUBLE AS metres FROM tracks)"
-_PAIRS = "op AS (SELECT a.track_id AS a, b.track_id AS b, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS overlap_ms, least(a.end_ms - a.start_ms, b.end_ms - b.start_ms) AS shorter FROM rides a JOIN rides b ON a.track_id < b.track_id AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms WHERE a.end_ms > a.start_ms AND b.end_ms > b.start_ms)"
 
 
 def _rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rides.tracks_of(rides.points(spark, sf_dir)).select("track_id", F.col("started_ms").alias("start_ms"), (F.col("started_ms") + F.col("time_ms")).alias("end_ms"), (F.col("length_mm") / 1000.0).alias("metres"))
 
 
-@query("SELECT a, b, overlap_ms FROM op WHERE overlap_ms > 0.5 * shorter", _RIDES, _PAIRS)
+@query("SELECT a, b, overlap_ms FROM op WHERE overlap_ms > 0.5 * shorter", _RIDES, _sql.PAIRS)
 def ride_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.overlap_pairs(_rides(spark, sf_dir))
 
 
-_GREEDY = """
-ordered AS (SELECT *, row_number() OVER (ORDER BY metres DESC, track_id) AS o FROM rides),
-pick(o, taken) AS (SELECT 0::BIGINT, []::BIGINT[]
-  UNION ALL SELECT p.o + 1, CASE WHEN EXISTS (SELECT 1 FROM op WHERE overlap_ms > 0.5 * shorter AND ((op.a = r.track_id AND list_contains(p.taken, op.b)) OR (op.b = r.track_id AND list_contains(p.taken, op.a)))) THEN p.taken ELSE list_append(p.taken, r.track_id) END
-  FROM pick p JOIN ordered r ON r.o = p.o + 1)
-"""
 
 
-@query("SELECT track_id, list_contains((SELECT taken FROM pick ORDER BY o DESC LIMIT 1), track_id) AS kept FROM rides", _RIDES, _PAIRS, _GREEDY)
+@query("SELECT track_id, list_contains((SELECT taken FROM pick ORDER BY o DESC LIMIT 1), track_id) AS kept FROM rides", _RIDES, _sql.PAIRS, _sql.GREEDY)
 def ride_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.suppressed(_rides(spark, sf_dir))
 

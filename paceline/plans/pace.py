@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions import formats
-from paceline.operators import grade, road_pace, samples
+from paceline.operators import grade, grade_store, road_pace, samples
 from paceline.plans import _sql
 from paceline.sources import rides
 from paceline.sources.rides import checkpointed
@@ -255,3 +255,49 @@ def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = rides.tracks_of(rides.points(spark, sf_dir)).where("time_ms > 0").select(v.alias("v"))
     units = {"kmh": formats.kmh, "mph": formats.mph, "pkm": formats.min_per_km, "pmi": formats.min_per_mile}
     return t.agg(*[F.round(F.avg(f(F.col("v"))), 6).alias(k) for k, f in units.items()])
+
+
+_STORED = f"""
+metres AS (SELECT track_id, sum(sum_dd) AS metres FROM folds GROUP BY track_id),
+rides AS (SELECT track_id, started_ms AS start_ms, started_ms + floor(time_ms / 1000.0::DOUBLE * 1000)::BIGINT AS end_ms, metres FROM tracks JOIN metres USING (track_id) WHERE NOT (track_id % 7 = 3 AND track_id % 3 <> 0))
+"""
+_REBUILT = """
+taken AS (SELECT unnest(taken) AS track_id FROM (SELECT taken FROM pick ORDER BY o DESC LIMIT 1)),
+regraded AS (SELECT bin, mean, coalesce(q_min, mean) AS min, coalesce(q_last, mean) AS last, metres, count FROM (
+  SELECT bin, sum(sum_dt) / sum(sum_dd) AS mean, min(sum_dt / sum_dd) FILTER (sum_dd >= 400) AS q_min, arg_max(sum_dt / sum_dd, (started_ms, track_id)) FILTER (sum_dd >= 400) AS q_last, sum(sum_dd) AS metres, count(*) AS count
+  FROM folds JOIN tracks USING (track_id) WHERE track_id IN (SELECT track_id FROM taken) GROUP BY bin))
+"""
+
+
+def _update(spark: SparkSession, sf_dir: str) -> grade_store.Update:
+    """A second update: a third of the rides is known, half of these changed; every fifth
+    has a shorter copy in the archive; some cannot be read."""
+    pts = rides.points(spark, sf_dir)
+    tracks = rides.tracks_of(pts)
+    file = lambda place, half: tracks.select(F.lit(place).alias("place"), F.col("track_id").cast("string").alias("track_id"), (F.col("length_mm") + half).cast("bigint").alias("size"), F.col("started_ms").alias("mtime"))
+    files = file("live", 0).unionByName(file("archive", 1).where("CAST(track_id AS bigint) % 5 = 0"))
+
+    def read(misses: DataFrame) -> DataFrame:
+        there = misses.where("NOT (CAST(track_id AS bigint) % 7 = 3 AND CAST(track_id AS bigint) % 3 <> 0)").select("place", F.col("track_id").alias("file"))
+        got = there.join(pts, F.col("file") == F.col("track_id").cast("string")).where("place = 'live' OR seq <= 20")
+        return got.withColumn("started_ms", rides.started_ms("track_id")).drop("track_id").withColumnRenamed("file", "track_id")
+
+    none = spark.createDataFrame([], grade_store.FOLDS)
+    first = grade_store.updated(files.where("CAST(track_id AS bigint) % 3 = 0"), none, read)
+    changed = F.when(F.expr("place = 'live' AND CAST(track_id AS bigint) % 6 = 0"), F.col("mtime") + 1).otherwise(F.col("mtime"))
+    return grade_store.updated(files.withColumn("mtime", changed), first.folds, read)
+
+
+@query("SELECT bin, round(mean, 6) AS mean, round(min, 6) AS min, round(last, 6) AS last, round(metres, 3) AS metres, count FROM regraded", *_GRADE_PARTS, _STORED, _sql.PAIRS, _sql.GREEDY, _REBUILT)
+def grade_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient model after an update that folded new and changed files only."""
+    return rounded(grade_store.model(_update(spark, sf_dir).folds), mean=6, min=6, last=6, metres=3)
+
+
+@query(
+    "SELECT count(*) FILTER (NOT hit AND readable) AS parsed, count(*) FILTER (hit) AS cached, count(*) FILTER (NOT hit AND NOT readable) AS unread FROM ("
+    "SELECT track_id, track_id % 3 = 0 AND NOT (place = 'live' AND track_id % 6 = 0) AS hit, NOT (track_id % 7 = 3 AND track_id % 3 <> 0) AS readable FROM (SELECT track_id, 'live' AS place FROM tracks UNION ALL SELECT track_id, 'archive' FROM tracks WHERE track_id % 5 = 0))"
+)
+def grade_rebuild_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _update(spark, sf_dir)
+    return got.folds.limit(1).select(F.lit(got.parsed).cast("bigint").alias("parsed"), F.lit(got.cached).cast("bigint").alias("cached"), F.lit(got.unread).cast("bigint").alias("unread"))

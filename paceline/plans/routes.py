@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.functions import geo
+from paceline.functions import formats, geo
 from paceline.operators import grade, joins, road_pace, route, samples
 from paceline.plans import _sql
 from paceline.plans.pace import rounded
@@ -17,14 +17,18 @@ ORACLE_SQL = {}
 #: Six routes along the roads; odd ones come back beside the way out.
 _X = "CASE WHEN r % 2 = 1 AND i > 12 THEN 500 + (24 - i) * 150 ELSE 500 + i * 150 END"
 _MM, _SIDE = f"(({_X}) * 1000)", "CASE WHEN r % 2 = 1 AND i > 12 THEN 3000 ELSE 0 END"
-VERTICES = f"""
-vertices AS (SELECT r AS route_id, i, {rides.lat_of('r', _MM, '//', _SIDE)} AS lat, {rides.lng_of('r', _MM)} AS lng FROM (SELECT unnest(range(0, 6)) AS r), (SELECT unnest(range(0, 25)) AS i)),
+_ROADS = f"vertices AS (SELECT r AS route_id, i, {rides.lat_of('r', _MM, '//', _SIDE)} AS lat, {rides.lng_of('r', _MM)} AS lng FROM (SELECT unnest(range(0, 6)) AS r), (SELECT unnest(range(0, 25)) AS i))"
+#: The same for the paths of all rides as routes.
+_PATHS = "vertices AS (SELECT track_id AS route_id, seq AS i, lat, lng FROM points)"
+_SEGS = f"""
 v1 AS (SELECT route_id, i, lat AS a_lat, lng AS a_lng, lead(lat) OVER w AS b_lat, lead(lng) OVER w AS b_lng FROM vertices WINDOW w AS (PARTITION BY route_id ORDER BY i)),
 v2 AS (SELECT *, {_sql.hav('a_lat', 'a_lng', 'b_lat', 'b_lng')} AS long_m, {_sql.bearing('a_lat', 'a_lng', 'b_lat', 'b_lng')} AS seg_heading FROM v1 WHERE b_lat IS NOT NULL),
 v3 AS (SELECT *, sum(long_m) OVER (PARTITION BY route_id ORDER BY i) AS hi_m FROM v2),
 segs AS (SELECT *, hi_m - long_m AS lo_m FROM v3),
 totals AS (SELECT route_id, max(hi_m) AS total_m FROM segs GROUP BY route_id)
 """
+VERTICES = f"{_ROADS},{_SEGS}"
+PATHS = f"{_PATHS},{_SEGS}"
 _BX, _BY = "((b_lng - a_lng) * kx)", "((b_lat - a_lat) * 111320.0::DOUBLE)"
 _PX, _PY = "((p.lng - a_lng) * kx)", "((p.lat - a_lat) * 111320.0::DOUBLE)"
 FEET = f"""
@@ -51,6 +55,11 @@ def routes(spark: SparkSession) -> DataFrame:
     return base.select(F.col("r").alias("route_id"), "i", F.expr(rides.lat_of("r", _MM, "div", _SIDE)).alias("lat"), F.expr(rides.lng_of("r", _MM)).alias("lng"))
 
 
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of all rides as routes."""
+    return rides.points(spark, sf_dir).select(F.col("track_id").alias("route_id"), F.col("seq").alias("i"), "lat", "lng")
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = samples.deltas(rides.points(spark, sf_dir))
     return steps.select(F.concat_ws(":", "track_id", "seq").alias("id"), (F.col("track_id") % 6).alias("route_id"), "lat", "lng", F.col("distance_m").alias("around_m"), "heading")
@@ -60,9 +69,10 @@ def _plain(asked: DataFrame) -> DataFrame:
     return asked.select("id", "route_id", "lat", "lng")
 
 
-@query("SELECT route_id, i, round(lo_m, 3) AS lo_m, round(hi_m, 3) AS hi_m, round(seg_heading, 3) AS heading FROM segs", VERTICES)
+@query("SELECT route_id, i, round(lo_m, 3) AS lo_m, round(hi_m, 3) AS hi_m, round(seg_heading, 3) AS heading FROM segs", PATHS)
 def route_segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(joins.segments(routes(spark)).select("route_id", "i", "lo_m", "hi_m", "heading"), lo_m=3, hi_m=3, heading=3)
+    """The segments of all rides' paths."""
+    return rounded(joins.segments(paths(spark, sf_dir)).select("route_id", "i", "lo_m", "hi_m", "heading"), lo_m=3, hi_m=3, heading=3)
 
 
 _AT = """
@@ -73,13 +83,15 @@ at0 AS (SELECT q.route_id, d, at_m, s.*, row_number() OVER (PARTITION BY q.route
 
 @query(
     "SELECT route_id || ':' || d AS id, round(a_lat + (at_m - lo_m) / (hi_m - lo_m) * (b_lat - a_lat), 8) AS lat, round(a_lng + (at_m - lo_m) / (hi_m - lo_m) * (b_lng - a_lng), 8) AS lng, round(seg_heading, 3) AS heading FROM at0 WHERE rn = 1",
-    VERTICES,
+    PATHS,
     _AT,
 )
 def path_sample_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.range(6).select(F.col("id").alias("route_id"), F.explode(F.sequence(F.lit(-1), F.lit(109))).alias("d"))
+    """Places every 37.5 m along all rides' paths, from before the start to beyond most ends."""
+    path = paths(spark, sf_dir)
+    asked = path.groupBy("route_id").count().where("count > 1").select("route_id", F.explode(F.sequence(F.lit(-1), F.lit(109))).alias("d"))
     asked = asked.select(F.concat_ws(":", "route_id", "d").alias("id"), "route_id", (F.col("d") * 37.5).alias("distance_m"))
-    return rounded(joins.sample_at(asked, joins.segments(routes(spark))), lat=8, lng=8, heading=3)
+    return rounded(joins.sample_at(asked, joins.segments(path)), lat=8, lng=8, heading=3)
 
 
 @query(_BEST.format("true"), _sql.STEPS, VERTICES, FEET)
@@ -87,7 +99,6 @@ def project_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, _asked(spark, sf_dir))
 
 
-
 def _nearest(spark: SparkSession, asked: DataFrame) -> DataFrame:
     got = joins.project_nearest(_plain(asked), joins.segments(routes(spark)))
     return rounded(got.select("id", "perp_m", "along_m", "i"), perp_m=3, along_m=2)
@@ -98,7 +109,6 @@ def project_near_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_cells(spark, _asked(spark, sf_dir))
 
 
-
 def _near_cells(spark: SparkSession, asked: DataFrame) -> DataFrame:
     return rounded(joins.project_near_cells(_plain(asked), joins.segments(routes(spark)), 35.0), perp_m=3, along_m=2)
 
@@ -111,7 +121,6 @@ def project_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _window(spark, _asked(spark, sf_dir))
 
 
-
 def _window(spark: SparkSession, asked: DataFrame) -> DataFrame:
     return rounded(joins.project_window(asked.drop("heading"), joins.segments(routes(spark)), 120, 300), perp_m=3, along_m=2)
 
@@ -121,7 +130,6 @@ def project_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heading(spark, _asked(spark, sf_dir))
 
 
-
 def _heading(spark: SparkSession, asked: DataFrame) -> DataFrame:
     return rounded(joins.project_window(asked, joins.segments(routes(spark)), 120, 300, 40, 45), perp_m=3, along_m=2)
 
@@ -141,7 +149,6 @@ def project_unambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unambiguous(spark, _asked(spark, sf_dir))
 
 
-
 def _unambiguous(spark: SparkSession, asked: DataFrame) -> DataFrame:
     got = joins.project_unambiguous(asked.drop("around_m"), joins.segments(routes(spark)), 40, 45, 75, 200)
     return rounded(got, perp_m=3, along_m=2)
@@ -204,9 +211,10 @@ def _node_paces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return segs, grid, route.node_paces(grid, samples.pace_samples(pts), rides.tracks_of(pts))
 
 
-@query("SELECT route_id, k, round(lat, 8) AS lat, round(lng, 8) AS lng FROM nodes", VERTICES, GRID)
+@query("SELECT route_id, k, round(lat, 8) AS lat, round(lng, 8) AS lng FROM nodes", PATHS, GRID)
 def route_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(route.grid(joins.segments(routes(spark))).select("route_id", "k", "lat", "lng"), lat=8, lng=8)
+    """Nodes every 25 m along all rides' paths."""
+    return rounded(route.grid(joins.segments(paths(spark, sf_dir))).select("route_id", "k", "lat", "lng"), lat=8, lng=8)
 
 
 @query("SELECT route_id, k, round(dt_s, 4) AS dt_s, count, round(min_dt_s, 4) AS min_dt_s, round(last_dt_s, 4) AS last_dt_s FROM node_paces", _sql.STEPS, VERTICES, GRID, NODE_PACES)
@@ -230,28 +238,25 @@ def route_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(_node_paces(spark, sf_dir)[2])
 
 
-
 def _segments(nodes: DataFrame) -> DataFrame:
     return rounded(route.segments_of_nodes(nodes).select("route_id", "start_m", "end_m", "time_s"), time_s=3)
 
 
-_CURVE_ENDS = (
-    "SELECT route_id, round(total_m, 3) AS length_m, round(coalesce(s.t, 0) + (total_m - coalesce(s.d, 0)) / 5.0::DOUBLE, 3) AS time_s FROM totals LEFT JOIN (SELECT route_id, sum(end_m - start_m) AS d, sum(time_s) AS t FROM runs GROUP BY route_id) s USING (route_id)"
-)
+_STITCHED = """
+rn AS (SELECT q.route_id, q.run, (min(k) - 1) * 25.0::DOUBLE AS start_m, max(k) * 25.0::DOUBLE AS end_m FROM q0 q GROUP BY q.route_id, q.run),
+rs AS (SELECT r.*, n.run, coalesce(sum(r.time_s) OVER w, 0) + (r.start_m - coalesce(sum(r.end_m - r.start_m) OVER w, 0)) / 5.0::DOUBLE AS start_s FROM runs r JOIN rn n USING (route_id, start_m, end_m) WINDOW w AS (PARTITION BY route_id ORDER BY start_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cv AS (SELECT route_id, 0.0::DOUBLE AS d, 0.0::DOUBLE AS t FROM totals UNION ALL SELECT route_id, start_m, start_s FROM rs
+       UNION ALL SELECT rs.route_id, k * 25.0::DOUBLE, start_s + sum(CASE WHEN count >= 2 THEN dt_s ELSE last_dt_s END) OVER (PARTITION BY rs.route_id, rs.run ORDER BY k) FROM rs JOIN q0 USING (route_id, run)
+       UNION ALL SELECT route_id, total_m, coalesce(s.t, 0) + (total_m - coalesce(s.d, 0)) / 5.0::DOUBLE FROM totals LEFT JOIN (SELECT route_id, sum(end_m - start_m) AS d, sum(time_s) AS t FROM runs GROUP BY route_id) s USING (route_id))
+"""
 
 
-@query(_CURVE_ENDS, _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS)
+@query("SELECT route_id, (row_number() OVER (PARTITION BY route_id ORDER BY d))::INT AS k, round(d, 3) AS distance_m, round(t, 3) AS time_s FROM (SELECT route_id, d, min(t) AS t FROM cv GROUP BY ALL)", _sql.STEPS, VERTICES, GRID, NODE_PACES, RUNS, _STITCHED)
 def route_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length and time of each route's stitched curve, gaps ridden at 5 m/s."""
+    """Each route's stitched curve, gaps ridden at 5 m/s."""
     segs, _, nodes = _node_paces(spark, sf_dir)
-    return _curve_ends(segs, nodes)
-
-
-
-def _curve_ends(segs: DataFrame, nodes: DataFrame) -> DataFrame:
     total = segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m"))
-    curve = route.stitched_curve(route.segments_of_nodes(nodes), total, 5.0)
-    return rounded(curve.groupBy("route_id").agg(F.max("distance_m").alias("length_m"), F.max("time_s").alias("time_s")), length_m=3, time_s=3)
+    return rounded(route.stitched_curve(route.segments_of_nodes(nodes), total, 5.0), distance_m=3, time_s=3)
 
 
 HITS = f"""
@@ -275,7 +280,6 @@ def route_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(route.coverage(hit, total), coverage=6)
 
 
-
 _COMPARED = "SELECT route_id, CASE WHEN NOT (SELECT coalesce(bool_or(metres >= 400 AND bin > 3), false) FROM grades) AND coverage < 0.1 THEN 'TARGET' ELSE 'HISTORY' END AS comparator FROM cover"
 _GRADE_PARTS = (_sql.GRADED, _sql.FOOT, _sql.GATES, _sql.FOLDS)
 
@@ -285,7 +289,6 @@ def race_comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir, *_hits(spark, sf_dir))
 
 
-
 def _compared(spark: SparkSession, sf_dir: str, total: DataFrame, hit: DataFrame) -> DataFrame:
     pts = rides.points(spark, sf_dir)
     usable = grade.model(grade.folds(pts), rides.tracks_of(pts)).agg(F.coalesce(F.bool_or((F.col("metres") >= 400) & (F.col("bin") > 3)), F.lit(False)).alias("usable"))
@@ -307,7 +310,6 @@ def covered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.covered_runs(_hits(spark, sf_dir)[1])
 
 
-
 #: Intervals on the routes, from the rides: where each ride's first and last point lie.
 _SPANS = "spans AS (SELECT track_id % 6 AS route_id, track_id, (track_id * 7919 % 3000)::DOUBLE AS start_m, (track_id * 7919 % 3000 + 200 + track_id * 31 % 700)::DOUBLE AS end_m FROM tracks)"
 
@@ -328,7 +330,6 @@ def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(_spans(spark, sf_dir))
 
 
-
 def _grouped(spans: DataFrame) -> DataFrame:
     got = route.overlap_groups(spans, "route_id", "start_m", "end_m")
     return got.groupBy("route_id", F.col("group").alias("grp")).agg(F.count("*").alias("n"), F.min("start_m").alias("start_m"), F.max("end_m").alias("end_m"))
@@ -351,3 +352,34 @@ def overlay_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the primary half of the rides leaves of the other half; together they hold all."""
     spans, primary = _spans(spark, sf_dir), _PRIMARY.format(div="div")
     return route.uncovered(spans.where(f"NOT ({primary})").select("route_id", "start_m", "end_m").distinct(), spans.where(primary))
+
+
+_CURVES = f"""
+pri AS (SELECT * FROM spans WHERE {_PRIMARY.format(div='//')}),
+sec AS (SELECT * FROM spans WHERE NOT ({_PRIMARY.format(div='//')})),
+pc AS ({_PIECES.replace("SELECT s.route_id, s.start_m, s.end_m,", "SELECT s.route_id, s.track_id, s.start_m, s.end_m,")}),
+cs AS (SELECT *, piece_start_m <= start_m AND piece_end_m >= end_m AS whole, length_mm / 1000.0::DOUBLE / (end_m - start_m) AS scale FROM pc JOIN tracks USING (track_id) WHERE n_points > 1),
+ct AS (SELECT *, (piece_start_m - start_m) * scale AS d0, (piece_end_m - start_m) * scale AS d1 FROM cs),
+pr AS (SELECT track_id, lag(distance_m) OVER w AS a, distance_m AS z, lag(time_s) OVER w AS ta, time_s AS tz FROM points WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+cu AS (SELECT c.*, u.ta + (c.d0 - u.a) / (u.z - u.a) * (u.tz - u.ta) AS t0, v.ta + (c.d1 - v.a) / (v.z - v.a) * (v.tz - v.ta) AS t1
+       FROM ct c JOIN pr u ON u.track_id = c.track_id AND c.d0 >= u.a AND c.d0 < u.z JOIN pr v ON v.track_id = c.track_id AND c.d1 > v.a AND c.d1 <= v.z WHERE NOT whole),
+cf AS (SELECT track_id, route_id, piece_start_m AS start_m, piece_end_m AS end_m, 0.0::DOUBLE AS d, 0.0::DOUBLE AS t, t1 - t0 AS total FROM cu
+       UNION ALL SELECT track_id, route_id, piece_start_m, piece_end_m, d1 - d0, t1 - t0, t1 - t0 FROM cu
+       UNION ALL SELECT c.track_id, c.route_id, piece_start_m, piece_end_m, distance_m - d0, time_s - t0, t1 - t0 FROM cu c JOIN points p ON p.track_id = c.track_id AND p.distance_m > d0 AND p.distance_m < d1
+       UNION ALL SELECT c.track_id, c.route_id, c.start_m, c.end_m, distance_m, time_s, max(time_s) OVER (PARTITION BY c.track_id) FROM cs c JOIN points p USING (track_id) WHERE whole
+       UNION ALL SELECT s.track_id, s.route_id, s.start_m, s.end_m, distance_m, time_s, max(time_s) OVER (PARTITION BY s.track_id) FROM pri s JOIN points p USING (track_id) JOIN tracks k USING (track_id) WHERE n_points > 1)
+"""
+_TOTAL = "floor(round(total, 6))::BIGINT"
+
+
+@query(f"SELECT track_id, route_id, start_m, end_m, round(d, 3) AS d, round(t, 3) AS t, 'PR ' || printf('%d:%02d', {_TOTAL} // 60, {_TOTAL} % 60) AS label FROM cf", _SPANS, _CURVES)
+def overlay_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primary rides, and what they leave of the others with the curve of just that."""
+    pts, spans = rides.points(spark, sf_dir), _spans(spark, sf_dir)
+    curve = F.array_sort(F.collect_list(F.struct(F.col("distance_m").alias("d"), F.col("time_s").alias("t"))))
+    curves = pts.groupBy("track_id").agg(curve.alias("curve"), F.max("time_s").alias("time_s")).where(F.size("curve") > 1)
+    label = F.concat(F.lit("PR "), formats.mmss(F.col("time_s")))
+    segs = spans.join(curves, "track_id").select(F.col("track_id").cast("string").alias("seg_id"), "track_id", "route_id", "start_m", "end_m", label.alias("label"), "curve")
+    primary = _PRIMARY.format(div="div")
+    got = route.overlay(segs.where(primary).drop("track_id"), segs.where(f"NOT ({primary})").drop("track_id"))
+    return rounded(got.select(F.col("seg_id").cast("bigint").alias("track_id"), "route_id", "start_m", "end_m", "label", F.explode("curve").alias("s")).select("track_id", "route_id", "start_m", "end_m", "s.d", "s.t", "label"), d=3, t=3)

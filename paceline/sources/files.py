@@ -1,4 +1,4 @@
-"""Listings of ride files: what is there, without reading it, and the store of imported rides."""
+"""Ride files: listings without reading them, and the files themselves by Spark's own readers."""
 
 from __future__ import annotations
 
@@ -8,15 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def listing(spark: SparkSession, folder: str, pattern: str, since_ms: int | None = None) -> DataFrame:
+    """path, modificationTime, length, content of the files in a folder and below it.
+
+    Spark reads no content that is not asked for, groups small files into
+    partitions, and passes over files that a filter on time or length excludes.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files if since_ms is None else files.where(F.col("modificationTime") > F.timestamp_millis(F.lit(since_ms)))
+
+
 def listed(spark: SparkSession, folders: list[tuple[str, str, str]]) -> DataFrame:
-    """path, size, mtime_ms, source of the files in folders and below them.
+    """path, size, mtime, source of the files in folders and below them.
 
     folders: (folder, file name pattern, source).  Only names, sizes and times are read.
     """
 
     def one(folder: str, pattern: str, source: str) -> DataFrame:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-        return files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), F.lit(source).alias("source"))
+        files = listing(spark, folder, pattern)
+        return files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), F.lit(source).alias("source"))
 
     return reduce(DataFrame.unionByName, [one(*f) for f in folders])
 
@@ -24,12 +34,3 @@ def listed(spark: SparkSession, folders: list[tuple[str, str, str]]) -> DataFram
 def counted(files: DataFrame) -> DataFrame:
     """source, files, bytes."""
     return files.groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-
-
-def appended(points: DataFrame, folder: str) -> None:
-    """Add imported rides to the store: one append for all, rides dealt by id so that a ride is in one file."""
-    points.repartition("track_id").sortWithinPartitions("track_id", "seq").write.mode("append").parquet(folder)
-
-
-def stored(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.sources.files import listing
+
 #: Seconds from 1970 to the format's epoch, and semicircles a degree (fixed values).
 EPOCH = 631_065_600
 SEMICIRCLES = 2**31 / 180
@@ -20,13 +22,24 @@ CYCLING, E_BIKING, GENERIC = 2, 21, 0
 ACTIVITY = 4
 
 
+def _crc_table() -> list[int]:
+    """What each byte does to the check value: a reflected CRC with polynomial 0xA001."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xA001 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+_CRC = _crc_table()
+
+
 def checksum(data: bytes) -> int:
-    """The format's 16-bit check value: a reflected CRC with polynomial 0xA001."""
+    """The format's 16-bit check value."""
     crc = 0
     for byte in data:
-        crc ^= byte
-        for _ in range(8):
-            crc = crc >> 1 ^ 0xA001 if crc & 1 else crc >> 1
+        crc = crc >> 8 ^ _CRC[(crc ^ byte) & 0xFF]
     return crc
 
 
@@ -117,22 +130,48 @@ def decode(data: bytes) -> tuple[str, list[tuple]]:
     return "decoded", [((int(t0) + EPOCH) * 1000, k, lat, lng, d - d0, float(t - t0), ele) for k, (t, lat, lng, d, ele) in enumerate(out)]
 
 
+def encode(points: list[tuple], file_type: int = ACTIVITY, sport: int = CYCLING) -> bytes:
+    """A FIT file of points (seconds since 1970, lat, lng, metres or None, height or None), for export and tests."""
+    body = struct.pack("<BBBHB3B", 0x40, 0, 0, FILE_ID, 1, 0, 1, 0x00) + struct.pack("<BB", 0, file_type)
+    fields = [(253, 4, 0x86), (0, 4, 0x85), (1, 4, 0x85), (5, 4, 0x86), (2, 2, 0x84)]
+    body += struct.pack("<BBBHB", 0x42, 0, 0, RECORD, len(fields)) + b"".join(struct.pack("3B", *f) for f in fields)
+    for at, lat, lng, dist, ele in points:
+        semi = [0x7FFFFFFF if x is None else round(x * SEMICIRCLES) for x in (lat, lng)]
+        body += struct.pack("<BIiiIH", 2, int(at) - EPOCH, *semi, 0xFFFFFFFF if dist is None else math.floor(dist * 100 + 0.5), 0xFFFF if ele is None else math.floor((ele + 500) * 5 + 0.5))
+    body += struct.pack("<BBBHB3B", 0x41, 0, 0, SESSION, 1, 5, 1, 0x00) + struct.pack("<BB", 1, sport)
+    head = struct.pack("<BBHI4sH", 14, 16, 0, len(body), b".FIT", 0)
+    return head + body + struct.pack("<H", checksum(head + body))
+
+
 POINTS = "path string, outcome string, started_ms bigint, seq int, lat double, lng double, distance_m double, time_s double, ele_m double"
+_SCHEMA = pa.schema([("path", pa.string()), ("outcome", pa.string()), ("started_ms", pa.int64()), ("seq", pa.int32()), *[(c, pa.float64()) for c in ("lat", "lng", "distance_m", "time_s", "ele_m")]])
 
 
-def read(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
-    """Points of all .fit files below a path, and one row for each file without."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fit").option("recursiveFileLookup", "true")
-    if modified_after:
-        files = files.option("modifiedAfter", modified_after)
+def decoded(files: DataFrame, decoder: Callable[[bytes], tuple[str, list[tuple]]] = decode) -> DataFrame:
+    """Points of files (path, content), and one row for each file without.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                outcome, pts = decode(bytes(r.content))
-                rows += [(r.path, outcome, *p) for p in pts] or [(r.path, outcome, None, None, None, None, None, None, None)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in POINTS.split(", ")]).astype({"started_ms": "Int64", "seq": "Int32"})
+    decoder: content -> outcome and points, for files of another make.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                outcome, pts = decoder(content.as_py() or b"")
+                rows = [(path.as_py(), outcome, *p) for p in pts] or [(path.as_py(), outcome, *[None] * 7)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
-    got = files.load(path).select("path", "content").mapInPandas(run, POINTS)
+    got = files.select("path", "content").mapInArrow(run, POINTS)
     return got.withColumn("track_id", F.concat(F.lit("fit-"), F.col("started_ms").cast("string")))
+
+
+def rides_of(points: DataFrame) -> DataFrame:
+    """Decoded points without the rows that only tell of a file that is no ride."""
+    return points.where("outcome = 'decoded'")
+
+
+def read(spark: SparkSession, path: str, since_ms: int | None = None) -> DataFrame:
+    """Points of all .fit files below a path, and one row for each file without.
+
+    since_ms: only of files changed after that; Spark leaves the others unread.
+    """
+    return decoded(listing(spark, path, "*.[fF][iI][tT]", since_ms))
