@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import formats, geo
-from paceline.operators import library
+from paceline.operators import delta, library
 from paceline.plans import _sql
 from paceline.plans.pace import rounded
 from paceline.sources import rides
@@ -232,6 +232,57 @@ def same_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.same_ride_losers(pts, _facts(spark, sf_dir, pts), checkpointed(library.twins(pts)))
 
 
+def _changed(pts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids that came last, and ids that go; the rest was there before."""
+    ids = pts.select("track_id").distinct()
+    return ids.where("track_id % 3 = 1"), ids.where("track_id % 11 = 5")
+
+
+def _reader(pts: DataFrame):
+    return lambda asked: pts.join(asked, "track_id", "left_semi")
+
+
+@query("SELECT track_id, row, col FROM cells6 WHERE track_id % 11 <> 5", _CELLS)
+def index_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that lost some rides, holds others that are gone and old cells of changed ones, put right."""
+    pts = rides.points(spark, sf_dir)
+    changed, removed = _changed(pts)
+    stale = library.path_cells(pts.where("track_id % 3 <> 1 AND track_id % 10 <> 7")).unionByName(library.path_cells(pts.where("track_id % 6 = 1 AND seq <= 5")))
+    tracks = pts.select("track_id").distinct().join(removed, "track_id", "left_anti")
+    return delta.index_after(stale, tracks, changed, _reader(pts))
+
+
+def _delta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """points of now, pairs of before and of now, ids that came and that went."""
+    pts = _twin_points(spark, sf_dir)
+    changed, removed = _changed(pts)
+    old = checkpointed(library.twins(pts.where("track_id % 3 <> 1")))
+    now = pts.where("track_id % 11 <> 5")
+    changed = changed.join(removed, "track_id", "left_anti")
+    index = checkpointed(library.path_cells(now))
+    return now, old, checkpointed(delta.twins_after(old, now, index, changed, removed)), changed, removed
+
+
+@query("SELECT a, b FROM pairs WHERE a % 11 <> 5 AND b % 11 <> 5", TWINS)
+def delta_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twin pairs after a third of the rides came and some went, from those of before."""
+    return _delta(spark, sf_dir)[2]
+
+
+#: The same verdicts over the rides that are left.
+_LEFT = TWINS.replace("FROM points WHERE track_id % 4 = 0)", "FROM points WHERE track_id % 4 = 0),\ntp AS (SELECT * FROM tp0 WHERE track_id % 11 <> 5)").replace("tp AS (SELECT track_id, seq, lat", "tp0 AS (SELECT track_id, seq, lat", 1)
+
+
+@query("SELECT track_id, grp, track_id NOT IN (SELECT track_id FROM twice) AND coalesce(stays OR track_id IN (SELECT track_id FROM beyond), false) AS keep FROM facts LEFT JOIN (SELECT track_id, stays FROM stay) USING (track_id)", _LEFT, _FACTS, _TIDY)
+def delta_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rides stay, judged anew only in groups that changes touched."""
+    now, old, pairs, changed, removed = _delta(spark, sf_dir)
+    before = _twin_points(spark, sf_dir).where("track_id % 3 <> 1")
+    kept = checkpointed(library.kept_of_groups(before, _facts(spark, sf_dir, before), old))
+    got = delta.tidied_after(kept, old, pairs, now, _facts(spark, sf_dir, now), changed, removed)
+    return got.withColumnRenamed("group", "grp")
+
+
 _RIDES = "rides AS (SELECT track_id, started_ms AS start_ms, started_ms + time_ms AS end_ms, length_mm / 1000.0::DOUBLE AS metres FROM tracks)"
 
 
