@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+from pathlib import Path
+
 import pytest
 
 from paceline.llm import license_scan
 
+sys.path.append(str(Path(__file__).parent.parent))
+from comparing import database, same  # noqa: E402
+
 CHROMIUM = """// Copyright 2015 The Chromium Authors
 //
 // Redistribution and use in source and binary forms, with or without
@@ -146,3 +152,54 @@ def test_unknown_sentences_may_lie_between(docs_of):
     text = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nA word on the license here.\nSee the License for the specific language governing permissions and limitations under the License."
     got = license_scan.scan(docs_of([text])).first()
     assert got["licences"] == "Apache-2.0" and "?" in got["sentence_ids"]
+
+
+APACHE_TOP = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+BSD_RESERVED = """Copyright (c) 2020 Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+#: Everyday lines and the licences they name.
+LINES = [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT,Apache-2.0"),
+    ("SPDX-License-Identifier: (MIT OR GPL-2.0-only)", "MIT,GPL-2.0-only"),
+    ("// SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"),
+    ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"),
+    ("/* SPDX-License-Identifier: GPL-2.0+ WITH Linux-syscall-note */", "GPL-2.0-or-later"),
+    ("SPDX-License-Identifier: MIT AND FooBar-1.0", "MIT"),
+    ("Licensed under the MIT License or the Apache License, Version 2.0.", "MIT,Apache-2.0"),
+    ("The terms of the GNU General Public License v3.0 apply.", "GPL-3.0-only"),
+    ("This is available under either the GPL version 2 or later, or the LGPL v3.", "GPL-2.0-or-later,LGPL-3.0-only"),
+    ("Released under the BSD 3-Clause license and CC BY 4.0.", "BSD-3-Clause,CC-BY-4.0"),
+    (APACHE_TOP, "Apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991\n\n Copyright (C) 1989", "GPL-2.0-only"),
+    ("MIT-licensed; see LICENSE.", "MIT"),
+    ("License: MIT\nName: x", "MIT"),
+    ("License: see the file", ""),
+    (BSD_RESERVED, "BSD-2-Clause"),
+    ("- licensed under CC0\n- All rights reserved", "CC0-1.0"),
+    ("All rights reserved.", "Proprietary"),
+    ("This code is not licensed under the MIT license.", ""),
+    ("Nobody says which license this has.", ""),
+    ("", ""),
+    (None, ""),
+]
+
+
+def test_everyday_lines_and_their_sql(spark, docs_of):
+    docs = docs_of([t for t, _ in LINES])
+    got = license_scan.scan(docs)
+    assert [r["licences"] for r in got.orderBy("doc_id").collect()] == [want for _, want in LINES]
+    same(got.toPandas(), database("/root/testdata/sf0.001", {"documents": docs.toPandas()}).sql(license_scan.ORACLE).df())
+
+
+def test_headers_and_their_sql(spark, docs_of):
+    docs = docs_of([CHROMIUM, REGENTS, APACHE, APACHE_TOP, BSD_RESERVED, "", None])
+    same(license_scan.scan(docs).toPandas(), database("/root/testdata/sf0.001", {"documents": docs.toPandas()}).sql(license_scan.ORACLE).df())

@@ -45,7 +45,7 @@ The above copyright notice and this permission notice shall be included in all c
         "// Released under the MIT Licence.",
     ]
     got = {r["doc_id"]: r for r in license_scan.scan(docs_of(texts)).collect()}
-    assert [got[k]["licences"] for k in range(6)] == ["Apache-2.0", "CC-BY-NC-4.0,Proprietary", "MIT", "", "", "MIT"]
+    assert [got[k]["licences"] for k in range(6)] == ["Apache-2.0", "CC-BY-NC-4.0", "MIT", "", "", "MIT"]
     assert (got[3]["n_sentences"], got[3]["n_known"], got[3]["sentence_ids"]) == (1, 0, "?")
     assert got[2]["sentence_ids"] == "MITGrant,MITNotice" and got[4]["n_sentences"] == 0
 
@@ -54,8 +54,9 @@ def test_known_sentences_are_critical():
     import re
 
     assert all(re.search(license_scan.CRITICAL, s) for s in license_scan.SENTENCES)
-    names = set(license_scan.SENTENCES.values())
+    names = {*license_scan.SENTENCES.values(), *license_scan.PATTERNS.values(), *license_scan.EXPRESSION_IDS.values(), *[f"{k}-{x}" for k in ("SPDX", "Named") for x in license_scan.LICENCES]}
     assert all(set(run) <= names for _, run in license_scan.RULES)
+    assert set(license_scan.NAMES) <= set(license_scan.LICENCES)
 
 
 def test_odd_tables(odd, empty):
