@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.operators.joins import interpolate, interval_join
+from paceline.operators.joins import interpolate, interval_join, near_segments
 from paceline.operators.road_pace import in_order, seeded_mean
 
 MAX_SPEED = 30.0
@@ -57,3 +58,54 @@ def fold_of_laps(folds: DataFrame, order: Column) -> DataFrame:
 def route_laps(points: DataFrame) -> DataFrame:
     """lap_id, route_dist_m, time_s from a ride's own points: each ride is one lap of its road."""
     return points.select(F.col("track_id").alias("lap_id"), F.col("distance_m").alias("route_dist_m"), "time_s")
+
+
+#: How near a lap keeps to its route, what it must gain a point, and the jump along the route that ends it.
+TOLERANCE_M, ADVANCE_M, JUMP_M = 35.0, 1e-3, 500.0
+#: Metres of the route before and after the last place in which the next one is looked for.
+BACK_M, AHEAD_M = 50.0, 600.0
+
+
+def seed_laps(points: DataFrame, segs: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame:
+    """track_id, route_id, lap, k, route_m, elapsed_s: stretches of routes that rides follow forward.
+
+    points: track_id, seq, route_id, lat, lng, time_s; segs: as ``joins.segments``.
+    A point counts if the route passes within tolerance_m of it in a window
+    around the last place, further along than that, and no earlier.  A jump of
+    more than JUMP_M ends a lap and begins another, timed from 0; laps of one
+    point are none.  The segments near a point come from a join on cells; the
+    choice among them follows from the points before, so a ride on a route is
+    one ordered group.
+    """
+    asked = points.select(F.struct("track_id", "route_id", "seq").alias("id"), "route_id", "lat", "lng")
+    near = near_segments(asked, segs, tolerance_m).where(F.col("perp_m") < tolerance_m)
+    found = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("perp_m", "i", "along_m", "lo_m", "hi_m"))).alias("near"))  # segments near one place
+    rows = points.select("track_id", "route_id", "seq", "time_s").join(found.select("id.*", "near"), ["track_id", "route_id", "seq"])
+
+    def run(ride: pa.Table) -> pa.Table:
+        ride = ride.sort_by("seq")
+        out = _seeded(ride.column("time_s").to_pylist(), ride.column("near").to_pylist())
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        same = [pa.array([ride.column(c)[0].as_py()] * len(out), ride.column(c).type) for c in ("track_id", "route_id")]
+        return pa.table([*same, *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)]], names=["track_id", "route_id", "lap", "k", "route_m", "elapsed_s"])
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.groupBy("track_id", "route_id").applyInArrow(run, f"track_id {kind['track_id']}, route_id {kind['route_id']}, lap int, k int, route_m double, elapsed_s double")
+
+
+def _seeded(times: list[float], near: list[list[dict]]) -> list[tuple[int, int, float, float]]:
+    laps: list[list[tuple[float, float]]] = [[]]
+    for time, around in zip(times, near, strict=True):
+        lap = laps[-1]
+        place = lap[-1][0] if lap else None
+        here = around if place is None else [s for s in around if s["hi_m"] >= place - BACK_M and s["lo_m"] <= place + AHEAD_M]
+        if not here:
+            continue
+        along = here[0]["along_m"]
+        if lap and (along <= place + ADVANCE_M or along - place <= JUMP_M and time < lap[-1][1]):
+            continue
+        if lap and along - place > JUMP_M:
+            laps.append(lap := [])
+        lap.append((along, time))
+    whole = [lap for lap in laps if len(lap) > 1]
+    return [(n, k, along, time - lap[0][1]) for n, lap in enumerate(whole) for k, (along, time) in enumerate(lap)]

@@ -120,19 +120,23 @@ def twins(points: DataFrame, cover: float = 0.90, length_tolerance: float = 0.10
     """
     s = summaries(points).where("length_m > 0")
     ratio = math.log(1 / (1 - length_tolerance))
-    row = geo.cell_lat(F.col("p2.lat"), place_m)
-    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(b).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1) for b in (-1, 0, 1)])).alias("o")
-    band = F.floor(F.log("length_m") / ratio)
-    left = s.select(F.col("track_id").alias("a"), F.col("length_m").alias("la"), *[F.col(f"p{k}").alias(f"a{k}") for k in (1, 2, 3)], row.alias("r"), F.col("p2.lng").alias("lng"), band.alias("n"), o)
-    left = left.select("a", "la", "a1", "a2", "a3", (F.col("r") + F.col("o.i")).alias("row"), (geo.cell_lng(F.col("lng"), F.col("r") + F.col("o.i"), place_m) + F.col("o.j")).alias("col"), (F.col("n") + F.col("o.b")).alias("band"))
-    right = s.select(F.col("track_id").alias("b"), F.col("length_m").alias("lb"), *[F.col(f"p{k}").alias(f"b{k}") for k in (1, 2, 3)], row.alias("row"), geo.cell_lng(F.col("p2.lng"), row, place_m).alias("col"), band.alias("band"))
-    near = left.join(right, ["row", "col", "band"]).where("a < b").where(F.abs(F.col("la") - F.col("lb")) <= length_tolerance * F.greatest("la", "lb"))
+    row, band = geo.cell_lat(F.col("p2.lat"), place_m), F.floor(F.log("length_m") / ratio)
+    side = lambda c: s.select(F.col("track_id").alias(c), F.col("length_m").alias(f"l{c}"), *[F.col(f"p{k}").alias(f"{c}{k}") for k in (1, 2, 3)], row.alias("row"), F.col("p2.lng").alias("lng"), band.alias("band"))
+    # of two neighbours in (band, row, column) the lower one looks for the higher one
+    steps = [(b, i, j) for b in (0, 1) for i in (-1, 0, 1) for j in (-1, 0, 1) if (b, i, j) >= (0, 0, 0)]
+    o = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j")) for b, i, j in steps])).alias("o")
+    left = side("a").select("*", o)
+    left = left.withColumns({"row": F.col("row") + F.col("o.i"), "band": F.col("band") + F.col("o.b")}).withColumn("col", geo.cell_lng(F.col("lng"), F.col("row"), place_m) + F.col("o.j")).drop("lng")
+    right = side("b").withColumn("col", geo.cell_lng(F.col("lng"), F.col("row"), place_m)).drop("lng")
+    here = (F.col("o.b") == 0) & (F.col("o.i") == 0) & (F.col("o.j") == 0)
+    near = left.join(right, ["row", "col", "band"]).where(~here | (F.col("a") < F.col("b"))).where(F.abs(F.col("la") - F.col("lb")) <= length_tolerance * F.greatest("la", "lb"))
     for k in (1, 2, 3):
         near = near.where(geo.equirectangular_m(F.col(f"a{k}.lat"), F.col(f"a{k}.lng"), F.col(f"b{k}.lat"), F.col(f"b{k}.lng")) <= place_m)
-    pairs = checkpointed(near.select("a", "b"))
-    fine = path_cells(points, precision)
-    n = fine.groupBy("track_id").agg(F.count("*").alias("n"))
+    pairs = checkpointed(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # cells of rides that have a pair only
+    fine = path_cells(points.join(both.select(F.col("a").alias("track_id")).distinct(), "track_id", "left_semi"), precision)
+    n = fine.groupBy("track_id").agg(F.count("*").alias("n"))
     inside = _within(both, fine).join(n.withColumnRenamed("track_id", "a"), "a").where(F.col("c") >= cover * F.col("n")).select("a", "b")
     return inside.join(inside.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a < b")
 

@@ -73,24 +73,20 @@ def lookup(places: DataFrame, road: DataFrame, how: str = "AVERAGE") -> DataFram
 
     The exact cell answers if there is one; else the richest of the 26
     neighbours whose mean heading is within 45 degrees.  Only places without an
-    exact answer are spread over neighbours, by equal keys.  Rows of cells have
-    columns of their own width, so a place has its own column in each row.
+    exact answer are spread over the nine cells around, where they meet what
+    bins there are.  Rows of cells have columns of their own width, so a place
+    has its own column in each row.
     """
     road = road.withColumn("pace", pick(how))
     keyed = celled(places).withColumn("bin", geo.heading_bin(F.col("heading")))
     exact = keyed.join(road.select("ci", "cj", "bin", F.col("pace").alias("exact")), ["ci", "cj", "bin"], "left")
     missed = exact.where(F.col("exact").isNull() & F.col("heading").isNotNull()).select("id", "lng", "heading", "ci", "bin")
-    steps = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(b).alias("db")) for i in (-1, 0, 1) for j in (-1, 0, 1) for b in (-1, 0, 1) if i or j or b])
+    steps = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     row = F.col("ci") + F.col("o.di")
-    around = missed.select("*", F.explode(steps).alias("o")).select(
-        "id",
-        "heading",
-        "o",
-        row.alias("ci"),
-        (geo.cell_lng(F.col("lng"), row) + F.col("o.dj")).alias("cj"),
-        F.pmod(F.col("bin") + F.col("o.db"), F.lit(8)).alias("bin"),
-    )
-    near = around.join(road.select("ci", "cj", "bin", "pace", "count", "mean_heading"), ["ci", "cj", "bin"])
+    around = missed.select("*", F.explode(steps).alias("o")).select("id", "heading", "o", F.col("bin").alias("own"), row.alias("ci"), (geo.cell_lng(F.col("lng"), row) + F.col("o.dj")).alias("cj"))
+    turned = F.pmod(F.col("bin") - F.col("own") + 1, F.lit(8)) - 1  # -1, 0, 1 for the own bin and those beside it
+    near = around.join(road.select("ci", "cj", "bin", "pace", "count", "mean_heading"), ["ci", "cj"])
+    near = near.withColumn("o", F.struct("o.di", "o.dj", turned.alias("db"))).where("o.db <= 1 AND NOT (o.di = 0 AND o.dj = 0 AND o.db = 0)")
     near = near.where(geo.bearing_diff_deg(F.col("mean_heading"), F.col("heading")) <= TOLERANCE_DEG)
     richest = near.groupBy("id").agg(F.min_by("pace", F.struct(-F.col("count"), "o")).alias("near"))
     return exact.join(richest, "id", "left").withColumn("hist", F.coalesce("exact", "near"))

@@ -353,17 +353,43 @@ def _tracking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return ticks, joins.segments(routes.routes(spark))
 
 
-@query()
+#: A ride's place tick by tick: the near segments that run its way, and which of them follows from the last place.
+_TRACKED = f"""
+tkt AS (SELECT track_id AS ride_id, seq, track_id || ':' || seq AS id, distance_m AS odo, dd_m > 0.5 * dt_s AS moving, seq % 9 <> 4 AS fresh FROM steps),
+nr AS (SELECT id, list({{'along': along_m, 'lo': lo_m, 'hi': hi_m}} ORDER BY perp_m, i) AS near FROM feet WHERE perp_m <= 40 AND {_sql.turn('seg_heading', 'heading')} <= 45 GROUP BY id),
+al AS (SELECT id, near, list_sort(list_transform(near, lambda s: s.along)) AS a FROM nr),
+gp AS (SELECT id, near, list_append(list_transform(range(1, len(a)), lambda k: a[k + 1] - a[k]), a[1] + total_m - a[-1]) AS gaps, total_m FROM al JOIN tkt USING (id) JOIN totals ON route_id = ride_id % 6),
+tt AS (SELECT t.*, near, coalesce(len(list_filter(gaps, lambda g: g > 75)) < 2 AND total_m - list_max(gaps) <= 200, false) AS one FROM tkt t LEFT JOIN gp USING (id)),
+tr(ride_id, seq, place, odo_then, lost) AS (
+  SELECT DISTINCT ride_id, 1::BIGINT, NULL::DOUBLE, NULL::DOUBLE, 0 FROM tkt
+  UNION ALL
+  SELECT ride_id, seq, coalesce(hit.along, place), CASE WHEN hit IS NOT NULL THEN odo ELSE odo_then END, CASE WHEN hit IS NOT NULL THEN 0 ELSE lost END
+  FROM (SELECT *, coalesce(hit1, CASE WHEN miss AND lost = 5 AND one THEN near[1] END) AS hit FROM (
+    SELECT * EXCLUDE (lost), CASE WHEN miss THEN least(lost + 1, 5) ELSE lost END AS lost FROM (
+      SELECT *, fresh AND hit1 IS NULL AND place IS NOT NULL AND moving AS miss FROM (
+        SELECT t.*, r.place, r.odo_then, r.lost, CASE WHEN NOT t.fresh THEN NULL WHEN r.place IS NULL THEN near[1] ELSE list_filter(near, lambda s: s.hi >= r.place - 120 AND s.lo <= r.place + 300 + least(greatest(t.odo - r.odo_then, 0), 400))[1] END AS hit1
+        FROM tr r JOIN tt t ON t.ride_id = r.ride_id AND t.seq = r.seq + 1)))))
+"""
+
+
+@query("SELECT ride_id, seq, round(place, 2) AS place_m, lost < 5 AS reliable FROM tr WHERE seq > 1", _sql.STEPS, routes.VERTICES, routes.FEET, _TRACKED)
 def route_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where along its road's route each ride is, tick by tick; every ninth position is stale."""
-    return tracking.tracked(*_tracking(spark, sf_dir))
+    return tracking.tracked(*_tracking(spark, sf_dir)).withColumn("place_m", F.round("place_m", 2))
+
+
+_MARKED = """
+mk AS (SELECT ride_id, tr.seq, place, lost < 5 AS reliable, total_m, distance_m AS odo, CASE WHEN place IS NOT NULL THEN greatest(0, place / 5 - 20) * 5 END AS ghost FROM tr JOIN steps ON track_id = ride_id AND steps.seq = tr.seq JOIN totals ON route_id = ride_id % 6),
+mf AS (SELECT *, bool_or(coalesce(total_m > 100 AND total_m - place <= 50 AND odo >= greatest(total_m - 3000, total_m * 0.5), false)) OVER w AS finished FROM mk WINDOW w AS (PARTITION BY ride_id ORDER BY seq)),
+mm AS (SELECT *, bool_or(coalesce(finished AND place < total_m * 0.5, false)) OVER w AS again, last_value(CASE WHEN reliable THEN ghost END IGNORE NULLS) OVER w AS held FROM mf WINDOW w AS (PARTITION BY ride_id ORDER BY seq))
+"""
 
 
-@query()
+@query("SELECT ride_id, seq, round(CASE WHEN again THEN NULL WHEN reliable THEN ghost ELSE held END, 2) AS marker_m FROM mm", _sql.STEPS, routes.VERTICES, routes.FEET, _TRACKED, _MARKED)
 def ghost_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The marker of a ghost that rides the route at 5 m/s, 20 s behind the rider."""
     ticks, segs = _tracking(spark, sf_dir)
     at = tracking.tracked(ticks, segs).join(ticks.select("ride_id", "seq", "route_id", "odo_m"), ["ride_id", "seq"]).withColumn("lead_s", F.lit(20.0))
     ends = segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m"))
     curve = ends.select("route_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("distance_m"), F.lit(0.0).alias("time_s")), F.struct(F.lit(1).alias("k"), F.col("total_m").alias("distance_m"), (F.col("total_m") / 5.0).alias("time_s")))).alias("c")).select("route_id", "c.*")
-    return tracking.markers(at, curve)
+    return tracking.markers(at, curve).withColumn("marker_m", F.round("marker_m", 2))

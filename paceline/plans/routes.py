@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions import formats, geo
-from paceline.operators import grade, joins, road_pace, route, samples
+from paceline.operators import grade, joins, laps, road_pace, route, samples
 from paceline.plans import _sql
 from paceline.plans.pace import rounded
 from paceline.sources import rides
@@ -383,3 +383,27 @@ def overlay_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     primary = _PRIMARY.format(div="div")
     got = route.overlay(segs.where(primary).drop("track_id"), segs.where(f"NOT ({primary})").drop("track_id"))
     return rounded(got.select(F.col("seg_id").cast("bigint").alias("track_id"), "route_id", "start_m", "end_m", "label", F.explode("curve").alias("s")).select("track_id", "route_id", "start_m", "end_m", "s.d", "s.t", "label"), d=3, t=3)
+
+
+#: Points of which some are off the route for a while and some have a clock that goes back.
+_SEEDED = """
+sp AS (SELECT id, track_id, route_id, seq, CASE WHEN seq % 31 = 17 THEN time_s - 60 ELSE time_s END AS time_s FROM asked JOIN points ON id = track_id || ':' || seq WHERE seq % 40 < 28 OR track_id % 3 <> 0),
+sn AS (SELECT id, list({'along': along_m, 'lo': lo_m, 'hi': hi_m} ORDER BY perp_m, i) AS near FROM feet WHERE perp_m < 35 GROUP BY id),
+so AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS o FROM sp JOIN sn USING (id)),
+sl(track_id, o, lap, place, last_s, kept) AS (
+  SELECT track_id, o, 0, near[1].along, time_s, true FROM so WHERE o = 1
+  UNION ALL
+  SELECT track_id, o, CASE WHEN kept AND along - place > 500 THEN lap + 1 ELSE lap END, CASE WHEN kept THEN along ELSE place END, CASE WHEN kept THEN time_s ELSE last_s END, kept
+  FROM (SELECT *, coalesce(along > place + 0.001 AND (along - place > 500 OR time_s >= last_s), false) AS kept FROM (
+    SELECT s.track_id, s.o, s.time_s, l.lap, l.place, l.last_s, list_filter(near, lambda x: x.hi >= l.place - 50 AND x.lo <= l.place + 600)[1].along AS along FROM sl l JOIN so s ON s.track_id = l.track_id AND s.o = l.o + 1))),
+sk AS (SELECT *, count(*) OVER (PARTITION BY track_id, lap) AS n, row_number() OVER (PARTITION BY track_id, lap ORDER BY o) - 1 AS k, first_value(last_s) OVER (PARTITION BY track_id, lap ORDER BY o) AS t0 FROM sl WHERE kept)
+"""
+
+
+@query("SELECT track_id, track_id % 6 AS route_id, (dense_rank() OVER (PARTITION BY track_id ORDER BY lap) - 1)::INT AS lap, k::INT AS k, round(place, 2) AS route_m, round(last_s - t0, 3) AS elapsed_s FROM sk WHERE n > 1", _sql.STEPS, VERTICES, FEET, _SEEDED)
+def seed_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps of rides on their road's route, cut where they leave it for long."""
+    pts = rides.points(spark, sf_dir).select("track_id", "seq", F.when(F.col("seq") % 31 == 17, F.col("time_s") - 60).otherwise(F.col("time_s")).alias("time_s"))
+    asked = _asked(spark, sf_dir).select(F.split("id", ":")[0].cast("bigint").alias("track_id"), F.split("id", ":")[1].cast("int").alias("seq"), "route_id", "lat", "lng")
+    some = asked.join(pts, ["track_id", "seq"]).where("seq % 40 < 28 OR track_id % 3 <> 0")
+    return rounded(laps.seed_laps(some, joins.segments(routes(spark))), route_m=2, elapsed_s=3)

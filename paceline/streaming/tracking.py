@@ -28,7 +28,8 @@ def tracked(ticks: DataFrame, segs: DataFrame) -> DataFrame:
     """ride_id, seq, place_m, reliable: metres along the route, the last known one while there is none.
 
     ticks: ride_id, seq, route_id, lat, lng, heading (null: unknown), odo_m,
-    moving, fresh; segs: as ``joins.segments``.
+    moving, fresh; segs: as ``joins.segments``.  A ride whose route is unknown
+    has no place.
     """
     asked = ticks.select(F.struct("ride_id", "seq").alias("id"), "route_id", "lat", "lng", "heading")
     near = near_segments(asked, segs.withColumnRenamed("heading", "seg_heading"), MAX_PERP_M)
@@ -36,7 +37,7 @@ def tracked(ticks: DataFrame, segs: DataFrame) -> DataFrame:
     near = near.where((F.col("perp_m") <= MAX_PERP_M) & (F.col("heading").isNull() | (turn <= MAX_TURN_DEG)))
     found = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("perp_m", "i", "along_m", "lo_m", "hi_m"))).alias("near"))  # segments near one place
     total = segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m"))
-    rows = ticks.join(found.select("id.*", "near"), ["ride_id", "seq"], "left").join(total, "route_id")
+    rows = ticks.join(found.select("id.*", "near"), ["ride_id", "seq"], "left").join(total, "route_id", "left")
     rows = rows.select("ride_id", "seq", "odo_m", F.col("heading").isNotNull().alias("headed"), "moving", "fresh", "total_m", "near")
 
     def run(ride: pa.Table) -> pa.Table:
@@ -94,7 +95,7 @@ def markers(places: DataFrame, curve: DataFrame) -> DataFrame:
     w = Window.partitionBy("ride_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     full = F.greatest(F.col("total_m") - MARGIN_M, F.col("total_m") * 0.5)
     ends = (F.col("total_m") > 2 * END_M) & (F.col("total_m") - F.col("place_m") <= END_M) & (F.col("odo_m") >= full)
-    rows = named.join(total, "route_id").join(ghost, "id", "left").withColumn("finished", F.max(F.coalesce(ends, F.lit(False))).over(w))
+    rows = named.join(total, "route_id", "left").join(ghost, "id", "left").withColumn("finished", F.max(F.coalesce(ends, F.lit(False))).over(w))
     again = F.max(F.coalesce(F.col("finished") & (F.col("place_m") < F.col("total_m") * 0.5), F.lit(False))).over(w)
     held = F.last(F.when(F.col("reliable"), F.col("ghost_m")), ignorenulls=True).over(w)
     return rows.select("ride_id", "seq", F.when(again, F.lit(None)).when(F.col("reliable"), F.col("ghost_m")).otherwise(held).alias("marker_m"))

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import grade, grade_store, joins, route
+from paceline.operators import grade, grade_store, joins, laps, route
 from paceline.sources import rides
 
 SEG = "seg_id string, route_id int, start_m double, end_m double, label string, curve array<struct<d: double, t: double>>"
@@ -157,3 +157,42 @@ def test_models_of_known_versions_are_served(spark):
     saved = spark.createDataFrame([(0, 1), (1, 1), (3, 1), (4, 1)], "schema_version int, bin int")
     assert sorted((r["schema_version"], r["owed"]) for r in grade_store.servable(saved).collect()) == [(1, True), (3, False)]
     assert grade.MIN_BIN_M == 400
+
+
+M = 1 / 111_320.0
+
+
+def lapped(spark, vertices, rows):
+    segs = joins.segments(spark.createDataFrame([(1, i, y * M, x * M) for i, (x, y) in enumerate(vertices)], "route_id int, i int, lat double, lng double"))
+    pts = spark.createDataFrame([(7, k, 1, y * M, x * M, float(t)) for k, (x, y, t) in enumerate(rows)], "track_id int, seq int, route_id int, lat double, lng double, time_s double")
+    out: dict[int, list] = {}
+    for r in laps.seed_laps(pts, segs).orderBy("lap", "k").collect():
+        # the plane of M has 111,320 m a degree, the sphere 111,195
+        out.setdefault(r["lap"], []).append((round(r["route_m"] * 111_320 / 111_194.93), r["elapsed_s"]))
+    return list(out.values())
+
+
+def test_seed_laps_of_an_out_and_back(spark):
+    """The way back lies 3 m beside the way out, and runs on along the route: one lap of all of it."""
+    route_ = [(0, 0), (1000, 0), (1000, 3), (0, 3)]
+    out = [(x, 0, x / 5) for x in range(0, 1000, 100)]
+    back = [(1000 - x, 3, 200 + x / 5) for x in range(0, 1001, 100)]
+    got = lapped(spark, route_, out + back)
+    assert [m for m, _ in got[0]][:10] == list(range(0, 1000, 100)) and len(got) == 1
+    # ridden backward, no point gains on the last, but for the way back's own stretch
+    assert all(m == sorted(m) for m in [[x for x, _ in lap] for lap in lapped(spark, route_, [(1000 - x, 0, x / 5) for x in range(0, 1001, 100)])])
+
+
+def test_seed_laps_of_a_loop_ridden_twice(spark):
+    """A square: the second pass closes the loop and gains no more, so the first counts only."""
+    square = [(0, 0), (400, 0), (400, 400), (0, 400), (0, 0)]
+    once = [(x, 0) for x in range(0, 400, 50)] + [(400, y) for y in range(0, 400, 50)] + [(400 - x, 400) for x in range(0, 400, 50)] + [(0, 400 - y) for y in range(0, 380, 50)]
+    got = lapped(spark, square, [(x, y, 10 * k) for k, (x, y) in enumerate(once + once)])
+    assert len(got) == 1 and got[0] == [(50 * k, 10.0 * k) for k in range(33)]
+
+
+def test_seed_laps_split_at_jumps_and_drop_what_goes_back(spark):
+    """700 m off the route end a lap; 300 m do not; a point with an earlier time, or off by 40 m, is passed over."""
+    line = [(0, 0), (5000, 0)]
+    rows = [(0, 0, 100), (100, 0, 120), (200, 0, 110), (300, 40, 130), (400, 0, 140), (700, 0, 200), (1150, 0, 300), (1710, 0, 400), (1800, 0, 420), (1790, 0, 430), (3000, 0, 500)]
+    assert lapped(spark, line, rows) == [[(0, 0.0), (100, 20.0), (400, 40.0), (700, 100.0), (1150, 200.0)], [(1710, 0.0), (1800, 20.0)]]
