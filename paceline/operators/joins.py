@@ -55,7 +55,7 @@ def feet(points: DataFrame, segs: DataFrame, on: str | list[str] = "route_id") -
 
 
 #: Metres of the first ring of cells, how much wider the next one is, and beyond what a point meets its whole route.
-RING_M, WIDER, FAR_M = 50.0, 4.0, 200_000.0
+RING_M, WIDER, FAR_M = 50.0, 8.0, 200_000.0
 
 
 def project_nearest(points: DataFrame, segs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import formats
-from paceline.operators import joins, laps, rules, samples, signals
+from paceline.operators import joins, laps, route, rules, samples, signals
 from paceline.plans import _sql, routes
 from paceline.sources import rides
 from paceline.streaming import alerts, race, tracking
@@ -114,6 +114,39 @@ def gap_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return race.gap_stream(_rounded(race.race_batch(ticks(spark, sf_dir))))
 
 
+@query(
+    "SELECT ride_id, seq, tag, round(0 - lead, 6) AS gap_time_s, round(CASE WHEN lead >= 0 THEN back WHEN tag = 'GRADE' THEN lead / grade END, 6) AS gap_distance_m FROM rc JOIN offer USING (ride_id, seq, t)",
+    f"tk AS (SELECT * REPLACE (NULL::DOUBLE AS history) FROM ({_RAW}))",
+    _COAST,
+    _RACE,
+)
+def post_route_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Races whose route has ended: gradient and neutral ticks only."""
+    return _rounded(race.post_route(ticks(spark, sf_dir))).select("ride_id", "seq", "tag", "gap_time_s", "gap_distance_m")
+
+
+@query(
+    "SELECT track_id, seq, CASE WHEN seq % 9 = 4 THEN NULL WHEN track_id % 4 = 0 THEN 1 / (seq % 7 + 2.0::DOUBLE) WHEN seq % 3 <> 0 THEN 0.18::DOUBLE WHEN seq % 6 = 0 THEN 0.2::DOUBLE END AS pace_tpm FROM points"
+)
+def race_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pace that answers a tick: the target of races against one, else the road, else the gradient."""
+    kind = F.when(F.col("track_id") % 4 == 0, "TARGET").otherwise("HISTORY")
+    road, slope = F.when(F.col("seq") % 3 != 0, 0.18), F.when(F.col("seq") % 6 == 0, 0.2)
+    return rides.points(spark, sf_dir).select("track_id", "seq", route.race_pace(kind, F.col("seq") % 9 != 4, F.col("seq") % 7 + 2.0, road, slope).alias("pace_tpm"))
+
+
+@query("SELECT track_id, seq, (floor(time_s)::BIGINT // 60) || ':' || lpad((floor(time_s)::BIGINT % 60)::VARCHAR, 2, '0') AS label FROM points")
+def elapsed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rides.points(spark, sf_dir).select("track_id", "seq", formats.mmss(F.col("time_s")).alias("label"))
+
+
+@query("SELECT event_id, last_ms IS NULL OR now_ms < last_ms OR now_ms - last_ms >= CASE WHEN asked < 3 THEN 259200000 ELSE 864000000 END AS due FROM (SELECT event_id, event_id % 6 AS asked, CASE WHEN event_id % 11 <> 0 THEN event_id * 7001 % 1000000000 END AS last_ms, event_id * 104729 % 2000000000 AS now_ms FROM events)")
+def reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a reminder is due: three times after 72 hours, then every ten days; a clock set back fires."""
+    due = rules.reminder(F.col("event_id") % 6, F.expr("CASE WHEN event_id % 11 <> 0 THEN event_id * 7001 % 1000000000 END"), F.expr("event_id * 104729 % 2000000000"))
+    return rides.table(spark, sf_dir, "events").select("event_id", due.alias("due"))
+
+
 #: Laps of a ride's own road, folded node by node from the last good one.
 _LAPS = """
 pairs AS (SELECT track_id AS lap_id, lag(distance_m) OVER w AS d0, distance_m AS d1, lag(time_s) OVER w AS t0, time_s AS t1 FROM points WINDOW w AS (PARTITION BY track_id ORDER BY seq)),

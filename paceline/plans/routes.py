@@ -9,7 +9,7 @@ from paceline.functions import formats, geo
 from paceline.operators import grade, joins, laps, road_pace, route, samples
 from paceline.plans import _sql
 from paceline.plans.pace import rounded
-from paceline.sources import rides
+from paceline.sources import polyline, rides
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -75,6 +75,12 @@ def route_segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joins.segments(paths(spark, sf_dir)).select("route_id", "i", "lo_m", "hi_m", "heading"), lo_m=3, hi_m=3, heading=3)
 
 
+@query("SELECT track_id::VARCHAR AS route_id, (row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1)::INT AS i, round(floor(lat * 100000 + 0.5) / 100000, 5) AS lat, round(floor(lng * 100000 + 0.5) / 100000, 5) AS lng FROM points")
+def polyline_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rides' paths encoded as polylines, and decoded again."""
+    return rounded(polyline.vertices(polyline.encoded(paths(spark, sf_dir))), lat=5, lng=5)
+
+
 _AT = """
 qs AS (SELECT route_id, d, least(total_m, greatest(0, d * 37.5::DOUBLE)) AS at_m FROM totals, (SELECT unnest(range(-1, 110)) AS d)),
 at0 AS (SELECT q.route_id, d, at_m, s.*, row_number() OVER (PARTITION BY q.route_id, d ORDER BY s.i) AS rn FROM qs q JOIN (SELECT * RENAME (route_id AS sr) FROM segs) s ON sr = q.route_id AND at_m >= lo_m AND at_m <= hi_m)

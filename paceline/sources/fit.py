@@ -164,11 +164,6 @@ def decoded(files: DataFrame, decoder: Callable[[bytes], tuple[str, list[tuple]]
     return got.withColumn("track_id", F.concat(F.lit("fit-"), F.col("started_ms").cast("string")))
 
 
-def rides_of(points: DataFrame) -> DataFrame:
-    """Decoded points without the rows that only tell of a file that is no ride."""
-    return points.where("outcome = 'decoded'")
-
-
 def read(spark: SparkSession, path: str, since_ms: int | None = None) -> DataFrame:
     """Points of all .fit files below a path, and one row for each file without.
 

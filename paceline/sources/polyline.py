@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,42 @@ def decode(encoded: str, precision: int = 5) -> list[tuple[float, float]]:
     return out
 
 
+def encode(places: list[tuple[float, float]], precision: int = 5) -> str:
+    """The encoded line of vertices (lat, lng)."""
+    out, before = [], (0, 0)
+    for place in places:
+        here = tuple(math.floor(x * 10**precision + 0.5) for x in place)
+        for now, was in zip(here, before, strict=True):
+            value = (now - was) << 1
+            value = ~value if now < was else value
+            while value >= 32:
+                out.append(chr((value & 31 | 32) + 63))
+                value >>= 5
+            out.append(chr(value + 63))
+        before = here
+    return "".join(out)
+
+
+def encoded(vertices_: DataFrame) -> DataFrame:
+    """route_id, encoded of vertices (route_id, i, lat, lng)."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("i")
+        return pa.table({"route_id": [key[0].as_py()], "encoded": [encode(list(zip(rows.column("lat").to_pylist(), rows.column("lng").to_pylist(), strict=True)))]})
+
+    named = vertices_.select(F.col("route_id").cast("string").alias("route_id"), "i", "lat", "lng")
+    return named.groupBy("route_id").applyInArrow(run, "route_id string, encoded string")
+
+
 def vertices(routes: DataFrame, precision: int = 5) -> DataFrame:
     """route_id, i, lat, lng of routes (route_id, encoded)."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64())
 
-        for pdf in batches:
-            rows = [(r.route_id, i, a, b) for r in pdf.itertuples() for i, (a, b) in enumerate(decode(r.encoded or "", precision))]
-            yield pd.DataFrame(rows, columns=["route_id", "i", "lat", "lng"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(route, i, a, b) for route, line in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, (a, b) in enumerate(decode(line or "", precision))]
+            cols = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["route_id", "i", "lat", "lng"])
 
-    return routes.select(F.col("route_id").cast("string"), "encoded").mapInPandas(run, "route_id string, i int, lat double, lng double")
+    return routes.select(F.col("route_id").cast("string"), "encoded").mapInArrow(run, "route_id string, i int, lat double, lng double")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paceline.functions.formats import behind_metres
 from paceline.operators.samples import spaced
 from paceline.streaming.ghost import Ghost, followed
 from paceline.streaming.odometer import MOVING, Event, Odometer, advanced, finite
@@ -99,6 +100,15 @@ def race_batch(ticks: DataFrame) -> DataFrame:
     return _grouped(ticks.select("ride_id", *TICK), "ride_id", GAPS, lambda ride, t: _steps(ride, _in_order(t), Race())[1])
 
 
+def post_route(ticks: DataFrame) -> DataFrame:
+    """Gaps of ticks after the route's end: no road's history answers there, and behind
+    the ghost the metres are the deficit at the gradient's pace, null without one."""
+    gaps = race_batch(ticks.withColumn("history_tpm", F.lit(None).cast("double")))
+    paced = gaps.join(ticks.select("ride_id", "seq", "grade_tpm"), ["ride_id", "seq"])
+    behind = behind_metres(F.col("gap_time_s"), F.when(F.col("tag") == "GRADE", F.col("grade_tpm")))
+    return paced.withColumn("gap_distance_m", F.when(F.col("gap_time_s") > 0, behind).otherwise(F.col("gap_distance_m"))).select(gaps.columns)
+
+
 class Racing(Rule):
     """A ride's race over a stream of ticks: typed state, ticks in the order of their time.
 
