@@ -115,7 +115,11 @@ def _mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as its source's plan takes it."""
+    """The mix itself: each row of docs as often as its source's plan takes it.
+
+    Rows with one doc_id in a source are taken equally often; those with a null
+    doc_id share a hash too, and so one fate a source.
+    """
     _, out = _mixed(docs)
     source, passes, threshold, copy = (fresh_name(docs, c) for c in ("m_source", "m_passes", "m_threshold", "m_copy"))
     rule = out.groupBy("source").agg(F.first("passes").alias(passes), F.first("threshold").alias(threshold)).withColumnRenamed("source", source)

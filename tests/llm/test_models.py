@@ -124,6 +124,19 @@ def test_odd_vectors(spark):
     assert nearest.nearest(none, nearest.usable(none)).count() == 0
 
 
+def test_extra_and_clashing_columns_change_nothing(spark, docs_of):
+    rows = vectors(spark, [(k, [float(k), 1.0 + k % 3]) for k in range(40)])
+    extra = rows.withColumns({c: F.lit("x") for c in ("cell", "ids", "part", "score", "rank", "query_id", "h", "bound", "x")})
+    got, want = (sorted(map(tuple, nearest.nearest(t, t.where("vec_id % 8 = 0")).collect())) for t in (extra, rows))
+    assert got == want and len(got) == 50
+    docs = docs_of(["good words here", "bad ### words", None, ""])
+    more = docs.withColumns({c: F.lit("x") for c in ("quality", "score", "predicted", "held_out", "label", "chunk")})
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    net = quality_cnn.train(more, labels)
+    assert sorted((r["doc_id"], r["score"]) for r in quality_cnn.score(more, net).collect()) == sorted((r["doc_id"], r["score"]) for r in quality_cnn.score(docs, net).collect())
+    assert quality_cnn.keep_good(more, labels).columns == more.columns
+
+
 def test_pipeline_stages_do_what_the_operators_say(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     sf = "/root/testdata/sf0.001"
