@@ -71,8 +71,8 @@ def imported(files: DataFrame, points: DataFrame, ledger: DataFrame, recorded: D
 
 
 def thinned(points: DataFrame, spacing_m: float = SPACING_M) -> DataFrame:
-    """The points (path, seq, distance_m and others) that are spacing_m or more beyond the last one kept."""
-    kept = decimated(points.select(F.col("path").alias("track_id"), "seq", "distance_m"), spacing_m)
+    """The points (path, seq, distance_m and others) that are spacing_m or more beyond the last one kept, by d_mm where they have it."""
+    kept = decimated(points.select(F.col("path").alias("track_id"), "seq", "distance_m", *[c for c in points.columns if c == "d_mm"]), spacing_m)
     return points.join(kept.select(F.col("track_id").alias("path"), "seq"), ["path", "seq"], "left_semi")
 
 

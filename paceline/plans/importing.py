@@ -49,7 +49,7 @@ outcome AS (SELECT path, mtime, outcome, outcome = 'duplicate' AND key IN (SELEC
 def _run(spark: SparkSession, sf_dir: str) -> imports.Imported:
     full = rides.points(spark, sf_dir)
     tracks = rides.tracks_of(full)
-    pts = full.withColumn("distance_m", F.expr("d_mm * 3 div 10 / 1000.0D"))
+    pts = full.withColumn("d_mm", F.expr("d_mm * 3 div 10")).withColumn("distance_m", F.col("d_mm") / 1000.0)
     end = F.col("started_ms") + F.col("time_ms")
     one = tracks.select(F.concat(F.lit("a"), "track_id").alias("path"), "track_id", (F.col("length_mm") + 1).alias("size"), end.alias("mtime"), F.lit("FITFILES_SCAN").alias("source"), "started_ms")
     two = tracks.where("track_id % 5 = 0").select(F.concat(F.lit("b"), "track_id").alias("path"), "track_id", (F.col("length_mm") + 2).alias("size"), (end + 5000).alias("mtime"), F.lit("FIT_IMPORT").alias("source"), "started_ms")
@@ -57,7 +57,7 @@ def _run(spark: SparkSession, sf_dir: str) -> imports.Imported:
     ledger = one.where("track_id % 7 = 0").select("path", "size", "mtime")
     todo = imports.asked(files, ledger, LAST_SCAN).select(files.columns)
     read = todo.select("path", "track_id").join(pts, "track_id").where("track_id % 9 <> 0 AND (track_id % 11 <> 0 OR seq = 1)")
-    read = read.select("path", "seq", "lat", "lng", "distance_m", "time_s", "ele_m")
+    read = read.select("path", "seq", "lat", "lng", "distance_m", "time_s", "ele_m", "d_mm")
     own = imports.thinned(pts.where("track_id % 4 = 0").withColumn("path", F.col("track_id")))
     keys = own.groupBy("track_id").agg(formats.source_key(rides.started_ms("track_id"), F.max("distance_m")).alias("source_key"))
     library = own.join(keys, "track_id").withColumns({"source": F.lit("RECORDED"), "ele_m": F.when(F.col("seq") % 4 == 0, F.col("ele_m"))})
