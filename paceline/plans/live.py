@@ -304,7 +304,7 @@ def recorded_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rides as the recorder keeps them; some samples have no position."""
     pts = rides.points(spark, sf_dir)
     lost = F.col("seq") % 7 == 4
-    return race.recorded_tracks(pts.select(F.col("track_id").alias("ride_id"), "seq", F.when(~lost, F.col("lat")).alias("lat"), F.when(~lost, F.col("lng")).alias("lng"), "distance_m", "time_s")).withColumns({c: F.round(c, 9) for c in ("lat", "lng")})
+    return race.recorded_tracks(pts.select(F.col("track_id").alias("ride_id"), "seq", F.when(~lost, F.col("lat")).alias("lat"), F.when(~lost, F.col("lng")).alias("lng"), "distance_m", "time_s", "d_mm")).withColumns({c: F.round(c, 9) for c in ("lat", "lng")})
 
 
 _SITUATIONS = "sit AS (SELECT event_id, event_id % 2 = 0 AS a, event_id % 3 = 0 AS b, event_id % 5 = 0 AS c, event_id % 7 = 0 AS d, CASE WHEN event_id % 4 = 0 THEN 'TARGET' ELSE 'HISTORY' END AS kind FROM events)"

@@ -177,8 +177,10 @@ def recorded_tracks(samples: DataFrame) -> DataFrame:
 
     The track has a positioned sample every 20 m and the last one; tail_m, for
     the ride's key, counts samples without a position too, from the first one
-    that has one.  A ride with fewer than two points has no track.
+    that has one.  A ride with fewer than two points has no track.  Samples that
+    carry whole millimetres (d_mm) are spaced by these, without rounding.
     """
+    whole = "d_mm" in samples.columns
 
     def work(ride, t):
         t = t.sort_by("seq")
@@ -186,13 +188,14 @@ def recorded_tracks(samples: DataFrame) -> DataFrame:
         here = [k for k in range(len(d)) if lat[k] is not None and lng[k] is not None]
         if not here:
             return []
-        tail = d[here[0] + spaced(d[here[0] :], RECORD_M)[-1]]
-        kept = [here[k] for k in spaced([d[k] for k in here], RECORD_M)]
+        by, spacing = (t.column("d_mm").to_pylist(), RECORD_M * 1000) if whole else (d, RECORD_M)
+        tail = d[here[0] + spaced(by[here[0] :], spacing)[-1]]
+        kept = [here[k] for k in spaced([by[k] for k in here], spacing)]
         if d[here[-1]] > d[kept[-1]]:
             kept.append(here[-1])
         return [(ride, n, lat[k], lng[k], d[k], s[k], tail) for n, k in enumerate(kept)] if len(kept) > 1 else []
 
-    return _grouped(samples.select("ride_id", "seq", "lat", "lng", "distance_m", "time_s"), "ride_id", "ride_id bigint, seq int, lat double, lng double, distance_m double, time_s double, tail_m double", work)
+    return _grouped(samples.select("ride_id", "seq", "lat", "lng", "distance_m", "time_s", *["d_mm"] * whole), "ride_id", "ride_id bigint, seq int, lat double, lng double, distance_m double, time_s double, tail_m double", work)
 
 
 def latest_a_second(ticks: DataFrame, ts: str = "ts", key: str = "ride_id") -> DataFrame:
