@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import geo
 from paceline.functions.formats import source_key
+from paceline.operators.twins import tiled
 from paceline.sources.rides import checkpointed
 
 INDEX_PRECISION = 6
@@ -112,39 +111,27 @@ def summaries(points: DataFrame) -> DataFrame:
     return both.groupBy("track_id").agg(F.first("length_m").alias("length_m"), *marks)
 
 
-def twins(points: DataFrame, cover: float = 0.90, length_tolerance: float = 0.10, place_m: float = 250.0, precision: int = FINE_PRECISION) -> DataFrame:
-    """Pairs a < b of the same route, direction and footprint.
+def twins(points: DataFrame, cover: float = 0.90, length_tolerance: float = 0.10, place_m: float = 250.0, precision: int = FINE_PRECISION, asked: DataFrame | None = None) -> DataFrame:
+    """Pairs a < b of the same route, direction and footprint; with asked (track_id), those that one of these is in.
 
     Rides meet by the cell of their half-way place and by a band of lengths, are
-    compared at three places, and only pairs that pass count shared cells.
+    compared at three places, and only pairs that pass count shared cells.  On a
+    popular road there are as many pairs as rides squared: they are not kept
+    anywhere, and come out of the tasks that find them.
     """
-    s = summaries(points).where("length_m > 0")
-    ratio = math.log(1 / (1 - length_tolerance))
-    row, band = geo.cell_lat(F.col("p2.lat"), place_m), F.floor(F.log("length_m") / ratio)
-    side = lambda c: s.select(F.col("track_id").alias(c), F.col("length_m").alias(f"l{c}"), *[F.col(f"p{k}").alias(f"{c}{k}") for k in (1, 2, 3)], row.alias("row"), F.col("p2.lng").alias("lng"), band.alias("band"))
-    # of two neighbours in (band, row, column) the lower one looks for the higher one
-    steps = [(b, i, j) for b in (0, 1) for i in (-1, 0, 1) for j in (-1, 0, 1) if (b, i, j) >= (0, 0, 0)]
-    o = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j")) for b, i, j in steps])).alias("o")
-    left = side("a").select("*", o)
-    left = left.withColumns({"row": F.col("row") + F.col("o.i"), "band": F.col("band") + F.col("o.b")}).withColumn("col", geo.cell_lng(F.col("lng"), F.col("row"), place_m) + F.col("o.j")).drop("lng")
-    right = side("b").withColumn("col", geo.cell_lng(F.col("lng"), F.col("row"), place_m)).drop("lng")
-    here = (F.col("o.b") == 0) & (F.col("o.i") == 0) & (F.col("o.j") == 0)
-    near = left.join(right, ["row", "col", "band"]).where(~here | (F.col("a") < F.col("b"))).where(F.abs(F.col("la") - F.col("lb")) <= length_tolerance * F.greatest("la", "lb"))
-    for k in (1, 2, 3):
-        near = near.where(geo.equirectangular_m(F.col(f"a{k}.lat"), F.col(f"a{k}.lng"), F.col(f"b{k}.lat"), F.col(f"b{k}.lng")) <= place_m)
-    pairs = checkpointed(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # cells of rides that have a pair only
-    fine = path_cells(points.join(both.select(F.col("a").alias("track_id")).distinct(), "track_id", "left_semi"), precision)
-    n = fine.groupBy("track_id").agg(F.count("*").alias("n"))
-    inside = _within(both, fine).join(n.withColumnRenamed("track_id", "a"), "a").where(F.col("c") >= cover * F.col("n")).select("a", "b")
-    return inside.join(inside.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a < b")
+    return tiled(summaries(points), path_cells(points, precision), cover, length_tolerance, place_m, links=False, asked=asked)
+
+
+def twin_links(points: DataFrame, cover: float = 0.90, length_tolerance: float = 0.10, place_m: float = 250.0, precision: int = FINE_PRECISION) -> DataFrame:
+    """Pairs (a, b) that connect rides into the groups that twins connect; about one a ride and tile, however many twins there are."""
+    return tiled(summaries(points), path_cells(points, precision), cover, length_tolerance, place_m, links=True)
 
 
 def _within(pairs: DataFrame, fine: DataFrame) -> DataFrame:
     """a, b, c: for pairs of tracks, how many cells of a lie in the widened cells of b, where any do."""
     mine = pairs.join(fine.withColumnRenamed("track_id", "a"), "a")
-    return mine.join(dilated(fine).withColumnRenamed("track_id", "b"), ["b", "row", "col"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("c"))
+    wide = dilated(fine.join(pairs.select(F.col("b").alias("track_id")).distinct(), "track_id", "left_semi"))
+    return mine.join(wide.withColumnRenamed("track_id", "b"), ["b", "row", "col"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("c"))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -172,7 +159,7 @@ def groups(pairs: DataFrame) -> DataFrame:
 def kept_of_groups(points: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
     """track_id, group, keep of the rides that have twins; what is not kept may be archived.
 
-    facts: track_id, source, started_ms, length_m, time_s; pairs (a, b): twins.
+    facts: track_id, source, started_ms, length_m, time_s; pairs (a, b): twins, or links of twins.
     Second copies of one ride go first.  Of more than three rides left in a
     group, the fastest plausible one and the two newest stay, and so does every
     ride that has a cell outside the widened cells of those: nothing is archived
@@ -189,7 +176,8 @@ def kept_of_groups(points: DataFrame, facts: DataFrame, pairs: DataFrame) -> Dat
     ranked = left.select("track_id", "group", (F.count("*").over(w) <= 3).alias("few"), ((newest <= 2) | ((fastest == 1) & plausible)).alias("stays"))
     ranked = checkpointed(ranked)
     cells = path_cells(points, FINE_PRECISION)
-    ground = dilated(cells).join(ranked.where("stays AND NOT few"), "track_id").select("group", "row", "col").distinct()
+    base = ranked.where("stays AND NOT few").select("track_id", "group")
+    ground = dilated(cells.join(base, "track_id", "left_semi")).join(base, "track_id").select("group", "row", "col").distinct()
     asked = cells.join(ranked.where("NOT stays AND NOT few").select("track_id", "group"), "track_id")
     beyond = asked.join(ground, ["group", "row", "col"], "left_anti").select("track_id").distinct().withColumn("beyond", F.lit(True))
     kept = ranked.join(beyond, "track_id", "left").select("track_id", "group", (F.col("few") | F.col("stays") | F.col("beyond").isNotNull()).alias("keep"))
@@ -199,7 +187,7 @@ def kept_of_groups(points: DataFrame, facts: DataFrame, pairs: DataFrame) -> Dat
 def same_ride_losers(points: DataFrame, facts: DataFrame, pairs: DataFrame, window_ms: int = 600_000) -> DataFrame:
     """track_id of device scans that a live recording of the same ride replaces.
 
-    facts: track_id, source, started_ms, length_m; pairs (a, b): twins.  Within a
+    facts: track_id, source, started_ms, length_m; pairs (a, b): twins, or links of twins.  Within a
     group of twins each recording, in order of id, claims the unclaimed scan of
     about its length that started nearest to it, and replaces it if the scan's
     fine cells lie in its own widened ones.  Recordings and scans meet by start
@@ -213,7 +201,8 @@ def same_ride_losers(points: DataFrame, facts: DataFrame, pairs: DataFrame, wind
     apart, longer = F.abs(F.col("a_ms") - F.col("b_ms")), F.greatest("a_m", "b_m")
     match = one.join(two, ["group", "slot"]).where((apart <= window_ms) & (longer > 0)).where(F.abs(F.col("a_m") - F.col("b_m")) <= F.greatest(F.lit(100.0), longer * 0.01))
     match = checkpointed(match.select("a", "b", apart.alias("apart")))
-    fine = path_cells(points, FINE_PRECISION)
+    asked = match.select(F.col("a").alias("track_id")).unionByName(match.select(F.col("b").alias("track_id"))).distinct()
+    fine = checkpointed(path_cells(points.join(asked, "track_id", "left_semi"), FINE_PRECISION))
     n = fine.groupBy(F.col("track_id").alias("b")).agg(F.count("*").alias("n"))
     held = _within(match.select(F.col("b").alias("a"), F.col("a").alias("b")), fine).select(F.col("a").alias("b"), F.col("b").alias("a"), "c")
     asked = match.join(held, ["a", "b"], "left").join(n, "b").withColumn("covered", F.coalesce("c", F.lit(0)) == F.col("n"))
