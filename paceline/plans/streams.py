@@ -29,9 +29,11 @@ def query(sql: str, *parts: str):
 def _run(rows: DataFrame, rule: ordered.Rule) -> DataFrame:
     """rows (track_id, at, seq, ...) through a rule, arriving shuffled; at_ms for the output's time."""
     rows = rows.withColumn("at", F.col("at") + BEGIN_MS)
-    lo, hi = replay.bounds(rows)
-    spark, folder = rows.sparkSession, replay.arrived(rows, "track_id", lo, hi, hi + TAIL_MS)
-    out = replay.finished(ordered.over_stream(replay.stream(spark, folder, rows.schema), rule, "track_id", f"{replay.delay_ms(lo, hi)} milliseconds"))
+    rows = rides.checkpointed(rows)
+    (lo, hi), n = replay.bounds(rows), rows.count()
+    spark, parts = rows.sparkSession, replay.parts(n)
+    folder = replay.arrived(rows, "track_id", lo, hi, hi + TAIL_MS, parts=parts)
+    out = replay.finished(ordered.over_stream(replay.stream(spark, folder, rows.schema, parts), rule, "track_id", f"{replay.delay_ms(lo, hi)} milliseconds"), n_rows=n)
     return out.withColumn("at", F.col("at") - BEGIN_MS).withColumnRenamed("at", "at_ms") if "at" in out.columns else out
 
 
@@ -117,12 +119,14 @@ tk AS (SELECT ride_id * 2 + anew::INT AS ride_id, row_number() OVER w AS seq, t,
 def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Races stopped after a tick and gone on with in another stream, where the gates let them."""
     ticks = stored.ticks(spark, sf_dir).withColumns({"at": (F.round(F.col("elapsed_s") * 1000) + BEGIN_MS).cast("bigint"), "seq": F.col("seq").cast("bigint")})
-    folder = rides.scratch(spark, "raced")
+    ticks = rides.checkpointed(ticks)
+    n, folder = ticks.count(), rides.scratch(spark, "raced")
+    parts = replay.parts(n)
 
     def run(part: DataFrame, to: str, initial: DataFrame | None = None) -> DataFrame:
         lo, hi = replay.bounds(part)
-        arriving = replay.stream(spark, replay.arrived(part, "ride_id", lo, hi, hi + TAIL_MS), part.schema)
-        return replay.finished(race.race_stream(arriving, f"{replay.delay_ms(lo, hi)} milliseconds", initial), to)
+        arriving = replay.stream(spark, replay.arrived(part, "ride_id", lo, hi, hi + TAIL_MS, parts=parts), part.schema, parts)
+        return replay.finished(race.race_stream(arriving, f"{replay.delay_ms(lo, hi)} milliseconds", initial), to, n)
 
     before = run(ticks.where(F.col("seq") <= CUT), folder)
     held = resumption.saved(spark, replay.log_of(folder))

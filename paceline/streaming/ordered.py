@@ -120,17 +120,18 @@ class Ordered(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         new = [tuple(r[c] for c in self.columns) for r in rows]
         self.waiting.appendList(new)
-        timer, last = self.clock.get() if self.clock.exists() else (None, None)
+        timer, last = self.clock.get() or (None, None)
         self._set(timer, min([r[0] for r in new] + ([] if timer is None else [timer])), last)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         upto = timerValues.getCurrentWatermarkInMs()
-        every = sorted(self.waiting.get(), key=lambda r: r[:2]) if self.waiting.exists() else []
+        every = sorted(self.waiting.get(), key=lambda r: r[:2])
         ready = [r for r in every if r[0] <= upto]
         rest = every[len(ready) :]
         _, last = self.clock.get()
-        state = self.rule.load(self.held.get()) if self.held.exists() else self.rule.first()
+        held = self.held.get()
+        state = self.rule.first() if held is None else self.rule.load(held)
         state, out = run(self.rule, state, ready, upto, last, self.idle_ms)
         last = ready[-1][0] if ready else last
         if ready:
