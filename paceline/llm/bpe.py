@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import small, table
+from paceline.llm.common import released, small, table
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 SHORT = 256
@@ -89,6 +89,10 @@ class Memo(dict):
         self[word] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.held, self.old = 0, {}
+
 
 class ByteBPE:
     """A byte-level BPE vocabulary file of the tokenizers library."""
@@ -118,6 +122,11 @@ class ByteBPE:
         self.chunks = Memo(lambda c: tuple(chain.from_iterable(self.word_ids(w.encode("utf-8")) for w in self.find(chunk_text(c)))))
         self.line_end = self.word_ids(b"\n")
 
+    def forget(self) -> None:
+        """Drops the memos, which a worker process would hold through all that it does later."""
+        self.memo.forget()
+        self.chunks.forget()
+
     def word_ids(self, word: bytes) -> list[int]:
         return self._scan(word) if len(word) <= SHORT else self._heap(word)
 
@@ -213,15 +222,19 @@ def decode_documents(encoded: DataFrame, file: str = DEFAULT_FILE) -> DataFrame:
 
 
 def round_trips(docs: DataFrame, file: str = DEFAULT_FILE) -> DataFrame:
-    """doc_id, n_tokens, ids and a digest of their decoding for each row, in one pass."""
+    """doc_id, n_tokens, ids and a digest of their decoding for each row, in one pass.
+
+    Other stages use its worker processes again, so a task's memos end with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
-        for batch in small(batches):
+        for batch in small(released(batches)):
             ids = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
             n = pa.array([len(x) for x in ids], pa.int64())
             decoded = pa.array([hashlib.sha256(bpe.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, pa.list_(pa.int32())), decoded], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string"

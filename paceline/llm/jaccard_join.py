@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import BROADCAST_ROWS, checkpointed, compact, fresh_name, light, small, table
+from paceline.llm.common import BROADCAST_ROWS, checkpointed, compact, fresh_name, light, released, small, table
 from paceline.llm.components import components
 from paceline.llm.shingles import set_id, shingle_hashes
 
@@ -101,7 +101,7 @@ def frequent_hashes(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(released(batches)):
             sets = _sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], ["h"])
 
@@ -114,7 +114,7 @@ def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """doc_id, of (a hash of the text), n_shingles, digest (the set's name, null when empty) and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(released(batches)):
             sizes, names, prefixes = [], [], []
             for s in _sets(batch.column(1)):
                 n = len(s)
@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link; sets: node, hashes (sorted, as binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             x, y = batch.column(2), batch.column(3)
             keep = [links(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(batch.num_rows)]
             got = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -185,7 +185,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     held = _bitmap_of(nodes.select(place), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(released(batches)):
             batch = batch.filter(pa.array(_set_at(held, batch.column(2).to_numpy())))
             sets = _sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "hashes"])

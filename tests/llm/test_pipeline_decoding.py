@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import corpus_pipeline
+import pyarrow as pa
 from paceline.llm import bpe
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +27,17 @@ def test_odd_rows(spark, odd):
     assert sorted((r["doc_id"] or 0, r["decoded_sha256"]) for r in bpe.round_trips(odd).collect()) == sorted(
         (r["doc_id"] or 0, hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in odd.collect()
     )
+
+
+def test_workers_hold_no_memo_between_tasks(spark, docs_of):
+    docs = docs_of(["one two three", "four five\tsix  seven"]).coalesce(1)
+
+    def held(batches):
+        vocabulary = bpe.load(bpe.DEFAULT_FILE)
+        for batch in batches:
+            n = sum(len(m) + len(m.old) for m in (vocabulary.memo, vocabulary.chunks))
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()] * batch.num_rows), pa.array([n] * batch.num_rows)], ["pid", "n"])
+
+    # workers are used again, so among those of many tasks is the one that encoded
+    assert bpe.round_trips(docs).count() == 2
+    assert {r["n"] for r in spark.range(64).repartition(8).mapInArrow(held, "pid long, n long").collect()} == {0}
