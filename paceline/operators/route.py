@@ -10,6 +10,7 @@ from paceline.functions.formats import mmss
 from paceline.operators import joins
 from paceline.operators.joins import sample_at
 from paceline.operators.road_pace import celled, in_order, seeded_mean
+from paceline.sources.rides import checkpointed
 
 STEP_M = 25.0
 MIN_SEG_M = 300.0
@@ -17,6 +18,8 @@ MAX_SPEED = 30.0
 BEST_SPEEDUP = 2.0
 MIN_LAPS = 2
 COVERAGE_MIN = 0.10
+#: Metres of a route that are one key where overlays meet what they cover.
+STRETCH_M = 5000.0
 
 
 def grid(segs: DataFrame, step_m: float = STEP_M) -> DataFrame:
@@ -133,15 +136,27 @@ def stitched_curve(segs: DataFrame, totals: DataFrame, fill_ms: float) -> DataFr
 
 def uncovered(secondary: DataFrame, primary: DataFrame, min_piece_m: float = 200.0) -> DataFrame:
     """route_id, start_m, end_m, piece_start_m, piece_end_m: what primary leaves of
-    each secondary segment, pieces of min_piece_m or more."""
-    p = primary.select("route_id", F.col("start_m").alias("p0"), F.col("end_m").alias("p1"))
-    hit = secondary.join(p, "route_id", "left").where("p0 IS NULL OR (p1 > start_m AND p0 < end_m)")
-    none = secondary.join(p.withColumnRenamed("route_id", "r"), (F.col("route_id") == F.col("r")) & (F.col("p1") > F.col("start_m")) & (F.col("p0") < F.col("end_m")), "left_anti")
+    each secondary segment, pieces of min_piece_m or more.
+
+    Primary segments that overlap count as one, and those meet secondary ones by
+    stretches of the route, so rows grow with the input and not with its pairs.
+    """
+    w = Window.partitionBy("route_id").orderBy("start_m")
+    starts = primary.groupBy("route_id", "start_m").agg(F.max("end_m").alias("end_m"))
+    upto = F.max("end_m").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    groups = starts.withColumn("g", F.when(upto.isNull() | (F.col("start_m") >= upto), 1).otherwise(0)).withColumn("g", F.sum("g").over(w))
+    p = groups.groupBy("route_id", "g").agg(F.min("start_m").alias("p0"), F.max("end_m").alias("p1"))
+    at = lambda c: F.floor(F.col(c) / STRETCH_M)
+    spread = lambda rows, lo, hi: rows.withColumn("stretch", F.explode(F.sequence(at(lo), F.greatest(at(lo), at(hi)))))
     key = ["route_id", "start_m", "end_m"]
+    both = spread(secondary.select(key).distinct(), "start_m", "end_m").join(spread(p, "p0", "p1"), ["route_id", "stretch"])
+    first = F.col("stretch") == F.greatest(at("start_m"), at("p0"))  # a pair meets in each stretch of both
+    hit = checkpointed(both.where((F.col("p1") > F.col("start_m")) & (F.col("p0") < F.col("end_m")) & first).select(*key, "p0", "p1"))
+    none = secondary.join(hit.select(key).distinct(), key, "left_anti")
     w = Window.partitionBy(*key).orderBy("p0", "p1")
     until = F.greatest("start_m", F.coalesce(F.max("p1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("start_m")))
-    before = hit.where("p0 IS NOT NULL").select(*key, until.alias("a"), F.least("p0", "end_m").alias("z"))
-    after = hit.where("p0 IS NOT NULL").groupBy(*key).agg(F.max("p1").alias("a")).select(*key, "a", F.col("end_m").alias("z"))
+    before = hit.select(*key, until.alias("a"), F.least("p0", "end_m").alias("z"))
+    after = hit.groupBy(*key).agg(F.max("p1").alias("a")).select(*key, "a", F.col("end_m").alias("z"))
     whole = none.select(*key, F.col("start_m").alias("a"), F.col("end_m").alias("z"))
     every = before.unionByName(after).unionByName(whole)
     return every.where(F.col("z") - F.col("a") >= min_piece_m).select(*key, F.col("a").alias("piece_start_m"), F.col("z").alias("piece_end_m"))
@@ -159,14 +174,14 @@ def overlay(primary: DataFrame, secondary: DataFrame, min_piece_m: float = 200.0
     """
     kind = [c for c in primary.columns if c in ("seg_id", "route_id", "start_m", "end_m", "label", "curve")]
     pieces = uncovered(secondary.select("route_id", "start_m", "end_m").distinct(), primary, min_piece_m)
-    cut = secondary.join(pieces, ["route_id", "start_m", "end_m"])
+    cut = checkpointed(secondary.join(pieces, ["route_id", "start_m", "end_m"]))
     whole = (F.col("piece_start_m") <= F.col("start_m")) & (F.col("piece_end_m") >= F.col("end_m"))
     kept = cut.where(whole).select(kind)
     long = F.element_at("curve", -1)["d"]
     scale = long / (F.col("end_m") - F.col("start_m"))
     parts = cut.where(~whole).withColumns({"d0": (F.col("piece_start_m") - F.col("start_m")) * scale, "d1": (F.col("piece_end_m") - F.col("start_m")) * scale})
     parts = parts.withColumn("id", F.concat_ws(":", "seg_id", "piece_start_m"))
-    curves = secondary.select(F.col("seg_id").alias("curve_id"), F.posexplode("curve").alias("k", "s")).select("curve_id", "k", F.col("s.d").alias("distance_m"), F.col("s.t").alias("time_s"))
+    curves = parts.dropDuplicates(["seg_id"]).select(F.col("seg_id").alias("curve_id"), F.posexplode("curve").alias("k", "s")).select("curve_id", "k", F.col("s.d").alias("distance_m"), F.col("s.t").alias("time_s"))
     asked = lambda at, name: joins.time_at(parts.select("id", F.col("seg_id").alias("curve_id"), F.col(at).alias("distance_m")), curves).withColumnRenamed("time_s", name)
     timed = parts.join(asked("d0", "t0"), "id").join(asked("d1", "t1"), "id")
     inner = timed.select("id", "d0", "d1", "t0", "t1", F.explode("curve").alias("s")).where((F.col("s.d") > F.col("d0")) & (F.col("s.d") < F.col("d1")))
