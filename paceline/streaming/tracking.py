@@ -1,7 +1,7 @@
 """Where along its route a live ride is, and where its ghost's marker stands.
 
 What geometry can say about a tick is worked out for all ticks at once by a join
-on cells: the segments near it that run its way.  What depends on the ticks
+on cells: the segments near it that run its way, without grouping the ticks.  What depends on the ticks
 before is a small choice among those, a ride at a time.
 """
 
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import geo
-from paceline.operators.joins import distance_at, near_segments, time_at
+from paceline.operators.joins import distance_at, near_lists, time_at
+from paceline.sources.rides import checkpointed
 
 #: Metres around the last place in which the next one is looked for; the part ahead grows with the odometer.
 BACK_M, AHEAD_M, MOST_AHEAD_M = 120.0, 300.0, 400.0
@@ -31,13 +32,11 @@ def tracked(ticks: DataFrame, segs: DataFrame) -> DataFrame:
     moving, fresh; segs: as ``joins.segments``.  A ride whose route is unknown
     has no place.
     """
-    asked = ticks.select(F.struct("ride_id", "seq").alias("id"), "route_id", "lat", "lng", "heading")
-    near = near_segments(asked, segs.withColumnRenamed("heading", "seg_heading"), MAX_PERP_M)
-    turn = geo.bearing_diff_deg(F.col("seg_heading"), F.col("heading"))
-    near = near.where((F.col("perp_m") <= MAX_PERP_M) & (F.col("heading").isNull() | (turn <= MAX_TURN_DEG)))
-    found = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("perp_m", "i", "along_m", "lo_m", "hi_m"))).alias("near"))  # segments near one place
+    fits = lambda s: (s["perp_m"] <= MAX_PERP_M) & (F.col("heading").isNull() | (geo.bearing_diff_deg(s["heading"], F.col("heading")) <= MAX_TURN_DEG))
+    told = lambda s: F.struct(*[s[c].alias(c) for c in ("perp_m", "i", "along_m", "lo_m", "hi_m")])
+    found = near_lists(ticks, segs, MAX_PERP_M).withColumn("near", F.array_sort(F.transform(F.filter("near", fits), told)))  # segments near one place
     total = segs.groupBy("route_id").agg(F.max("hi_m").alias("total_m"))
-    rows = ticks.join(found.select("id.*", "near"), ["ride_id", "seq"], "left").join(total, "route_id", "left")
+    rows = found.join(total, "route_id", "left")
     rows = rows.select("ride_id", "seq", "odo_m", F.col("heading").isNotNull().alias("headed"), "moving", "fresh", "total_m", "near")
 
     def run(ride: pa.Table) -> pa.Table:
@@ -87,7 +86,7 @@ def markers(places: DataFrame, curve: DataFrame) -> DataFrame:
     came to the rider's place; off the route the last reliable marker stays, and
     on a second lap there is none.
     """
-    named = places.withColumn("id", F.struct("ride_id", "seq"))
+    named = checkpointed(places.withColumn("id", F.struct("ride_id", "seq")))  # asked several times below
     total = curve.groupBy("route_id").agg(F.max("distance_m").alias("total_m"))
     here = time_at(named.where("place_m IS NOT NULL").select("id", "route_id", F.col("place_m").alias("distance_m")), curve, "route_id")
     then = named.join(here, "id").select("id", "route_id", F.greatest(F.lit(0.0), F.col("time_s") - F.col("lead_s")).alias("time_s"))
