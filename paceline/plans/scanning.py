@@ -115,7 +115,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> RideStore:
     store = RideStore(spark, rides.scratch(spark, "store"))
     files = rides.checkpointed(fit_files(rides.points(spark, sf_dir)).withColumns({"modificationTime": F.timestamp_millis(F.col("track_id") * 1000), "length": F.length("content").cast("bigint")}))
     importing.import_batch(store, 0, files.where("track_id % 2 = 0"))
-    left = fit.decoded(files.where("track_id % 2 = 1")).where("seq IS NOT NULL")
+    left = rides.checkpointed(fit.decoded(files.where("track_id % 2 = 1")).where("seq IS NOT NULL"))
     store.write(1, "points", left)
     store.write(1, "rides", left.select("track_id", F.lit("X").alias("source"), F.lit("x").alias("source_key"), "started_ms").distinct())
     copies = files.where("track_id % 3 = 0").withColumn("path", F.concat(F.lit("z-"), "path"))
